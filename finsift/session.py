@@ -17,6 +17,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FINSIFT_DRIVER_MEMORY", "8g"))
         .config("spark.checkpoint.dir", os.environ.get("FINSIFT_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="finsift-"))
     )
