@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from finsift.llm import langid, linededup, quality
+from finsift.llm import jaccard, langid, linededup, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op6_language_id": langid.op6_language_id,
     "op7_line_dedup": linededup.op7_line_dedup,
 }
 
 ORACLES = {
     "op1_quality_rules": quality.oracle(),
+    "op2_ngram_jaccard": jaccard.oracle(),
     "op7_line_dedup": linededup.oracle(),
 }
