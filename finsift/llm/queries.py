@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from finsift.llm import jaccard, langid, linededup, quality
+from finsift.llm import jaccard, langid, linededup, packing, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op6_language_id": langid.op6_language_id,
     "op7_line_dedup": linededup.op7_line_dedup,
+    "op9_packing": packing.op9_packing,
 }
 
 ORACLES = {
