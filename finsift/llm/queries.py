@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from finsift.llm import jaccard, langid, linededup, packing, quality
+from finsift.llm import chat, jaccard, langid, linededup, packing, quality, topk, urlfilter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
+    "op3_url_filter": urlfilter.op3_url_filter,
     "op6_language_id": langid.op6_language_id,
     "op7_line_dedup": linededup.op7_line_dedup,
+    "op8_exact_topk": topk.op8_exact_topk,
     "op9_packing": packing.op9_packing,
+    "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLES = {
     "op1_quality_rules": quality.oracle(),
     "op2_ngram_jaccard": jaccard.oracle(),
+    "op3_url_filter": urlfilter.oracle(),
     "op7_line_dedup": linededup.oracle(),
+    "op8_exact_topk": topk.oracle(),
+    "op10_chat_format": chat.oracle(),
 }
