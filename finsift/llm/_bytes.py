@@ -1,6 +1,6 @@
 """Vectorised text work on Arrow string arrays: words, hashes and n-grams straight from the UTF-8 bytes.
 
-All functions take whole texts. Work goes block by block (about a megabyte of whole documents at a time), so
+All functions take whole texts. Work goes block by block (about a quarter of a megabyte of whole documents at a time), so
 that the intermediate arrays stay small however large an Arrow batch is.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U = np.uint64
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from finsift.llm import chat, jaccard, langid, linededup, packing, quality, topk, urlfilter
+from finsift.llm import chat, jaccard, langid, linededup, packing, pieces, quality, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_url_filter": urlfilter.op3_url_filter,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_language_id": langid.op6_language_id,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op8_exact_topk": topk.op8_exact_topk,
