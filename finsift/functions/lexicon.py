@@ -65,6 +65,21 @@ def sql_fraud_score(text: str, indicators: str) -> str:
     return f"CASE WHEN ({number}) > 0 THEN least(1e0, ({total}) / greatest(1e0, 0.8e0 * ({number}))) ELSE 0e0 END"
 
 
+def fraud_score(hit_counts: Column, indicators: Column) -> Column:
+    """sql_fraud_score() from the hits of each term of SEVERITY, in order."""
+    weights = F.array(*map(F.lit, SEVERITY.values()))
+    each = F.zip_with(hit_counts, weights, lambda c, s: F.when(c > 0, s * F.least(F.lit(1.0), F.lit(0.3) + F.lit(0.1) * c)).otherwise(0.0))
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) + F.when(indicators > 0, F.least(F.lit(0.5), F.lit(0.1) * indicators)).otherwise(0.0)
+    number = F.size(F.filter(hit_counts, lambda c: c > 0)) + indicators
+    return F.when(number > 0, F.least(F.lit(1.0), total / F.greatest(F.lit(1.0), F.lit(0.8) * number))).otherwise(0.0)
+
+
+def hit_counts(low: Column) -> Column:
+    """Hits of each term of SEVERITY in lower-case text."""
+    terms = F.array(*map(F.lit, SEVERITY))
+    return F.transform(terms, lambda t: ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("int"))
+
+
 def sql_entity_score(terms: str, indicators: str, orgs: str, money: str) -> str:
     parts = (f"CASE WHEN {terms} > 5 THEN least(0.4e0, 0.05e0 * {terms}) ELSE 0e0 END", f"CASE WHEN {indicators} > 0 THEN least(0.5e0, 0.15e0 * {indicators}) ELSE 0e0 END")
     parts += (f"CASE WHEN {orgs} > 3 THEN least(0.3e0, 0.05e0 * ({orgs} - 3)) ELSE 0e0 END", f"CASE WHEN {money} > 3 THEN least(0.2e0, 0.03e0 * ({money} - 3)) ELSE 0e0 END")

@@ -73,7 +73,14 @@ def min_max(x: Column, low: Column, high: Column) -> Column:
 def outlier_share(features: Column, limit: float = 3.0) -> Column:
     """Percentage of a row's own features that are further than limit deviations from their mean."""
     n = F.size(features)
-    mean = F.aggregate(features, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.sqrt(F.aggregate(features, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n) + F.lit(1e-8)
-    far = F.size(F.filter(features, lambda x: F.abs((x - mean) / spread) > limit))
+    total = lambda f: F.aggregate(features, F.lit(0.0), f)
+    far = _let(
+        total(lambda a, x: a + x) / n,
+        lambda mean: _let(F.sqrt(total(lambda a, x: a + (x - mean) * (x - mean)) / n) + F.lit(1e-8), lambda spread: F.size(F.filter(features, lambda x: F.abs((x - mean) / spread) > limit))),
+    )
     return F.when(n > 0, F.least(F.lit(100.0), 100.0 * far / n)).otherwise(0.0)
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, where a lambda would compute it for every element."""
+    return F.get(F.transform(F.array(value), f), 0)

@@ -11,6 +11,11 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"(?U)[^\w\s\.,;:!?()-]", ""))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
 
@@ -57,7 +62,7 @@ def html_to_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"(?s)<[^>]*>", "\n")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.array_join(F.filter(F.transform(F.split(out, r"\n+|  +"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(out, r"\n+|  +"), stripped), lambda x: x != ""), "\n")
 
 
 def file_name_metadata(name: Column) -> dict[str, Column]:

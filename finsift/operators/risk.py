@@ -15,6 +15,7 @@ def features(docs: DataFrame, text_col: str = "content") -> DataFrame:
     out = docs.withColumns({"low": F.lower(text), "money": F.array_distinct(F.transform(L.hits(text, L.MONEY), F.lower)), "orgs": F.array_distinct(L.hits(text, L.ORGANISATION)), "amounts": L.amounts(text)})
     return out.withColumns(
         {
+            "hit_counts": L.hit_counts(F.col("low")),
             "n_terms": F.expr(L.sql_distinct_terms("low", L.FINANCIAL_TERMS)),
             "n_indicators": F.expr(L.sql_distinct_terms("low", L.FRAUD_TERMS)),
             "n_orgs": F.size("orgs"),
@@ -43,7 +44,7 @@ def document_risk(featured: DataFrame, relations: DataFrame | None = None, id_co
         featured = featured.withColumns({"n_relations": F.lit(0), "n_suspicious": F.lit(0), "relationship": F.lit(0.0)})
     out = featured.withColumns(
         {
-            "fraud": F.expr(L.sql_fraud_score("low", "n_indicators")),
+            "fraud": L.fraud_score(F.col("hit_counts"), F.col("n_indicators")),
             "entity": F.expr(L.sql_entity_score("n_terms", "n_indicators", "n_orgs", "n_money")),
             "financial": F.expr(L.sql_financial_score("largest", "n_amounts", "n_percentages", "n_dates")),
         }
@@ -59,7 +60,7 @@ def _listed(*items: Column, default: str) -> Column:
 
 def document_factors(scored: DataFrame) -> DataFrame:
     """scored with risk_factors."""
-    found = F.filter(F.array(*(F.when(F.instr("low", t) > 0, F.lit(t)) for t in L.SEVERITY)), lambda x: x.isNotNull())
+    found = F.filter(F.array(*map(F.lit, L.SEVERITY)), lambda _, i: F.get("hit_counts", i) > 0)
     entity = F.col("entity") > 0.4
     factors = _listed(
         F.when((F.col("fraud") > 0.5) & (F.size(found) > 0), F.concat(F.lit("High-risk keywords detected: "), F.array_join(F.slice(found, 1, 3), ", "))),
