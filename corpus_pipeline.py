@@ -22,7 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that pass the quality rules."""
-    return quality.quality_rules(docs.select(COLUMNS)).where("kept").select(COLUMNS)
+    # Written before it is filtered: a filter pushed below the counts would compute them once for each rule.
+    judged = written(quality.quality_rules(docs.select(COLUMNS)).select(*COLUMNS, "kept"), "judged")
+    return judged.where("kept").select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
