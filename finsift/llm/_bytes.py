@@ -6,6 +6,8 @@ that the intermediate arrays stay small however large an Arrow batch is.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,13 @@ BLOCK = 1 << 18
 U = np.uint64
 
 
+def trim() -> None:
+    """Return freed memory to the system: Python workers stay for later tasks, beside others of their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x.astype(U, copy=True)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"\x20\x09-\x0D"
 
 
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch while a table is written.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,14 +50,16 @@ def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """At most BATCH_ROWS rows in an Arrow batch while a table is written, so that whole texts fit Python's memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), BATCH_ROWS)))
+    """Arrow batches of BATCH_ROWS rows or BATCH_BYTES while a table is written, so that whole texts fit Python's memory."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {name: spark.conf.get(name) for name in (rows, size)}
+    spark.conf.set(rows, str(min(int(before[rows]), BATCH_ROWS)))
+    spark.conf.set(size, str(BATCH_BYTES))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def release(spark: SparkSession, *paths: str) -> None:
