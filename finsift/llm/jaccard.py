@@ -7,23 +7,22 @@ empty, linked with nothing). Two documents link when inter / union >= percent /
    in the order of their hashes. The order needs only to be the same everywhere, so the counts may be rough.
 2. Similar sets share an element of their prefixes (the first n - ceil(t * n) + 1 elements). Documents of equal
    prefix and size form one group, and only groups meet in the join. Copies collapse into classes within groups.
-3. Round 1 verifies few pairs: in the list of each prefix element, sorted by size, each group with the one before and
-   with the first (where they meet so in enough lists), and in each group each class with the first. Verified links
-   are joined into components.
-   Then, for LINK_TURNS turns, groups outside the largest component of a list meet one member of it.
-4. Round 2 verifies all that could still join two components: every pair of classes from different components whose
-   sizes, positions and number of shared prefix elements allow it. A group of thousands of copies is one component
-   by then, so that its pairs are never formed.
-
-Links inside a component are not all listed, but no two documents that links connect end up in different components:
-every similar pair was either verified or already connected. Verification compares whole sets: by the upper halves
-of their 64-bit hashes first, and by whole hashes where the halves can't tell.
+3. Every pair of groups whose sizes, positions and number of shared prefix elements allow it is a candidate, and so is
+   every pair of classes within a group. Pairs of groups are counted in blocks of about BLOCK_ROWS joined rows, so that
+   the shuffle of one block is bounded whatever the length of the lists.
+4. Every pair of classes of a candidate is verified, whether or not other links connect it already, in tiles of
+   TILE by TILE classes: a set is sent once to each tile that asks for it, not once for each pair.
+
+So the links are all there: pairs of classes, and with the members of a class each document's number of links.
+Verification compares whole sets: by the upper halves of their 64-bit hashes first, and by whole hashes where the
+halves can't tell.
 
 Rows without an id form no component. Rows that repeat an id are one document for links. Null texts count as empty.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +40,10 @@ WORDS, PERCENT = 5, 75
 COMMON = 1 << 18
 #: Size of the bitmap that keeps most texts out of the verification: 2 MB.
 ID_BITS = 24
-#: How often groups meet a member of the largest component of their lists before all that is left is verified.
-LINK_TURNS = 4
+#: Joined rows of pairs of groups that are counted at a time, about.
+BLOCK_ROWS = 8_000_000
+#: Classes on each side of a tile, about.
+TILE = 64
 #: A shingle is counted where a run of about so many shingles holds it in several documents.
 RUN = 1 << 22
 RUN_DOCS = 3
@@ -171,38 +172,66 @@ def whole_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: i
     return named.select("doc_id", slot.alias("slot"), "t").mapInArrow(sets, "doc_id long, set binary")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int, short: bool) -> DataFrame:
-    """(a, b, verdict): 1 similar, 0 not, 2 too close to tell by halves of hashes.
+def tiled(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with the tile of each: classes with the same smallest partner share blocks of about TILE."""
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("o")), F.struct(F.col("b").alias("node"), F.col("a").alias("o")))).alias("x")).select("x.*")
+    home = both.groupBy("node").agg(F.min(F.least("node", "o")).alias("home"))
+    crowd = home.groupBy("home").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    block = home.join(crowd, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), "blocks")).alias("block"))
+    one, two = (block.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", F.xxhash64("block_a", "block_b").alias("tile"))
+
+
+def compared(tiles: DataFrame, sets: DataFrame, percent: int, short: bool) -> DataFrame:
+    """(a, b, verdict) of pairs (a, b, tile): 1 similar, 0 not, 2 too close to tell by halves of hashes.
 
     Halves of different hashes may be equal, which can only add to the intersection. So a pair that fails is not
     similar; one that passes with room for far more chance hits than its sizes allow is; the rest needs whole hashes.
     """
     kind = np.uint32 if short else U
 
-    @F.arrow_udf("int")
-    def verdict(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            out = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                room = 3 + (8 * len(x) * len(y) >> 32) if short else 0
-                if 100 * inter < percent * (len(both) - inter):
-                    out.append(0)
+    def told(x: np.ndarray, y: np.ndarray) -> int:
+        both = np.concatenate([x, y])
+        both.sort(kind="stable")
+        inter = int((both[1:] == both[:-1]).sum())
+        room = 3 + (8 * len(x) * len(y) >> 32) if short else 0
+        if 100 * inter < percent * (len(both) - inter):
+            return 0
+        return 1 if 100 * (inter - room) >= percent * (len(both) - inter + room) else 2
+
+    def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by tile, the sets of a tile before its pairs."""
+        now, held, out = None, {}, []
+
+        def batch_of(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            a, b, v = zip(*rows, strict=True) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.int32())], ["a", "b", "verdict"])
+
+        for batch in batches:
+            for tile, a, b, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tile != now:
+                    now, held = tile, {}
+                if b is None:
+                    held.setdefault(a, {})[own] = np.frombuffer(own, kind)
                 else:
-                    out.append(1 if 100 * (inter - room) >= percent * (len(both) - inter + room) else 2)
-            yield pa.array(out, pa.int32())
+                    out += [(a, b, told(x, y)) for x in held[a].values() for y in held[b].values()]
+            yield batch_of(out)
+            out = []
         trim()
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", verdict("set_a", "set_b").alias("verdict"))
+    asked = tiles.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    given = asked.join(sets, "doc_id").select("tile", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    rows = given.unionByName(tiles.select("tile", "a", "b", F.lit(None).cast("binary").alias("set")))
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(verdicts, "a long, b long, verdict int")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for each row of docs; n_links counts verified links of its class."""
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, common: int = COMMON) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every link, as (links, classes, rows).
+
+    links: (a, b), a < b, all pairs of similar classes. classes: (set_a, set_b, n, class), class being the smallest id
+    of the documents with that set. rows: (doc_id, n, set_a, set_b) of each row of docs, which gives the members.
+    """
     spark = docs.sparkSession
     seen = common_shingles(docs, text_col, k, common)
     rows, rows_at = written_at(described(docs, id_col, text_col, k, percent, seen), "described")
@@ -211,71 +240,57 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     has = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(has.groupBy("set_a", "set_b", "n", "group_a", "group_b").agg(F.min("doc_id").alias("class")), "classes")
     in_group = classes.select("group_a", "group_b", "class", "n")
-    groups = in_group.groupBy("group_a", "group_b", "n").agg(F.min("class").alias("gid"), F.count("*").alias("members"))
-    members = written(in_group.join(groups.drop("n"), ["group_a", "group_b"]).select("gid", "class", "n", "members"), "members")
+    groups = in_group.groupBy("group_a", "group_b", "n").agg(F.min("class").alias("gid"))
+    members = written(in_group.join(groups.drop("n"), ["group_a", "group_b"]).select("gid", "class", "n"), "members")
 
-    # Each group's prefix once: from the row that named the group.
+    # Each group's prefix once: from the row that named the group. Elements that no other group holds link nothing.
     reps = has.join(members.select(F.col("gid").alias("doc_id")).distinct(), "doc_id", "left_semi")
     tokens = reps.select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
-    by_size = W.partitionBy("token").orderBy("n", "gid", "pos")
-    here = F.struct("gid", "n", "pos")
-    listed = tokens.select("*", F.lag(here).over(by_size).alias("prev"), F.lead("gid").over(by_size).alias("next"), F.first(here).over(by_size).alias("head"))
-    lists, lists_at = written_at(listed.where("prev IS NOT NULL OR next IS NOT NULL").drop("next"), "lists")
+    listed = tokens.withColumn("length", F.count("*").over(W.partitionBy("token")))
+    lists, lists_at = written_at(listed.where("length > 1"), "lists")
     rows = written(rows.drop("prefix"), "sizes")
     release(spark, rows_at)
 
-    near, heads = (lists.where(f"{x}.gid <> gid").selectExpr(f"{x}.gid AS a", "gid AS b", f"{x}.n AS n1", "n AS n2", f"{_room(f'{x}.n', f'{x}.pos', 'n', 'pos')} AS room") for x in ("prev", "head"))
-    neighbours = _enough(near, percent, 4).unionByName(_enough(heads, percent))
-    within = members.where("gid <> class").select(F.col("gid").alias("a"), F.col("class").alias("b"))
-    first = written(_pairs(neighbours.unionByName(within)), "round1")
-    lists = written(lists.select("token", "gid", "n", "pos"), "places")
-    release(spark, lists_at)
-    links = _checked(docs, first, id_col, text_col, k, percent)
-    parts = connected(links)
+    joined = lists.agg(F.sum(F.col("length") - 1)).first()[0] or 0
+    n_blocks = max(1, -(-joined // (2 * BLOCK_ROWS)))
+    x, y = lists.alias("x"), lists.alias("y")
+    in_order = "(x.n < y.n OR (x.n = y.n AND x.gid < y.gid))"
+    near, kept = [], []
+    for block in range(n_blocks):
+        mine = x.where(F.pmod(F.xxhash64("gid"), F.lit(n_blocks)) == block) if n_blocks > 1 else x
+        met = mine.join(y, F.expr(f"x.token = y.token AND {in_order} AND 100 * x.n >= {percent} * y.n"))
+        met = met.selectExpr("x.gid AS a", "y.gid AS b", "x.n AS n1", "y.n AS n2", f"{_room('x.n', 'x.pos', 'y.n', 'y.pos')} AS room")
+        some, at = written_at(_enough(met, percent), "candidates")
+        near.append(some)
+        kept.append(at)
+        release(spark)
+    by_gid = members.select("gid", "class")
+    one, two = by_gid.toDF("a", "class_a"), by_gid.toDF("b", "class_b")
+    across = functools.reduce(DataFrame.unionByName, near).join(one, "a").join(two, "b").selectExpr("class_a AS a", "class_b AS b")
+    inside = by_gid.alias("s").join(by_gid.alias("t"), F.expr("s.gid = t.gid AND s.class < t.class")).selectExpr("s.class AS a", "t.class AS b")
+    pairs, pairs_at = written_at(_pairs(across.unionByName(inside)), "pairs")
+    release(spark, lists_at, *kept)
+    links = _checked(docs, pairs, id_col, text_col, k, percent)
+    release(spark, pairs_at)
+    return links, classes.select("set_a", "set_b", "n", "class"), rows
 
-    # Groups outside the largest component of a list meet some member of it, another one each turn.
-    tried = first
-    for turn in range(LINK_TURNS):
-        comp = parts.select(F.col("node").alias("gid"), "component")
-        named, named_at = written_at(groups.select("gid", "n").join(comp, "gid", "left").select("gid", F.coalesce("component", "gid").alias("comp")), "named")
-        sized = named.join(named.groupBy("comp").agg(F.count("*").alias("size")), "comp")
-        rows_of = lists.join(sized, "gid")
-        hub = F.max_by(F.struct("gid", "n", "pos", "comp"), F.struct("size", F.xxhash64("gid", F.lit(turn))))
-        hubs = rows_of.groupBy("token").agg(hub.alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "hub")
-        met = rows_of.join(hubs, "token").where("comp <> hub.comp")
-        less = "(n < hub.n OR (n = hub.n AND gid < hub.gid))"
-        met = met.selectExpr(f"if({less}, gid, hub.gid) AS a", f"if({less}, hub.gid, gid) AS b", "least(n, hub.n) AS n1", "greatest(n, hub.n) AS n2", f"{_room('n', 'pos', 'hub.n', 'hub.pos')} AS room")
-        now = written(_pairs(_enough(met, percent, 2)).join(tried, ["a", "b"], "left_anti"), "hubs")
-        release(spark, named_at)
-        linked = _checked(docs, now, id_col, text_col, k, percent)
-        if linked.limit(1).count() == 0:
-            break
-        tried, links = tried.unionByName(now), links.unionByName(linked)
-        parts = connected(links)
-
-    # Classes of groups that share an element with another component, or whose own group is not one component yet.
-    labelled = written(members.join(parts, members["class"] == parts["node"], "left").select("gid", "class", "n", "members", F.coalesce("component", "class").alias("comp")), "labelled")
-    gids = labelled.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    spread = lists.select("token", "gid", "pos").join(gids, "gid")
-    open_tokens = spread.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("token")
-    opened = written(spread.join(open_tokens, "token").select("token", "gid", "pos").join(labelled.select("gid", "class", "n", "comp"), "gid"), "open")
-    x, y = opened.alias("x"), opened.alias("y")
-    across = x.join(y, F.expr("x.token = y.token AND (x.n < y.n OR (x.n = y.n AND x.class < y.class)) AND x.comp <> y.comp"))
-    across = _enough(across.selectExpr("x.class AS a", "y.class AS b", "x.n AS n1", "y.n AS n2", f"{_room('x.n', 'x.pos', 'y.n', 'y.pos')} AS room"), percent)
-    split = labelled.join(gids.where("low < high"), "gid", "left_semi").alias("s")
-    inside = split.join(split.alias("t"), F.expr("s.gid = t.gid AND s.class < t.class AND s.comp <> t.comp"))
-    second = _pairs(across.unionByName(inside.selectExpr("s.class AS a", "t.class AS b")))
-    second = written(second.join(tried, ["a", "b"], "left_anti"), "round2")
-    more = _checked(docs, second, id_col, text_col, k, percent)
-    links = links.unionByName(more)
-    parts = connected(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = classes.join(parts, classes["class"] == parts["node"], "left").drop("node").join(degree, F.col("class") == degree["node"], "left")
-    named = named.select("set_a", "set_b", F.col("n").alias("size"), F.coalesce("component", "class").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    keyed = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_a")).alias("set_a"), "set_b")
-    out = keyed.join(named, (keyed["set_a"] == named["set_a"]) & (keyed["set_b"] == named["set_b"]) & (keyed["n"] == named["size"]), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for each row of docs.
+
+    n_links is the number of other ids with a similar text, copies included; 0 for rows without an id.
+    """
+    links, classes, rows = similar_pairs(docs, id_col, text_col, k, percent, common)
+    parts = connected(links)
+    sets = ["set_a", "set_b", "n"]
+    size = rows.where("doc_id IS NOT NULL").join(classes, sets).groupBy("class").agg(F.countDistinct("doc_id").alias("members"))
+    both = links.unionByName(links.selectExpr("b AS a", "a AS b"))
+    others = both.join(size, both["b"] == size["class"]).groupBy(F.col("a").alias("node")).agg(F.sum("members").alias("others"))
+    named = classes.join(size, "class").join(parts, F.col("class") == parts["node"], "left").drop("node").join(others, F.col("class") == others["node"], "left")
+    named = named.select(*sets, F.coalesce("component", "class").alias("component_id"), (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    keyed = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_a")).alias("set_a"), "set_b")
+    out = keyed.join(named, sets, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _room(n1: str, p1: str, n2: str, p2: str) -> str:
@@ -283,17 +298,15 @@ def _room(n1: str, p1: str, n2: str, p2: str) -> str:
     return f"least({p1}, {p2}) + 1 + least({n1} - {p1}, {n2} - {p2}) - 1"
 
 
-def _enough(shared: DataFrame, percent: int, times: int = 1) -> DataFrame:
+def _enough(shared: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that may be similar, from a row (a, b, n1, n2, room) for each shared prefix element, n1 <= n2.
 
     Of two prefixes, take the one that ends first in the order. Shared elements up to its end are in both prefixes, so
     that they were counted; the others are among the elements after it, which are ceil(percent * n / 100) - 1.
-    times: counts as so many, where not every shared element has a row.
     """
-    small = shared.where(f"100 * n1 >= {percent} * n2")
-    counted = small.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("c"), F.min("room").alias("room"))
+    counted = shared.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("c"), F.min("room").alias("room"))
     after = f"greatest(({percent} * n1 + 99) div 100, ({percent} * n2 + 99) div 100) - 1"
-    return counted.where(f"{100 + percent} * least(room, {times} * c + {after}) >= {percent} * (n1 + n2)").select("a", "b")
+    return counted.where(f"{100 + percent} * least(room, c + {after}) >= {percent} * (n1 + n2)").select("a", "b")
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
@@ -302,16 +315,18 @@ def _pairs(pairs: DataFrame) -> DataFrame:
 
 def _checked(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar."""
+    tiles, tiles_at = written_at(tiled(pairs), "tiles")
 
-    def told(pairs: DataFrame, short: bool) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-        return compared(pairs, whole_sets(docs, ids, id_col, text_col, k, short), percent, short)
+    def told(tiles: DataFrame, short: bool) -> DataFrame:
+        ids = tiles.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        return compared(tiles, whole_sets(docs, ids, id_col, text_col, k, short), percent, short).where("verdict > 0")
 
-    rough, path = written_at(told(pairs, True), "rough")
+    rough, path = written_at(told(tiles, True), "rough")
     release(docs.sparkSession)
-    sure = rough.where("verdict = 1").unionByName(told(rough.where("verdict = 2").select("a", "b").distinct(), False).where("verdict = 1"))
+    close = tiles.join(rough.where("verdict = 2").select("a", "b").distinct(), ["a", "b"], "left_semi")
+    sure = rough.where("verdict = 1").unionByName(told(close, False).where("verdict = 1"))
     out = written(sure.select("a", "b").distinct(), "links")
-    release(docs.sparkSession, path)
+    release(docs.sparkSession, path, tiles_at)
     return out
 
 

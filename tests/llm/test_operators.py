@@ -67,6 +67,22 @@ def test_jaccard_against_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+def test_jaccard_counts_every_link(spark):
+    words = [f"w{i}" for i in range(80)]
+    near = [" ".join([*words, *(f"end{i}x{j}" for j in range(i % 3))]) for i in range(9)] + [" ".join([f"start{i}", *words[1:]]) for i in range(6)]
+    rows = [*enumerate(near + near[:2]), (50, "a text of its own"), (None, near[0])]
+    own = [(i, sets(t)) for i, t in rows if i is not None]
+    want = {i: sum(100 * len(x & y) >= 75 * len(x | y) for j, y in own if j != i) for i, x in own}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in jaccard.similar_components(df).collect()} == want | {None: 0}
+    links, classes, _ = jaccard.similar_pairs(df)
+    first = {}
+    for i, x in own:
+        first.setdefault(frozenset(x), i)
+    wanted = {(a, b) for x, a in first.items() for y, b in first.items() if a < b and 100 * len(x & y) >= 75 * len(x | y)}
+    assert {tuple(r) for r in links.collect()} == wanted and classes.count() == len(first)
+
+
 def test_jaccard_odd(odd, none):
     got = jaccard.similar_components(odd).collect()
     assert len(got) == 9 and all(r.component_id is None for r in got if r.doc_id is None)
