@@ -8,6 +8,7 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from finsift.operators.metrics import percentile_flag
@@ -97,13 +98,37 @@ def pca_anomaly(df: DataFrame, columns: list[str], id_col: str, keep: float = 0.
     return percentile_flag(data.select(id_col, (sum(e * e for e in errors) / len(columns)).alias("score")), "score", 0.95)
 
 
-def smote(minority: DataFrame, id_col: str, vector_col: str, copies: int = 1, k: int = 5, seed: int = 42, max_rows: int = 10_000) -> DataFrame:
-    """Synthetic rows between each minority row and one of its k nearest, chosen by hash. The minority is a checked set."""
-    near = nearest_batch(minority, minority, k, id_col, vector_col, skip_self=True, max_queries=max_rows).select("query_id", "rank", F.col(id_col).alias("other"))
+def smote(minority: DataFrame, id_col: str, vector_col: str, copies: int = 1, k: int = 5, seed: int = 42, total: int | None = None, block: int = 10_000) -> DataFrame:
+    """Synthetic rows between each minority row and one of its k nearest, chosen by hash.
+
+    Each row gives `copies` of them; with `total`, all rows together give so many: equally, and one more by hash.
+    """
+    near = nearest_batch(minority, minority, k, id_col, vector_col, skip_self=True, block=block).select("query_id", "rank", F.col(id_col).alias("other"))
     draw = lambda salt: F.pmod(F.xxhash64("query_id", "copy", F.lit(salt + seed)), F.lit(1 << 20)) / float(1 << 20)
-    picks = near.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "other"))).alias("near")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    picks = near.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "other"))).alias("near"))
+    if total is not None:
+        picks = picks.join(_shares(minority.select(F.col(id_col).alias("query_id")), total, seed), "query_id").where("copies > 0")
+    else:
+        picks = picks.withColumn("copies", F.lit(copies))
+    picks = picks.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     picks = picks.select("query_id", "copy", F.try_element_at("near", (F.floor(draw(0) * F.size("near")) + 1).cast("int")).alias("other"), draw(1).alias("t"))
     a = minority.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("a"))
     b = minority.select(F.col(id_col).alias("other"), F.col(vector_col).alias("b"))
     out = picks.join(a, "query_id").join(b, "other")
     return out.select(F.col("query_id").alias("from_id"), "other", "copy", F.expr("zip_with(a, b, (x, y) -> x + t * (y - x))").alias(vector_col))
+
+
+def smote_total(n_majority: int, n_minority: int, ratio: float = 0.5) -> int:
+    """Synthetic rows that bring the minority to ratio times the majority; none where it is there already."""
+    return max(0, int(n_majority * ratio - n_minority))
+
+
+def _shares(ids: DataFrame, total: int, seed: int, buckets: int = 64) -> DataFrame:
+    """(query_id, copies), total copies in all: ranked by hash within buckets, so that no task gets all rows."""
+    order = F.xxhash64("query_id", F.lit(seed))
+    dealt = ids.withColumn("bucket", F.pmod(order, F.lit(buckets)).cast("int"))
+    counts = dict.fromkeys(range(buckets), 0) | {r["bucket"]: r["count"] for r in dealt.groupBy("bucket").count().collect()}
+    n = max(1, sum(counts.values()))
+    before = F.array(*(F.lit(sum(counts[i] for i in range(b))) for b in range(buckets)))
+    rank = F.row_number().over(W.partitionBy("bucket").orderBy(order, "query_id")) + F.get(before, F.col("bucket"))
+    return dealt.withColumn("rank", rank).select("query_id", (F.lit(total // n) + (F.col("rank") <= total % n).cast("int")).alias("copies"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,14 +19,23 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 5, where: Column |
     return some.select(id_col, squared_distance(F.col(vector_col), F.array(*map(F.lit, query))).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = False, max_queries: int = 10_000) -> DataFrame:
-    """(query_id, rank, id, distance) of each query row's k nearest vectors; queries are a stated, checked set."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; search in parts")
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = False, max_queries: int | None = None, block: int = 10_000) -> DataFrame:
+    """(query_id, rank, id, distance) of each query row's k nearest vectors; queries are sent in blocks of about `block`.
+
+    Any number of queries is searched, unless the caller sets max_queries.
+    """
+    n = queries.count()
+    if max_queries is not None and n > max_queries:
+        raise ValueError(f"more than {max_queries} queries")
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("query_vector"))
-    met = vectors.join(F.broadcast(asked), F.col(id_col) != F.col("query_id")) if skip_self else vectors.crossJoin(F.broadcast(asked))
-    scored = met.select("query_id", id_col, squared_distance(F.col(vector_col), F.col("query_vector")).alias("distance"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", id_col))).where(F.col("rank") <= k)
+    n_blocks = max(1, -(-n // block))
+    found = []
+    for i in range(n_blocks):
+        some = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else asked)
+        met = vectors.join(some, F.col(id_col) != F.col("query_id")) if skip_self else vectors.crossJoin(some)
+        scored = met.select("query_id", id_col, squared_distance(F.col(vector_col), F.col("query_vector")).alias("distance"))
+        found.append(scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", id_col))).where(F.col("rank") <= k))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def kth_distance(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -597,7 +597,10 @@ def pca_anomaly(spark, sf_dir):
 
 @query()
 def smote_rows(spark, sf_dir):
-    return ml.smote(table(spark, sf_dir, "embeddings").where("label = 1 AND vec_id < 400"), "vec_id", "embedding")
+    v = table(spark, sf_dir, "embeddings")
+    # Label 1 against all others.
+    n = v.agg(F.count_if(F.col("label") != 1).alias("others"), F.count_if(F.col("label") == 1).alias("minority")).first()
+    return ml.smote(v.where("label = 1"), "vec_id", "embedding", total=ml.smote_total(n["others"], n["minority"]))
 
 
 @query()

@@ -98,3 +98,28 @@ def test_statistics_of_constants(spark):
     assert stats.histogram(df, "x").collect()[0].n == 2
     assert stats.missing_rates(df).first()["rate"] == pytest.approx(1 / 3)
     assert stats.benford_digits(df, F.col("x")).where("digit = 1").first()["observed"] == 2
+
+
+def test_smote_takes_the_whole_minority_in_blocks(spark):
+    from finsift.operators import ml
+    from finsift.operators import vectors as V
+
+    df = spark.createDataFrame([(i, [float(i), float(i * i % 7)]) for i in range(23)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, V.nearest_batch(df, df, 3, skip_self=True).collect()))
+    assert len(whole) == 69 and whole == sorted(map(tuple, V.nearest_batch(df, df, 3, skip_self=True, block=5).collect()))
+    made = [r.from_id for r in ml.smote(df, "vec_id", "embedding", total=30, block=5).collect()]
+    assert len(made) == 30 and {made.count(i) for i in range(23)} == {1, 2}
+    assert ml.smote_total(1818, 182) == 727 and ml.smote_total(10, 9) == 0
+
+
+def test_smote_rows_reach_the_ratio(spark):
+    from finsift.plans import queries as q
+
+    rows = [(i, [float(i), float(i % 5)], i % 10) for i in range(300, 800)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    old, q.table = q.table, lambda *_: frame
+    try:
+        made = q.QUERIES["smote_rows"](spark, "").collect()
+    finally:
+        q.table = old
+    assert len(made) == 175 and {r.from_id for r in made} == {i for i, _, label in rows if label == 1}
