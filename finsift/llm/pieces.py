@@ -2,25 +2,28 @@
 
 A text is split where no piece of the model reaches across (found by looking at the vocabulary), and each part's
 characters are merged by an agenda: the pair whose merged piece scores best goes first, of equal ones the leftmost.
-With dropout, a candidate merge is skipped where a hash keyed by seed, variant, place and pieces falls below the rate.
-So a seed gives the same segmentation on every run and cluster, other seeds give others, and a document's variant
-(from its id) varies the segmentation of the same word between documents. Without dropout the pieces are the model's.
+With dropout, a candidate merge is skipped where a hash keyed by seed, document, place in the text and pieces falls below
+the rate. So a seed gives the same segmentation on every run and cluster, other seeds give others, and every occurrence
+of a word is segmented on its own, within a document and between documents. Without dropout the pieces are the model's.
 
-Parts that have been segmented are remembered by each task, up to CACHE of them; short parts are segmented many at a
-time by array operations that follow the agenda's order, long ones by the agenda itself.
+What each task remembers, up to CACHE of them, are outcomes: a part and the candidates that were skipped in it lead to
+one segmentation, with the candidates it met. An occurrence starts at the part with nothing skipped, draws for all
+candidates met there, and goes on to the outcome with those it skips, until it skips no more. That follows the agenda
+exactly, as candidates that are not met don't matter. Long parts go through the agenda itself.
 
 Decoding gives back the text exactly: characters that the vocabulary lacks, and the blank mark itself where a text
 holds it, are byte pieces. A null text stays null; an empty one has no pieces. Rows are independent of each other, but
-for their ids, a null id being variant 0. Added columns replace columns of the same name.
+for their ids, a null id being document 0. Added columns replace columns of the same name.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,12 @@ from finsift.llm._bytes import U, mix
 from finsift.llm._shared import fresh, read
 
 MARK = "▁"
-CACHE = 400_000
+CACHE = 200_000
 LONG = 48
-VARIANTS = 2
+#: Candidates of an outcome that fit the bits of a draw.
+DRAWN = 62
+PLACE = 0x9E3779B97F4A7C15
+M64 = (1 << 64) - 1
 
 
 class Characters(dict):
@@ -95,12 +101,14 @@ def skipped(key: int, place, left, right, rate: float):
     """Whether the candidates are dropped; arrays."""
     if rate <= 0:
         return np.zeros(len(left), bool)
-    h = mix(mix(np.asarray(left).astype(np.int64).view(U) * U(0x1F123BB5) + np.asarray(right).astype(np.int64).view(U)) + np.asarray(place).astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) + U(key))
+    h = mix(mix(np.asarray(left).astype(np.int64).view(U) * U(0x1F123BB5) + np.asarray(right).astype(np.int64).view(U)) + np.asarray(place).astype(np.int64).view(U) * U(PLACE) + U(key))
     return (h >> U(11)).astype(float) < rate * float(1 << 53)
 
 
-def by_agenda(m: PieceModel, symbols: list[int], key: int, rate: float) -> list[int]:
-    """One part, by a heap of candidate merges."""
+def by_agenda(m: PieceModel, symbols: list[int], key: int, rate: float, base: int = 0, skip: Callable[[int, int, int], bool] | None = None) -> list[int]:
+    """One part, that begins at place base of its text, by a heap of candidate merges. skip: asked instead of the hash."""
+    if skip is None:
+        skip = lambda i, a, b: rate > 0 and bool(skipped(key, [base + i], [a], [b], rate)[0])
     n = len(symbols)
     ids, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[float, int, int, int, int]] = []
@@ -109,7 +117,7 @@ def by_agenda(m: PieceModel, symbols: list[int], key: int, rate: float) -> list[
         j = after[i]
         if j < n and ids[i] >= 0 and ids[j] >= 0:
             to = m.pairs.get(ids[i] * m.n + ids[j])
-            if to is not None and not (rate > 0 and skipped(key, [i], [ids[i]], [ids[j]], rate)[0]):
+            if to is not None and not skip(i, ids[i], ids[j]):
                 heapq.heappush(heap, (-m.score[to], i, ids[i], ids[j], to))
 
     for i in range(n - 1):
@@ -190,15 +198,30 @@ def model_of(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+class Outcome:
+    """The segmentation of a part with some candidates skipped."""
+
+    __slots__ = ("part", "skip", "ids", "salts", "after")
+
+    def __init__(self, part: str, skip: tuple[int, ...], ids: list[int] | None, salts: np.ndarray):
+        self.part, self.skip, self.ids, self.salts = part, skip, ids, salts  # ids None: too long to be remembered
+        self.after: dict[int, int] = {}
+
+
 class Encoder:
-    """Remembers the segmentation of parts, by variant."""
+    """Remembers outcomes; the same seed, rate, document and text always give the same ids."""
 
     def __init__(self, m: PieceModel, seed: int, rate: float):
         self.m, self.seed, self.rate = m, seed, rate
-        self.known: dict[tuple[int, str], list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.first: dict[str, int] = {}
+        self.outcomes: list[Outcome] = []
+        self.mixed: dict[int, int] = {}
 
-    def key(self, variant: int) -> int:
-        return int(mix(np.array([self.seed * 0x10001 + variant], np.int64).view(U))[0])
+    def keys(self, documents: list[int]) -> np.ndarray:
+        return mix(np.array(documents, np.int64).view(U) + U(self.seed * 0x10001 & M64))
 
     def split(self, text: str) -> list[str]:
         """Parts of the marked text; a mark in the text itself is a part of its own, kept apart by a leading NUL."""
@@ -211,56 +234,400 @@ class Encoder:
             out += self.m.parts.findall(x if i else MARK + x)
         return out
 
-    def encode(self, texts: list[str | None], variants: list[int]) -> list[list[int] | None]:
+    def encode(self, texts: list[str | None], documents: list[int]) -> list[list[int] | None]:
         parts = [None if t is None else (self.split(t) if t else []) for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        wanted: dict[int, dict[str, None]] = {}
-        for v, own in zip(variants, parts, strict=True):
-            if own:
-                held = wanted.setdefault(v, {})
-                known = self.known
-                for p in own:
-                    if (v, p) not in known:
-                        held[p] = None
-        for v, held in wanted.items():
-            self._segment(v, list(held))
-        known = self.known
-        return [None if own is None else [i for p in own for i in known[v, p]] for v, own in zip(variants, parts, strict=True)]
-
-    def _segment(self, variant: int, parts: list[str]) -> None:
-        key, m = self.key(variant), self.m
-        short: dict[int, list[tuple[str, list[int]]]] = {}
+        if len(self.outcomes) > CACHE:
+            self.forget()
+        words = [p for own in parts if own for p in own]
+        first = self.first
+        self._meet([p for p in dict.fromkeys(words) if p not in first])
+        count = np.array([len(own or ()) for own in parts])
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.cumsum(length) - length
+        start = np.cumsum(count) - count
+        base = at - np.repeat(at[np.minimum(start, max(0, len(at) - 1))] if len(at) else np.zeros(len(count), np.int64), count)
+        key = np.repeat(self.keys(documents), count)
+        ended = self._drawn(np.fromiter(map(first.__getitem__, words), np.int64, len(words)), base, key)
+        known = self.outcomes
+        found = [known[x].ids for x in ended.tolist()]
+        m = self.m
+        for i, own in enumerate(found):
+            if own is None:
+                found[i] = m.spelled(by_agenda(m, m.symbols(words[i]), int(key[i]), self.rate, int(base[i])))
+        return [None if own is None else [x for ids in found[i : i + n] for x in ids] for own, i, n in zip(parts, start.tolist(), count.tolist(), strict=True)]
+
+    def _meet(self, parts: list[str]) -> None:
+        """Outcomes of new parts with nothing skipped."""
+        if self.rate > 0:
+            for p in parts:
+                self.first[p] = self._add(p, ())
+            return
+        m, short = self.m, {}
         for p in parts:
-            if p == "\0" + MARK:
-                self.known[variant, p] = m.spelled([-1 - ord(MARK)])
-                continue
-            symbols = m.symbols(p)
+            symbols = [-1 - ord(MARK)] if p == "\0" + MARK else m.symbols(p)
             if len(symbols) > LONG:
-                self.known[variant, p] = m.spelled(by_agenda(m, symbols, key, self.rate))
+                self._hold(p, by_agenda(m, symbols, 0, 0.0))
             else:
                 short.setdefault(-(-len(symbols) // 6), []).append((p, symbols))
         for some in short.values():
             for i in range(0, len(some), 20_000):
                 now = some[i : i + 20_000]
-                for (p, _), ids in zip(now, together(m, [s for _, s in now], key, self.rate), strict=True):
-                    self.known[variant, p] = m.spelled(ids)
+                for (p, _), ids in zip(now, together(m, [s for _, s in now], 0, 0.0), strict=True):
+                    self._hold(p, ids)
+
+    def _hold(self, part: str, ids: list[int]) -> None:
+        self.first[part] = len(self.outcomes)
+        self.outcomes.append(Outcome(part, (), self.m.spelled(ids), np.zeros(0, U)))
+
+    def _add(self, part: str, skip: tuple[int, ...]) -> int:
+        m, mixed, salts = self.m, self.mixed, []
+        symbols = [-1 - ord(MARK)] if part == "\0" + MARK else m.symbols(part)
+
+        def asked(i: int, a: int, b: int) -> bool:
+            pair = mixed.get(a * m.n + b)
+            if pair is None:
+                pair = mixed[a * m.n + b] = int(mix(np.array([a], np.int64).view(U) * U(0x1F123BB5) + np.array([b], np.int64).view(U))[0])
+            salt = pair + i * PLACE & M64
+            if salt in skip:
+                return True
+            salts.append(salt)
+            return False
+
+        ids = None
+        if len(symbols) <= LONG:
+            ids = m.spelled(by_agenda(m, symbols, 0, self.rate, skip=asked))
+        if len(salts) > DRAWN:
+            ids, salts = None, []
+        self.outcomes.append(Outcome(part, skip, ids, np.array(salts, U)))
+        return len(self.outcomes) - 1
+
+    def _drawn(self, at: np.ndarray, base: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The outcome in which each occurrence ends."""
+        if self.rate <= 0 or not len(at):
+            return at
+        salt0 = base.view(U) * U(PLACE) + key
+        bound = U(math.ceil(self.rate * (1 << 53)))
+        open_ = np.arange(len(at))
+        while len(open_):
+            here, which = np.unique(at[open_], return_inverse=True)
+            salts = [self.outcomes[x].salts for x in here.tolist()]
+            size = np.fromiter(map(len, salts), np.int64, len(salts))
+            flat = np.concatenate(salts)
+            n = size[which]
+            some = np.flatnonzero(n)
+            open_, which, n = open_[some], which[some], n[some]
+            if not len(open_):
+                break
+            begin = np.cumsum(n) - n
+            bit = np.arange(n.sum()) - np.repeat(begin, n)
+            h = mix(flat[np.repeat((np.cumsum(size) - size)[which], n) + bit] + np.repeat(salt0[open_], n))
+            hit = ((h >> U(11)) < bound).astype(np.int64) << bit
+            mask = np.bitwise_or.reduceat(hit, begin)
+            more = np.flatnonzero(mask)
+            open_, which, mask = open_[more], which[more], mask[more]
+            order = np.lexsort((mask, which))
+            new = np.ones(len(order), bool)
+            new[1:] = (which[order][1:] != which[order][:-1]) | (mask[order][1:] != mask[order][:-1])
+            group = np.cumsum(new) - 1
+            to = np.array([self._next(int(here[w]), v) for w, v in zip(which[order][new].tolist(), mask[order][new].tolist(), strict=True)], np.int64)
+            at[open_[order]] = to[group] if len(to) else at[open_[order]]
+        return at
+
+    def _next(self, outcome: int, mask: int) -> int:
+        """The outcome with the candidates of mask skipped too."""
+        o = self.outcomes[outcome]
+        to = o.after.get(mask)
+        if to is None:
+            more = [x for i, x in enumerate(o.salts.tolist()) if mask >> i & 1]
+            to = o.after[mask] = self._add(o.part, (*o.skip, *more))
+        return to
+
+
+def encode(docs: DataFrame, model_path: str | None = None, seed: int = 1, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text", to: str = "ids") -> DataFrame:
+    """docs with the ids of each text's pieces."""
+    path = model_path or _default()
+
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        encoder = Encoder(model_of(path), seed, rate)
+        for texts, document in batches:
+            out = []
+            for i in range(0, len(texts), 200):
+                out += encoder.encode(texts.slice(i, 200).to_pylist(), document.slice(i, 200).to_pylist())
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    return docs.withColumn(to, ids(F.col(f"`{text_col}`"), document_of(id_col)))
+
+
+def document_of(id_col: str):
+    return F.when(F.col(f"`{id_col}`").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(f"`{id_col}`").cast("string")))
+
+
+def decode(self, ids: list[int]) -> str:
+        """The text of encode()'s ids."""
+        return b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8")[1:]
+
+
+def skipped(key: int, place, left, right, rate: float):
+    """Whether the candidates are dropped; arrays."""
+    if rate <= 0:
+        return np.zeros(len(left), bool)
+    h = mix(mix(np.asarray(left).astype(np.int64).view(U) * U(0x1F123BB5) + np.asarray(right).astype(np.int64).view(U)) + np.asarray(place).astype(np.int64).view(U) * U(PLACE) + U(key))
+    return (h >> U(11)).astype(float) < rate * float(1 << 53)
+
+
+def by_agenda(m: PieceModel, symbols: list[int], key: int, rate: float, base: int = 0, skip: Callable[[int, int, int], bool] | None = None) -> list[int]:
+    """One part, that begins at place base of its text, by a heap of candidate merges. skip: asked instead of the hash."""
+    if skip is None:
+        skip = lambda i, a, b: rate > 0 and bool(skipped(key, [base + i], [a], [b], rate)[0])
+    n = len(symbols)
+    ids, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[float, int, int, int, int]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and ids[i] >= 0 and ids[j] >= 0:
+            to = m.pairs.get(ids[i] * m.n + ids[j])
+            if to is not None and not skip(i, ids[i], ids[j]):
+                heapq.heappush(heap, (-m.score[to], i, ids[i], ids[j], to))
+
+    for i in range(n - 1):
+        offer(i)
+    gone = [False] * (n + 1)
+    while heap:
+        _, i, a, b, to = heapq.heappop(heap)
+        if gone[i] or ids[i] != a or after[i] >= n or ids[after[i]] != b:
+            continue
+        j = after[i]
+        ids[i], gone[j], after[i] = to, True, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        if before[i] >= 0:
+            offer(before[i])
+        offer(i)
+    return [ids[i] for i in range(n) if not gone[i]]
+
+
+def together(m: PieceModel, parts: list[list[int]], key: int, rate: float) -> list[list[int]]:
+    """Many short parts at once, in the agenda's order: in every round each part does its best merge."""
+    n, width = len(parts), max(len(p) for p in parts)
+    count = np.array([len(p) for p in parts])
+    sym = np.full((n, width + 1), -1, np.int64)
+    sym[np.repeat(np.arange(n), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)] = [i for p in parts for i in p]
+    place = np.tile(np.arange(width + 1), (n, 1))
+    done: list[list[int] | None] = [None] * n
+    row = np.arange(n)
+
+    def value(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score, to = np.full(len(left), -np.inf), np.full(len(left), -1, np.int64)
+        good = np.flatnonzero((left >= 0) & (right >= 0))
+        if len(good) and len(m.keys):
+            k = left[good] * m.n + right[good]
+            found = np.minimum(np.searchsorted(m.keys, k), len(m.keys) - 1)
+            hit = m.keys[found] == k
+            good, found = good[hit], found[hit]
+            live = ~skipped(key, at[good], left[good], right[good], rate)
+            good, found = good[live], found[live]
+            to[good] = m.merged[found]
+            score[good] = m.score[to[good]]
+        return score, to
 
+    inside = np.arange(width)[None, :] < (count - 1)[:, None]
+    score, to = np.full((n, width), -np.inf), np.full((n, width), -1, np.int64)
+    score[inside], to[inside] = value(sym[:, :-1][inside], sym[:, 1:][inside], place[:, :-1][inside])
+    column = np.arange(width + 1)[None, :]
+    while len(row):
+        best = score.argmax(1)
+        line = np.arange(len(row))
+        live = score[line, best] > -np.inf
+        over = np.flatnonzero(~live)
+        for r, ids, c in zip(row[over].tolist(), sym[over].tolist(), count[over].tolist(), strict=True):
+            done[r] = ids[:c]
+        if not live.any():
+            break
+        if not live.all():
+            row, count, sym, place, score, to, best = row[live], count[live], sym[live], place[live], score[live], to[live], best[live]
+            line = np.arange(len(row))
+        sym[line, best] = to[line, best]
+        moved = np.minimum(column + (column > best[:, None]), width)
+        sym, place = np.take_along_axis(sym, moved, 1), np.take_along_axis(place, moved, 1)
+        shift = np.minimum(column[:, :-1] + (column[:, :-1] > best[:, None]), width - 1)
+        score, to = np.take_along_axis(score, shift, 1), np.take_along_axis(to, shift, 1)
+        count = count - 1
+        sym[line, count] = -1
+        score[line, np.maximum(count - 1, 0)] = -np.inf
+        right = best < count - 1
+        for some, at in ((right, best), (best > 0, best - 1)):
+            k = np.flatnonzero(some)
+            if len(k):
+                score[k, at[k]], to[k, at[k]] = value(sym[k, at[k]], sym[k, at[k] + 1], place[k, at[k]])
+    return done
 
-def encode(docs: DataFrame, model_path: str | None = None, seed: int = 1, rate: float = 0.1, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text", to: str = "ids") -> DataFrame:
+
+@functools.cache
+def model_of(path: str) -> PieceModel:
+    return PieceModel(path)
+
+
+class Outcome:
+    """The segmentation of a part with some candidates skipped."""
+
+    __slots__ = ("part", "skip", "ids", "salts", "after")
+
+    def __init__(self, part: str, skip: tuple[int, ...], ids: list[int] | None, salts: np.ndarray):
+        self.part, self.skip, self.ids, self.salts = part, skip, ids, salts  # ids None: too long to be remembered
+        self.after: dict[int, int] = {}
+
+
+class Encoder:
+    """Remembers outcomes; the same seed, rate, document and text always give the same ids."""
+
+    def __init__(self, m: PieceModel, seed: int, rate: float):
+        self.m, self.seed, self.rate = m, seed, rate
+        self.forget()
+
+    def forget(self) -> None:
+        self.first: dict[str, int] = {}
+        self.outcomes: list[Outcome] = []
+        self.mixed: dict[int, int] = {}
+
+    def keys(self, documents: list[int]) -> np.ndarray:
+        return mix(np.array(documents, np.int64).view(U) + U(self.seed * 0x10001 & M64))
+
+    def split(self, text: str) -> list[str]:
+        """Parts of the marked text; a mark in the text itself is a part of its own, kept apart by a leading NUL."""
+        if MARK not in text:
+            return self.m.parts.findall(MARK + text.replace(" ", MARK))
+        out = []
+        for i, x in enumerate(text.split(MARK)):
+            out += ["\0" + MARK] if i else []
+            x = x.replace(" ", MARK)
+            out += self.m.parts.findall(x if i else MARK + x)
+        return out
+
+    def encode(self, texts: list[str | None], documents: list[int]) -> list[list[int] | None]:
+        parts = [None if t is None else (self.split(t) if t else []) for t in texts]
+        if len(self.outcomes) > CACHE:
+            self.forget()
+        words = [p for own in parts if own for p in own]
+        first = self.first
+        self._meet([p for p in dict.fromkeys(words) if p not in first])
+        count = np.array([len(own or ()) for own in parts])
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.cumsum(length) - length
+        start = np.cumsum(count) - count
+        base = at - np.repeat(at[np.minimum(start, max(0, len(at) - 1))] if len(at) else np.zeros(len(count), np.int64), count)
+        key = np.repeat(self.keys(documents), count)
+        ended = self._drawn(np.fromiter(map(first.__getitem__, words), np.int64, len(words)), base, key)
+        known = self.outcomes
+        found = [known[x].ids for x in ended.tolist()]
+        m = self.m
+        for i, own in enumerate(found):
+            if own is None:
+                found[i] = m.spelled(by_agenda(m, m.symbols(words[i]), int(key[i]), self.rate, int(base[i])))
+        return [None if own is None else [x for ids in found[i : i + n] for x in ids] for own, i, n in zip(parts, start.tolist(), count.tolist(), strict=True)]
+
+    def _meet(self, parts: list[str]) -> None:
+        """Outcomes of new parts with nothing skipped."""
+        if self.rate > 0:
+            for p in parts:
+                self.first[p] = self._add(p, ())
+            return
+        m, short = self.m, {}
+        for p in parts:
+            symbols = [-1 - ord(MARK)] if p == "\0" + MARK else m.symbols(p)
+            if len(symbols) > LONG:
+                self._hold(p, by_agenda(m, symbols, 0, 0.0))
+            else:
+                short.setdefault(-(-len(symbols) // 6), []).append((p, symbols))
+        for some in short.values():
+            for i in range(0, len(some), 20_000):
+                now = some[i : i + 20_000]
+                for (p, _), ids in zip(now, together(m, [s for _, s in now], 0, 0.0), strict=True):
+                    self._hold(p, ids)
+
+    def _hold(self, part: str, ids: list[int]) -> None:
+        self.first[part] = len(self.outcomes)
+        self.outcomes.append(Outcome(part, (), self.m.spelled(ids), np.zeros(0, U)))
+
+    def _add(self, part: str, skip: tuple[int, ...]) -> int:
+        m, mixed, salts = self.m, self.mixed, []
+        symbols = [-1 - ord(MARK)] if part == "\0" + MARK else m.symbols(part)
+
+        def asked(i: int, a: int, b: int) -> bool:
+            pair = mixed.get(a * m.n + b)
+            if pair is None:
+                pair = mixed[a * m.n + b] = int(mix(np.array([a], np.int64).view(U) * U(0x1F123BB5) + np.array([b], np.int64).view(U))[0])
+            salt = pair + i * PLACE & M64
+            if salt in skip:
+                return True
+            salts.append(salt)
+            return False
+
+        ids = None
+        if len(symbols) <= LONG:
+            ids = m.spelled(by_agenda(m, symbols, 0, self.rate, skip=asked))
+        if len(salts) > DRAWN:
+            ids, salts = None, []
+        self.outcomes.append(Outcome(part, skip, ids, np.array(salts, U)))
+        return len(self.outcomes) - 1
+
+    def _drawn(self, at: np.ndarray, base: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The outcome in which each occurrence ends."""
+        if self.rate <= 0 or not len(at):
+            return at
+        salt0 = base.view(U) * U(PLACE) + key
+        bound = U(math.ceil(self.rate * (1 << 53)))
+        open_ = np.arange(len(at))
+        while len(open_):
+            here, which = np.unique(at[open_], return_inverse=True)
+            salts = [self.outcomes[x].salts for x in here.tolist()]
+            size = np.fromiter(map(len, salts), np.int64, len(salts))
+            flat = np.concatenate(salts)
+            n = size[which]
+            some = np.flatnonzero(n)
+            open_, which, n = open_[some], which[some], n[some]
+            if not len(open_):
+                break
+            begin = np.cumsum(n) - n
+            bit = np.arange(n.sum()) - np.repeat(begin, n)
+            h = mix(flat[np.repeat((np.cumsum(size) - size)[which], n) + bit] + np.repeat(salt0[open_], n))
+            hit = ((h >> U(11)) < bound).astype(np.int64) << bit
+            mask = np.bitwise_or.reduceat(hit, begin)
+            more = np.flatnonzero(mask)
+            open_, which, mask = open_[more], which[more], mask[more]
+            order = np.lexsort((mask, which))
+            new = np.ones(len(order), bool)
+            new[1:] = (which[order][1:] != which[order][:-1]) | (mask[order][1:] != mask[order][:-1])
+            group = np.cumsum(new) - 1
+            to = np.array([self._next(int(here[w]), v) for w, v in zip(which[order][new].tolist(), mask[order][new].tolist(), strict=True)], np.int64)
+            at[open_[order]] = to[group] if len(to) else at[open_[order]]
+        return at
+
+    def _next(self, outcome: int, mask: int) -> int:
+        """The outcome with the candidates of mask skipped too."""
+        o = self.outcomes[outcome]
+        to = o.after.get(mask)
+        if to is None:
+            more = [x for i, x in enumerate(o.salts.tolist()) if mask >> i & 1]
+            to = o.after[mask] = self._add(o.part, (*o.skip, *more))
+        return to
+
+
+def encode(docs: DataFrame, model_path: str | None = None, seed: int = 1, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text", to: str = "ids") -> DataFrame:
     """docs with the ids of each text's pieces."""
     path = model_path or _default()
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         encoder = Encoder(model_of(path), seed, rate)
-        for texts, variant in batches:
+        for texts, document in batches:
             out = []
             for i in range(0, len(texts), 200):
-                out += encoder.encode(texts.slice(i, 200).to_pylist(), variant.slice(i, 200).to_pylist())
+                out += encoder.encode(texts.slice(i, 200).to_pylist(), document.slice(i, 200).to_pylist())
             yield pa.array(out, pa.list_(pa.int32()))
 
-    return docs.withColumn(to, ids(F.col(f"`{text_col}`"), variant_of(id_col, variants)))
+    return docs.withColumn(to, ids(F.col(f"`{text_col}`"), document_of(id_col)))
 
 
 def variant_of(id_col: str, variants: int):
@@ -286,7 +653,7 @@ def _default() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def digests(docs: DataFrame, model_path: str | None = None, seed: int = 1, rate: float = 0.1, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text", to: str = "pieces") -> DataFrame:
+def digests(docs: DataFrame, model_path: str | None = None, seed: int = 1, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text", to: str = "pieces") -> DataFrame:
     """docs with (n_pieces, ids_crc32, lossless): encodes and decodes each text without sending its ids around."""
     path = model_path or _default()
 
@@ -294,18 +661,18 @@ def digests(docs: DataFrame, model_path: str | None = None, seed: int = 1, rate:
     def told(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         m = model_of(path)
         encoder = Encoder(m, seed, rate)
-        for texts, variant in batches:
+        for texts, document in batches:
             n, crc, same = [], [], []
             for i in range(0, len(texts), 200):
                 some = texts.slice(i, 200).to_pylist()
-                for t, x in zip(some, encoder.encode(some, variant.slice(i, 200).to_pylist()), strict=True):
+                for t, x in zip(some, encoder.encode(some, document.slice(i, 200).to_pylist()), strict=True):
                     n.append(None if x is None else len(x))
                     crc.append(None if x is None else zlib.crc32(np.array(x, "<u4").tobytes()))
                     same.append(None if x is None else m.decode(x) == t)
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["n_pieces", "ids_crc32", "lossless"])
 
     made = fresh([*docs.columns, to], "told")
-    return docs.withColumn(made, told(F.col(f"`{text_col}`"), variant_of(id_col, variants))).withColumnRenamed(made, to)
+    return docs.withColumn(made, told(F.col(f"`{text_col}`"), document_of(id_col))).withColumnRenamed(made, to)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,26 @@ def test_pieces():
     assert [pieces.by_agenda(m, m.symbols(p), 99, 0.3) for p in parts] == pieces.together(m, [m.symbols(p) for p in parts], 99, 0.3)
 
 
+def test_dropout_varies_by_document_and_occurrence():
+    import public_tokenizers
+
+    m = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    e = pieces.Encoder(m, 3, 0.1)
+    text = "international " * 300 + "x" * 200 + " 日本 ▁ end"
+    made = e.encode([text, text, "", None, text], [11, 12, 13, 14, 11])
+    assert made[0] != made[1] and made[0] == made[4] and made[2:4] == [[], None]
+    parts, key, at, want, seen = e.split(text), int(e.keys([11])[0]), 0, [], set()
+    for p in parts:
+        symbols = [-1 - ord(pieces.MARK)] if p == "\0" + pieces.MARK else m.symbols(p)
+        own = m.spelled(pieces.by_agenda(m, symbols, key, 0.1, at))
+        want += own
+        seen |= {tuple(own)} if "international" in p else set()
+        at += len(p)
+    assert made[0] == want and len(seen) > 2
+    assert {m.decode(x) for x in (made[0], made[1])} == {text}
+    assert pieces.Encoder(m, 3, 0.1).encode([text], [12])[0] == made[1]
+
+
 def test_pieces_frame(odd, none):
     rows = pieces.decode(pieces.encode(odd)).collect()
     assert all(r.decoded == r.text for r in rows) and pieces.encode(none).count() == 0
