@@ -34,10 +34,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of each component that has its smallest id."""
-    parts = jaccard.similar_components(docs)
-    first = parts.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(COLUMNS)
+    """Keeps one row of each component: that of the smallest doc_id, of equal ones the first by a hash of the row.
+
+    Rows are told apart by a number of their own. So a row without a doc_id takes part like any other and comes last
+    in its component, and rows that repeat a doc_id are compared by their texts: copies go, different texts stay.
+    """
+    row = F.monotonically_increasing_id().alias("row")
+    rows = written(docs.select(row, *COLUMNS), "rows")
+    parts = jaccard.similar_components(rows, "row").selectExpr("doc_id AS row", "component_id")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS), "row").alias("place")
+    first = parts.join(rows.select("row", place), "row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return rows.join(first.select("place.row"), "row", "left_semi").select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
