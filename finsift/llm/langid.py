@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from finsift.llm._bytes import BLOCK, LETTER, U, blocks, mix, raw
@@ -87,6 +88,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     The classifier is fitted on a bounded sample: about rows_per_language rows of each language, chosen by a hash of
     the id. An n-gram belongs to each language in which its relative frequency is at least min_share of its highest.
+    Frequencies count all n-grams of the sample; of those that belong to a language, its grams_per_language most
+    frequent ones are used, whatever the number and sizes of the other languages.
     """
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()}
@@ -101,18 +104,16 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         draw = (F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")) % F.lit(1 << 20) + F.lit(1 << 20)) % F.lit(1 << 20)
         sample = labelled.where(draw < share[F.col(lang_col)] * F.lit(float(1 << 20))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
         summed = sample.mapInArrow(count_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-        top = summed.orderBy(F.desc("n"), "code", "lang").limit(grams_per_language * 4 * min(64, len(languages))).toPandas()
-        place = {lang: i for i, lang in enumerate(languages)}
-        lang_no = top["lang"].map(place).to_numpy()
-        code, n = top["code"].to_numpy().astype(U), top["n"].to_numpy().astype(float)
-        rate = n / np.maximum(1, np.bincount(lang_no, n, len(languages)))[lang_no]
-        distinct, inverse = np.unique(code, return_inverse=True)
-        most = np.zeros(len(distinct))
-        np.maximum.at(most, inverse, rate)
-        belongs = rate >= min_share * most[inverse]
+        total = summed.groupBy("lang").agg(F.sum("n").alias("total"))
+        rated = summed.join(F.broadcast(total), "lang").select("lang", "code", "n", (F.col("n") / F.col("total")).alias("rate"))
+        most = rated.groupBy("code").agg(F.max("rate").alias("most"))
+        own = rated.join(most, "code").where(F.col("rate") >= F.lit(min_share) * F.col("most"))
+        ranked = own.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code")))
+        top = ranked.where(F.col("rank") <= grams_per_language).select("lang", "code").toPandas()
+        lang_no = top["lang"].map({lang: i for i, lang in enumerate(languages)}).to_numpy()
+        code = top["code"].to_numpy().astype(U)
         for i in range(len(languages)):
-            mine = np.flatnonzero(belongs & (lang_no == i))[:grams_per_language]
-            for slot in slots(code[mine], hashes, size):
+            for slot in slots(code[lang_no == i], hashes, size):
                 masks[slot, i // 64] |= U(1 << (i % 64))
     filled = np.array([np.mean((masks[:, i // 64] >> U(i % 64)) & U(1)) for i in range(len(languages))])
     return LanguageModel(languages, masks, filled**hashes, hashes)

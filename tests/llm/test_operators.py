@@ -174,6 +174,15 @@ def test_languages(spark, odd, none):
     assert {r.lang_pred for r in langid.predict(df, langid.fit(df.limit(0))).collect()} == {"und"}
 
 
+def test_small_language_keeps_its_grams(spark):
+    big = ["the house and the garden were there", "das haus und der garten waren schön"]
+    rows = [(i, big[i % 2] + f" {i}", "en de".split()[i % 2]) for i in range(400)] + [(1000, "zlý kůň žere", "cs")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, grams_per_language=5)
+    told = langid.predict(df.where("doc_id = 1000"), model).first()
+    assert told.lang_pred == "cs"
+
+
 def line_brute(docs, min_docs=3):
     holders = {}
     for i, t in docs.items():
