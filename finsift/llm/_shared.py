@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,15 +62,10 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def release(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that nothing needs any more, and let Spark delete the shuffle files of finished steps.
-
-    Spark drops a shuffle when the driver's garbage collection finds that no plan holds it, which may be long after.
-    """
+    """Delete tables that nothing needs any more."""
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def crc_mod(id_col: str, n: int) -> Column:

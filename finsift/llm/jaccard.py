@@ -5,30 +5,32 @@ empty, linked with nothing). Two documents link when inter / union >= percent /
 
 1. Shingles in many documents are counted approximately. They come last in the global order of shingles, all others
    in the order of their hashes. The order needs only to be the same everywhere, so the counts may be rough.
-2. Similar sets share an element of their prefixes (the first n - ceil(t * n) + 1 elements). Documents of equal
-   prefix and size form one group, and only groups meet in the join. Copies collapse into classes within groups.
-3. Every pair of groups whose sizes, positions and number of shared prefix elements allow it is a candidate, and so is
-   every pair of classes within a group. Pairs of groups are counted in blocks of about BLOCK_ROWS joined rows, so that
-   the shuffle of one block is bounded whatever the length of the lists.
-4. Every pair of classes of a candidate is verified, whether or not other links connect it already, in tiles of
-   TILE by TILE classes: a set is sent once to each tile that asks for it, not once for each pair.
-
-So the links are all there: pairs of classes, and with the members of a class each document's number of links.
-Verification compares whole sets: by the upper halves of their 64-bit hashes first, and by whole hashes where the
-halves can't tell.
-
-Rows without an id form no component. Rows that repeat an id are one document for links. Null texts count as empty.
+2. Similar sets share an element of their prefixes (the first n - ceil(t * n) + 1 elements). Documents of equal sets
+   are one class, classes of equal prefix and size one group, and each group's prefix enters the join once.
+3. Classes are laid in an order that brings near copies together and cut into blocks of bounded size. The prefix join
+   runs between groups and blocks: a group reaches a block that holds one of its prefix elements if sizes, places and
+   the number of shared elements allow any similar class there. So a cluster of m near copies gives m rows for each
+   block that it fills, not a row for each of its pairs.
+4. The groups that reach each other's blocks are expanded into their classes, and every two classes that meet in a tile
+   (a pair of blocks) are verified by their whole sets, as one product of matrices. A tile gives one row for each class
+   with links: the number of them, and the smallest class that they connect it with. No link is left out, none is
+   counted twice, as two classes meet in one tile only.
+
+`similar_components` sums those rows; `similar_pairs` has the same tiles list each link.
+
+A row without an id has no component and no links. Rows are told apart by their texts: each row has the component of
+its own text, the smallest id of any row with a text that links reach. Rows that repeat id and text count once as
+links. Null texts count as empty. Names of other columns don't matter.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from finsift.llm._bytes import SPACE, U, blocks, mix, raw, shingle_hashes, trim, word_hashes
@@ -38,12 +40,14 @@ from finsift.llm.components import connected
 WORDS, PERCENT = 5, 75
 #: The most frequent shingles that are put last in the order; 16 bytes each are sent to the executors.
 COMMON = 1 << 18
-#: Size of the bitmap that keeps most texts out of the verification: 2 MB.
-ID_BITS = 24
-#: Joined rows of pairs of groups that are counted at a time, about.
-BLOCK_ROWS = 8_000_000
-#: Classes on each side of a tile, about.
-TILE = 64
+#: Least and most bits of the map that keeps texts out of the verification; 8 MB at most. Beyond, the join does the rest.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+#: Shingles and classes in a block, about.
+BLOCK_SHINGLES, BLOCK_CLASSES = 1 << 20, 1 << 10
+#: The smallest hashes of a set, of which the most frequent one gives its place in the order of classes.
+NEAR = 8
+#: Shingles that so many classes of a tile hold are counted by a product of matrices, others pair by pair.
+DENSE = 24
 #: A shingle is counted where a run of about so many shingles holds it in several documents.
 RUN = 1 << 22
 RUN_DOCS = 3
@@ -65,6 +69,12 @@ def document_sets(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield hashes, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))])
 
 
+def digest(values: np.ndarray, off: np.ndarray, salt: int) -> np.ndarray:
+    """Of each slice, without regard to order."""
+    total = np.concatenate([[U(0)], np.cumsum(mix(values + U(salt)), dtype=U)])
+    return mix(total[off[1:]] - total[off[:-1]] + np.diff(off).astype(U) * U(salt | 1)).view(np.int64)
+
+
 def common_shingles(docs: DataFrame, text_col: str, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and rough document counts of the shingles that stand out in some run of documents."""
 
@@ -101,16 +111,12 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, digest of the set, digest of prefix and size, prefix in order)."""
+    """(row, doc_id, n, digest of the set, digest of prefix and size, place among the classes, prefix in order)."""
     sent = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON entries
-    kind = pa.struct([("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("group_a", pa.int64()), ("group_b", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-
-    def digest(values: np.ndarray, off: np.ndarray, salt: int) -> np.ndarray:
-        """Of each slice, without regard to order."""
-        total = np.concatenate([[U(0)], np.cumsum(mix(values + U(salt)), dtype=U)])
-        return mix(total[off[1:]] - total[off[:-1]] + np.diff(off).astype(U) * U(salt | 1)).view(np.int64)
+    names = ["n", "set_a", "set_b", "group_a", "near", "low"]
+    kind = pa.struct([*((c, pa.int64()) for c in names), ("prefix", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("n long, set_a long, set_b long, group_a long, group_b long, prefix array<long>")
+    @F.arrow_udf(", ".join(f"{c} long" for c in names) + ", prefix array<long>")
     def describe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         often, count = sent.value
         for texts in batches:
@@ -122,37 +128,71 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
                 if len(often):
                     at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
                     seen = np.where(often[at] == hashes, count[at], 0)
+                within = np.arange(len(hashes)) - np.repeat(off[:-1], n)
+                near, low = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+                low[n > 0] = hashes[off[:-1][n > 0]].view(np.int64)
+                few = np.flatnonzero(within < NEAR)
+                few = few[np.lexsort((hashes[few], -seen[few], row[few]))]
+                top = few[np.diff(row[few], prepend=-1) > 0]
+                near[row[top]] = hashes[top].view(np.int64)
                 order = np.lexsort((hashes, seen, row))
-                ranked = hashes[order]
                 length = np.where(n > 0, prefix_length(n, percent), 0)
-                within = np.arange(len(ranked)) - np.repeat(off[:-1], n)
-                prefix = ranked[within < np.repeat(length, n)]
+                prefix = hashes[order][within < np.repeat(length, n)]
                 p_off = np.concatenate([[0], np.cumsum(length)])
-                size = n.astype(U)
-                parts.append(
-                    pa.StructArray.from_arrays(
-                        [
-                            pa.array(n), pa.array(digest(hashes, off, 0x1D)), pa.array(digest(hashes, off, 0x2F35)),
-                            pa.array(mix(digest(prefix, p_off, 0x4B).view(U) + size).view(np.int64)), pa.array(mix(digest(prefix, p_off, 0x6D17).view(U) ^ mix(size)).view(np.int64)),
-                            pa.ListArray.from_arrays(pa.array(p_off, pa.int32()), pa.array(prefix.view(np.int64))),
-                        ], fields=list(kind),
-                    )
-                )
+                group = mix(digest(prefix, p_off, 0x4B).view(U) + n.astype(U)).view(np.int64)
+                told = [n, digest(hashes, off, 0x1D), digest(hashes, off, 0x2F35), group, near, low]
+                lists = pa.ListArray.from_arrays(pa.array(p_off, pa.int32()), pa.array(prefix.view(np.int64)))
+                parts.append(pa.StructArray.from_arrays([*map(pa.array, told), lists], fields=list(kind)))
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
         trim()
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), describe(F.col(f"`{text_col}`")).alias("d")).select("doc_id", "d.*")
+    told = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), describe(F.col(f"`{text_col}`")).alias("d"))
+    return told.select(F.monotonically_increasing_id().alias("row"), "doc_id", "d.*")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, short: bool) -> DataFrame:
-    """(doc_id, set) of the documents in ids, and few others: all hashes in order, whole or their upper halves.
+def laid(classes: DataFrame) -> DataFrame:
+    """classes with a number c of their own and their block, in an order that brings near copies together."""
+    order = ["near", "low", "group_a", "set_a", "set_b"]
+    least = BLOCK_SHINGLES // BLOCK_CLASSES
 
-    A bitmap of 2 ** ID_BITS hashed ids, whatever their number, keeps most other texts out before any shuffle.
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, run = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            size = len(batch)
+            weight = np.maximum(batch.column("n").to_numpy(), least)
+            end = run + np.cumsum(weight)
+            more = [pa.array(np.full(size, part, np.int64)), pa.array((part << 40) + number + np.arange(size)), pa.array(end - weight), pa.array(end)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "part", "c", "begin", "end"])
+            number, run = number + size, int(end[-1]) if size else run
+
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = classes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    fields = ", ".join(f"{c} {t}" for c, t in classes.dtypes)
+    cells = written(ranged.mapInArrow(numbered, f"{fields}, part long, c long, begin long, end long"), "cells")
+    # One row for each partition: where it begins among all.
+    ends = cells.groupBy("part").agg(F.max("end").alias("end")).orderBy("part").collect()
+    starts, run = [], 0
+    for r in ends:
+        starts.append((r["part"], run))
+        run += r["end"]
+    at = classes.sparkSession.createDataFrame(starts, "part long, start long")
+    block = F.floor((F.col("start") + F.col("begin")) / F.lit(BLOCK_SHINGLES)).cast("long")
+    return cells.join(F.broadcast(at), "part").select("c", block.alias("block"), "group_a", "n", "name", "size", "set_a", "set_b", "row")
+
+
+def whole_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(name, set_a, set_b, set) of the documents whose ids asked names, and few others: all hashes in order.
+
+    A map of hashed ids, of bounded size whatever their number, keeps most other texts out before any shuffle.
     """
-    slot = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    number = asked.count()
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, 16 * number):
+        bits *= 2
+    slot = F.xxhash64("name").bitwiseAND(F.lit(bits - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
-    filled = ids.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (ID_BITS - 6), np.int64)
+    filled = asked.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bitmap = np.zeros(bits // 64, np.int64)
     bitmap[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -162,117 +202,166 @@ def whole_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: i
             batch = batch.filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1))
             done = 0
             for h, off in document_sets(batch.column(2), k):
-                h = (h >> U(32)).astype(np.uint32) if short else h
                 n = len(off) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), pa.array([h[off[i] : off[i + 1]].tobytes() for i in range(n)], pa.binary())], ["doc_id", "set"])
+                own = pa.array([h[off[i] : off[i + 1]].tobytes() for i in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), pa.array(digest(h, off, 0x1D)), pa.array(digest(h, off, 0x2F35)), own], ["name", "set_a", "set_b", "set"])
                 done += n
         trim()
 
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("t")).where("doc_id IS NOT NULL")
-    return named.select("doc_id", slot.alias("slot"), "t").mapInArrow(sets, "doc_id long, set binary")
-
-
-def tiled(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with the tile of each: classes with the same smallest partner share blocks of about TILE."""
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("o")), F.struct(F.col("b").alias("node"), F.col("a").alias("o")))).alias("x")).select("x.*")
-    home = both.groupBy("node").agg(F.min(F.least("node", "o")).alias("home"))
-    crowd = home.groupBy("home").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
-    block = home.join(crowd, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), "blocks")).alias("block"))
-    one, two = (block.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", F.xxhash64("block_a", "block_b").alias("tile"))
-
-
-def compared(tiles: DataFrame, sets: DataFrame, percent: int, short: bool) -> DataFrame:
-    """(a, b, verdict) of pairs (a, b, tile): 1 similar, 0 not, 2 too close to tell by halves of hashes.
-
-    Halves of different hashes may be equal, which can only add to the intersection. So a pair that fails is not
-    similar; one that passes with room for far more chance hits than its sizes allow is; the rest needs whole hashes.
-    """
-    kind = np.uint32 if short else U
-
-    def told(x: np.ndarray, y: np.ndarray) -> int:
-        both = np.concatenate([x, y])
-        both.sort(kind="stable")
-        inter = int((both[1:] == both[:-1]).sum())
-        room = 3 + (8 * len(x) * len(y) >> 32) if short else 0
-        if 100 * inter < percent * (len(both) - inter):
-            return 0
-        return 1 if 100 * (inter - room) >= percent * (len(both) - inter + room) else 2
-
-    def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by tile, the sets of a tile before its pairs."""
-        now, held, out = None, {}, []
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("name"), F.col(f"`{text_col}`").alias("t")).where("name IS NOT NULL")
+    return named.select("name", slot.alias("slot"), "t").mapInArrow(sets, "name long, set_a long, set_b long, set binary")
+
+
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray] | None) -> np.ndarray:
+    """Intersection sizes of each set of one with each of two (None: of one; only a < b is filled)."""
+    own = [*one, *(two or [])]
+    wide = len(one) if two is None else len(two)
+    out = np.zeros(len(one) * wide, np.int32)
+    if not own:
+        return out.reshape(len(one), wide)
+    size = np.array([len(x) for x in own])
+    token = np.concatenate(own)
+    order = np.argsort(token, kind="stable")  # within a shingle, sets in their order: those of one first
+    token, member = token[order], np.repeat(np.arange(len(own)), size)[order]
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    length = np.diff(np.append(begin, len(token)))
+    run = np.repeat(np.arange(len(begin)), length)
+    light = np.flatnonzero((length[run] > 1) & (length[run] <= DENSE))
+    run_l, member_l = run[light], member[light]
+    shift = 0 if two is None else len(one)
+    for d in range(1, DENSE):
+        met = np.flatnonzero(run_l[d:] == run_l[:-d])
+        if not len(met):
+            break
+        a, b = member_l[met], member_l[met + d]
+        if two is not None:
+            across = (a < shift) & (b >= shift)
+            a, b = a[across], b[across]
+        np.add.at(out, a * wide + b - shift, 1)
+    out = out.reshape(len(one), wide)
+    heavy = np.flatnonzero(length > DENSE)
+    for i in range(0, len(heavy), 2048):
+        some = heavy[i : i + 2048]
+        at = np.zeros(len(begin), np.int64)
+        at[some] = 1 + np.arange(len(some))
+        here = np.flatnonzero(at[run])
+        held = np.zeros((len(some), len(own)), np.float32)
+        held[at[run[here]] - 1, member[here]] = 1
+        out += (held[:, : len(one)].T @ held[:, shift:]).astype(np.int32)
+    return out
 
-        def batch_of(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            a, b, v = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.int32())], ["a", "b", "verdict"])
 
+def linked(one: list[np.ndarray], two: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of the similar pairs, b counted from the first of two (None: a < b within one)."""
+    inter = shared_counts(one, two).astype(np.int64)
+    n1 = np.array([len(x) for x in one])
+    n2 = n1 if two is None else np.array([len(x) for x in two])
+    good = (inter > 0) & (100 * inter >= percent * (n1[:, None] + n2[None, :] - inter))
+    return np.nonzero(np.triu(good, 1) if two is None else good)
+
+
+def joined_up(number: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of a number of nodes, the smallest that the pairs connect it with."""
+    to = np.arange(number)
+    while True:
+        least = np.minimum(to[a], to[b])
+        new = to.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == to).all():
+            return to
+        to = new
+
+
+def verified(tiles: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """Of rows (lo, hi, side, c, size, set), by tile: (a, b) of each link, or (c, root, others) of each class with links."""
+
+    def told(one: dict, two: dict, same: bool) -> pa.RecordBatch:
+        c = np.array([*one, *two], np.int64)
+        size = np.array([x[0] for x in (*one.values(), *two.values())], np.int64)
+        a, b = linked([x[1] for x in one.values()], None if same else [x[1] for x in two.values()], percent)
+        b = b if same else b + len(one)
+        if pairs:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(c[a], c[b])), pa.array(np.maximum(c[a], c[b]))], ["a", "b"])
+        others = np.zeros(len(c), np.int64)
+        np.add.at(others, a, size[b])
+        np.add.at(others, b, size[a])
+        root = joined_up(len(c), a, b)
+        has = np.flatnonzero(others)
+        return pa.RecordBatch.from_arrays([pa.array(c[has]), pa.array(c[root[has]]), pa.array(others[has])], ["c", "root", "others"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ({}, {})
         for batch in batches:
-            for tile, a, b, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if tile != now:
-                    now, held = tile, {}
-                if b is None:
-                    held.setdefault(a, {})[own] = np.frombuffer(own, kind)
-                else:
-                    out += [(a, b, told(x, y)) for x in held[a].values() for y in held[b].values()]
-            yield batch_of(out)
-            out = []
+            for lo, hi, side, c, size, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (lo, hi) != now:
+                    if now:
+                        yield told(*sides, now[0] == now[1])
+                    now, sides = (lo, hi), ({}, {})
+                sides[side][c] = (size, np.frombuffer(own, U))
+        if now:
+            yield told(*sides, now[0] == now[1])
         trim()
 
-    asked = tiles.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    given = asked.join(sets, "doc_id").select("tile", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "set")
-    rows = given.unionByName(tiles.select("tile", "a", "b", F.lit(None).cast("binary").alias("set")))
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(verdicts, "a long, b long, verdict int")
+    dealt = tiles.select("lo", "hi", "side", "c", "size", "set").repartition(parts, "lo", "hi").sortWithinPartitions("lo", "hi")
+    return dealt.mapInArrow(run, "a long, b long" if pairs else "c long, root long, others long")
 
 
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, common: int = COMMON) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every link, as (links, classes, rows).
-
-    links: (a, b), a < b, all pairs of similar classes. classes: (set_a, set_b, n, class), class being the smallest id
-    of the documents with that set. rows: (doc_id, n, set_a, set_b) of each row of docs, which gives the members.
-    """
+def similar_tiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, common: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `verified` finds, the classes (c, block, group_a, n, name, size, set_a, set_b, row), and (doc_id, n, set_a, set_b) of each row."""
     spark = docs.sparkSession
     seen = common_shingles(docs, text_col, k, common)
     rows, rows_at = written_at(described(docs, id_col, text_col, k, percent, seen), "described")
 
-    # Classes of equal sets, named by their smallest id; groups of equal prefix and size, likewise.
+    # Classes of equal sets, named by their smallest id.
     has = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(has.groupBy("set_a", "set_b", "n", "group_a", "group_b").agg(F.min("doc_id").alias("class")), "classes")
-    in_group = classes.select("group_a", "group_b", "class", "n")
-    groups = in_group.groupBy("group_a", "group_b", "n").agg(F.min("class").alias("gid"))
-    members = written(in_group.join(groups.drop("n"), ["group_a", "group_b"]).select("gid", "class", "n"), "members")
-
-    # Each group's prefix once: from the row that named the group. Elements that no other group holds link nothing.
-    reps = has.join(members.select(F.col("gid").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    tokens = reps.select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
-    listed = tokens.withColumn("length", F.count("*").over(W.partitionBy("token")))
-    lists, lists_at = written_at(listed.where("length > 1"), "lists")
-    rows = written(rows.drop("prefix"), "sizes")
+    keys = ["set_a", "set_b", "n", "group_a", "near", "low"]
+    classes = has.groupBy(*keys).agg(F.min("doc_id").alias("name"), F.min("row").alias("row"), F.countDistinct("doc_id").alias("size"))
+    cells = laid(classes)
+
+    # Each group's prefix once for each block of its classes. Elements that no other class holds link nothing.
+    groups = cells.groupBy("group_a", "block").agg(F.count("*").alias("held"), F.min("row").alias("row"))
+    first = cells.groupBy("group_a").agg(F.min("row").alias("row"))
+    reps = rows.join(first.select("row"), "row").join(groups.drop("row"), "group_a")
+    tokens = reps.select("group_a", "block", "held", "n", F.posexplode("prefix").alias("pos", "token"))
+    often = tokens.groupBy("token").agg(F.sum("held").alias("all")).where("all > 1").select("token")
+    lists, lists_at = written_at(tokens.join(often, "token"), "lists")
+    rows = written(rows.select("doc_id", "n", "set_a", "set_b"), "sizes")
     release(spark, rows_at)
 
-    joined = lists.agg(F.sum(F.col("length") - 1)).first()[0] or 0
-    n_blocks = max(1, -(-joined // (2 * BLOCK_ROWS)))
-    x, y = lists.alias("x"), lists.alias("y")
-    in_order = "(x.n < y.n OR (x.n = y.n AND x.gid < y.gid))"
-    near, kept = [], []
-    for block in range(n_blocks):
-        mine = x.where(F.pmod(F.xxhash64("gid"), F.lit(n_blocks)) == block) if n_blocks > 1 else x
-        met = mine.join(y, F.expr(f"x.token = y.token AND {in_order} AND 100 * x.n >= {percent} * y.n"))
-        met = met.selectExpr("x.gid AS a", "y.gid AS b", "x.n AS n1", "y.n AS n2", f"{_room('x.n', 'x.pos', 'y.n', 'y.pos')} AS room")
-        some, at = written_at(_enough(met, percent), "candidates")
-        near.append(some)
-        kept.append(at)
-        release(spark)
-    by_gid = members.select("gid", "class")
-    one, two = by_gid.toDF("a", "class_a"), by_gid.toDF("b", "class_b")
-    across = functools.reduce(DataFrame.unionByName, near).join(one, "a").join(two, "b").selectExpr("class_a AS a", "class_b AS b")
-    inside = by_gid.alias("s").join(by_gid.alias("t"), F.expr("s.gid = t.gid AND s.class < t.class")).selectExpr("s.class AS a", "t.class AS b")
-    pairs, pairs_at = written_at(_pairs(across.unionByName(inside)), "pairs")
-    release(spark, lists_at, *kept)
-    links = _checked(docs, pairs, id_col, text_col, k, percent)
-    release(spark, pairs_at)
-    return links, classes.select("set_a", "set_b", "n", "class"), rows
+    there = lists.groupBy("token", "block").agg(*(F.expr(x) for x in ("sum(held) AS held", "min(n) AS n0", "max(n) AS n1", "max(pos) AS p1", "max(n - pos) AS r1")))
+    x, y = lists.alias("x"), there.alias("y")
+    # The largest overlap of two sets that share an element at these places of the order, and what 0.75 takes of it.
+    room = "least(x.pos, y.p1) + least(x.n - x.pos, y.r1)"
+    fits = f"(x.block <> y.block OR y.held > 1) AND 100 * x.n >= {percent} * y.n0 AND 100 * y.n1 >= {percent} * x.n AND {100 + percent} * ({room}) >= {percent} * (x.n + greatest(y.n0, ({percent} * x.n + 99) div 100))"
+    met = x.join(y, F.expr(f"x.token = y.token AND {fits}")).selectExpr("x.group_a", "x.block AS own", "y.block AS other", "x.n", "y.n0", "y.n1")
+    counted = met.groupBy("group_a", "own", "other", "n").agg(F.count("*").alias("shared"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
+    # Of two prefixes, take the one that ends first in the order. Shared elements up to its end are in both prefixes, so
+    # they were counted; the others are among the elements after it, which are ceil(percent * n / 100) - 1.
+    after = f"({percent} * least(greatest(n, n1), 100 * n div {percent}) + 99) div 100 - 1"
+    reached = counted.where(f"{100 + percent} * (shared + {after}) >= {percent} * (n + greatest(n0, ({percent} * n + 99) div 100))")
+    own = cells.select("c", "name", "set_a", "set_b", "size", "group_a", F.col("block").alias("own"))
+    sides = reached.join(own, ["group_a", "own"]).select("c", "name", "set_a", "set_b", "size", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    asked, asked_at = written_at(sides.distinct(), "asked")
+    release(spark, lists_at)
+    sets = whole_sets(docs, asked.select("name").distinct(), id_col, text_col, k)
+    found = written(verified(asked.join(sets, ["name", "set_a", "set_b"]), percent, pairs), "verified")
+    release(spark, asked_at)
+    return found, cells, rows
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, common: int = COMMON) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every link, as (links, classes, rows).
+
+    links: (a, b), a < b, all pairs of similar classes. classes: (set_a, set_b, n, class), class being the smallest id
+    of the documents with that set. rows: (doc_id, n, set_a, set_b) of each row of docs, which gives the members.
+    """
+    found, cells, rows = similar_tiles(docs, id_col, text_col, k, percent, common, True)
+    one, two = (cells.select(F.col("c").alias(x), F.col("name").alias(f"name_{x}")) for x in "ab")
+    links = found.join(one, "a").join(two, "b").select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"))
+    return links, cells.select("set_a", "set_b", "n", F.col("name").alias("class")), rows
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
@@ -280,56 +369,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     n_links is the number of other ids with a similar text, copies included; 0 for rows without an id.
     """
-    links, classes, rows = similar_pairs(docs, id_col, text_col, k, percent, common)
-    parts = connected(links)
-    sets = ["set_a", "set_b", "n"]
-    size = rows.where("doc_id IS NOT NULL").join(classes, sets).groupBy("class").agg(F.countDistinct("doc_id").alias("members"))
-    both = links.unionByName(links.selectExpr("b AS a", "a AS b"))
-    others = both.join(size, both["b"] == size["class"]).groupBy(F.col("a").alias("node")).agg(F.sum("members").alias("others"))
-    named = classes.join(size, "class").join(parts, F.col("class") == parts["node"], "left").drop("node").join(others, F.col("class") == others["node"], "left")
-    named = named.select(*sets, F.coalesce("component", "class").alias("component_id"), (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    found, cells, rows = similar_tiles(docs, id_col, text_col, k, percent, common, False)
+    parts = connected(found.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b")))
+    others = found.groupBy("c").agg(F.sum("others").alias("others"))
+    sets = ["set_a", "set_b"]
+    linked_up = cells.join(parts, cells["c"] == parts["node"]).join(others, "c").select(*sets, "name", "size", "component", "others")
+    named = linked_up.groupBy("component").agg(F.min("name").alias("component_id"))
+    many = linked_up.join(named, "component").select(*sets, "component_id", (F.col("size") - 1 + F.col("others")).alias("n_links"))
+    alone = cells.where("size > 1").join(parts, cells["c"] == parts["node"], "left_anti").select(*sets, F.col("name").alias("component_id"), (F.col("size") - 1).alias("n_links"))
+    # Only the classes with links or copies: all other rows are their own component.
     keyed = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_a")).alias("set_a"), "set_b")
-    out = keyed.join(named, sets, "left")
+    out = keyed.join(many.unionByName(alone), sets, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _room(n1: str, p1: str, n2: str, p2: str) -> str:
-    """The largest overlap of two sets that share an element at these places of the order."""
-    return f"least({p1}, {p2}) + 1 + least({n1} - {p1}, {n2} - {p2}) - 1"
-
-
-def _enough(shared: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that may be similar, from a row (a, b, n1, n2, room) for each shared prefix element, n1 <= n2.
-
-    Of two prefixes, take the one that ends first in the order. Shared elements up to its end are in both prefixes, so
-    that they were counted; the others are among the elements after it, which are ceil(percent * n / 100) - 1.
-    """
-    counted = shared.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("c"), F.min("room").alias("room"))
-    after = f"greatest(({percent} * n1 + 99) div 100, ({percent} * n2 + 99) div 100) - 1"
-    return counted.where(f"{100 + percent} * least(room, c + {after}) >= {percent} * (n1 + n2)").select("a", "b")
-
-
-def _pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-
-
-def _checked(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar."""
-    tiles, tiles_at = written_at(tiled(pairs), "tiles")
-
-    def told(tiles: DataFrame, short: bool) -> DataFrame:
-        ids = tiles.select(F.explode(F.array("a", "b")).alias("doc_id"))
-        return compared(tiles, whole_sets(docs, ids, id_col, text_col, k, short), percent, short).where("verdict > 0")
-
-    rough, path = written_at(told(tiles, True), "rough")
-    release(docs.sparkSession)
-    close = tiles.join(rough.where("verdict = 2").select("a", "b").distinct(), ["a", "b"], "left_semi")
-    sure = rough.where("verdict = 1").unionByName(told(close, False).where("verdict = 1"))
-    out = written(sure.select("a", "b").distinct(), "links")
-    release(docs.sparkSession, path, tiles_at)
-    return out
-
-
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("n_links")
 
