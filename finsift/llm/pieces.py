@@ -6,14 +6,14 @@ With dropout, a candidate merge is skipped where a hash keyed by seed, document,
 the rate. So a seed gives the same segmentation on every run and cluster, other seeds give others, and every occurrence
 of a word is segmented on its own, within a document and between documents. Without dropout the pieces are the model's.
 
-What each task remembers, up to CACHE of them, are outcomes: a part and the candidates that were skipped in it lead to
-one segmentation, with the candidates it met. An occurrence starts at the part with nothing skipped, draws for all
-candidates met there, and goes on to the outcome with those it skips, until it skips no more. That follows the agenda
-exactly, as candidates that are not met don't matter. Long parts go through the agenda itself.
+All parts of a block of texts are merged at once: parts of like length are the columns of a matrix, and in every round
+each part does the best merge on its agenda. No outcome is remembered or reused. Parts over LONG characters have a heap
+each. Memory is a few arrays of the size of a block, or of one text where that is longer.
 
 Decoding gives back the text exactly: characters that the vocabulary lacks, and the blank mark itself where a text
 holds it, are byte pieces. A null text stays null; an empty one has no pieces. Rows are independent of each other, but
-for their ids, a null id being document 0. Added columns replace columns of the same name.
+for their ids, a null id being document 0; repeated rows get equal pieces. An empty table gives an empty result. Added
+columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -23,31 +23,26 @@ import heapq
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsift.llm._bytes import U, mix
+from finsift.llm._bytes import U, blocks, mix, raw
 from finsift.llm._shared import fresh, read
 
 MARK = "▁"
-CACHE = 200_000
-LONG = 48
-#: Candidates of an outcome that fit the bits of a draw.
-DRAWN = 62
-PLACE = 0x9E3779B97F4A7C15
+#: Widths of the matrices; longer parts have a heap each.
+WIDTHS = (3, 5, 7, 9, 12, 16, 24, 48)
+LONG = WIDTHS[-1]
+PAIR, PLACE = 0x1F123BB5, 0x9E3779B97F4A7C15
 M64 = (1 << 64) - 1
-
-
-class Characters(dict):
-    """Ids of characters, by code point below 0 for those that the vocabulary lacks."""
-
-    def __missing__(self, c: str) -> int:
-        out = self[c] = -1 - ord(c)
-        return out
+#: A symbol that was merged into the one before it, and a merge that is none.
+GONE = -(1 << 31)
+NEVER = (1 << 31) - 1
 
 
 class PieceModel:
@@ -60,12 +55,8 @@ class PieceModel:
         normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id = {self.pieces[i]: i for i in normal}
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
-        self.characters = Characters({p: i for p, i in self.id.items() if len(p) == 1})
-        self.spelling = [p.replace(MARK, " ").encode() for p in self.pieces]
-        for b, i in self.bytes.items():
-            self.spelling[i] = bytes((b,))
         self.n = n
-        score = np.array([sp.get_score(i) for i in range(n)])
+        self.score = np.array([sp.get_score(i) for i in range(n)])
         pairs = {}
         for i in normal:
             p = self.pieces[i]
@@ -74,42 +65,110 @@ class PieceModel:
                 if a is not None and b is not None:
                     pairs[a * n + b] = i
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.score = score
+        # Ids of characters by code point, below 0 for those that the vocabulary lacks; a blank is the mark.
+        self.character = -1 - np.arange(0x110000, dtype=np.int32)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.character[ord(p)] = i
+        self.character[ord(" ")] = self.character[ord(MARK)]
+        # The spelling of each id, one after the other.
+        spelled = [p.replace(MARK, " ").encode() for p in self.pieces]
+        for b, i in self.bytes.items():
+            spelled[i] = bytes((b,))
+        self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
+        self.edges = np.cumsum([0, *map(len, spelled)])
+        self._index()
         # Where parts may be cut: before a blank mark that follows something else, and around line ends.
-        inner = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
-        lines = any("\n" in p and len(p) > 1 for p in self.id)
-        self.parts = re.compile(r"(?s).+" if inner else (f"{MARK}+[^{MARK}]*|[^{MARK}]+" if lines else f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"))
+        self.inner = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
+        self.lines = any("\n" in p and len(p) > 1 for p in self.id)
+
+    def _index(self) -> None:
+        """An open table of the pairs: key, and place in the arrays of merged piece, rank and mixed pair."""
+        key = np.array(sorted(self.pairs), np.int64)
+        self.merged = np.array([self.pairs[k] for k in key.tolist()], np.int32)
+        _, rank = np.unique(-self.score[self.merged], return_inverse=True)  # equal scores have equal ranks
+        self.rank = rank.astype(np.int64)
+        self.mixed = mix((key // self.n).view(U) * U(PAIR) + (key % self.n).view(U))
+        self.bits = max(4, (4 * len(key)).bit_length())
+        self.table, self.entry = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slot, open_ = self._slot(key), np.arange(len(key))
+        while len(open_):
+            free = open_[self.table[slot[open_]] < 0]
+            self.table[slot[free]] = key[free]  # of several, one stays
+            self.entry[slot[free]] = free
+            open_ = open_[self.entry[slot[open_]] != open_]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(U) * U(PLACE)) >> U(64 - self.bits)).astype(np.int64)
+
+    def candidates(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of ids can merge, and their places in the pairs' arrays."""
+        at = np.flatnonzero((left >= 0) & (right >= 0))
+        key = left[at].astype(np.int64) * self.n + right[at]
+        slot = self._slot(key)
+        held = self.table[slot]
+        hit = held == key
+        open_ = np.flatnonzero(~hit & (held >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.table[slot[open_]]
+            hit[open_] = held == key[open_]
+            open_ = open_[(held >= 0) & (held != key[open_])]
+        return at[hit], self.entry[slot[hit]]
 
     def symbols(self, part: str) -> list[int]:
         """Ids of the characters; below 0 for those that the vocabulary lacks."""
-        return [*map(self.characters.__getitem__, part)]
+        return self.character[np.frombuffer(part.encode("utf-32-le"), np.uint32)].tolist()
+
+    def spelled_out(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with missing characters as byte pieces, and the number of ids that each became."""
+        count = np.ones(len(ids), np.int64)
+        missing = np.flatnonzero(ids < 0)
+        if not len(missing):
+            return ids, count
+        own = {x: [self.bytes[b] for b in chr(-1 - x).encode()] for x in np.unique(ids[missing]).tolist()}
+        count[missing] = [len(own[x]) for x in ids[missing].tolist()]
+        out = np.repeat(ids, count)
+        at = np.cumsum(count) - count
+        for i, x in zip(at[missing].tolist(), ids[missing].tolist(), strict=True):
+            out[i : i + len(own[x])] = own[x]
+        return out, count
 
     def spelled(self, ids: list[int]) -> list[int]:
-        """Ids with missing characters as byte pieces."""
-        if min(ids, default=0) >= 0:
-            return ids
-        return [y for x in ids for y in ([x] if x >= 0 else [self.bytes[b] for b in chr(-1 - x).encode()])]
+        return self.spelled_out(np.array(ids, np.int64))[0].tolist()
+
+    def decoded(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the texts whose ids begin at at, without each text's first blank, and their offsets."""
+        begin, size = self.edges[ids], self.edges[ids + 1] - self.edges[ids]
+        end = np.concatenate([[0], np.cumsum(size)])
+        data = self.spelling[np.repeat(begin - end[:-1], size) + np.arange(end[-1])]
+        edge = end[at]
+        keep = np.ones(len(data), bool)
+        keep[edge[:-1][np.diff(edge) > 0]] = False
+        return data[keep], np.concatenate([[0], np.cumsum(np.maximum(np.diff(edge) - 1, 0))])
 
     def decode(self, ids: list[int]) -> str:
         """The text of encode()'s ids."""
-        return b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8")[1:]
+        return self.decoded(np.array(ids, np.int64), np.array([0, len(ids)]))[0].tobytes().decode("utf-8")
+
+
+def bound_of(rate: float) -> int:
+    """A candidate is skipped if its hash is below."""
+    return min(M64, math.ceil(rate * (1 << 53)) << 11) if rate > 0 else 0
 
 
-def skipped(key: int, place, left, right, rate: float):
-    """Whether the candidates are dropped; arrays."""
-    if rate <= 0:
-        return np.zeros(len(left), bool)
-    h = mix(mix(np.asarray(left).astype(np.int64).view(U) * U(0x1F123BB5) + np.asarray(right).astype(np.int64).view(U)) + np.asarray(place).astype(np.int64).view(U) * U(PLACE) + U(key))
-    return (h >> U(11)).astype(float) < rate * float(1 << 53)
+def mixed(x: int) -> int:
+    """mix() of one number."""
+    x &= M64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
 
 
-def by_agenda(m: PieceModel, symbols: list[int], key: int, rate: float, base: int = 0, skip: Callable[[int, int, int], bool] | None = None) -> list[int]:
-    """One part, that begins at place base of its text, by a heap of candidate merges. skip: asked instead of the hash."""
-    if skip is None:
-        skip = lambda i, a, b: rate > 0 and bool(skipped(key, [base + i], [a], [b], rate)[0])
-    n = len(symbols)
+def by_agenda(m: PieceModel, symbols: list[int], key: int, rate: float, base: int = 0) -> list[int]:
+    """One part, that begins at place base of its text, by a heap of candidate merges."""
+    n, bound = len(symbols), bound_of(rate)
     ids, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[float, int, int, int, int]] = []
 
@@ -117,7 +176,7 @@ def by_agenda(m: PieceModel, symbols: list[int], key: int, rate: float, base: in
         j = after[i]
         if j < n and ids[i] >= 0 and ids[j] >= 0:
             to = m.pairs.get(ids[i] * m.n + ids[j])
-            if to is not None and not skip(i, ids[i], ids[j]):
+            if to is not None and mixed(mixed(ids[i] * PAIR + ids[j]) + (base + i) * PLACE + key) >= bound:
                 heapq.heappush(heap, (-m.score[to], i, ids[i], ids[j], to))
 
     for i in range(n - 1):
@@ -137,331 +196,70 @@ def by_agenda(m: PieceModel, symbols: list[int], key: int, rate: float, base: in
     return [ids[i] for i in range(n) if not gone[i]]
 
 
-def together(m: PieceModel, parts: list[list[int]], key: int, rate: float) -> list[list[int]]:
-    """Many short parts at once, in the agenda's order: in every round each part does its best merge."""
-    n, width = len(parts), max(len(p) for p in parts)
-    count = np.array([len(p) for p in parts])
-    sym = np.full((n, width + 1), -1, np.int64)
-    sym[np.repeat(np.arange(n), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)] = [i for p in parts for i in p]
-    place = np.tile(np.arange(width + 1), (n, 1))
-    done: list[list[int] | None] = [None] * n
-    row = np.arange(n)
-
-    def value(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        score, to = np.full(len(left), -np.inf), np.full(len(left), -1, np.int64)
-        good = np.flatnonzero((left >= 0) & (right >= 0))
-        if len(good) and len(m.keys):
-            k = left[good] * m.n + right[good]
-            found = np.minimum(np.searchsorted(m.keys, k), len(m.keys) - 1)
-            hit = m.keys[found] == k
-            good, found = good[hit], found[hit]
-            live = ~skipped(key, at[good], left[good], right[good], rate)
-            good, found = good[live], found[live]
-            to[good] = m.merged[found]
-            score[good] = m.score[to[good]]
-        return score, to
-
-    inside = np.arange(width)[None, :] < (count - 1)[:, None]
-    score, to = np.full((n, width), -np.inf), np.full((n, width), -1, np.int64)
-    score[inside], to[inside] = value(sym[:, :-1][inside], sym[:, 1:][inside], place[:, :-1][inside])
-    column = np.arange(width + 1)[None, :]
-    while len(row):
-        best = score.argmax(1)
-        line = np.arange(len(row))
-        live = score[line, best] > -np.inf
-        over = np.flatnonzero(~live)
-        for r, ids, c in zip(row[over].tolist(), sym[over].tolist(), count[over].tolist(), strict=True):
-            done[r] = ids[:c]
-        if not live.any():
-            break
-        if not live.all():
-            row, count, sym, place, score, to, best = row[live], count[live], sym[live], place[live], score[live], to[live], best[live]
-            line = np.arange(len(row))
-        sym[line, best] = to[line, best]
-        moved = np.minimum(column + (column > best[:, None]), width)
-        sym, place = np.take_along_axis(sym, moved, 1), np.take_along_axis(place, moved, 1)
-        shift = np.minimum(column[:, :-1] + (column[:, :-1] > best[:, None]), width - 1)
-        score, to = np.take_along_axis(score, shift, 1), np.take_along_axis(to, shift, 1)
-        count = count - 1
-        sym[line, count] = -1
-        score[line, np.maximum(count - 1, 0)] = -np.inf
-        right = best < count - 1
-        for some, at in ((right, best), (best > 0, best - 1)):
-            k = np.flatnonzero(some)
-            if len(k):
-                score[k, at[k]], to[k, at[k]] = value(sym[k, at[k]], sym[k, at[k] + 1], place[k, at[k]])
-    return done
-
-
-@functools.cache
-def model_of(path: str) -> PieceModel:
-    return PieceModel(path)
-
-
-class Outcome:
-    """The segmentation of a part with some candidates skipped."""
-
-    __slots__ = ("part", "skip", "ids", "salts", "after")
-
-    def __init__(self, part: str, skip: tuple[int, ...], ids: list[int] | None, salts: np.ndarray):
-        self.part, self.skip, self.ids, self.salts = part, skip, ids, salts  # ids None: too long to be remembered
-        self.after: dict[int, int] = {}
-
-
-class Encoder:
-    """Remembers outcomes; the same seed, rate, document and text always give the same ids."""
-
-    def __init__(self, m: PieceModel, seed: int, rate: float):
-        self.m, self.seed, self.rate = m, seed, rate
-        self.forget()
-
-    def forget(self) -> None:
-        self.first: dict[str, int] = {}
-        self.outcomes: list[Outcome] = []
-        self.mixed: dict[int, int] = {}
-
-    def keys(self, documents: list[int]) -> np.ndarray:
-        return mix(np.array(documents, np.int64).view(U) + U(self.seed * 0x10001 & M64))
-
-    def split(self, text: str) -> list[str]:
-        """Parts of the marked text; a mark in the text itself is a part of its own, kept apart by a leading NUL."""
-        if MARK not in text:
-            return self.m.parts.findall(MARK + text.replace(" ", MARK))
-        out = []
-        for i, x in enumerate(text.split(MARK)):
-            out += ["\0" + MARK] if i else []
-            x = x.replace(" ", MARK)
-            out += self.m.parts.findall(x if i else MARK + x)
-        return out
-
-    def encode(self, texts: list[str | None], documents: list[int]) -> list[list[int] | None]:
-        parts = [None if t is None else (self.split(t) if t else []) for t in texts]
-        if len(self.outcomes) > CACHE:
-            self.forget()
-        words = [p for own in parts if own for p in own]
-        first = self.first
-        self._meet([p for p in dict.fromkeys(words) if p not in first])
-        count = np.array([len(own or ()) for own in parts])
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.cumsum(length) - length
-        start = np.cumsum(count) - count
-        base = at - np.repeat(at[np.minimum(start, max(0, len(at) - 1))] if len(at) else np.zeros(len(count), np.int64), count)
-        key = np.repeat(self.keys(documents), count)
-        ended = self._drawn(np.fromiter(map(first.__getitem__, words), np.int64, len(words)), base, key)
-        known = self.outcomes
-        found = [known[x].ids for x in ended.tolist()]
-        m = self.m
-        for i, own in enumerate(found):
-            if own is None:
-                found[i] = m.spelled(by_agenda(m, m.symbols(words[i]), int(key[i]), self.rate, int(base[i])))
-        return [None if own is None else [x for ids in found[i : i + n] for x in ids] for own, i, n in zip(parts, start.tolist(), count.tolist(), strict=True)]
-
-    def _meet(self, parts: list[str]) -> None:
-        """Outcomes of new parts with nothing skipped."""
-        if self.rate > 0:
-            for p in parts:
-                self.first[p] = self._add(p, ())
-            return
-        m, short = self.m, {}
-        for p in parts:
-            symbols = [-1 - ord(MARK)] if p == "\0" + MARK else m.symbols(p)
-            if len(symbols) > LONG:
-                self._hold(p, by_agenda(m, symbols, 0, 0.0))
-            else:
-                short.setdefault(-(-len(symbols) // 6), []).append((p, symbols))
-        for some in short.values():
-            for i in range(0, len(some), 20_000):
-                now = some[i : i + 20_000]
-                for (p, _), ids in zip(now, together(m, [s for _, s in now], 0, 0.0), strict=True):
-                    self._hold(p, ids)
-
-    def _hold(self, part: str, ids: list[int]) -> None:
-        self.first[part] = len(self.outcomes)
-        self.outcomes.append(Outcome(part, (), self.m.spelled(ids), np.zeros(0, U)))
-
-    def _add(self, part: str, skip: tuple[int, ...]) -> int:
-        m, mixed, salts = self.m, self.mixed, []
-        symbols = [-1 - ord(MARK)] if part == "\0" + MARK else m.symbols(part)
-
-        def asked(i: int, a: int, b: int) -> bool:
-            pair = mixed.get(a * m.n + b)
-            if pair is None:
-                pair = mixed[a * m.n + b] = int(mix(np.array([a], np.int64).view(U) * U(0x1F123BB5) + np.array([b], np.int64).view(U))[0])
-            salt = pair + i * PLACE & M64
-            if salt in skip:
-                return True
-            salts.append(salt)
-            return False
-
-        ids = None
-        if len(symbols) <= LONG:
-            ids = m.spelled(by_agenda(m, symbols, 0, self.rate, skip=asked))
-        if len(salts) > DRAWN:
-            ids, salts = None, []
-        self.outcomes.append(Outcome(part, skip, ids, np.array(salts, U)))
-        return len(self.outcomes) - 1
-
-    def _drawn(self, at: np.ndarray, base: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The outcome in which each occurrence ends."""
-        if self.rate <= 0 or not len(at):
-            return at
-        salt0 = base.view(U) * U(PLACE) + key
-        bound = U(math.ceil(self.rate * (1 << 53)))
-        open_ = np.arange(len(at))
-        while len(open_):
-            here, which = np.unique(at[open_], return_inverse=True)
-            salts = [self.outcomes[x].salts for x in here.tolist()]
-            size = np.fromiter(map(len, salts), np.int64, len(salts))
-            flat = np.concatenate(salts)
-            n = size[which]
-            some = np.flatnonzero(n)
-            open_, which, n = open_[some], which[some], n[some]
-            if not len(open_):
+def merge_columns(m: PieceModel, symbols: np.ndarray, place: np.ndarray, key: np.ndarray, bound: int) -> np.ndarray:
+    """The columns of symbols (-1 below a part's end), each a part, after all merges; merged symbols are GONE.
+
+    place and key: of each part. In every round each part does the best merge on its agenda, the leftmost of equal ones.
+    """
+    width, n = symbols.shape
+    out = np.empty_like(symbols)
+    column = np.arange(n)
+    # One more row stands for the end of each part and for what is before its first symbol.
+    sym = np.vstack([symbols, np.full((1, n), -1, symbols.dtype)])
+    after = np.repeat(np.arange(1, width + 2)[:, None], n, 1)
+    before = np.repeat(np.array([width, *range(width)])[:, None], n, 1)
+    agenda, to = np.full((width + 1, n), NEVER, np.int64), np.zeros((width + 1, n), np.int32)
+
+    def offer(left, right, i, part, at) -> None:
+        """Puts the candidates (at rows i of the columns part, places at in the arrays) on the agenda, or takes them off."""
+        agenda.reshape(-1)[at] = NEVER
+        some, entry = m.candidates(left, right)
+        i, part, at = i[some], part[some], at[some]
+        if bound:
+            h = mix(m.mixed[entry] + (place[part] + i).view(U) * U(PLACE) + key[part])
+            live = h >= U(bound)
+            i, at, entry = i[live], at[live], entry[live]
+        agenda.reshape(-1)[at] = m.rank[entry] << 8 | i
+        to.reshape(-1)[at] = m.merged[entry]
+
+    i, part = np.divmod(np.arange((width - 1) * n), max(n, 1))
+    offer(sym[: width - 1].reshape(-1), sym[1:width].reshape(-1), i, part, np.arange((width - 1) * n))
+    while n:
+        best = agenda.min(0)
+        part = np.flatnonzero(best < NEVER)
+        if len(part) < n * 3 // 4 or not len(part):
+            over = np.flatnonzero(best >= NEVER)
+            out[:, column[over]] = sym[:width, over]
+            sym, after, before, agenda, to = (x.take(part, 1) for x in (sym, after, before, agenda, to))
+            column, place, key, best = column[part], place[part], key[part], best[part]
+            n, part = len(part), np.arange(len(part))
+            if not n:
                 break
-            begin = np.cumsum(n) - n
-            bit = np.arange(n.sum()) - np.repeat(begin, n)
-            h = mix(flat[np.repeat((np.cumsum(size) - size)[which], n) + bit] + np.repeat(salt0[open_], n))
-            hit = ((h >> U(11)) < bound).astype(np.int64) << bit
-            mask = np.bitwise_or.reduceat(hit, begin)
-            more = np.flatnonzero(mask)
-            open_, which, mask = open_[more], which[more], mask[more]
-            order = np.lexsort((mask, which))
-            new = np.ones(len(order), bool)
-            new[1:] = (which[order][1:] != which[order][:-1]) | (mask[order][1:] != mask[order][:-1])
-            group = np.cumsum(new) - 1
-            to = np.array([self._next(int(here[w]), v) for w, v in zip(which[order][new].tolist(), mask[order][new].tolist(), strict=True)], np.int64)
-            at[open_[order]] = to[group] if len(to) else at[open_[order]]
-        return at
-
-    def _next(self, outcome: int, mask: int) -> int:
-        """The outcome with the candidates of mask skipped too."""
-        o = self.outcomes[outcome]
-        to = o.after.get(mask)
-        if to is None:
-            more = [x for i, x in enumerate(o.salts.tolist()) if mask >> i & 1]
-            to = o.after[mask] = self._add(o.part, (*o.skip, *more))
-        return to
-
-
-def encode(docs: DataFrame, model_path: str | None = None, seed: int = 1, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text", to: str = "ids") -> DataFrame:
-    """docs with the ids of each text's pieces."""
-    path = model_path or _default()
-
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        encoder = Encoder(model_of(path), seed, rate)
-        for texts, document in batches:
-            out = []
-            for i in range(0, len(texts), 200):
-                out += encoder.encode(texts.slice(i, 200).to_pylist(), document.slice(i, 200).to_pylist())
-            yield pa.array(out, pa.list_(pa.int32()))
-
-    return docs.withColumn(to, ids(F.col(f"`{text_col}`"), document_of(id_col)))
-
-
-def document_of(id_col: str):
-    return F.when(F.col(f"`{id_col}`").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(f"`{id_col}`").cast("string")))
-
-
-def decode(self, ids: list[int]) -> str:
-        """The text of encode()'s ids."""
-        return b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8")[1:]
-
-
-def skipped(key: int, place, left, right, rate: float):
-    """Whether the candidates are dropped; arrays."""
-    if rate <= 0:
-        return np.zeros(len(left), bool)
-    h = mix(mix(np.asarray(left).astype(np.int64).view(U) * U(0x1F123BB5) + np.asarray(right).astype(np.int64).view(U)) + np.asarray(place).astype(np.int64).view(U) * U(PLACE) + U(key))
-    return (h >> U(11)).astype(float) < rate * float(1 << 53)
-
-
-def by_agenda(m: PieceModel, symbols: list[int], key: int, rate: float, base: int = 0, skip: Callable[[int, int, int], bool] | None = None) -> list[int]:
-    """One part, that begins at place base of its text, by a heap of candidate merges. skip: asked instead of the hash."""
-    if skip is None:
-        skip = lambda i, a, b: rate > 0 and bool(skipped(key, [base + i], [a], [b], rate)[0])
-    n = len(symbols)
-    ids, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-    heap: list[tuple[float, int, int, int, int]] = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n and ids[i] >= 0 and ids[j] >= 0:
-            to = m.pairs.get(ids[i] * m.n + ids[j])
-            if to is not None and not skip(i, ids[i], ids[j]):
-                heapq.heappush(heap, (-m.score[to], i, ids[i], ids[j], to))
-
-    for i in range(n - 1):
-        offer(i)
-    gone = [False] * (n + 1)
-    while heap:
-        _, i, a, b, to = heapq.heappop(heap)
-        if gone[i] or ids[i] != a or after[i] >= n or ids[after[i]] != b:
-            continue
-        j = after[i]
-        ids[i], gone[j], after[i] = to, True, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        if before[i] >= 0:
-            offer(before[i])
-        offer(i)
-    return [ids[i] for i in range(n) if not gone[i]]
+        s, a, b = sym.reshape(-1), after.reshape(-1), before.reshape(-1)
+        i = best[part] & 255
+        at = i * n + part
+        new = to.reshape(-1)[at]
+        gone = a[at] * n + part
+        follower = a[gone]
+        next_at = follower * n + part
+        s[at], s[gone] = new, GONE
+        a[at], b[next_at] = follower, i
+        agenda.reshape(-1)[gone] = NEVER
+        ahead = b[at]
+        ahead_at = ahead * n + part
+        offer(np.concatenate([new, s[ahead_at]]), np.concatenate([s[next_at], new]), np.concatenate([i, ahead]), np.concatenate([part, part]), np.concatenate([at, ahead_at]))
+    return out
 
 
 def together(m: PieceModel, parts: list[list[int]], key: int, rate: float) -> list[list[int]]:
-    """Many short parts at once, in the agenda's order: in every round each part does its best merge."""
-    n, width = len(parts), max(len(p) for p in parts)
-    count = np.array([len(p) for p in parts])
-    sym = np.full((n, width + 1), -1, np.int64)
-    sym[np.repeat(np.arange(n), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)] = [i for p in parts for i in p]
-    place = np.tile(np.arange(width + 1), (n, 1))
-    done: list[list[int] | None] = [None] * n
-    row = np.arange(n)
-
-    def value(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        score, to = np.full(len(left), -np.inf), np.full(len(left), -1, np.int64)
-        good = np.flatnonzero((left >= 0) & (right >= 0))
-        if len(good) and len(m.keys):
-            k = left[good] * m.n + right[good]
-            found = np.minimum(np.searchsorted(m.keys, k), len(m.keys) - 1)
-            hit = m.keys[found] == k
-            good, found = good[hit], found[hit]
-            live = ~skipped(key, at[good], left[good], right[good], rate)
-            good, found = good[live], found[live]
-            to[good] = m.merged[found]
-            score[good] = m.score[to[good]]
-        return score, to
-
-    inside = np.arange(width)[None, :] < (count - 1)[:, None]
-    score, to = np.full((n, width), -np.inf), np.full((n, width), -1, np.int64)
-    score[inside], to[inside] = value(sym[:, :-1][inside], sym[:, 1:][inside], place[:, :-1][inside])
-    column = np.arange(width + 1)[None, :]
-    while len(row):
-        best = score.argmax(1)
-        line = np.arange(len(row))
-        live = score[line, best] > -np.inf
-        over = np.flatnonzero(~live)
-        for r, ids, c in zip(row[over].tolist(), sym[over].tolist(), count[over].tolist(), strict=True):
-            done[r] = ids[:c]
-        if not live.any():
-            break
-        if not live.all():
-            row, count, sym, place, score, to, best = row[live], count[live], sym[live], place[live], score[live], to[live], best[live]
-            line = np.arange(len(row))
-        sym[line, best] = to[line, best]
-        moved = np.minimum(column + (column > best[:, None]), width)
-        sym, place = np.take_along_axis(sym, moved, 1), np.take_along_axis(place, moved, 1)
-        shift = np.minimum(column[:, :-1] + (column[:, :-1] > best[:, None]), width - 1)
-        score, to = np.take_along_axis(score, shift, 1), np.take_along_axis(to, shift, 1)
-        count = count - 1
-        sym[line, count] = -1
-        score[line, np.maximum(count - 1, 0)] = -np.inf
-        right = best < count - 1
-        for some, at in ((right, best), (best > 0, best - 1)):
-            k = np.flatnonzero(some)
-            if len(k):
-                score[k, at[k]], to[k, at[k]] = value(sym[k, at[k]], sym[k, at[k] + 1], place[k, at[k]])
-    return done
+    """Many short parts at once, each at the start of a text."""
+    size = np.array([len(p) for p in parts])
+    symbols = np.full((int(size.max()), len(parts)), -1, np.int32)
+    for j, p in enumerate(parts):
+        symbols[: len(p), j] = p
+    zero = np.zeros(len(parts), np.int64)
+    made = merge_columns(m, symbols, zero, zero.view(U) + U(key & M64), bound_of(rate))
+    return [[x for x in made[: len(p), j].tolist() if x != GONE] for j, p in enumerate(parts)]
 
 
 @functools.cache
@@ -469,149 +267,94 @@ def model_of(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-class Outcome:
-    """The segmentation of a part with some candidates skipped."""
-
-    __slots__ = ("part", "skip", "ids", "salts", "after")
-
-    def __init__(self, part: str, skip: tuple[int, ...], ids: list[int] | None, salts: np.ndarray):
-        self.part, self.skip, self.ids, self.salts = part, skip, ids, salts  # ids None: too long to be remembered
-        self.after: dict[int, int] = {}
-
-
 class Encoder:
-    """Remembers outcomes; the same seed, rate, document and text always give the same ids."""
+    """The same seed, rate, document and text always give the same ids."""
 
     def __init__(self, m: PieceModel, seed: int, rate: float):
         self.m, self.seed, self.rate = m, seed, rate
-        self.forget()
-
-    def forget(self) -> None:
-        self.first: dict[str, int] = {}
-        self.outcomes: list[Outcome] = []
-        self.mixed: dict[int, int] = {}
 
-    def keys(self, documents: list[int]) -> np.ndarray:
+    def keys(self, documents: list[int] | np.ndarray) -> np.ndarray:
         return mix(np.array(documents, np.int64).view(U) + U(self.seed * 0x10001 & M64))
 
+    def _marked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points with a blank before each text that isn't empty, where texts begin, and which are marks of a text itself."""
+        data, _ = raw(texts)
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(size + (size > 0))])
+        out = np.full(at[-1], ord(" "), np.uint32)
+        rest = np.ones(at[-1], bool)
+        rest[at[:-1][size > 0]] = False
+        out[rest] = points
+        return out, at, out == ord(MARK)
+
+    def _starts(self, points: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Where parts begin."""
+        first = np.zeros(len(points) + 1, bool)
+        first[at] = True
+        first[:-1] |= own
+        first[1:] |= own
+        if not self.m.inner:
+            blank = points == ord(" ")
+            first[:-1] |= blank
+            first[1:-1] &= ~(blank[1:] & blank[:-1]) | own[:-1]
+            first[at] = True
+            if not self.m.lines:
+                line = points == ord("\n")
+                first[:-1] |= line
+                first[1:] |= line
+        return np.flatnonzero(first[:-1])
+
     def split(self, text: str) -> list[str]:
         """Parts of the marked text; a mark in the text itself is a part of its own, kept apart by a leading NUL."""
-        if MARK not in text:
-            return self.m.parts.findall(MARK + text.replace(" ", MARK))
-        out = []
-        for i, x in enumerate(text.split(MARK)):
-            out += ["\0" + MARK] if i else []
-            x = x.replace(" ", MARK)
-            out += self.m.parts.findall(x if i else MARK + x)
-        return out
+        points, at, own = self._marked(pa.array([text], pa.string()))
+        start = self._starts(points, at, own).tolist()
+        whole = points.astype("<u4").tobytes().decode("utf-32-le").replace(" ", MARK)
+        return [("\0" if own[i] else "") + whole[i:j] for i, j in zip(start, [*start[1:], len(whole)], strict=True)]
+
+    def arrays(self, texts: pa.Array, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and n + 1 offsets; a null is an empty text."""
+        m, bound = self.m, bound_of(self.rate)
+        points, at, own = self._marked(texts)
+        if not len(points):
+            return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
+        ids = m.character[points]
+        ids[own] = -1 - ord(MARK)
+        start = self._starts(points, at, own)
+        size = np.diff(np.append(start, len(points)))
+        text = np.searchsorted(at, start, "right") - 1
+        marks = np.concatenate([[0], np.cumsum(own)])  # a mark of the text itself counts as two places
+        place = start - at[text] + marks[start] - marks[at[text]]
+        key = self.keys(documents)[text]
+        low = 1  # parts of one symbol stay
+        for width in WIDTHS:
+            now = np.flatnonzero((size > low) & (size <= width))
+            low = width
+            if len(now):
+                step = np.arange(width)[:, None]
+                inside = step < size[now]
+                where = np.minimum(start[now] + step, len(points) - 1)
+                made = merge_columns(m, np.where(inside, ids[where], -1), place[now], key[now], bound)
+                ids[where[inside]] = made[inside]
+        for p in np.flatnonzero(size > LONG).tolist():
+            i, j = int(start[p]), int(start[p] + size[p])
+            made = by_agenda(m, ids[i:j].tolist(), int(key[p]), self.rate, int(place[p]))
+            ids[i:j] = made + [GONE] * (j - i - len(made))
+        stays = ids != GONE
+        kept = np.concatenate([[0], np.cumsum(stays)])[at]
+        out, count = m.spelled_out(ids[stays])
+        return out, np.concatenate([[0], np.cumsum(count)])[kept]
 
     def encode(self, texts: list[str | None], documents: list[int]) -> list[list[int] | None]:
-        parts = [None if t is None else (self.split(t) if t else []) for t in texts]
-        if len(self.outcomes) > CACHE:
-            self.forget()
-        words = [p for own in parts if own for p in own]
-        first = self.first
-        self._meet([p for p in dict.fromkeys(words) if p not in first])
-        count = np.array([len(own or ()) for own in parts])
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.cumsum(length) - length
-        start = np.cumsum(count) - count
-        base = at - np.repeat(at[np.minimum(start, max(0, len(at) - 1))] if len(at) else np.zeros(len(count), np.int64), count)
-        key = np.repeat(self.keys(documents), count)
-        ended = self._drawn(np.fromiter(map(first.__getitem__, words), np.int64, len(words)), base, key)
-        known = self.outcomes
-        found = [known[x].ids for x in ended.tolist()]
-        m = self.m
-        for i, own in enumerate(found):
-            if own is None:
-                found[i] = m.spelled(by_agenda(m, m.symbols(words[i]), int(key[i]), self.rate, int(base[i])))
-        return [None if own is None else [x for ids in found[i : i + n] for x in ids] for own, i, n in zip(parts, start.tolist(), count.tolist(), strict=True)]
-
-    def _meet(self, parts: list[str]) -> None:
-        """Outcomes of new parts with nothing skipped."""
-        if self.rate > 0:
-            for p in parts:
-                self.first[p] = self._add(p, ())
-            return
-        m, short = self.m, {}
-        for p in parts:
-            symbols = [-1 - ord(MARK)] if p == "\0" + MARK else m.symbols(p)
-            if len(symbols) > LONG:
-                self._hold(p, by_agenda(m, symbols, 0, 0.0))
-            else:
-                short.setdefault(-(-len(symbols) // 6), []).append((p, symbols))
-        for some in short.values():
-            for i in range(0, len(some), 20_000):
-                now = some[i : i + 20_000]
-                for (p, _), ids in zip(now, together(m, [s for _, s in now], 0, 0.0), strict=True):
-                    self._hold(p, ids)
-
-    def _hold(self, part: str, ids: list[int]) -> None:
-        self.first[part] = len(self.outcomes)
-        self.outcomes.append(Outcome(part, (), self.m.spelled(ids), np.zeros(0, U)))
-
-    def _add(self, part: str, skip: tuple[int, ...]) -> int:
-        m, mixed, salts = self.m, self.mixed, []
-        symbols = [-1 - ord(MARK)] if part == "\0" + MARK else m.symbols(part)
-
-        def asked(i: int, a: int, b: int) -> bool:
-            pair = mixed.get(a * m.n + b)
-            if pair is None:
-                pair = mixed[a * m.n + b] = int(mix(np.array([a], np.int64).view(U) * U(0x1F123BB5) + np.array([b], np.int64).view(U))[0])
-            salt = pair + i * PLACE & M64
-            if salt in skip:
-                return True
-            salts.append(salt)
-            return False
-
-        ids = None
-        if len(symbols) <= LONG:
-            ids = m.spelled(by_agenda(m, symbols, 0, self.rate, skip=asked))
-        if len(salts) > DRAWN:
-            ids, salts = None, []
-        self.outcomes.append(Outcome(part, skip, ids, np.array(salts, U)))
-        return len(self.outcomes) - 1
-
-    def _drawn(self, at: np.ndarray, base: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The outcome in which each occurrence ends."""
-        if self.rate <= 0 or not len(at):
-            return at
-        salt0 = base.view(U) * U(PLACE) + key
-        bound = U(math.ceil(self.rate * (1 << 53)))
-        open_ = np.arange(len(at))
-        while len(open_):
-            here, which = np.unique(at[open_], return_inverse=True)
-            salts = [self.outcomes[x].salts for x in here.tolist()]
-            size = np.fromiter(map(len, salts), np.int64, len(salts))
-            flat = np.concatenate(salts)
-            n = size[which]
-            some = np.flatnonzero(n)
-            open_, which, n = open_[some], which[some], n[some]
-            if not len(open_):
-                break
-            begin = np.cumsum(n) - n
-            bit = np.arange(n.sum()) - np.repeat(begin, n)
-            h = mix(flat[np.repeat((np.cumsum(size) - size)[which], n) + bit] + np.repeat(salt0[open_], n))
-            hit = ((h >> U(11)) < bound).astype(np.int64) << bit
-            mask = np.bitwise_or.reduceat(hit, begin)
-            more = np.flatnonzero(mask)
-            open_, which, mask = open_[more], which[more], mask[more]
-            order = np.lexsort((mask, which))
-            new = np.ones(len(order), bool)
-            new[1:] = (which[order][1:] != which[order][:-1]) | (mask[order][1:] != mask[order][:-1])
-            group = np.cumsum(new) - 1
-            to = np.array([self._next(int(here[w]), v) for w, v in zip(which[order][new].tolist(), mask[order][new].tolist(), strict=True)], np.int64)
-            at[open_[order]] = to[group] if len(to) else at[open_[order]]
-        return at
-
-    def _next(self, outcome: int, mask: int) -> int:
-        """The outcome with the candidates of mask skipped too."""
-        o = self.outcomes[outcome]
-        to = o.after.get(mask)
-        if to is None:
-            more = [x for i, x in enumerate(o.salts.tolist()) if mask >> i & 1]
-            to = o.after[mask] = self._add(o.part, (*o.skip, *more))
-        return to
+        ids, at = self.arrays(pa.array(texts, pa.string()), np.array(documents, np.int64))
+        return [None if t is None else ids[i:j].tolist() for t, i, j in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def blocks(self, texts: pa.Array, documents: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """(texts, ids, offsets), block by block."""
+        documents = documents.to_numpy(zero_copy_only=False)
+        for i, j in blocks(raw(texts)[1]):
+            some = texts.slice(i, j - i)
+            yield some, *self.arrays(some, documents[i:j])
 
 
 def encode(docs: DataFrame, model_path: str | None = None, seed: int = 1, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text", to: str = "ids") -> DataFrame:
@@ -621,17 +364,18 @@ def encode(docs: DataFrame, model_path: str | None = None, seed: int = 1, rate:
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         encoder = Encoder(model_of(path), seed, rate)
-        for texts, document in batches:
+        for texts, documents in batches:
             out = []
-            for i in range(0, len(texts), 200):
-                out += encoder.encode(texts.slice(i, 200).to_pylist(), document.slice(i, 200).to_pylist())
-            yield pa.array(out, pa.list_(pa.int32()))
+            for some, own, at in encoder.blocks(texts, documents):
+                null = np.append(pc.is_null(some).to_numpy(zero_copy_only=False), False)
+                out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32(), mask=null), pa.array(own, pa.int32())))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return docs.withColumn(to, ids(F.col(f"`{text_col}`"), document_of(id_col)))
 
 
-def variant_of(id_col: str, variants: int):
-    return F.when(F.col(f"`{id_col}`").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(variants))).cast("int")
+def document_of(id_col: str):
+    return F.when(F.col(f"`{id_col}`").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(f"`{id_col}`").cast("string")))
 
 
 def decode(docs: DataFrame, model_path: str | None = None, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -653,23 +397,33 @@ def _default() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def lossless(m: PieceModel, texts: pa.Array, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each text is what its ids decode to."""
+    (data, edge), (told, told_edge) = raw(texts), m.decoded(ids, at)
+    same = np.diff(edge) == np.diff(told_edge)
+    if same.all():
+        wrong = np.concatenate([[0], np.cumsum(data != told)])
+        return wrong[edge[1:]] == wrong[edge[:-1]]
+    return np.array([bool(ok) and bool((data[i:j] == told[k : k + j - i]).all()) for ok, i, j, k in zip(same, edge[:-1], edge[1:], told_edge, strict=False)])
+
+
 def digests(docs: DataFrame, model_path: str | None = None, seed: int = 1, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text", to: str = "pieces") -> DataFrame:
     """docs with (n_pieces, ids_crc32, lossless): encodes and decodes each text without sending its ids around."""
     path = model_path or _default()
+    kind = pa.struct([("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_())])
 
     @F.arrow_udf("n_pieces long, ids_crc32 long, lossless boolean")
     def told(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         m = model_of(path)
         encoder = Encoder(m, seed, rate)
-        for texts, document in batches:
-            n, crc, same = [], [], []
-            for i in range(0, len(texts), 200):
-                some = texts.slice(i, 200).to_pylist()
-                for t, x in zip(some, encoder.encode(some, document.slice(i, 200).to_pylist()), strict=True):
-                    n.append(None if x is None else len(x))
-                    crc.append(None if x is None else zlib.crc32(np.array(x, "<u4").tobytes()))
-                    same.append(None if x is None else m.decode(x) == t)
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["n_pieces", "ids_crc32", "lossless"])
+        for texts, documents in batches:
+            out = []
+            for some, ids, at in encoder.blocks(texts, documents):
+                null = pc.is_null(some).to_numpy(zero_copy_only=False)
+                flat = ids.astype("<u4")
+                crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                out.append(pa.StructArray.from_arrays([pa.array(np.diff(at), pa.int64(), mask=null), pa.array(np.array(crc, np.int64), mask=null), pa.array(lossless(m, some, ids, at), mask=null)], fields=list(kind)))
+            yield pa.concat_arrays(out) if out else pa.array([], kind)
 
     made = fresh([*docs.columns, to], "told")
     return docs.withColumn(made, told(F.col(f"`{text_col}`"), document_of(id_col))).withColumnRenamed(made, to)

@@ -149,6 +149,62 @@ def test_pieces_frame(odd, none):
     assert all(r.decoded == r.text for r in rows) and pieces.encode(none).count() == 0
 
 
+def test_one_sentence_under_many_ids_varies_and_stays_lossless(spark):
+    import public_tokenizers
+
+    m = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "international organisations everywhere"
+    made = pieces.Encoder(m, 5, 0.1).encode([text] * 2000, list(range(2000)))
+    assert len({tuple(x) for x in made}) > 300 and {m.decode(x) for x in made} == {text}
+    repeated = pieces.Encoder(m, 5, 0.1).encode(["organisations " * 200], [1])[0]
+    words = m.decode(repeated).split()
+    assert words == ["organisations"] * 200
+
+
+def naive_dropout(m, ids, key, rate, at):
+    """Looks for the best merge anew after every merge."""
+    ids = [(x, i) for i, x in enumerate(ids)]
+    while True:
+        best = None
+        for j in range(len(ids) - 1):
+            (a, i), (b, _) = ids[j], ids[j + 1]
+            to = m.pairs.get(a * m.n + b) if a >= 0 and b >= 0 else None
+            if to is not None and pieces.mixed(pieces.mixed(a * pieces.PAIR + b) + (at + i) * pieces.PLACE + key) >= pieces.bound_of(rate) and (best is None or m.score[to] > best[0]):
+                best = (m.score[to], j, to)
+        if best is None:
+            return [x for x, _ in ids]
+        _, j, to = best
+        ids[j : j + 2] = [(to, ids[j][1])]
+
+
+def test_dropout_equals_naive_dropout():
+    import public_tokenizers
+
+    m = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list("aeiourstnl  \n\u2581é日"), int(n))) for n in rng.integers(0, 200, 40)] + ["incomprehensibilities " * 9, "w" * 130 + " end"]
+    e = pieces.Encoder(m, 9, 0.2)
+    for number, (text, got) in enumerate(zip(texts, e.encode(texts, list(range(len(texts)))), strict=True)):
+        want, at, key = [], 0, int(e.keys([number])[0])
+        for p in e.split(text) if text else []:
+            want += naive_dropout(m, [-1 - ord(pieces.MARK)] if p == "\0" + pieces.MARK else m.symbols(p), key, 0.2, at)
+            at += len(p)
+        assert got == m.spelled_out(np.array(want, np.int64))[0].tolist() and m.decode(got) == text
+
+
+def test_pieces_digests(odd, none):
+    import public_tokenizers
+
+    m = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    told = pieces.digests(odd.withColumn("pieces", F.lit("clash")).withColumn("TOLD", F.lit(1))).collect()
+    whole = {(r.doc_id, r.text): r.ids for r in pieces.encode(odd).collect()}
+    for r in told:
+        ids = whole[r.doc_id, r.text]
+        want = (None,) * 3 if ids is None else (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+        assert tuple(r.pieces) == want
+    assert m.decode([]) == "" and pieces.digests(none).count() == 0
+
+
 def test_toxicity(spark, none):
     rows = [(i, f"Plain words here {i}. " * 3 + ("You are worthless trash." if i % 4 == 0 else "All is fine."), int(i % 4 == 0)) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
