@@ -426,7 +426,7 @@ def digests(docs: DataFrame, model_path: str | None = None, seed: int = 1, rate:
             yield pa.concat_arrays(out) if out else pa.array([], kind)
 
     made = fresh([*docs.columns, to], "told")
-    return docs.withColumn(made, told(F.col(f"`{text_col}`"), document_of(id_col))).withColumnRenamed(made, to)
+    return docs.withColumn(made, told(F.col(f"`{text_col}`"), document_of(id_col))).drop(to).withColumnRenamed(made, to)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
