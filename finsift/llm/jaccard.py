@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from finsift.llm._bytes import SPACE, U, blocks, mix, raw, shingle_hashes, trim, word_hashes
@@ -44,6 +45,7 @@ COMMON = 1 << 18
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 #: Shingles and classes in a block, about.
 BLOCK_SHINGLES, BLOCK_CLASSES = 1 << 20, 1 << 10
+UNIT = BLOCK_SHINGLES // BLOCK_CLASSES
 #: The smallest hashes of a set, of which the most frequent one gives its place in the order of classes.
 NEAR = 8
 #: Shingles that so many classes of a tile hold are counted by a product of matrices, others pair by pair.
@@ -111,9 +113,12 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(row, doc_id, n, digest of the set, digest of prefix and size, place among the classes, prefix in order)."""
+    """(row, doc_id, n, digest of the set, digest of prefix and size, place among the classes, prefix in order).
+
+    The first `rare` elements of the prefix are not among the common ones.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON entries
-    names = ["n", "set_a", "set_b", "group_a", "near", "low"]
+    names = ["n", "set_a", "set_b", "group_a", "near", "low", "rare"]
     kind = pa.struct([*((c, pa.int64()) for c in names), ("prefix", pa.list_(pa.int64()))])
 
     @F.arrow_udf(", ".join(f"{c} long" for c in names) + ", prefix array<long>")
@@ -140,7 +145,8 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
                 prefix = hashes[order][within < np.repeat(length, n)]
                 p_off = np.concatenate([[0], np.cumsum(length)])
                 group = mix(digest(prefix, p_off, 0x4B).view(U) + n.astype(U)).view(np.int64)
-                told = [n, digest(hashes, off, 0x1D), digest(hashes, off, 0x2F35), group, near, low]
+                rare = np.minimum(np.bincount(row[seen == 0], minlength=len(n)), length)
+                told = [n, digest(hashes, off, 0x1D), digest(hashes, off, 0x2F35), group, near, low, rare]
                 lists = pa.ListArray.from_arrays(pa.array(p_off, pa.int32()), pa.array(prefix.view(np.int64)))
                 parts.append(pa.StructArray.from_arrays([*map(pa.array, told), lists], fields=list(kind)))
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
@@ -153,22 +159,21 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
 def laid(classes: DataFrame) -> DataFrame:
     """classes with a number c of their own and their block, in an order that brings near copies together."""
     order = ["near", "low", "group_a", "set_a", "set_b"]
-    least = BLOCK_SHINGLES // BLOCK_CLASSES
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, run = TaskContext.get().partitionId(), 0, 0
+        part, run = TaskContext.get().partitionId(), 0
         for batch in batches:
             size = len(batch)
-            weight = np.maximum(batch.column("n").to_numpy(), least)
+            weight = np.maximum(batch.column("n").to_numpy(), UNIT)
             end = run + np.cumsum(weight)
-            more = [pa.array(np.full(size, part, np.int64)), pa.array((part << 40) + number + np.arange(size)), pa.array(end - weight), pa.array(end)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "part", "c", "begin", "end"])
-            number, run = number + size, int(end[-1]) if size else run
+            more = [pa.array(np.full(size, part, np.int64)), pa.array(end - weight), pa.array(end)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "part", "begin", "end"])
+            run = int(end[-1]) if size else run
 
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = classes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     fields = ", ".join(f"{c} {t}" for c, t in classes.dtypes)
-    cells = written(ranged.mapInArrow(numbered, f"{fields}, part long, c long, begin long, end long"), "cells")
+    cells = written(ranged.mapInArrow(numbered, f"{fields}, part long, begin long, end long"), "cells")
     # One row for each partition: where it begins among all.
     ends = cells.groupBy("part").agg(F.max("end").alias("end")).orderBy("part").collect()
     starts, run = [], 0
@@ -176,8 +181,10 @@ def laid(classes: DataFrame) -> DataFrame:
         starts.append((r["part"], run))
         run += r["end"]
     at = classes.sparkSession.createDataFrame(starts, "part long, start long")
-    block = F.floor((F.col("start") + F.col("begin")) / F.lit(BLOCK_SHINGLES)).cast("long")
-    return cells.join(F.broadcast(at), "part").select("c", block.alias("block"), "group_a", "n", "name", "size", "set_a", "set_b", "row")
+    # A class weighs at least the unit, so that its place in units is a number of its own.
+    c = F.expr(f"(start + begin) div {UNIT}")
+    placed = cells.join(F.broadcast(at), "part").select(c.alias("c"), "group_a", "n", "name", "size", "set_a", "set_b", "row")
+    return placed.withColumn("block", F.expr(f"c div {BLOCK_CLASSES}"))
 
 
 def whole_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -321,29 +328,34 @@ def similar_tiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
     classes = has.groupBy(*keys).agg(F.min("doc_id").alias("name"), F.min("row").alias("row"), F.countDistinct("doc_id").alias("size"))
     cells = laid(classes)
 
-    # Each group's prefix once for each block of its classes. Elements that no other class holds link nothing.
-    groups = cells.groupBy("group_a", "block").agg(F.count("*").alias("held"), F.min("row").alias("row"))
+    # A cell is what a block has of a group. Each group's prefix enters once for each of its cells; elements that no
+    # other class holds link nothing. Common elements need no count for that, so no key is hot here.
+    groups = cells.groupBy("group_a", "block").agg(F.min("c").alias("cell"), (F.count("*") > 1).cast("long").alias("many"))
     first = cells.groupBy("group_a").agg(F.min("row").alias("row"))
-    reps = rows.join(first.select("row"), "row").join(groups.drop("row"), "group_a")
-    tokens = reps.select("group_a", "block", "held", "n", F.posexplode("prefix").alias("pos", "token"))
-    often = tokens.groupBy("token").agg(F.sum("held").alias("all")).where("all > 1").select("token")
-    lists, lists_at = written_at(tokens.join(often, "token"), "lists")
+    reps = rows.select("row", "n", "rare", "prefix").join(groups.join(first, "group_a").select("row", "cell", "many").hint("shuffle_hash"), "row")
+    place = F.expr("shiftleft(n, 32) + shiftleft(CAST(pos AS LONG), 1) + many AS place")
+    rare = reps.select("cell", "n", "many", F.posexplode(F.expr("slice(prefix, 1, CAST(rare AS INT))")).alias("pos", "token")).select("token", "cell", place)
+    rare = rare.withColumn("all", F.count("*").over(W.partitionBy("token"))).where("all > 1 OR place % 2 = 1").drop("all")
+    often = reps.select("cell", "n", "many", "rare", F.posexplode(F.expr("slice(prefix, CAST(rare AS INT) + 1, size(prefix))")).alias("pos", "token"))
+    often = often.withColumn("pos", F.col("pos") + F.col("rare")).select("token", "cell", place)
+    lists, lists_at = written_at(rare.unionByName(often), "lists")
     rows = written(rows.select("doc_id", "n", "set_a", "set_b"), "sizes")
     release(spark, rows_at)
 
-    there = lists.groupBy("token", "block").agg(*(F.expr(x) for x in ("sum(held) AS held", "min(n) AS n0", "max(n) AS n1", "max(pos) AS p1", "max(n - pos) AS r1")))
-    x, y = lists.alias("x"), there.alias("y")
-    # The largest overlap of two sets that share an element at these places of the order, and what 0.75 takes of it.
+    entry = lists.selectExpr("token", "cell", f"cell div {BLOCK_CLASSES} AS block", "shiftright(place, 32) AS n", "shiftright(place % 4294967296, 1) AS pos", "place % 2 AS many")
+    there = entry.groupBy("token", "block").agg(*(F.expr(x) for x in ("sum(1 + many) AS held", "min(n) AS n0", "max(n) AS n1", "max(pos) AS p1", "max(n - pos) AS r1")))
+    x, y = entry.alias("x"), there.alias("y")
+    # The largest overlap of two sets that share an element at these places of the order, and what percent takes of it.
     room = "least(x.pos, y.p1) + least(x.n - x.pos, y.r1)"
     fits = f"(x.block <> y.block OR y.held > 1) AND 100 * x.n >= {percent} * y.n0 AND 100 * y.n1 >= {percent} * x.n AND {100 + percent} * ({room}) >= {percent} * (x.n + greatest(y.n0, ({percent} * x.n + 99) div 100))"
-    met = x.join(y, F.expr(f"x.token = y.token AND {fits}")).selectExpr("x.group_a", "x.block AS own", "y.block AS other", "x.n", "y.n0", "y.n1")
-    counted = met.groupBy("group_a", "own", "other", "n").agg(F.count("*").alias("shared"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
+    met = x.join(y, F.expr(f"x.token = y.token AND {fits}")).selectExpr("x.cell", "y.block AS other", "x.n", "y.n0", "y.n1")
+    counted = met.groupBy("cell", "other", "n").agg(F.count("*").alias("shared"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
     # Of two prefixes, take the one that ends first in the order. Shared elements up to its end are in both prefixes, so
     # they were counted; the others are among the elements after it, which are ceil(percent * n / 100) - 1.
     after = f"({percent} * least(greatest(n, n1), 100 * n div {percent}) + 99) div 100 - 1"
     reached = counted.where(f"{100 + percent} * (shared + {after}) >= {percent} * (n + greatest(n0, ({percent} * n + 99) div 100))")
-    own = cells.select("c", "name", "set_a", "set_b", "size", "group_a", F.col("block").alias("own"))
-    sides = reached.join(own, ["group_a", "own"]).select("c", "name", "set_a", "set_b", "size", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    own = cells.join(groups.drop("many"), ["group_a", "block"]).select("c", "name", "set_a", "set_b", "size", "cell", F.col("block").alias("own"))
+    sides = reached.join(own, "cell").select("c", "name", "set_a", "set_b", "size", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     asked, asked_at = written_at(sides.distinct(), "asked")
     release(spark, lists_at)
     sets = whole_sets(docs, asked.select("name").distinct(), id_col, text_col, k)
