@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-# Name, numerator and denominator of each ratio; IS, BS and CF stand for the statement prefixes.
+# Name, numerator and denominator of each ratio.
 RATIOS = (
-    ("gross_profit_margin", "IStotal_revenues - IStotal_operating_expenses", "IStotal_revenues"),
-    ("return_on_assets", "ISnet_income_loss", "BStotal_assets"),
-    ("return_on_equity", "ISnet_income_loss", "BStotal_shareholders_equity"),
-    ("operating_margin", "ISprofit_loss_operations", "IStotal_revenues"),
-    ("current_ratio", "BStotal_current_assets", "BSaccounts_payable_accrued"),
-    ("quick_ratio", "BScash + BSaccounts_receivable", "BSaccounts_payable_accrued"),
-    ("debt_to_equity", "BStotal_liabilities", "BStotal_shareholders_equity"),
-    ("debt_ratio", "BStotal_liabilities", "BStotal_assets"),
-    ("times_interest_earned", "ISprofit_loss_before_taxes", "ISinterest_expense"),
-    ("asset_turnover", "IStotal_revenues", "BStotal_assets"),
-    ("days_sales_outstanding", "365 * BSaccounts_receivable", "IStotal_revenues"),
-    ("inventory_turnover", "IStotal_revenues", "BSinventory"),
+    ("gross_profit_margin", "income_statement_total_revenues - income_statement_total_operating_expenses", "income_statement_total_revenues"),
+    ("return_on_assets", "income_statement_net_income_loss", "balance_sheet_total_assets"),
+    ("return_on_equity", "income_statement_net_income_loss", "balance_sheet_total_shareholders_equity"),
+    ("operating_margin", "income_statement_profit_loss_operations", "income_statement_total_revenues"),
+    ("current_ratio", "balance_sheet_total_current_assets", "balance_sheet_accounts_payable_accrued"),
+    ("quick_ratio", "balance_sheet_cash + balance_sheet_accounts_receivable", "balance_sheet_accounts_payable_accrued"),
+    ("debt_to_equity", "balance_sheet_total_liabilities", "balance_sheet_total_shareholders_equity"),
+    ("debt_ratio", "balance_sheet_total_liabilities", "balance_sheet_total_assets"),
+    ("times_interest_earned", "income_statement_profit_loss_before_taxes", "income_statement_interest_expense"),
+    ("asset_turnover", "income_statement_total_revenues", "balance_sheet_total_assets"),
+    ("days_sales_outstanding", "365 * balance_sheet_accounts_receivable", "income_statement_total_revenues"),
+    ("inventory_turnover", "income_statement_total_revenues", "balance_sheet_inventory"),
 )
 
 
@@ -60,7 +60,6 @@ def ratio_features(df: DataFrame) -> DataFrame:
     """df with the twelve ratios, as far as their columns are there."""
     out = {}
     for name, top, bottom in RATIOS:
-        top, bottom = (x.replace("IS", "income_statement_").replace("BS", "balance_sheet_") for x in (top, bottom))
         if all(w in df.columns for w in (top + " " + bottom).replace("365 *", "").replace("+", " ").replace("-", " ").split()):
             out[name] = F.expr(f"try_divide({top}, {bottom})")
     return df.withColumns(out)
@@ -71,16 +70,38 @@ def min_max(x: Column, low: Column, high: Column) -> Column:
 
 
 def outlier_share(features: Column, limit: float = 3.0) -> Column:
-    """Percentage of a row's own features that are further than limit deviations from their mean."""
-    n = F.size(features)
-    total = lambda f: F.aggregate(features, F.lit(0.0), f)
-    far = _let(
-        total(lambda a, x: a + x) / n,
-        lambda mean: _let(F.sqrt(total(lambda a, x: a + (x - mean) * (x - mean)) / n) + F.lit(1e-8), lambda spread: F.size(F.filter(features, lambda x: F.abs((x - mean) / spread) > limit))),
-    )
-    return F.when(n > 0, F.least(F.lit(100.0), 100.0 * far / n)).otherwise(0.0)
+    """Percentage of a row's own features, but for nulls and NaN, that are further than limit deviations from their mean."""
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), f)
+
+    def share(xs: Column) -> Column:
+        n = F.size(xs)
+        far = _let(
+            total(xs, lambda a, x: a + x) / n,
+            lambda mean: _let(F.sqrt(total(xs, lambda a, x: a + (x - mean) * (x - mean)) / n) + F.lit(1e-8), lambda spread: F.size(F.filter(xs, lambda x: F.abs((x - mean) / spread) > limit))),
+        )
+        return F.when(n > 0, F.least(F.lit(100.0), 100.0 * far / n)).otherwise(0.0)
+
+    return F.when(features.isNull(), 0.0).otherwise(_let(F.filter(features, lambda x: x.isNotNull() & ~F.isnan(x)), share))
 
 
 def _let(value: Column, f) -> Column:
     """f of a value that is computed once, where a lambda would compute it for every element."""
     return F.get(F.transform(F.array(value), f), 0)
+
+
+def padded(features: Column, steps: int = 10) -> Column:
+    """Features as an array of `steps` rows of equal size, zeros at the end; one row where there are fewer than steps.
+
+    As many zeros as the remainder lacks are added, a whole row's worth of steps where it lacks none.
+    """
+    n = F.size(features)
+    zeros = F.array_repeat(F.lit(0.0), (F.lit(steps) - n % steps).cast("int"))
+    filled_up = F.concat(features, zeros)
+    width = (n + steps - n % steps) / steps
+    rows = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.slice(filled_up, (i * width + 1).cast("int"), width.cast("int")))
+    return F.when(n < steps, F.array(features)).otherwise(rows)
+
+
+def outlier_recode(label: Column) -> Column:
+    """1 for the label -1 of an outlier, else 0."""
+    return F.when(label == -1, 1).otherwise(0)

@@ -7,25 +7,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from finsift.functions import lexicon as L
-from finsift.functions.text import sentences
+from finsift.functions.numeric import _let
+from finsift.functions.text import match_places, sentences
 
 #: Rule-based relation: two names around one of the classified verbs.
 TRIPLE = r"([A-Z][a-z]+) (is|has|owns|manages|controls|reports|created|transferred|hid|concealed) ([A-Z][a-z]+)"
 
 
-def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", extra=None) -> DataFrame:
-    """(doc_id, ent_type, text, start, ord): lexicon terms, money and organisations at their first place.
+def _first_of_each(found, key):
+    """The items of an array, in order, without those whose key an earlier one has: by sorting, no shuffle."""
+    keyed = F.array_sort(F.transform(found, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("x"))))
+    firsts = _let(keyed, lambda s: F.filter(s, lambda y, j: (j == 0) | (y["key"] != F.get(s, F.greatest(j - 1, F.lit(0)))["key"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x")))), lambda y: y["x"])
+
 
-    Equal texts of a type (compared without case) count once. extra: columns of array<struct<ent_type, text>> from a
-    model, e.g. a pandas UDF.
+def entity_array(text, extra=None):
+    """Array of (ent_type, text, start, end), each text (compared without case) of a type at its first place.
+
+    Lexicon terms, money and organisations, in this order; extra: columns of array<struct<ent_type, text, start, end>>
+    from a model, e.g. a pandas UDF.
     """
-    text, low = F.col(text_col), F.lower(text_col)
-    term = lambda kind, t: F.when(F.instr(low, t) > 0, F.struct(F.lit(kind).alias("ent_type"), F.lit(t).alias("text")))
-    some = [F.array(*(term("FINANCIAL_TERM", t) for t in sorted(L.FINANCIAL_TERMS)), *(term("FRAUD_INDICATOR", t) for t in sorted(L.FRAUD_TERMS)))]
-    named = lambda kind, pattern: F.transform(L.hits(text, pattern), lambda x: F.struct(F.lit(kind).alias("ent_type"), x.alias("text")))
-    found = F.filter(F.concat(*some, named("MONEY", L.MONEY), named("ORG", L.ORGANISATION), *(extra or [])), lambda x: x.isNotNull())
-    long = docs.select(F.col(id_col).alias("doc_id"), low.alias("low"), F.posexplode(found).alias("ord", "e")).select("doc_id", "e.ent_type", "e.text", (F.instr("low", F.lower("e.text")) - 1).alias("start"), "ord")
-    return deduplicated(long, ["doc_id", "ent_type", F.lower("text")], "ord")
+    low = F.lower(text)
+    entity = lambda kind, t, at: F.struct(F.lit(kind).alias("ent_type"), t.alias("text"), at.cast("int").alias("start"), (at + F.length(t)).cast("int").alias("end"))
+    term = lambda kind, t: F.when(F.instr(low, t) > 0, entity(kind, F.lit(t), F.instr(low, t) - 1))
+    terms = F.array(*(term("FINANCIAL_TERM", t) for t in sorted(L.FINANCIAL_TERMS)), *(term("FRAUD_INDICATOR", t) for t in sorted(L.FRAUD_TERMS)))
+    named = lambda kind, pattern: _let(L.hits(text, pattern), lambda hits: F.zip_with(hits, match_places(text, hits), lambda x, at: entity(kind, x, at)))
+    found = F.filter(F.concat(terms, named("MONEY", L.MONEY), named("ORG", L.ORGANISATION), *(extra or [])), lambda x: x.isNotNull())
+    return _first_of_each(found, lambda x: F.struct(x["ent_type"], F.lower(x["text"])))
+
+
+def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", extra=None) -> DataFrame:
+    """(doc_id, ent_type, text, start, end, ord): the entities of entity_array(), a row each."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(entity_array(F.col(text_col), extra)).alias("ord", "e")).select("doc_id", "e.*", "ord")
 
 
 def deduplicated(df: DataFrame, keys: list, order: str) -> DataFrame:
@@ -33,31 +46,45 @@ def deduplicated(df: DataFrame, keys: list, order: str) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("_rank = 1").drop("_rank")
 
 
-def entity_counts(ents: DataFrame) -> DataFrame:
-    return ents.groupBy("doc_id", "ent_type").agg(F.count("*").alias("n"))
+def entity_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", extra=None) -> DataFrame:
+    """(doc_id, ent_type, n) of the types that a document has; counted in the document's own array."""
+    found = docs.select(F.col(id_col).alias("doc_id"), F.transform(entity_array(F.col(text_col), extra), lambda x: x["ent_type"]).alias("kinds"))
+    return found.select("doc_id", "kinds", F.explode(F.array_distinct("kinds")).alias("ent_type")).select("doc_id", "ent_type", F.expr("size(filter(kinds, x -> x = ent_type))").alias("n"))
+
 
+#: Types in the order in which they are told first.
+KEY_TYPES = ("FRAUD_INDICATOR", "FINANCIAL_TERM", "ORG", "MONEY")
 
-def key_entities(ents: DataFrame, per_type: int = 5, total: int = 10) -> DataFrame:
+
+def key_entity_array(found, per_type: int = 5, total: int = 10):
     """The first entities of the types that matter, in the order of the types."""
-    order = F.expr("CASE ent_type WHEN 'FRAUD_INDICATOR' THEN 0 WHEN 'FINANCIAL_TERM' THEN 1 WHEN 'ORG' THEN 2 WHEN 'MONEY' THEN 3 END")
-    some = ents.withColumn("priority", order).where("priority IS NOT NULL")
-    some = some.withColumn("r", F.row_number().over(W.partitionBy("doc_id", "ent_type").orderBy("ord"))).where(F.col("r") <= per_type)
-    some = some.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("priority", "ord"))).where(F.col("rank") <= total)
-    return some.select("doc_id", "rank", "ent_type", "text")
+    of = lambda kind: F.slice(F.filter(found, lambda x: x["ent_type"] == kind), 1, per_type)
+    return F.slice(F.concat(*map(of, KEY_TYPES)), 1, total)
 
 
-def relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
-    """(doc_id, ord, subject, predicate, object, relation_type), each triple once a document: verbs, then concealment."""
-    text = F.col(text_col)
+def key_entities(docs: DataFrame, per_type: int = 5, total: int = 10, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+    """(doc_id, rank, ent_type, text)."""
+    found = docs.select(F.col(id_col).alias("doc_id"), entity_array(F.col(text_col)).alias("found"))
+    some = found.select("doc_id", F.posexplode(key_entity_array(F.col("found"), per_type, total)).alias("rank", "e"))
+    return some.select("doc_id", (F.col("rank") + 1).alias("rank"), "e.ent_type", "e.text")
+
+
+def relation_array(text):
+    """Array of (subject, predicate, object, relation_type), each triple (compared without case) once: verbs, then concealment."""
     part = lambda s, g: F.regexp_extract_all(s, F.lit(TRIPLE), F.lit(g))
-    triples = F.transform(F.arrays_zip(part(text, 1).alias("s"), part(text, 2).alias("p"), part(text, 3).alias("o")), lambda x: F.struct(x["s"].alias("subject"), x["p"].alias("predicate"), x["o"].alias("object"), F.lit("").alias("kind")))
+    verbs = F.create_map(*(F.lit(x) for pair in L.VERBS.items() for x in pair))
+    relation = lambda s, p, o, kind: F.struct(s.alias("subject"), p.alias("predicate"), o.alias("object"), kind.alias("relation_type"))
+    triples = F.transform(F.arrays_zip(part(text, 1).alias("s"), part(text, 2).alias("p"), part(text, 3).alias("o")), lambda x: relation(x["s"], x["p"], x["o"], F.coalesce(F.try_element_at(verbs, F.lower(x["p"])), F.lit("RELATED_TO"))))
     hidden = F.transform(
         F.filter(sentences(text), lambda s: F.lower(s).rlike("hid|concealed|transferred") & s.rlike(L.ORGANISATION) & s.rlike(L.MONEY)),
-        lambda s: F.struct(F.regexp_extract(s, L.ORGANISATION, 0).alias("subject"), F.lit("CONCEALED").alias("predicate"), F.regexp_extract(s, L.MONEY, 0).alias("object"), F.lit("FRAUD_ACTION").alias("kind")),
+        lambda s: relation(F.regexp_extract(s, L.ORGANISATION, 0), F.lit("CONCEALED"), F.regexp_extract(s, L.MONEY, 0), F.lit("FRAUD_ACTION")),
     )
-    long = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.concat(triples, hidden)).alias("ord", "r")).select("doc_id", "ord", "r.*")
-    kind = F.when(F.col("kind") != "", F.col("kind")).otherwise(F.expr(L.sql_map("lower(predicate)", L.VERBS, "RELATED_TO")))
-    return deduplicated(long.withColumn("relation_type", kind).drop("kind"), ["doc_id", F.lower("subject"), F.lower("predicate"), F.lower("object")], "ord")
+    return _first_of_each(F.concat(triples, hidden), lambda x: F.struct(F.lower(x["subject"]), F.lower(x["predicate"]), F.lower(x["object"])))
+
+
+def relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+    """(doc_id, ord, subject, predicate, object, relation_type): the relations of relation_array(), a row each."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(relation_array(F.col(text_col))).alias("ord", "r")).select("doc_id", "ord", "r.*")
 
 
 def vertices(docs: DataFrame, ents: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -98,6 +125,46 @@ def documents_with_entities(docs: DataFrame, edges: DataFrame, id_col: str = "do
     return docs.join(found, docs[id_col].cast("string") == found["src"], "left").select(docs[id_col], F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
 
 
+def document_vertices(docs: DataFrame, properties: tuple[str, ...] = ("label", "company_id", "date", "file_name"), id_col: str = "doc_id") -> DataFrame:
+    """(label, name, props): a vertex for each document, with those of its properties that are there."""
+    have = [c for c in properties if c in docs.columns]
+    props = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, have)), F.array(*(F.col(c).cast("string") for c in have))), lambda _, v: v.isNotNull()) if have else F.create_map().cast("map<string,string>")
+    return docs.select(F.lit("Document").alias("label"), F.col(id_col).cast("string").alias("name"), props.alias("props"))
+
+
+def relation_edges(rels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges of relations, with the predicate as their property: between nodes labelled Entity, as both ends are looked up so."""
+    edge = rels.select(F.lit("Entity").alias("src_label"), F.col("subject").alias("src"), F.lit("Entity").alias("dst_label"), F.col("object").alias("dst"), F.col("relation_type").alias("type"), "predicate")
+    return edges_between(edge, nodes)
+
+
+def graph(docs: DataFrame, ents: DataFrame, rels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The property graph: (label, name) of all nodes, and edges, mentions and relations."""
+    nodes = vertices(docs, ents, id_col)
+    both = mentions(ents).unionByName(relation_edges(rels, nodes).drop("predicate"))
+    return nodes, both
+
+
+def query_graph(nodes: DataFrame, edges: DataFrame, sql: str, **parameters) -> DataFrame:
+    """Any SQL over the views {vertices} and {edges}; :name stands for a parameter."""
+    return nodes.sparkSession.sql(sql, parameters or None, vertices=nodes, edges=edges)
+
+
+def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, name, n): nodes of each label and edges of each type."""
+    one = nodes.groupBy(F.col("label").alias("name")).agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "name", "n")
+    return one.unionByName(edges.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "name", "n"))
+
+
+def with_chunks(docs: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Every document with the ids of its chunks in order, their number, and its content rejoined from them."""
+    own = chunks.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id", "text"))).alias("c"))
+    told = docs.join(own, id_col, "left")
+    content = F.when(F.col("c").isNull(), "No content available").otherwise(F.array_join(F.transform("c", lambda x: x["text"]), " "))
+    ids = F.coalesce(F.transform("c", lambda x: x["chunk_id"]), F.array().cast("array<string>"))
+    return told.withColumns({"content": content, "chunk_ids": ids, "chunk_count": F.size(ids)}).drop("c")
+
+
 def rejoined(chunks: DataFrame) -> DataFrame:
     """Documents' content from their chunks, in order."""
     lists = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))

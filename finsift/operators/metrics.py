@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from finsift.operators.stats import exact_quantiles, in_ranges
+
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     return df.groupBy(label, pred).agg(F.count("*").alias("n"))
@@ -24,16 +26,14 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
     return one.select("n", ratio(tp + tn, F.col("n")).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def curve(df: DataFrame, label: str = "label", prob: str = "prob", buckets: int = 256) -> DataFrame:
+def curve(df: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
     """(prob, pos, neg, tp, fp): counts at each score, and from the highest score down to it.
 
-    Scores are summed within equal ranges of scores first; only the ranges' totals, one row a range, are put in order
-    by one task.
+    Scores are summed within ranges that hold about as many scores each; only the ranges' totals, one row a range, are
+    put in order by one task.
     """
     by_score = df.groupBy(F.col(prob).alias("prob")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg"))
-    ends = by_score.agg(F.min("prob").alias("low"), F.max("prob").alias("high"))
-    at = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("prob") - F.col("low")) / (F.col("high") - F.col("low")) * buckets), F.lit(buckets - 1))).otherwise(0)
-    ranged = by_score.crossJoin(F.broadcast(ends)).select("prob", "pos", "neg", at.alias("range"))
+    ranged = in_ranges(by_score, [], "prob")
     totals = ranged.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     above = W.orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
     before = totals.select("range", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"))
@@ -58,14 +58,40 @@ def ensemble(predictions: DataFrame, weights: DataFrame | None = None, id_col: s
     if weights is None:
         out = predictions.groupBy(id_col).agg(F.avg("prob").alias("probability"))
     else:
-        out = predictions.join(F.broadcast(weights.limit(1000)), "model", "left").withColumn("w", F.coalesce("auc", F.lit(0.5)))
+        out = predictions.join(weights, "model", "left").withColumn("w", F.coalesce("auc", F.lit(0.5)))
         total = F.sum("w")
         out = out.groupBy(id_col).agg((F.sum(F.col("prob") * F.col("w")) / F.when(total == 0, 1.0).otherwise(total)).alias("probability"))
     return out.withColumn("pred", (F.col("probability") > 0.5).cast("int"))
 
 
 def percentile_flag(df: DataFrame, column: str, share: float = 0.95, above: bool = True) -> DataFrame:
-    """df with threshold and flag, from the exact percentile as a one-row aggregate."""
-    cut = df.agg(F.percentile(column, share).alias("threshold"))
+    """df with threshold and flag, from the exact percentile, one row."""
+    cut = exact_quantiles(df, [column], [share]).agg(F.max("value").alias("threshold"))
     flag: Column = F.col(column) > F.col("threshold") if above else F.col(column) < F.col("threshold")
     return df.crossJoin(F.broadcast(cut)).withColumn("flag", flag.cast("int"))
+
+
+def probability_flag(df: DataFrame, column: str = "prob", least: float = 0.5) -> DataFrame:
+    return df.withColumn("flag", (F.col(column) > least).cast("int"))
+
+
+def scaled_score(df: DataFrame, column: str, negate: bool = False) -> DataFrame:
+    """df with `prob`: the score (or its negative) on the range from 0 to 1 of all rows."""
+    s = -F.col(column) if negate else F.col(column)
+    ends = df.agg(F.min(s).alias("low"), F.max(s).alias("high"))
+    return df.crossJoin(F.broadcast(ends)).withColumn("prob", (s - F.col("low")) / (F.col("high") - F.col("low") + F.lit(1e-8))).drop("low", "high")
+
+
+def compared(results: dict[str, DataFrame], label: str = "label") -> DataFrame:
+    """A row of metrics for each named result (label, pred, prob), stacked, the best AUC first."""
+    out = None
+    for name, df in results.items():
+        one = classification_metrics(df, label).crossJoin(F.broadcast(roc_auc(df, label))).crossJoin(F.broadcast(average_precision(df, label))).select(F.lit(name).alias("ensemble"), "*")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy(F.desc("auc"), "ensemble")
+
+
+def appended(df: DataFrame, predictions: DataFrame, id_col: str, label: str | None = None) -> DataFrame:
+    """df with fraud_predicted and fraud_probability, and with a label whether they agree."""
+    out = df.join(predictions.select(id_col, F.col("pred").alias("fraud_predicted"), F.col("probability").alias("fraud_probability")), id_col, "left")
+    return out if label is None else out.withColumn("correct_prediction", (F.col("fraud_predicted") == F.col(label)).cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from finsift.functions import lexicon as L
 from finsift.functions.numeric import outlier_share
+from finsift.operators.stats import exact_quantiles
 
 
 def features(docs: DataFrame, text_col: str = "content") -> DataFrame:
@@ -36,9 +37,23 @@ def relationship_scores(relations: DataFrame, id_col: str = "doc_id") -> DataFra
     return out.select(id_col, "n_relations", "n_suspicious", F.expr("least(1e0, total / greatest(1e0, 0.5e0 * n_relations))").alias("relationship"))
 
 
-def document_risk(featured: DataFrame, relations: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """featured with the four components (0 to 1), overall and its level."""
-    if relations is not None:
+def relationship_columns(rels: Column) -> dict[str, Column]:
+    """The same of a row's own array of (predicate, relation_type), without a shuffle."""
+    weights = F.create_map(*(F.lit(x) for pair in L.RELATION_WEIGHTS.items() for x in pair))
+    n = F.size(rels)
+    each = lambda a, r: a + F.coalesce(F.try_element_at(weights, r["relation_type"]), F.lit(0.0)) + F.when(F.lower(r["predicate"]).isin(*L.SUSPICIOUS_PREDICATES), 0.3).otherwise(0.0)
+    score = F.least(F.lit(1.0), F.aggregate(rels, F.lit(0.0), each) / F.greatest(F.lit(1.0), 0.5 * n))
+    return {"n_relations": n, "n_suspicious": F.size(F.filter(rels, lambda r: r["relation_type"].isin(*L.RELATION_WEIGHTS))), "relationship": F.when(n > 0, score).otherwise(0.0)}
+
+
+def document_risk(featured: DataFrame, relations: DataFrame | Column | None = None, id_col: str = "doc_id") -> DataFrame:
+    """featured with the four components (0 to 1), overall and its level.
+
+    relations: a table (id, predicate, relation_type), or an array column of such pairs in featured, which needs no shuffle.
+    """
+    if isinstance(relations, Column):
+        featured = featured.withColumns(relationship_columns(relations))
+    elif relations is not None:
         featured = featured.join(relationship_scores(relations, id_col), id_col, "left").na.fill(0, ["n_relations", "n_suspicious", "relationship"])
     elif "relationship" not in featured.columns:
         featured = featured.withColumns({"n_relations": F.lit(0), "n_suspicious": F.lit(0), "relationship": F.lit(0.0)})
@@ -60,6 +75,7 @@ def _listed(*items: Column, default: str) -> Column:
 
 def document_factors(scored: DataFrame) -> DataFrame:
     """scored with risk_factors."""
+    # The messages.
     found = F.filter(F.array(*map(F.lit, L.SEVERITY)), lambda _, i: F.get("hit_counts", i) > 0)
     entity = F.col("entity") > 0.4
     factors = _listed(
@@ -77,6 +93,7 @@ def document_factors(scored: DataFrame) -> DataFrame:
 def document_routing(scored: DataFrame) -> DataFrame:
     """scored with priority, recommended_agents and processing_hints, by the rounded score."""
     score = F.round("overall", 2)
+    # The names of agents and hints.
     agents = _listed(
         F.when(score >= 80, F.lit("fraud_investigation_agent")).when(score >= 60, F.lit("risk_assessment_agent")),
         F.when(F.col("n_terms") > 5, F.lit("nlp_disclosure_agent")),
@@ -89,17 +106,36 @@ def document_routing(scored: DataFrame) -> DataFrame:
 
 
 def risk_summary(scored: DataFrame, score_col: str = "overall", level_col: str = "risk_level") -> DataFrame:
-    """One row: totals, extremes, quartile and a count for each level, zeros included."""
-    s = F.col(score_col)
-    levels = [F.count_if(F.col(level_col) == name).alias(f"n_{name.lower()}") for name in (*(n for n, _ in L.LEVELS), "MINIMAL")]
-    return scored.agg(F.count("*").alias("total"), F.round(F.avg(s), 2).alias("average"), F.round(F.max(s), 2).alias("highest"), F.round(F.min(s), 2).alias("lowest"), F.round(F.percentile(s, 0.5), 2).alias("median"), F.round(F.stddev_pop(s), 2).alias("deviation"), F.count_if(s >= 60).alias("n_high_risk"), *levels)
+    """One row, of scores rounded to two places: totals, extremes, median and a count for each level, zeros included."""
+    rounded = scored.select(F.round(score_col, 2).alias("score"), F.col(level_col).alias("level"))
+    s = F.col("score")
+    levels = [F.count_if(F.col("level") == name).alias(f"n_{name.lower()}") for name in (*(n for n, _ in L.LEVELS), "MINIMAL")]
+    one = rounded.agg(F.count("*").alias("total"), F.round(F.avg(s), 2).alias("average"), F.max(s).alias("highest"), F.min(s).alias("lowest"), F.round(F.stddev_pop(s), 2).alias("deviation"), F.count_if(s >= 60).alias("n_high_risk"), *levels)
+    median = exact_quantiles(rounded, ["score"], [0.5]).agg(F.round(F.max("value"), 2).alias("median"))
+    return one.crossJoin(F.broadcast(median))  # one row each
+
+
+def level_shares(scored: DataFrame, level_col: str = "risk_level") -> DataFrame:
+    """(risk_level, n, percent) of all levels, those without rows too."""
+    total = F.count("*")
+    names = [*(n for n, _ in L.LEVELS), "MINIMAL"]
+    counts = scored.agg(total.alias("total"), *(F.count_if(F.col(level_col) == n).alias(n) for n in names))
+    rows = F.array(*(F.struct(F.lit(n).alias("risk_level"), F.col(n).alias("n"), F.coalesce(F.try_divide(F.col(n) * 100.0, F.col("total")), F.lit(0.0)).alias("percent")) for n in names))
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def high_risk(scored: DataFrame, n: int | None = 10, score_col: str = "overall", id_col: str = "doc_id", least: float = 60) -> DataFrame:
-    out = scored.where(F.col(score_col) >= least).orderBy(F.desc(score_col), id_col)
+    """The rows with the highest scores, of those whose rounded score is at least `least`."""
+    out = scored.where(F.round(score_col, 2) >= least).orderBy(F.desc(F.round(score_col, 2)), id_col)
     return out.limit(n) if n else out
 
 
+def with_failures(docs: DataFrame, scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, overall, risk_level) of every document; those that could not be scored have 0 and UNKNOWN."""
+    out = docs.select(id_col).join(scored.select(id_col, "overall", "risk_level"), id_col, "left")
+    return out.select(id_col, F.coalesce("overall", F.lit(0.0)).alias("overall"), F.coalesce("risk_level", F.lit("UNKNOWN")).alias("risk_level"))
+
+
 def record_risk(predictions: DataFrame, ensemble: DataFrame, features: DataFrame | None = None, id_col: str = "record_id") -> DataFrame:
     """Risk of records from long predictions (id, model, pred, prob), (id, probability) and optional (id, features array)."""
     models = predictions.groupBy(id_col).agg(F.avg("pred").alias("agreement_ratio"), F.avg("prob").alias("mean_prob"), F.stddev_pop("prob").alias("std_prob"), F.count_if(F.col("prob") >= 0.8).alias("n_confident"))
@@ -109,7 +145,8 @@ def record_risk(predictions: DataFrame, ensemble: DataFrame, features: DataFrame
     out = out.withColumns({"confidence": 100 * p, "agreement": F.coalesce(100 * F.col("agreement_ratio"), F.lit(50.0)), "strength": F.coalesce(100 * F.col("mean_prob") * (1 - F.least(F.col("std_prob"), F.lit(0.5))), 100 * p)})
     w = L.RECORD_WEIGHTS
     out = out.withColumn("overall", sum(F.lit(w[k]) * F.col(k) for k in w)).withColumn("risk_level", F.expr(L.sql_level("overall")))
-    ratio = F.coalesce("agreement_ratio", F.lit(0.5))
+    ratio = F.coalesce("agreement_ratio", F.lit(0.0))
+    # The messages.
     factors = _listed(
         F.when(p >= 0.8, F.format_string("Very high fraud probability: %.2f%%", p * 100)).when(p >= 0.6, F.format_string("High fraud probability: %.2f%%", p * 100)),
         F.when(ratio >= 0.8, F.format_string("Strong model consensus: %.0f%% agreement", ratio * 100)).when(ratio >= 0.6, F.format_string("Moderate model consensus: %.0f%% agreement", ratio * 100)),
@@ -121,7 +158,7 @@ def record_risk(predictions: DataFrame, ensemble: DataFrame, features: DataFrame
 
 
 def record_routing(scored: DataFrame) -> DataFrame:
-    s, ratio = F.col("overall"), F.round(F.coalesce("agreement_ratio", F.lit(0.5)), 2)
+    s, ratio = F.round("overall", 2), F.round(F.coalesce("agreement_ratio", F.lit(0.0)), 2)
     lit = lambda *xs: F.array(*map(F.lit, xs))
     base = F.when(s >= 80, lit("fraud_investigation_agent", "alert_agent")).when(s >= 60, lit("fraud_detection_agent", "risk_assessment_agent")).when(s >= 40, lit("risk_assessment_agent")).otherwise(lit("general_analysis_agent"))
     hints = F.array(F.when(s >= 80, "immediate_review_required").when(s >= 60, "priority_review"), F.when(ratio >= 0.8, "high_model_consensus").when(ratio <= 0.4, "low_model_consensus_needs_review"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from finsift.functions.text import first_digit
@@ -29,11 +30,53 @@ def missing_rates(df: DataFrame, top: int | None = 10) -> DataFrame:
     return out.limit(top) if top else out
 
 
+def in_ranges(counted: DataFrame, keys: list[str], value: str, ranges: int = 64) -> DataFrame:
+    """counted with `range`, 0 and up in the order of value: about as many rows in each range of a key.
+
+    The ends come from a sketch of bounded size, so that no range depends on how values are spread.
+    """
+    shares = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+    ends = counted.groupBy(*keys).agg(F.percentile_approx(value, shares, 10_000).alias("ends"))
+    placed = counted.join(F.broadcast(ends), keys) if keys else counted.crossJoin(F.broadcast(ends))
+    return placed.withColumn("range", F.size(F.filter(F.coalesce("ends", F.array()), lambda e: e < F.col(value)))).drop("ends")
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """(column, share, value): interpolated between the two nearest values, as an exact percentile is; nulls left out.
+
+    Equal values are counted first. Counts are added up by ranges of values, and only the ranges that hold a wanted
+    place are put in order. So no task sees all values of a column.
+    """
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns))).alias("x")).select("x.*").where("value IS NOT NULL")
+    ranged = in_ranges(long.groupBy("column", "value").agg(F.count("*").alias("n")), ["column"], "value")
+    totals = ranged.groupBy("column", "range").agg(F.sum("n").alias("n"))  # a few rows a column
+    upto = totals.withColumn("to", F.sum("n").over(W.partitionBy("column").orderBy("range"))).withColumn("all", F.sum("n").over(W.partitionBy("column")))
+    asked = F.explode(F.array(*(F.struct(F.lit(float(q)).alias("share")) for q in shares)))
+    wanted = upto.select("column", "range", (F.col("to") - F.col("n")).alias("before"), "to", asked.alias("q"), "all").select("column", "range", "before", "to", "q.share", ((F.col("all") - 1) * F.col("q.share")).alias("place"))
+    wanted = wanted.where("(floor(place) >= before AND floor(place) < to) OR (ceil(place) >= before AND ceil(place) < to)")
+    needed = wanted.select("column", "range", "before").distinct()
+    inside = ranged.join(F.broadcast(needed), ["column", "range"]).withColumn("to", F.col("before") + F.sum("n").over(W.partitionBy("column", "range").orderBy("value")))
+    inside = inside.select("column", "range", "value", (F.col("to") - F.col("n")).alias("from"), "to")
+    held = lambda x: F.max(F.when((x >= F.col("from")) & (x < F.col("to")), F.col("value")))
+    place = F.col("place")
+    found = inside.join(F.broadcast(wanted.select("column", "range", "share", "place")), ["column", "range"]).groupBy("column", "share").agg(held(F.floor(place)).alias("low"), held(F.ceil(place)).alias("high"), F.max("place").alias("place"))
+    part = F.col("place") - F.floor("place")
+    return found.select("column", "share", F.when(part == 0, F.col("low")).otherwise((1 - part) * F.col("low") + part * F.col("high")).alias("value"))
+
+
+def _quantile_columns(df: DataFrame, columns: list[str], named: dict[str, float]) -> DataFrame:
+    """(column, one value for each name)."""
+    found = exact_quantiles(df, columns, list(named.values()))
+    return found.groupBy("column").agg(*(F.max(F.when(F.col("share") == q, F.col("value"))).alias(name) for name, q in named.items()))
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, variance, min, quartiles and max of each column, nulls left out."""
-    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "variance": F.var_samp, "min": F.min, "p25": lambda c: F.percentile(c, 0.25), "p50": lambda c: F.percentile(c, 0.5), "p75": lambda c: F.percentile(c, 0.75), "max": F.max}
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "variance": F.var_samp, "min": F.min, "max": F.max}
     one = df.agg(*(f(F.col(c).cast("double")).alias(f"{c}__{s}") for c in columns for s, f in stats.items()))
-    return _unpivoted(one, columns, list(stats))
+    quarters = _quantile_columns(df, columns, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    out = _unpivoted(one, columns, list(stats)).join(F.broadcast(quarters), "column", "left")
+    return out.select("column", "count", "mean", "std", "variance", "min", "p25", "p50", "p75", "max")
 
 
 def moments(df: DataFrame, columns: list[str], corrected: bool = True) -> DataFrame:
@@ -73,14 +116,22 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 
 def boxplot(df: DataFrame, columns: list[str]) -> DataFrame:
     """Quartiles, 1.5 IQR fences and the number of outliers of each column."""
-    quarters = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q") for c in columns))
-    q = lambda c, i: F.col(f"`{c}__q`")[i]
-    fence = lambda c, i, sign: q(c, i) + sign * 1.5 * (q(c, 2) - q(c, 0))
-    stats = []
-    for c in columns:
-        low, high = fence(c, 0, -1), fence(c, 2, 1)
-        stats += [F.first(q(c, 0)).alias(f"{c}__q1"), F.first(q(c, 1)).alias(f"{c}__median"), F.first(q(c, 2)).alias(f"{c}__q3"), F.first(low).alias(f"{c}__low"), F.first(high).alias(f"{c}__high"), F.count_if((F.col(c) < low) | (F.col(c) > high)).alias(f"{c}__outliers")]
-    return _unpivoted(df.crossJoin(F.broadcast(quarters)).agg(*stats), columns, ["q1", "median", "q3", "low", "high", "outliers"])
+    quarters = _quantile_columns(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    quarters = quarters.withColumns({"low": F.expr("q1 - 1.5 * (q3 - q1)"), "high": F.expr("q3 + 1.5 * (q3 - q1)")})
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns))).alias("x")).select("x.*")
+    counted = long.join(F.broadcast(quarters), "column", "left").groupBy("column").agg(F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outliers"))
+    return quarters.join(F.broadcast(counted), "column").select("column", "q1", "median", "q3", "low", "high", "outliers")
+
+
+def counters(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n): how often each value of each column occurs, nulls left out, in one pass."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))).alias("x")).select("x.*")
+    return long.where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def rate(df: DataFrame, flag: str) -> DataFrame:
+    """One row: the number of flagged rows and their percentage."""
+    return df.agg(F.count_if(F.col(flag) == 1).alias("n_flagged"), (100 * F.avg(F.col(flag).cast("double"))).alias("percent"))
 
 
 def benford_digits(df: DataFrame, column: Column) -> DataFrame:
@@ -98,3 +149,9 @@ def benford_chi2(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     counts = long.groupBy("column").agg(F.count("*").alias("n"), *(F.count_if(F.col("digit") == d).alias(f"d{d}") for d in range(1, 10)))
     e = lambda d: F.col("n") * F.log10(F.lit(1 + 1 / d))
     return counts.select("column", "n", sum((F.col(f"d{d}") - e(d)) * (F.col(f"d{d}") - e(d)) / e(d) for d in range(1, 10)).alias("chi2"))
+
+
+def benford_column(df: DataFrame, column: Column, to: str = "benford_chi2") -> DataFrame:
+    """df with its chi-squared value of the column's first digits in every row."""
+    one = benford_chi2(df, {"x": column}).agg(F.max("chi2").alias(to))
+    return df.crossJoin(F.broadcast(one))  # one row

@@ -14,6 +14,7 @@ from finsift.operators import graph as G
 from finsift.operators import metrics as M
 from finsift.operators import ml, risk, stats
 from finsift.operators import vectors as V
+from finsift.plans import reference_sql as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,25 +60,9 @@ CONTENT = """
  ELSE '' END
 """.strip()
 FILINGS = f"filings AS (SELECT o_orderkey AS doc_id, {CONTENT} AS content FROM orders)"
-_AMOUNT = "CAST(regexp_extract(m, '[0-9]+([.][0-9]+)?') AS DOUBLE) * CASE WHEN regexp_matches(lower(m), '(billion|b)$') THEN 1e9 WHEN regexp_matches(lower(m), '(million|m)$') THEN 1e6 WHEN regexp_matches(lower(m), '(thousand|k)$') THEN 1e3 ELSE 1e0 END"
-FEATURES = f"""{FILINGS},
- raw AS (SELECT doc_id, content, lower(content) AS low, regexp_extract_all(content, '{L.MONEY}') AS ms, regexp_extract_all(content, '{L.ORGANISATION}') AS os FROM filings),
- features AS (SELECT doc_id, content, low, ms, {L.sql_distinct_terms("low", L.FINANCIAL_TERMS)} AS n_terms, {L.sql_distinct_terms("low", L.FRAUD_TERMS)} AS n_indicators,
-  len(list_distinct(os)) AS n_orgs, len(list_distinct(list_transform(ms, lambda m: lower(m)))) AS n_money,
-  coalesce(list_max(list_transform(ms, lambda m: {_AMOUNT})), 0e0) AS largest, len(list_distinct(list_transform(ms, lambda m: {_AMOUNT}))) AS n_amounts,
-  len(regexp_extract_all(content, '{L.PERCENTAGE}')) AS n_percentages, len(regexp_extract_all(content, '{L.DATES}')) AS n_dates, len(regexp_extract_all(content, '{L.MONEY_FACTOR}')) AS n_money_factor FROM raw)"""
-_VERBS = "is|has|owns|manages|controls|reports|created|transferred|hid|concealed"
-RELATIONS = f"""{FEATURES},
- tri AS (SELECT doc_id, i AS ord, t, regexp_extract(t, '^([A-Z][a-z]+) ({_VERBS}) ([A-Z][a-z]+)$', 1) AS subject, regexp_extract(t, '^([A-Z][a-z]+) ({_VERBS}) ([A-Z][a-z]+)$', 2) AS predicate, regexp_extract(t, '^([A-Z][a-z]+) ({_VERBS}) ([A-Z][a-z]+)$', 3) AS object
-  FROM (SELECT doc_id, ts[i] AS t, i FROM (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(content, '[A-Z][a-z]+ ({_VERBS}) [A-Z][a-z]+') AS ts FROM filings)))),
- sen AS (SELECT doc_id, unnest(string_split(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM filings),
- rel AS (SELECT DISTINCT doc_id, subject, predicate, object, {L.sql_map("lower(predicate)", L.VERBS, "RELATED_TO")} AS relation_type FROM tri
-  UNION SELECT doc_id, regexp_extract(s, '{L.ORGANISATION}'), 'CONCEALED', regexp_extract(s, '{L.MONEY}'), 'FRAUD_ACTION' FROM sen WHERE regexp_matches(lower(s), 'hid|concealed|transferred') AND regexp_matches(s, '{L.ORGANISATION}') AND regexp_matches(s, '{L.MONEY}')),
- rs AS (SELECT doc_id, count(*) AS n_relations, sum(CASE WHEN relation_type IN ({", ".join(f"'{k}'" for k in L.RELATION_WEIGHTS)}) THEN 1 ELSE 0 END) AS n_suspicious, sum({L.sql_relation_weight("relation_type", "predicate")}) AS total FROM rel GROUP BY doc_id)"""
-SCORED = f"""{RELATIONS},
- comp AS (SELECT f.*, coalesce(n_relations, 0) AS n_relations, coalesce(n_suspicious, 0) AS n_suspicious, CASE WHEN n_relations IS NULL THEN 0e0 ELSE least(1e0, total / greatest(1e0, 0.5e0 * n_relations)) END AS relationship,
-  {L.sql_fraud_score("low", "n_indicators")} AS fraud, {L.sql_entity_score("n_terms", "n_indicators", "n_orgs", "n_money")} AS entity, {L.sql_financial_score("largest", "n_amounts", "n_percentages", "n_dates")} AS financial FROM features f LEFT JOIN rs ON f.doc_id = rs.doc_id),
- scored AS (SELECT *, {L.sql_overall("fraud", "entity", "financial", "relationship")} AS overall, {L.sql_level(L.sql_overall("fraud", "entity", "financial", "relationship"))} AS risk_level FROM comp)"""
+FEATURES = R.features(FILINGS)
+RELATIONS = R.relations(FILINGS)
+SCORED = R.scored(FILINGS)
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,14 +70,14 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = filings(spark, sf_dir)
-    return risk.document_risk(risk.features(docs), G.relations(docs))
+    docs = filings(spark, sf_dir).withColumn("relations", G.relation_array(F.col("content")))
+    return risk.document_risk(risk.features(docs), F.col("relations"))
 
 
-@query(f"WITH {SCORED} SELECT doc_id, round(100 * fraud, 4) AS fraud, round(100 * entity, 4) AS entity, round(100 * financial, 4) AS financial, round(100 * relationship, 4) AS relationship, round(overall, 4) AS overall, risk_level FROM scored")
+@query(f"WITH {SCORED} SELECT doc_id, round(100 * fraud, 6) AS fraud, round(100 * entity, 6) AS entity, round(100 * financial, 6) AS financial, round(100 * relationship, 6) AS relationship, round(overall, 7) AS overall, risk_level FROM scored")
 def doc_risk_score(spark, sf_dir):
-    parts = [F.round(100 * F.col(c), 4).alias(c) for c in ("fraud", "entity", "financial", "relationship")]
-    return scored(spark, sf_dir).select("doc_id", *parts, F.round("overall", 4).alias("overall"), "risk_level")
+    parts = [r6(100 * F.col(c), c) for c in ("fraud", "entity", "financial", "relationship")]
+    return scored(spark, sf_dir).select("doc_id", *parts, F.round("overall", 7).alias("overall"), "risk_level")
 
 
 @query(f"WITH {SCORED} SELECT risk_level, count(*) AS n, round(avg(overall), 4) AS average FROM scored GROUP BY risk_level")
@@ -100,21 +85,21 @@ def doc_risk_levels(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("risk_level").agg(F.count("*").alias("n"), F.round(F.avg("overall"), 4).alias("average"))
 
 
-_LEVEL_COUNTS = ", ".join(f"count(*) FILTER (WHERE risk_level = '{n}') AS n_{n.lower()}" for n in (*(n for n, _ in L.LEVELS), "MINIMAL"))
+_LEVEL_COUNTS = ", ".join(f"count(*) FILTER (WHERE risk_level = '{n}') AS n_{n.lower()}" for n in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "MINIMAL"))
+_SUMMARY = "count(*) AS total, round(avg(s), 2) AS average, max(s) AS highest, min(s) AS lowest, round(quantile_cont(s, 0.5), 2) AS median, round(stddev_pop(s), 2) AS deviation, count(*) FILTER (WHERE s >= 60) AS n_high_risk"
 
 
-@query(f"WITH {SCORED} SELECT count(*) AS total, round(avg(overall), 2) AS average, round(max(overall), 2) AS highest, round(min(overall), 2) AS lowest, round(quantile_cont(overall, 0.5), 2) AS median, round(stddev_pop(overall), 2) AS deviation, count(*) FILTER (WHERE overall >= 60) AS n_high_risk, {_LEVEL_COUNTS} FROM scored")
+@query(f"WITH {SCORED} SELECT {_SUMMARY}, {_LEVEL_COUNTS} FROM (SELECT round(overall, 2) AS s, risk_level FROM scored)")
 def risk_summary_docs(spark, sf_dir):
     return risk.risk_summary(scored(spark, sf_dir))
 
 
-@query(f"WITH {SCORED} SELECT doc_id, round(overall, 4) AS overall FROM scored WHERE overall >= 40 ORDER BY overall DESC, doc_id LIMIT 20")
+@query(f"WITH {SCORED} SELECT doc_id, round(overall, 2) AS overall FROM scored WHERE round(overall, 2) >= 40 ORDER BY round(overall, 2) DESC, doc_id LIMIT 20")
 def high_risk_topk(spark, sf_dir):
-    return risk.high_risk(scored(spark, sf_dir), 20, least=40).select("doc_id", F.round("overall", 4).alias("overall"))
+    return risk.high_risk(scored(spark, sf_dir), 20, least=40).select("doc_id", F.round("overall", 2).alias("overall"))
 
 
-_FOUND = "list_filter([" + ", ".join(f"CASE WHEN instr(low, '{t}') > 0 THEN '{t}' END" for t in L.SEVERITY) + "], lambda x: x IS NOT NULL)"
-_FACTORS = f"""list_filter([CASE WHEN fraud > 0.5 AND len({_FOUND}) > 0 THEN 'High-risk keywords detected: ' || array_to_string(({_FOUND})[1:3], ', ') END,
+_FACTORS = """list_filter([CASE WHEN fraud > 0.5 AND len(found) > 0 THEN 'High-risk keywords detected: ' || array_to_string(found[1:3], ', ') END,
  CASE WHEN entity > 0.4 AND n_indicators > 0 THEN 'Fraud indicators found: ' || n_indicators || ' instances' END, CASE WHEN entity > 0.4 AND n_terms > 5 THEN 'Complex financial structures: ' || n_terms || ' terms' END,
  CASE WHEN entity > 0.4 AND n_orgs > 3 THEN 'Multiple organizations involved: ' || n_orgs || ' entities' END, CASE WHEN financial > 0.3 AND n_money_factor > 0 THEN 'Large financial amounts: ' || n_money_factor || ' transactions' END,
  CASE WHEN relationship > 0.3 AND n_suspicious > 0 THEN 'Suspicious relationships: ' || CAST(n_suspicious AS BIGINT) || ' connections' END], lambda x: x IS NOT NULL)"""
@@ -134,10 +119,10 @@ def doc_routing(spark, sf_dir):
     return out.select("doc_id", "priority", "requires_investigation", F.array_join("recommended_agents", ",").alias("agents"), F.array_join("processing_hints", ",").alias("hints"))
 
 
-@query(f"WITH {FEATURES} SELECT doc_id, " + ", ".join(f"{L.sql_count('low', t)} AS c{i}" for i, t in enumerate(L.SEVERITY)) + " FROM features")
+@query(f"WITH {FEATURES} SELECT doc_id, " + ", ".join(f"max(CASE WHEN ord = {i} THEN n END) AS c{i}" for i in range(23)) + f" FROM (SELECT doc_id, ord, CAST(len(string_split(low, term)) - 1 AS INTEGER) AS n FROM features, {R.SEVERITIES}) GROUP BY doc_id")
 def lexicon_counts(spark, sf_dir):
-    docs = filings(spark, sf_dir).withColumn("low", F.lower("content"))
-    return docs.select("doc_id", *(F.expr(L.sql_count("low", t)).alias(f"c{i}") for i, t in enumerate(L.SEVERITY)))
+    docs = filings(spark, sf_dir).withColumn("c", L.hit_counts(F.lower("content")))
+    return docs.select("doc_id", *(F.col("c")[i].alias(f"c{i}") for i in range(len(L.SEVERITY))))
 
 
 @query(f"WITH {FEATURES} SELECT doc_id, n_money, n_amounts, largest FROM features")
@@ -157,27 +142,23 @@ def formatted_json(spark, sf_dir):
 
 
 # Entities, relations and graph
-ENTITIES = f"""{RELATIONS}, ent AS (
- {" UNION ALL ".join(f"SELECT doc_id, 'FINANCIAL_TERM' AS ent_type, '{t}' AS text, {i} AS ord FROM features WHERE instr(low, '{t}') > 0" for i, t in enumerate(sorted(L.FINANCIAL_TERMS)))}
- UNION ALL {" UNION ALL ".join(f"SELECT doc_id, 'FRAUD_INDICATOR', '{t}', {i + 100} FROM features WHERE instr(low, '{t}') > 0" for i, t in enumerate(sorted(L.FRAUD_TERMS)))}
- UNION ALL SELECT doc_id, 'MONEY', arg_min(m, i), 200 + min(i) FROM (SELECT doc_id, ms[i] AS m, i FROM (SELECT doc_id, ms, unnest(range(1, len(ms) + 1)) AS i FROM raw)) GROUP BY doc_id, lower(m)
- UNION ALL SELECT doc_id, 'ORG', arg_min(m, i), 300 + min(i) FROM (SELECT doc_id, os[i] AS m, i FROM (SELECT doc_id, os, unnest(range(1, len(os) + 1)) AS i FROM raw)) GROUP BY doc_id, lower(m))"""
+ENTITIES = R.entities(FILINGS)
 
 
-@query(f"WITH {ENTITIES} SELECT e.doc_id, ent_type, text, CAST(instr(low, lower(text)) - 1 AS INTEGER) AS start FROM ent e JOIN features f ON e.doc_id = f.doc_id")
+@query(f"WITH {ENTITIES} SELECT doc_id, ent_type, text, CAST(start AS INTEGER) AS start FROM ent")
 def entity_dedupe(spark, sf_dir):
     return G.entities(filings(spark, sf_dir)).select("doc_id", "ent_type", "text", "start")
 
 
 @query(f"WITH {ENTITIES} SELECT doc_id, ent_type, count(*) AS n FROM ent GROUP BY ALL")
 def entity_counts(spark, sf_dir):
-    return G.entity_counts(G.entities(filings(spark, sf_dir)))
+    return G.entity_counts(filings(spark, sf_dir))
 
 
 @query(f"""WITH {ENTITIES}, p AS (SELECT *, CASE ent_type WHEN 'FRAUD_INDICATOR' THEN 0 WHEN 'FINANCIAL_TERM' THEN 1 WHEN 'ORG' THEN 2 ELSE 3 END AS priority, row_number() OVER (PARTITION BY doc_id, ent_type ORDER BY ord) AS r FROM ent)
  SELECT doc_id, CAST(rank AS INTEGER) AS rank, ent_type, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority, ord) AS rank FROM p WHERE r <= 5) WHERE rank <= 10""")
 def key_entities(spark, sf_dir):
-    return G.key_entities(G.entities(filings(spark, sf_dir)))
+    return G.key_entities(filings(spark, sf_dir))
 
 
 @query(f"WITH {RELATIONS} SELECT doc_id, subject, predicate, object, relation_type FROM rel")
@@ -185,7 +166,7 @@ def relation_dedupe(spark, sf_dir):
     return G.relations(filings(spark, sf_dir)).select("doc_id", "subject", "predicate", "object", "relation_type")
 
 
-_LABEL = L.sql_map("ent_type", L.NODE_LABELS, "Entity")
+_LABEL = R.LABEL
 
 
 @query(f"WITH {ENTITIES} SELECT 'Document' AS label, CAST(doc_id AS VARCHAR) AS name FROM filings UNION SELECT {_LABEL}, text FROM ent")
@@ -276,12 +257,13 @@ def chunk_stats(spark, sf_dir):
     return c.agg(F.count("*").alias("n"), F.sum("length").alias("words"), F.max("length").alias("longest"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-_HTML = r"regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', chr(10), 'g')"
-for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+# The tags of these pages, as a parser sees them: scripts, styles and comments with what they hold, then all other tags.
+_HTML = r"regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?(</script>|$)|<style[^>]*>.*?(</style>|$)|<!--.*?-->', '', 'g'), '<[!/a-zA-Z][^<>]*>', '', 'g')"
+for _a, _b in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&amp;", "\u0001"), ("&amp", "\u0001"), ("\u0001", "&")):
     _HTML = f"replace({_HTML}, '{_a}', '{_b}')"
 
 
-@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex({_HTML}, '\\n+|  +'), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM pages")
+@query(f"SELECT page_id, trim(regexp_replace(array_to_string(list_filter(list_transform(string_split_regex({_HTML}, '[\\n\\r]+|  '), lambda x: trim(x)), lambda x: x <> ''), chr(10)), '<[^>]+>', '', 'g')) AS text FROM pages")
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
@@ -296,13 +278,16 @@ def filename_metadata(spark, sf_dir):
     return names.withColumns(T.file_name_metadata(F.col("name"))).drop("name")
 
 
-_PATH = "CASE o_orderkey % 3 WHEN 0 THEN '/data/Non Fraudulent Dataset/2015/' || o_custkey || '_20150102.txt' WHEN 1 THEN '/data/Fraudulent Dataset/sec/' || o_custkey || '/10-K/full-submission.txt' ELSE '/data/other/' || o_custkey || '.txt' END"
+_PATH = "CASE o_orderkey % 4 WHEN 0 THEN 'Non Fraudulent Dataset/2015/' || o_custkey || '_20150102.txt' WHEN 1 THEN 'Fraudulent Dataset/sec-edgar-filings/' || o_custkey || '/10-K/A-' || o_orderkey || '/full-submission.txt' WHEN 2 THEN 'Fraudulent Dataset/short.txt' ELSE 'other/' || o_custkey || '.txt' END"
 
 
-@query(rf"WITH f AS (SELECT o_orderkey, {_PATH} AS p FROM orders) SELECT o_orderkey, CASE WHEN contains(p, 'Non Fraudulent') THEN 'NonFraud' WHEN contains(p, 'Fraudulent') THEN 'Fraud' ELSE 'Unknown' END AS category, nullif(regexp_extract(p, '/((?:19|20)\d{{2}})/', 1), '') AS year, nullif(regexp_extract(p, '(\d+)_(\d{{8}})', 1), '') AS cik, nullif(regexp_extract(p, '(\d+)_(\d{{8}})', 2), '') AS date FROM f")
+@query(f"""WITH f AS (SELECT o_orderkey, o_custkey, {_PATH} AS p FROM orders) SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Non Fraudulent' WHEN 3 THEN NULL ELSE 'Fraudulent' END AS category, CASE WHEN o_orderkey % 4 = 0 THEN '2015' END AS year,
+ CASE WHEN o_orderkey % 4 < 2 THEN CAST(o_custkey AS VARCHAR) END AS cik, CASE WHEN o_orderkey % 4 = 0 THEN '20150102' END AS date, CASE WHEN o_orderkey % 4 = 1 THEN '10-K' END AS filing_type, CASE WHEN o_orderkey % 4 = 1 THEN 'A-' || o_orderkey END AS accession,
+ CASE o_orderkey % 4 WHEN 0 THEN 'NonFraud_' || o_custkey || '_20150102_' || o_orderkey WHEN 1 THEN 'Fraud_' || o_custkey || '_10-K_A-' || o_orderkey || '_' || o_orderkey WHEN 2 THEN 'Fraud_short_' || o_orderkey ELSE 'Unknown_' || o_custkey || '_' || o_orderkey END || '.txt' AS name FROM f""")
 def path_metadata(spark, sf_dir):
     paths = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_PATH).alias("p"))
-    return paths.withColumns(T.path_metadata(F.col("p"))).drop("p")
+    told = paths.withColumns(T.path_metadata(F.col("p"))).withColumn("stem", F.regexp_extract("p", r"([^/]*)\.txt$", 1))
+    return told.withColumn("name", T.unique_name(*map(F.col, ("category", "cik", "date", "filing_type", "accession", "stem", "o_orderkey")))).drop("p", "stem")
 
 
 @query("SELECT page_id, CAST(j AS INTEGER) AS ord, CASE j WHEN 0 THEN '10-K' ELSE 'EX-1' END AS type, md5(CASE j WHEN 0 THEN html ELSE url END) AS digest FROM pages, (SELECT unnest([0, 1]) AS j)")
@@ -314,15 +299,44 @@ def filing_container_parse(spark, sf_dir):
 
 
 # Numbers
-_ASSETS = "o_orderkey AS id, o_totalprice AS income_statement_total_revenues, CASE WHEN o_orderkey % 11 = 0 THEN 0e0 ELSE o_totalprice * 2 END AS balance_sheet_total_assets, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice - 50000 END AS income_statement_net_income_loss, o_totalprice / 3 AS income_statement_total_operating_expenses, o_totalprice / 7 AS balance_sheet_accounts_receivable, o_totalprice / 5 AS balance_sheet_total_liabilities"
-
-
-@query(f"""WITH t AS (SELECT {_ASSETS} FROM orders) SELECT id, round((income_statement_total_revenues - income_statement_total_operating_expenses) / nullif(income_statement_total_revenues, 0), 6) AS gross_profit_margin, round(income_statement_net_income_loss / nullif(balance_sheet_total_assets, 0), 6) AS return_on_assets,
- round(balance_sheet_total_liabilities / nullif(balance_sheet_total_assets, 0), 6) AS debt_ratio, round(income_statement_total_revenues / nullif(balance_sheet_total_assets, 0), 6) AS asset_turnover, round(365 * balance_sheet_accounts_receivable / nullif(income_statement_total_revenues, 0), 6) AS days_sales_outstanding FROM t""")
+# Statements from an order's price: zero and null denominators, null numerators.
+_STATEMENTS = {
+    "income_statement_total_revenues": "o_totalprice",
+    "income_statement_total_operating_expenses": "o_totalprice / 3",
+    "income_statement_net_income_loss": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice - 50000 END",
+    "income_statement_profit_loss_operations": "o_totalprice - 70000",
+    "income_statement_profit_loss_before_taxes": "o_totalprice / 4",
+    "income_statement_interest_expense": "CASE WHEN o_orderkey % 7 = 0 THEN 0e0 ELSE o_totalprice / 9 END",
+    "balance_sheet_total_assets": "CASE WHEN o_orderkey % 11 = 0 THEN 0e0 ELSE o_totalprice * 2 END",
+    "balance_sheet_total_shareholders_equity": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice - 90000 END",
+    "balance_sheet_total_current_assets": "o_totalprice / 2",
+    "balance_sheet_accounts_payable_accrued": "o_totalprice / 6",
+    "balance_sheet_cash": "o_totalprice / 11",
+    "balance_sheet_accounts_receivable": "o_totalprice / 7",
+    "balance_sheet_total_liabilities": "o_totalprice / 5",
+    "balance_sheet_inventory": "CASE WHEN o_orderkey % 3 = 0 THEN 0e0 ELSE o_totalprice / 8 END",
+}
+_ASSETS = ", ".join(["o_orderkey AS id", *(f"{v} AS {k}" for k, v in _STATEMENTS.items())])
+_RATIO_SQL = {
+    "gross_profit_margin": "(income_statement_total_revenues - income_statement_total_operating_expenses) / nullif(income_statement_total_revenues, 0)",
+    "return_on_assets": "income_statement_net_income_loss / nullif(balance_sheet_total_assets, 0)",
+    "return_on_equity": "income_statement_net_income_loss / nullif(balance_sheet_total_shareholders_equity, 0)",
+    "operating_margin": "income_statement_profit_loss_operations / nullif(income_statement_total_revenues, 0)",
+    "current_ratio": "balance_sheet_total_current_assets / nullif(balance_sheet_accounts_payable_accrued, 0)",
+    "quick_ratio": "(balance_sheet_cash + balance_sheet_accounts_receivable) / nullif(balance_sheet_accounts_payable_accrued, 0)",
+    "debt_to_equity": "balance_sheet_total_liabilities / nullif(balance_sheet_total_shareholders_equity, 0)",
+    "debt_ratio": "balance_sheet_total_liabilities / nullif(balance_sheet_total_assets, 0)",
+    "times_interest_earned": "income_statement_profit_loss_before_taxes / nullif(income_statement_interest_expense, 0)",
+    "asset_turnover": "income_statement_total_revenues / nullif(balance_sheet_total_assets, 0)",
+    "days_sales_outstanding": "365 * balance_sheet_accounts_receivable / nullif(income_statement_total_revenues, 0)",
+    "inventory_turnover": "income_statement_total_revenues / nullif(balance_sheet_inventory, 0)",
+}
+
+
+@query(f"WITH t AS (SELECT {_ASSETS} FROM orders) SELECT id, " + ", ".join(f"round({v}, 4) AS {k}" for k, v in _RATIO_SQL.items()) + " FROM t")
 def ratio_features(spark, sf_dir):
-    t = table(spark, sf_dir, "orders").selectExpr(*_split(_ASSETS))
-    out = N.ratio_features(t)
-    return out.select("id", *(r6(F.col(c), c) for c, *_ in N.RATIOS if c in out.columns))
+    t = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", *(f"{v} AS {k}" for k, v in _STATEMENTS.items()))
+    return N.ratio_features(t).select("id", *(F.round(c, 4).alias(c) for c, *_ in N.RATIOS))
 
 
 def _split(items: str) -> list[str]:
@@ -525,10 +539,9 @@ def record_risk(spark, sf_dir):
     return records(spark, sf_dir).select("record_id", F.round("overall", 4).alias("overall"), "requires_investigation")
 
 
-@query(f"WITH {_RECORDS} SELECT count(*) AS total, round(avg(overall), 2) AS average, round(max(overall), 2) AS highest, round(min(overall), 2) AS lowest, round(quantile_cont(overall, 0.5), 2) AS median, round(stddev_pop(overall), 2) AS deviation, count(*) FILTER (WHERE overall >= 60) AS n_high_risk FROM s")
+@query(f"WITH {_RECORDS} SELECT {_SUMMARY}, {_LEVEL_COUNTS} FROM (SELECT round(overall, 2) AS s, {R.LEVEL.format('overall')} AS risk_level FROM s)")
 def risk_summary_records(spark, sf_dir):
-    keep = ["total", "average", "highest", "lowest", "median", "deviation", "n_high_risk"]
-    return risk.risk_summary(records(spark, sf_dir)).select(*keep)
+    return risk.risk_summary(records(spark, sf_dir))
 
 
 @query(f"""WITH {_RECORDS} SELECT record_id, CASE WHEN overall >= 80 THEN 'critical' WHEN overall >= 60 THEN 'high' WHEN overall >= 40 THEN 'normal' ELSE 'low' END AS priority,
@@ -564,19 +577,19 @@ def knn_filtered(spark, sf_dir):
     return V.nearest(v, _probe(v), 5, F.col("label") == 1).select("vec_id", r6(F.col("distance"), "distance"))
 
 
-_BATCH = f"b AS (SELECT q.vec_id AS query_id, a.vec_id, {_DIST} AS distance FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 20) q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM b)"
+_BATCH = f"b AS (SELECT q.vec_id AS query_id, a.vec_id, {_DIST} AS distance FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM b)"
 
 
 @query(f"WITH {_BATCH} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def knn_batch(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return V.nearest_batch(v, v.where("vec_id < 20")).select("query_id", "vec_id", "rank")
+    return V.nearest_batch(v, v.where("vec_id % 100 = 0")).select("query_id", "vec_id", "rank")
 
 
 @query(f"WITH {_BATCH} SELECT query_id, round(sqrt(max(distance)), 6) AS distance FROM r WHERE rank <= 5 GROUP BY query_id")
 def knn_kth_distance(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return V.kth_distance(v, v.where("vec_id < 20")).select("query_id", r6(F.col("distance"), "distance"))
+    return V.kth_distance(v, v.where("vec_id % 100 = 0")).select("query_id", r6(F.col("distance"), "distance"))
 
 
 # Models: trained, so without SQL
