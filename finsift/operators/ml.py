@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -11,8 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from finsift.operators.metrics import percentile_flag
+from finsift.operators.metrics import percentile_flag, scaled_score
 from finsift.operators.vectors import nearest_batch, squared_distance
+from finsift.storage import written
+
+SUPERVISED = ("gbt", "random_forest", "decision_tree", "logistic", "linear_svm", "mlp")
 
 
 def assembled(df: DataFrame, columns: list[str], to: str = "features") -> DataFrame:
@@ -52,6 +57,77 @@ def split(df: DataFrame, id_col: str, test_percent: int = 20) -> tuple[DataFrame
     return df.where(bucket >= test_percent), df.where(bucket < test_percent)
 
 
+def stratified_split(df: DataFrame, id_col: str, label: str, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows, of each label its share: the rows with the lowest hashes of the id, the same on every run."""
+    order = F.xxhash64(F.col(id_col).cast("string"))
+    cuts = df.select(F.col(label).alias("_label"), order.alias("_h")).groupBy("_label").agg(F.percentile_approx("_h", test_share, 10_000).alias("_cut"))
+    told = df.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_label"))).withColumn("_test", order <= F.col("_cut"))
+    return tuple(told.where(F.col("_test") == t).drop("_label", "_cut", "_test") for t in (False, True))
+
+
+def balanced(df: DataFrame, id_col: str, columns: list[str], label: str = "label", ratio: float = 0.5, seed: int = 42) -> DataFrame:
+    """(label, columns) of df and of synthetic rows that bring label 1 to ratio times label 0."""
+    n = df.agg(F.count_if(F.col(label) != 1).alias("others"), F.count_if(F.col(label) == 1).alias("minority")).first()
+    own = df.select(F.col(label).cast("int").alias(label), *(F.col(c).cast("double").alias(c) for c in columns))
+    minority = df.where(F.col(label) == 1).select(id_col, F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
+    made = smote(minority, id_col, "v", seed=seed, total=smote_total(n["others"], n["minority"], ratio))
+    return own.unionByName(made.select(F.lit(1).alias(label), *(F.col("v")[i].alias(c) for i, c in enumerate(columns))))
+
+
+def predicted(kind: str, df: DataFrame, columns: list[str], id_col: str, model=None, label: str | None = None) -> DataFrame:
+    """(id, pred, prob) from one model of any kind: a fitted classifier, or a detector that is fitted on df itself.
+
+    The scores of detectors are scaled to 0 to 1 over all rows; a mixture's likelihood counts negative.
+    """
+    from finsift.operators import anomaly as A
+
+    if model is not None:
+        out = model.transform(df.withColumns({c: F.col(c).cast("double") for c in columns}))
+        prob = vector_to_array("probability")[1] if "probability" in out.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
+        return out.select(id_col, F.col("prediction").cast("int").alias("pred"), prob.alias("prob"))
+    made = {
+        "kmeans": lambda: kmeans_anomaly(df, columns, id_col),
+        "gmm": lambda: gmm_anomaly(df, columns, id_col),
+        "pca_anomaly": lambda: pca_anomaly(df, columns, id_col),
+        "isolation_forest": lambda: A.isolation_forest(df, columns, id_col),
+        "dbscan": lambda: A.dbscan(df, columns, id_col),
+        "lof": lambda: A.local_outlier_factor(df, columns, id_col, label),
+        "oneclass_svm": lambda: A.one_class_machine(df, columns, id_col, label),
+        "autoencoder": lambda: A.autoencoder_anomaly(df, columns, id_col),
+    }
+    if kind not in made:
+        raise ValueError(f"unknown model: {kind}")
+    return scaled_score(made[kind](), "score", negate=kind == "gmm").select(id_col, F.col("flag").alias("pred"), "prob")
+
+
+def stacked(df: DataFrame, columns: list[str], id_col: str, models: dict[str, object], label: str | None = None) -> DataFrame:
+    """(id, model, pred, prob) of several models; a model that is None is a detector."""
+    each = [predicted(kind, df, columns, id_col, model, label).withColumn("model", F.lit(kind)) for kind, model in models.items()]
+    return functools.reduce(DataFrame.unionByName, each).select(id_col, "model", "pred", "prob")
+
+
+def train_all(df: DataFrame, columns: list[str], id_col: str, kinds: list[str], path: str, label: str = "label") -> dict[str, str]:
+    """Fits each kind, writes its folder below path, and returns the folders.
+
+    Classifiers learn from the train rows, balanced, and are measured on test rows that neither training nor balancing
+    saw; detectors are fitted and measured on all rows.
+    """
+    from finsift.operators import metrics as M
+    from finsift.sources.sinks import write_model
+
+    train, test = stratified_split(df, id_col, label)
+    even = written(balanced(train, id_col, columns, label), "balanced") if any(k in SUPERVISED for k in kinds) else None
+    folders = {}
+    for kind in kinds:
+        model = trained(even, columns, kind, label) if kind in SUPERVISED else None
+        rows = test if kind in SUPERVISED else df
+        told = written(predicted(kind, rows, columns, id_col, model, label).join(rows.select(id_col, F.col(label).alias("label")), id_col), "told")
+        one = M.compared({kind: told}).first().asDict()
+        scores = {"accuracy": one["accuracy"], "precision": one["precision"], "recall": one["recall"], "f1_score": one["f1"], "auc_roc": one["auc"] if one["auc"] is not None else 0.5}
+        folders[kind] = write_model(model, path, kind, scores, {"columns": ",".join(columns)}, M.confusion(told))
+    return folders
+
+
 def kmeans_anomaly(df: DataFrame, columns: list[str], id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Distance to the nearest centre; the farthest 5 % are flagged."""
     data = assembled(standardised(df, columns), columns)

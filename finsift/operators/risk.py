@@ -148,8 +148,8 @@ def record_risk(predictions: DataFrame, ensemble: DataFrame, features: DataFrame
     ratio = F.coalesce("agreement_ratio", F.lit(0.0))
     # The messages.
     factors = _listed(
-        F.when(p >= 0.8, F.format_string("Very high fraud probability: %.2f%%", p * 100)).when(p >= 0.6, F.format_string("High fraud probability: %.2f%%", p * 100)),
-        F.when(ratio >= 0.8, F.format_string("Strong model consensus: %.0f%% agreement", ratio * 100)).when(ratio >= 0.6, F.format_string("Moderate model consensus: %.0f%% agreement", ratio * 100)),
+        F.when(p >= 0.8, F.format_string("Very high fraud probability: %.2f%%", F.bround(p * 100, 2))).when(p >= 0.6, F.format_string("High fraud probability: %.2f%%", F.bround(p * 100, 2))),
+        F.when(ratio >= 0.8, F.format_string("Strong model consensus: %.0f%% agreement", F.bround(ratio * 100, 0))).when(ratio >= 0.6, F.format_string("Moderate model consensus: %.0f%% agreement", F.bround(ratio * 100, 0))),
         F.when(F.col("n_confident") >= 3, F.format_string("%d models show high confidence", "n_confident")),
         F.when(F.col("anomaly") >= 50, F.lit("Significant feature anomalies detected")),
         default="Standard risk assessment",

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import functools
+import re
+import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,8 +54,6 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: st
 
 def _searching(sent, k: int, skip_self: bool):
     def search(batches):
-        import pandas as pd
-
         best = {d: (np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)) for d, (_, q) in sent.value.items()}
         for batch in batches:
             for d, part in batch.groupby(batch["v"].map(len)):
@@ -104,9 +105,18 @@ def centroid_distance(vectors: DataFrame, centroids: list[list[float]], id_col:
 
 def hashing_embedding(text: Column, dims: int = 64) -> Column:
     """A deterministic stand-in for a sentence encoder: signed word counts by hash, scaled to length 1."""
-    words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-    zero = F.array_repeat(F.lit(0.0), dims)
-    slots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dims)).alias("i"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(slots, F.lit(0.0), lambda a, x: a + F.when(x["i"] == i, x["s"]).otherwise(0.0)))
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(F.size(words) > 0, F.transform(raw, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))).otherwise(zero)
+
+    @F.pandas_udf("array<double>")
+    def embedded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _counted_words(t or "", dims))
+
+    return embedded(text)
+
+
+def _counted_words(text: str, dims: int) -> np.ndarray:
+    out = np.zeros(dims)
+    words = re.findall(r"\w+", text.lower())
+    if words:
+        h = np.array([zlib.crc32(w.encode()) for w in words], np.int64)
+        np.add.at(out, h % dims, np.where(h >> 16 & 1, 1.0, -1.0))
+    return out / (np.sqrt((out * out).sum()) or 1.0)

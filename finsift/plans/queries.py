@@ -544,9 +544,9 @@ def risk_summary_records(spark, sf_dir):
     return risk.risk_summary(records(spark, sf_dir))
 
 
-@query(f"""WITH {_RECORDS} SELECT record_id, CASE WHEN overall >= 80 THEN 'critical' WHEN overall >= 60 THEN 'high' WHEN overall >= 40 THEN 'normal' ELSE 'low' END AS priority,
+@query(f"""WITH {_RECORDS.replace(" AS overall FROM e)", " AS exact FROM e)")}, z AS (SELECT *, round(exact, 2) AS overall FROM s) SELECT record_id, CASE WHEN overall >= 80 THEN 'critical' WHEN overall >= 60 THEN 'high' WHEN overall >= 40 THEN 'normal' ELSE 'low' END AS priority,
  CASE WHEN overall >= 80 THEN 'alert_agent,fraud_investigation_agent,' WHEN overall >= 60 THEN 'fraud_detection_agent,risk_assessment_agent,' WHEN overall >= 40 THEN 'risk_assessment_agent,' ELSE 'general_analysis_agent,' END || 'statistical_analysis_agent' AS agents,
- concat_ws(',', CASE WHEN overall >= 80 THEN 'immediate_review_required' WHEN overall >= 60 THEN 'priority_review' END, CASE WHEN round(agreement_ratio, 2) >= 0.8 THEN 'high_model_consensus' WHEN round(agreement_ratio, 2) <= 0.4 THEN 'low_model_consensus_needs_review' END) AS hints FROM s""")
+ concat_ws(',', CASE WHEN overall >= 80 THEN 'immediate_review_required' WHEN overall >= 60 THEN 'priority_review' END, CASE WHEN round(agreement_ratio, 2) >= 0.8 THEN 'high_model_consensus' WHEN round(agreement_ratio, 2) <= 0.4 THEN 'low_model_consensus_needs_review' END) AS hints FROM z""")
 def record_routing(spark, sf_dir):
     return risk.record_routing(records(spark, sf_dir)).select("record_id", "priority", F.array_join("recommended_agents", ",").alias("agents"), F.array_join("processing_hints", ",").alias("hints"))
 

@@ -47,7 +47,7 @@ def relations(filings: str) -> str:
 
 def scored(filings: str) -> str:
     """relations() and scored: the four components from 0 to 1, overall and risk_level."""
-    overall = "35e0 * fraud + 25e0 * entity + 25e0 * financial + 15e0 * relationship"
+    overall = "100e0 * (fraud * 0.35e0 + entity * 0.25e0 + financial * 0.25e0 + relationship * 0.15e0)"
     return f"""{relations(filings)},
  hits AS (SELECT doc_id, ord, term, severity, (length(low) - length(replace(low, term, ''))) // length(term) AS c FROM features, {SEVERITIES}),
  words AS (SELECT doc_id, sum(severity * least(1e0, 0.3e0 + 0.1e0 * c)) AS total, count(*) AS n, list(term ORDER BY ord) AS found FROM hits WHERE c > 0 GROUP BY doc_id),
