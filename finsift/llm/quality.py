@@ -102,6 +102,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     ).drop(sorted_)
     # A start covers three words, fewer if the next start comes sooner.
     out = out.withColumn("n_repeat_words", F.expr(f"aggregate(transform({where}, (p, k) -> least(3, coalesce(get({where}, k + 1) - p, 3))), 0L, (a, x) -> a + x)")).drop(where)
+    # Rows of one struct each: a filter on the result stops above them, so that the counts are never computed for it again.
+    counts = fresh([*docs.columns, *made], "counts")
+    out = out.select(*own, F.explode(F.array(F.struct(*METRICS))).alias(counts)).select(*own, f"{counts}.*")
     out = out.withColumn("base_failed", F.expr(base_failed_sql()))
     return out.select(*own, *METRICS, "base_failed", *(F.expr(r.holds()).alias(f"rule_{r.name}") for r in rules), F.expr(f"NOT base_failed AND {verdict_sql(rules)}").alias("kept"))
 
