@@ -1,71 +1,16 @@
-"""Tables in the shared folder, and column helpers that the operators of this subpackage have in common."""
+"""Column helpers that the operators of this subpackage have in common; tables in the shared folder come from storage."""
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space as the contracts define it: blank, and tab to carriage return.
-ASCII_SPACE = r"\x20\x09-\x0D"
-
-
-#: Rows and bytes in an Arrow batch while a table is written.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one in local mode only."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="finsift-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/finsift-{uuid.uuid4().hex}/{name}"
+from finsift.storage import release, shared_dir, written, written_at
 
+__all__ = ["ASCII_SPACE", "crc_mod", "fresh", "read", "release", "shared_dir", "written", "written_at"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df cut from its lineage: written as Parquet to the shared folder and read again."""
-    return written_at(df, name)[0]
-
-
-def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = table_path(spark, name)
-    schema = df.schema
-    with small_batches(spark):
-        df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path), path
-
-
-@contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of BATCH_ROWS rows or BATCH_BYTES while a table is written, so that whole texts fit Python's memory."""
-    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = {name: spark.conf.get(name) for name in (rows, size)}
-    spark.conf.set(rows, str(min(int(before[rows]), BATCH_ROWS)))
-    spark.conf.set(size, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
-
-
-def release(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that nothing needs any more."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+#: ASCII white space as the contracts define it: blank, and tab to carriage return.
+ASCII_SPACE = r"\x20\x09-\x0D"
 
 
 def crc_mod(id_col: str, n: int) -> Column:
