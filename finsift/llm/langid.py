@@ -5,7 +5,8 @@ n-gram's hashes returns the set of all languages that contain it. A text's hits
 corrected for the rate of false positives that the filling of its bit plane implies, and the largest corrected
 count decides (ties: the language that sorts first).
 
-Null texts and texts without a letter are `und` with score 0. Rows are judged one by one: repeated rows get equal
+Null texts and texts without a letter are `und` with score 0. A text with a letter but without a hit gets the language
+with the most training rows, with score 0. Rows are judged one by one: repeated rows get equal
 results, an empty table gives an empty result, long texts are read whole. Training skips rows without text or
 language; with no training rows every text is `und`. An added column replaces a column of the same name.
 """
@@ -22,10 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from finsift.llm._bytes import BLOCK, LETTER, U, blocks, mix, raw
+from finsift.llm._bytes import BLOCK, LETTER, U, blocks, mix, raw, trim
 from finsift.llm._shared import crc_mod, fresh, read
 
 GRAMS = (2, 3, 4)
+#: Bytes of masks that are sent to the executors, about.
+MASK_BYTES = 64 << 20
+#: The bits of each byte, lowest first.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(float)
 
 
 @dataclass(frozen=True)
@@ -36,6 +41,7 @@ class LanguageModel:
     masks: np.ndarray
     rates: np.ndarray
     hashes: int
+    usual: int = -1
 
 
 def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +102,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     languages = tuple(sorted(counts))
     size = 1 << slots_bits
     wide = -(-max(1, len(languages)) // 64)
-    if size * wide * 8 > 64 << 20:
-        raise ValueError(f"{len(languages)} languages need more than 64 MB of masks; lower slots_bits")
+    while size * wide * 8 > MASK_BYTES and size > 1 << 10:  # fuller planes: the rates of false positives follow
+        size //= 2
     masks = np.zeros((size, wide), U)
     if languages:
         share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, rows_per_language / counts[lang]))])
@@ -116,11 +122,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             for slot in slots(code[lang_no == i], hashes, size):
                 masks[slot, i // 64] |= U(1 << (i % 64))
     filled = np.array([np.mean((masks[:, i // 64] >> U(i % 64)) & U(1)) for i in range(len(languages))])
-    return LanguageModel(languages, masks, filled**hashes, hashes)
+    usual = max(range(len(languages)), key=lambda i: (counts[languages[i]], -i), default=-1)
+    return LanguageModel(languages, masks, filled**hashes, hashes, usual)
 
 
 def judge(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each text's language (-1: no hit) and its share of the corrected counts."""
+    """The number of each text's language (without a hit the usual one) and its share of the corrected counts."""
     best, score = [], []
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     for i, j in blocks(np.concatenate([[0], np.cumsum(sizes)])):
@@ -132,12 +139,15 @@ def judge(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
             for slot in slots(code, model.hashes, len(model.masks)):
                 found = model.masks[slot] if found is None else found & model.masks[slot]
             number += np.bincount(row, minlength=j - i)
-            for k in range(len(model.languages)):
-                hits[:, k] += np.bincount(row, ((found[:, k // 64] >> U(k % 64)) & U(1)).astype(float), j - i)
+            # Eight languages at a time: how often each value of their byte occurs in a text, times the bits it has set.
+            planes = found.astype("<u8").view(np.uint8).reshape(len(found), -1)
+            for k in range(0, len(model.languages), 8):
+                seen = np.bincount(row * 256 + planes[:, k // 8], minlength=(j - i) * 256).reshape(j - i, 256)
+                hits[:, k : k + 8] += (seen @ BITS)[:, : hits.shape[1] - k]
         true = np.maximum(0, (hits - number[:, None] * model.rates) / (1 - np.minimum(model.rates, 0.99)))
         total = true.sum(1)
         top = true.argmax(1) if len(model.languages) else np.zeros(j - i, int)
-        best.append(np.where(total > 0, top, -1))
+        best.append(np.where(total > 0, top, model.usual))
         score.append(np.where(total > 0, true[np.arange(j - i), top] / np.maximum(total, 1e-12), 0.0) if len(model.languages) else np.zeros(j - i))
     return (np.concatenate(best), np.concatenate(score)) if best else (np.zeros(0, int), np.zeros(0))
 
@@ -154,6 +164,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_
         for texts in batches:
             best, score = judge(m, texts)
             yield pa.StructArray.from_arrays([names.take(pa.array(np.where(best < 0, len(m.languages), best), pa.int64())), pa.array(score, pa.float64())], fields=list(kind))
+        trim()
 
     text: Column = F.col(f"`{text_col}`")
     told = fresh(docs.columns, "language_told")
