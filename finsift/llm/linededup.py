@@ -4,7 +4,8 @@ A line's key is the line without ASCII white space at its ends and with A-Z lowe
 min_chars code points held by at least min_docs documents is frequent: all its lines go, but for those in the
 largest doc_id that holds it. `LineIndex` keeps
 
-* holders(key, doc_id): every reference, exact, each once;
+* holders(key, doc_id): every reference, exact, each once: a table, and one more of the references or of the deleted
+  ids of each change since, until LAYERS of them are written as one;
 * frequent(key, n_docs, max_doc): the reference counts that reached min_docs;
 * filters(shard, buckets): a cuckoo filter of each shard's frequent keys, from which keys can be deleted.
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsift.llm._bytes import U, mix
+from finsift.llm._bytes import U, mix, trim
 from finsift.llm._shared import fresh, read, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -36,6 +37,8 @@ SLOTS = 4
 SHARD_KEYS = 1 << 15
 #: Up to so many frequent keys (24 bytes each) the exact table goes to every executor; beyond, it is joined.
 MAP_SIDE_KEYS = 1 << 20
+#: Changes to the references that are kept as tables of their own before all are written as one.
+LAYERS = 16
 #: Up to so many bytes the filters go to every executor; beyond, the join has no filter before it.
 FILTER_BYTES = 64 << 20
 _TRIM = " \t\n\x0b\x0c\r"
@@ -153,6 +156,7 @@ def _holders(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([list({k for k in keys_of(t.as_py(), min_chars) if k}) for t in texts], pa.list_(pa.binary()))
+        trim()
 
     found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(keys(F.col(f"`{text_col}`"))).alias("key"))
     return found.distinct()
@@ -183,6 +187,7 @@ class LineIndex:
     shards: int
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
+    layers: int = 0
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> LineIndex:
@@ -211,15 +216,20 @@ class LineIndex:
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """With docs added; references that are there already change nothing."""
         new = written(_holders(docs, id_col, text_col, self.min_chars).join(self.holders, ["doc_id", "key"], "left_anti"), "inserted")
-        return self._changed(written(self.holders.unionByName(new), "holders"), new)
+        return self._changed(self.holders.unionByName(new), new)
 
     def delete(self, doc_ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Without the documents of doc_ids; ids that are not there change nothing."""
         ids = doc_ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
         gone = written(self.holders.join(ids, "doc_id", "left_semi"), "deleted")
-        return self._changed(written(self.holders.join(ids, "doc_id", "left_anti"), "holders"), gone)
+        gone_ids = written(gone.select("doc_id").distinct(), "tombstones")
+        return self._changed(self.holders.join(gone_ids, "doc_id", "left_anti"), gone)
 
     def _changed(self, holders: DataFrame, references: DataFrame) -> LineIndex:
+        """holders: the tables before, with one more of new references or of deleted ids; from LAYERS on, written as one."""
+        layers = self.layers + 1
+        if layers >= LAYERS:
+            holders, layers = written(holders, "holders"), 0
         keys = references.select("key").distinct()
         counted = self._counted(holders.join(keys, "key", "left_semi")).where(F.col("n_docs") >= self.min_docs)
         frequent = written(self.frequent.join(keys, "key", "left_anti").unionByName(counted), "frequent")
@@ -227,7 +237,7 @@ class LineIndex:
         down = self.frequent.join(frequent, "key", "left_anti").select("key", F.lit(False).alias("now"))
         changes = self._sharded(up.unionByName(down), self.shards)
         filters = written(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_updated, "shard int, buckets binary"), "filters")
-        out = replace(self, holders=holders, frequent=frequent, filters=filters)
+        out = replace(self, holders=holders, frequent=frequent, filters=filters, layers=layers)
         if filters.where("buckets IS NULL").limit(1).count():
             shards = 2 * self.shards
             out = replace(out, shards=shards, filters=self._filters(frequent, shards))
@@ -263,6 +273,7 @@ class LineIndex:
                     seen = {k for k, maybe in zip(flat, own.maybe(flat), strict=True) if maybe} if flat else set()
                     held = {k: own.exact[k] for k in seen if k in own.exact}
                     yield _cleaned([[x for x, k in zip(lines, ks, strict=True) if k not in held or i is None or held[k] == i] for i, lines, ks in zip(ids.to_pylist(), rows, keys, strict=True)], rows)
+                trim()
 
             out = docs.withColumn(made, clean(id_, text))
         else:
@@ -282,18 +293,16 @@ class LineIndex:
         return out.withColumns({"n_lines": F.col(made)["n_lines"], "n_dropped": F.col(made)["n_dropped"], to: F.col(made)["kept"]}).drop(made)
 
     def _maybe(self, docs: DataFrame, id_, text, sent) -> DataFrame:
-        """(doc_id, key) of the lines that pass the filters."""
-        if sent is None:
-            return self.holders
+        """(doc_id, key) of the lines of docs that pass the filters; of all lines, where those are too large to be sent."""
         min_chars = self.min_chars
 
         @F.arrow_udf("array<binary>")
         def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            own = sent.value.opened()
+            own = sent.value.opened() if sent is not None else None
             for texts in batches:
                 rows = [list({k for k in keys_of(t.as_py(), min_chars) if k}) for t in texts]
                 flat = [k for ks in rows for k in ks]
-                yes = iter(own.maybe(flat).tolist() if flat else [])
+                yes = iter((own.maybe(flat).tolist() if own is not None else [True] * len(flat)) if flat else [])
                 yield pa.array([[k for k in ks if next(yes)] for ks in rows], pa.list_(pa.binary()))
 
         return docs.where(id_.isNotNull()).select(id_.alias("doc_id"), F.explode(keys(text)).alias("key")).distinct()
