@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsift.llm._bytes import LETTER, LOWER, U, blocks, mix, raw, word_hashes
+from finsift.llm._bytes import LETTER, LOWER, U, blocks, mix, raw, trim, word_hashes
 from finsift.llm._shared import crc_mod, fresh, read, written
 
 #: Lengths, in bytes, of the word beginnings that count beside whole words.
@@ -77,17 +77,24 @@ def hits(hashes: np.ndarray, sentence: np.ndarray, words: np.ndarray) -> tuple[n
     return pair // len(words), pair % len(words)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, vocabulary: int = 2048, min_docs: int = 4, steps: int = 250, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, fit_bytes: int = 128 << 20, vocabulary: int = 2048, min_docs: int = 4, steps: int = 250, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> ToxicModel:
     """Learn from docs that labels (doc_id, toxic) mark.
 
-    The classifier is fitted on a bounded sample: about fit_rows labelled documents, chosen by a hash of the id.
+    The classifier is fitted on a bounded sample: about fit_rows labelled documents and fit_bytes of text, chosen by a
+    hash of the id. Of the words in at least min_docs of them, the `vocabulary` ones that tell most are used, a quarter
+    of them words that speak against toxicity. A document with several labels is toxic if one says so; one with several
+    rows is as many examples.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("int").alias("y"))
     number = known.count()
     share = min(1.0, fit_rows / max(1, number))
     draw = F.xxhash64(F.col(id_col).cast("string"), F.lit("toxicity")).bitwiseAND(F.lit((1 << 20) - 1))
-    sample = docs.where(draw < F.lit(share * (1 << 20))).select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(known, "label_id").select("text", "y")
-    sample = written(sample, "sample")
+    sample = docs.where(draw < F.lit(share * (1 << 20))).select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(known, "label_id").select("label_id", "text", "y")
+    sample = written(sample.withColumn("row", F.xxhash64("text", "label_id")), "sample")
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > fit_bytes:
+        sample = sample.where(F.col("row").bitwiseAND(F.lit((1 << 20) - 1)) < F.lit(fit_bytes / size * (1 << 20)))
+    sample = sample.select("text", "y")
 
     def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,8 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, vocabulary:
     rate = sample.agg(F.avg("y")).first()[0] or 0.0
     counted = sample.mapInArrow(word_counts, "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     over = F.col("t") - F.col("n") * F.lit(rate)
-    ranked = counted.where((F.col("n") >= min_docs) & (over > 0)).withColumn("gain", over * over / (F.col("n") * F.lit(max(rate, 1e-9))))
-    words = np.sort(ranked.orderBy(F.desc("gain"), "h").limit(vocabulary).select("h").toPandas()["h"].to_numpy(np.int64).view(U))
+    ranked = counted.where(F.col("n") >= min_docs).withColumn("gain", over * over / (F.col("n") * F.lit(max(rate, 1e-9))))
+    told = [ranked.where(which).orderBy(F.desc("gain"), "h").limit(most).select("h").toPandas()["h"].to_numpy(np.int64) for which, most in ((over > 0, vocabulary - vocabulary // 4), (over < 0, vocabulary // 4))]
+    words = np.sort(np.concatenate(told).view(U))
     sent = docs.sparkSession.sparkContext.broadcast(words)  # at most vocabulary
 
     def instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +186,7 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", score_to:
                     out[s_row[k]].append({"start": int(s_start[k]), "score": float(p[k])})
                 bad += out
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(bad, kind.field(1).type)], fields=list(kind))
+        trim()
 
     made = fresh([*docs.columns, score_to, sentences_to], "judged")
     return docs.withColumn(made, judge(F.col(f"`{text_col}`"))).withColumns({score_to: F.col(made)["score"], sentences_to: F.col(made)["offending"]}).drop(made)
