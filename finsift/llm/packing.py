@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finsift.llm._bytes import trim
 from finsift.llm._shared import read, written
 
 CAPACITY = 2048
@@ -87,6 +88,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ranks
                     rows = []
             if rows:
                 yield _rows(rows)
+        trim()
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])

@@ -26,6 +26,19 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_quality_verdict_and_filter(spark):
+    clean = "The quick brown fox of the north walks to a river and then sleeps in the grass by an old tree. " + " ".join(f"word{i} and then thing{i}" for i in range(30))
+    loud = clean.replace("and", "and!!!")
+    rows = [(1, clean), (2, loud), (3, " ".join(f"x{i} & | <" for i in range(60))), (4, "\n".join(["the same line of words and of more words"] * 3 + [clean]))]
+    judged = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in judged.collect()}
+    assert got[1].kept and not got[1].base_failed and got[1].rule_stop_words
+    assert not got[2].rule_exclamations and not got[3].rule_symbols and not got[2].kept
+    assert not got[4].rule_duplicate_lines and got[4].n_dup_lines == 2
+    plan = judged.where("kept").select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 1 and [r.doc_id for r in judged.where("kept").collect()] == [1]
+
+
 def test_quality(odd, none):
     rows = {r.doc_id: r for r in quality.quality_rules(odd).collect()}
     assert rows[3].n_words == 0 and rows[3].base_failed and not rows[3].kept
@@ -218,6 +231,16 @@ def test_toxicity(spark, none):
     assert toxicity.score(df, empty).agg(F.max("score")).first()[0] < 0.5
 
 
+def test_toxicity_odd(spark, odd):
+    rows = [(i, f"Plain words here {i}. " + ("You are worthless trash." if i % 3 == 0 else "All is fine.")) for i in range(120)] + [(500, None), (501, ""), (0, "You are worthless trash.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("SCORE", F.lit("clash")).withColumn("offending", F.lit(1))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(0, 0), (1, 0), (500, 0), (501, None)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, fit_bytes=1 << 30)
+    got = {(r.doc_id, r.text): r["score"] for r in toxicity.score(df, model).collect()}
+    assert got[500, None] < 0.5 and got[501, ""] < 0.5 and got[0, "You are worthless trash."] >= 0.5
+    assert toxicity.fit(df, labels, fit_bytes=10).bias is not None
+
+
 def test_languages(spark, odd, none):
     rows = [(i, f"the house and the garden of {i} were there", "en") for i in range(60)] + [(100 + i, f"das haus und der garten von {i} waren schön", "de") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -239,6 +262,30 @@ def test_small_language_keeps_its_grams(spark):
     assert told.lang_pred == "cs"
 
 
+def test_languages_equal_exact_sets(spark, odd):
+    """Against n-gram sets without filters; texts too short for any n-gram get the usual language."""
+    words = {"en": "the house and garden were there", "de": "das haus und der garten waren", "fr": "la maison et le jardin étaient"}
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.permutation(words[lang].split())), lang) for i, lang in enumerate(["en"] * 30 + ["de"] * 40 + ["fr"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, min_share=0.0, grams_per_language=10**6)
+    fold = lambda t: "".join(c if ("a" <= c <= "z" or ord(c) > 127) else " " for c in t.lower())
+
+    def grams(t):
+        data = " ".join(fold(t).split()).encode() if t else b""
+        return [data[i : i + n] for n in (2, 3, 4) for i in range(len(data) - n + 1)]
+
+    own = {lang: {g for _, t, x in rows if x == lang for g in grams(t)} for lang in words}
+    asked = [(100 + i, t) for i, t in enumerate(["haus garden", "maison", "were und la", "jardin there there"])]
+    told = {r.doc_id: r for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string").withColumn("LANG_PRED", F.lit(1)).withColumn("Score", F.lit("x")), model).collect()}
+    for i, t in asked:
+        n = {lang: sum(g in own[lang] for g in grams(t)) for lang in words}
+        assert told[i].lang_pred == max(sorted(n), key=n.get) and abs(told[i].score - max(n.values()) / sum(n.values())) < 0.05
+    short = spark.createDataFrame([(1, "a"), (2, "日"), (3, "Ωμέγα"), (4, "12 !"), (5, None)], "doc_id long, text string")
+    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(short, model).collect() if r.doc_id != 3} == {1: ("de", 0.0), 2: ("de", 0.0), 4: ("und", 0.0), 5: ("und", 0.0)}
+    assert all(r.lang_pred in words for r in langid.predict(short.where("doc_id = 3"), model).collect())
+
+
 def line_brute(docs, min_docs=3):
     holders = {}
     for i, t in docs.items():
@@ -264,6 +311,37 @@ def test_line_dedup_is_reversible(spark):
     assert told(back.delete(frame({3: "", 7: ""})), fewer) == line_brute(fewer) == {i: t or "" for i, t in fewer.items()}
 
 
+def test_line_dedup_without_filters(spark, monkeypatch):
+    """A document that the index does not hold loses the same lines whichever way the keys are looked up."""
+    line = "this line is long enough to be counted as one"
+    held = spark.createDataFrame([(i, f"{line}\nown {i}") for i in range(1, 6)], "doc_id long, text string")
+    new = spark.createDataFrame([(3, line), (77, f"{line}\nx"), (None, line), (78, None), (3, line)], "doc_id long, text string")
+    index = linededup.LineIndex.build(held)
+    ways = [sorted((str(r.doc_id), r.kept_text, r.n_dropped) for r in index.apply(new, map_side_keys=n).collect()) for n in (1 << 20, 0)]
+    monkeypatch.setattr(linededup, "FILTER_BYTES", -1)
+    ways.append(sorted((str(r.doc_id), r.kept_text, r.n_dropped) for r in index.apply(new).collect()))
+    assert ways[0] == ways[1] == ways[2] and ("77", "x", 1) in ways[0] and ("None", line, 0) in ways[0]
+
+
+def test_line_dedup_layers(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "LAYERS", 2)
+    line = "this line is long enough to be counted as one"
+    docs = {i: f"{line}\nown {i}" for i in range(4)}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "doc_id long, text string")
+    index = linededup.LineIndex.build(frame(docs), min_docs=3)
+    for i in (10, 11, 12):
+        docs[i] = line
+        index = index.insert(frame({i: line}))
+        gone = min(docs)
+        del docs[gone]
+        index = index.delete(frame({gone: ""}))
+    index = index.insert(frame({0: f"{line}\nback"}))
+    docs[0] = f"{line}\nback"
+    assert {r.doc_id: r.kept_text for r in index.apply(frame(docs)).collect()} == line_brute(docs)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert linededup.LineIndex.build(empty).apply(empty).count() == 0
+
+
 def test_cuckoo_filter():
     keys = [hashlib.md5(str(i).encode()).digest() for i in range(3000)]
     f = linededup.CuckooFilter.of(keys)
