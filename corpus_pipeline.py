@@ -14,21 +14,22 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in one of the languages that their own labels teach."""
+    """Keeps documents in one of the languages that their own labels teach; texts without a letter go.
+
+    Every row is judged by itself, so repeated rows and rows without a doc_id are like any others.
+    """
     lang, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
     told = langid.predict(docs, langid.fit(docs), lang_to=lang, score_to=score)
     return told.where((F.col(lang) != "und") & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the quality rules."""
-    # Written before it is filtered: a filter pushed below the counts would compute them once for each rule.
-    judged = written(quality.quality_rules(docs.select(COLUMNS)).select(*COLUMNS, "kept"), "judged")
-    return judged.where("kept").select(COLUMNS)
+    """Keeps documents that pass the quality rules; null and empty texts fail them. Repeated rows share their fate."""
+    return quality.quality_rules(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes frequent lines; n_chars follows the text."""
+    """Removes frequent lines; n_chars follows the text. Rows without a doc_id hold no line and lose none."""
     cleaned = linededup.LineIndex.build(docs).apply(docs.select(COLUMNS))
     return cleaned.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(COLUMNS)
 
@@ -36,19 +37,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component: that of the smallest doc_id, of equal ones the first by a hash of the row.
 
-    Rows are told apart by a number of their own. So a row without a doc_id takes part like any other and comes last
-    in its component, and rows that repeat a doc_id are compared by their texts: copies go, different texts stay.
+    Rows are told apart by a hash of doc_id and text. So a row without a doc_id takes part like any other and comes
+    last in its component, and rows that repeat a doc_id are compared by their texts: copies go, different texts stay.
+    Rows without words are linked with nothing; of those that are equal in all columns one stays, as of any others.
     """
-    row = F.monotonically_increasing_id().alias("row")
-    rows = written(docs.select(row, *COLUMNS), "rows")
-    parts = jaccard.similar_components(rows, "row").selectExpr("doc_id AS row", "component_id")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS), "row").alias("place")
-    first = parts.join(rows.select("row", place), "row").groupBy("component_id").agg(F.min("place").alias("place"))
-    return rows.join(first.select("place.row"), "row", "left_semi").select(COLUMNS)
+    own, whole = F.xxhash64("doc_id", "text"), F.xxhash64(*COLUMNS)
+    rows = docs.select(own.alias("own"), whole.alias("whole"), *COLUMNS)
+    parts = jaccard.similar_components(rows.select("own", "text"), "own").selectExpr("doc_id AS own", "component_id")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "whole", "own").alias("place")
+    first = parts.distinct().join(rows.select("own", place), "own").groupBy("component_id").agg(F.min("place").alias("place"))
+    return rows.join(first.select("place.own", "place.whole"), ["own", "whole"], "left_semi").dropDuplicates(["own", "whole"]).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, with their sequences."""
+    """The pieces of all documents that are left, with their sequences; rows that repeat a document are packed each."""
     return packing.pack(docs)
 
 
