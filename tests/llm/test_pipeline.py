@@ -9,3 +9,41 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_duplicates(spark, df.repartition(3), "").collect()
     assert sorted(((r.doc_id or 0, r.text or "") for r in got)) == sorted([(1, one), (3, two + " more"), (0, three), (4, four), (5, "")])
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+
+
+def test_stages_on_odd_rows(spark):
+    """Each stage on nulls, empty texts, repeated rows and a column of its own; and on an empty table."""
+    prose = "the house of the garden and the tree were there and it is a long way to the river in the north of the land "
+    rows = [(i, (prose + f"number{i} word{i} thing{i} ") * 3, "en", "web", 1, "x") for i in range(8)]
+    rows += [rows[0], (None, rows[1][1], "en", None, None, None), (50, None, "en", "web", 0, "x"), (51, "", None, "web", 0, "x"), (52, "12345 67890", "en", "web", 0, "x")]
+    df = spark.createDataFrame(rows, COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, "")
+        got = out.collect()
+        if name == "packing":
+            assert {r.doc_id for r in got} >= {0, 50, 51, None}
+        else:
+            assert out.columns == corpus_pipeline.COLUMNS
+        if name == "language_id":
+            assert {r.doc_id for r in got} == {*range(8), None} and len(got) == 10
+        if name == "line_dedup":
+            assert len(got) == len(rows)
+        assert stage(spark, df.limit(0), "").count() == 0
+
+
+def test_whole_pipeline_keeps_clean_documents(spark):
+    rng = __import__("numpy").random.default_rng(4)
+    stop = "the of and to in a is that it for".split()
+
+    def prose():
+        return " ".join(w for _ in range(60) for w in (stop[rng.integers(10)], "".join(chr(97 + c) for c in rng.integers(0, 26, 6))))
+
+    texts = [prose() for _ in range(12)]
+    rows = [(i, t, "en", "web", len(t), "") for i, t in enumerate(texts)] + [(100, texts[0], "en", "web", 1, ""), (101, texts[1] + " more", "en", "web", 1, "")]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+    assert sorted(r.doc_id for r in docs.collect()) == list(range(12))
