@@ -4,7 +4,9 @@
    one remainder, shorter than the capacity.
 2. The histogram of remainder lengths (fewer rows than the capacity, whatever the corpus) goes to the driver. A linear
    program over patterns that fill a sequence exactly is solved by column generation: its duals price lengths, and a
-   knapsack over the capacity finds the cheapest exact fill, until none pays. Pattern counts are rounded down.
+   knapsack over the capacity finds the cheapest exact fills, until none pays or MAX_COLUMNS went in. Pattern counts are
+   rounded, and what they leave over is the demand of the next program, for up to ROUNDS of them. The work is bounded
+   by these two numbers and the capacity, not by the corpus.
 3. Remainders are ranked within their length: range-partitioned, counted by partition, and numbered by adding the
    counts before. So ranks need no task that sees all remainders of a length. A rank's sequence and offset follow by
    arithmetic from the patterns' counts.
@@ -35,7 +37,8 @@ from finsift.llm._shared import read, written
 
 CAPACITY = 2048
 END_ID = 1
-MAX_COLUMNS = 512
+#: Patterns that go into one linear program, at most; share of the ids that may be left to be laid end to end; rounds.
+MAX_COLUMNS, LEAST_LEFT, ROUNDS = 800, 0.005, 12
 
 
 def vocabulary(name: str) -> str:
@@ -135,46 +138,107 @@ def exact_fills(lengths: np.ndarray, price: np.ndarray, capacity: int, most: int
     return out
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often to use them: the linear program's optimum, or what max_columns reach, rounded down.
+class Master:
+    """The linear program: of the patterns found so far, how often each is used, so that most ids are in filled sequences.
 
-    Maximises the ids in exactly filled sequences, with no more of a length than there is. The basis starts with all
-    demand left over.
+    A basis is some patterns and as many lengths that they use up; all other lengths have some demand left. So only a
+    matrix of the size of the patterns is inverted, whatever the number of lengths.
     """
-    m = len(lengths)
-    inverse, value, gain = np.eye(m), demand.astype(float), np.zeros(m)
-    basis: list[np.ndarray | None] = [None] * m
-    columns = 0
-    while m and columns < max_columns:
-        price = gain @ inverse
-        entered = 0
-        for counts in exact_fills(lengths, np.maximum(price, 0) + 1e-7 / demand, capacity, 24):
-            column = inverse @ counts
-            if capacity - gain @ column <= 1e-6 * capacity:
-                continue
-            ratio = np.where(column > 1e-9, value / np.where(column > 1e-9, column, 1), np.inf)
-            out = int(ratio.argmin())
-            if not np.isfinite(ratio[out]):
-                continue
-            step = ratio[out]
-            value = np.maximum(value - step * column, 0)
-            value[out] = step
-            pivot = inverse[out] / column[out]
-            inverse -= np.outer(column, pivot)
-            inverse[out] = pivot
-            basis[out], gain[out] = counts, capacity
-            entered += 1
-            columns += 1
-        if not entered:
+
+    REFACTOR = 200
+
+    def __init__(self, demand: np.ndarray, capacity: int):
+        self.demand, self.capacity = demand.astype(float), capacity
+        self.columns = np.zeros((len(demand), 64))
+        self.rows = np.zeros(0, np.int64)
+        self.inverse, self.times, self.left, self.turns = np.zeros((0, 0)), np.zeros(0), demand.astype(float), 0
+        self.price = np.zeros(len(demand))  # what one more of a length would gain
+
+    def enter(self, counts: np.ndarray) -> bool:
+        """Brings a pattern in, as long as that gains; which pattern or length goes out, the ratios tell."""
+        gain = self.capacity - self.price @ counts
+        if gain <= 1e-6 * self.capacity:
+            return False
+        k = len(self.rows)
+        way = self.inverse @ counts[self.rows]
+        used = counts - self.columns[:, :k] @ way
+        used[self.rows] = 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            by_pattern = np.where(way > 1e-9, self.times / way, np.inf)
+            by_length = np.where(used > 1e-9, self.left / used, np.inf)
+        row, old = int(by_length.argmin()), int(by_pattern.argmin()) if k else -1
+        step = max(0.0, min(by_length[row], by_pattern[old] if k else np.inf))
+        if not np.isfinite(step):
+            return False
+        self.times = np.maximum(self.times - step * way, 0)
+        self.left = np.maximum(self.left - step * used, 0)
+        if not k or by_length[row] <= by_pattern[old]:
+            if k == self.columns.shape[1]:
+                self.columns = np.hstack([self.columns, np.zeros_like(self.columns)])
+            across = self.columns[row, :k] @ self.inverse
+            grown = np.empty((k + 1, k + 1))
+            grown[:k, :k] = self.inverse + np.outer(way / used[row], across)
+            grown[:k, k], grown[k, :k], grown[k, k] = -way / used[row], -across / used[row], 1 / used[row]
+            self.price[self.rows] -= gain / used[row] * across
+            self.price[row] += gain / used[row]
+            self.inverse, self.rows, self.times = grown, np.append(self.rows, row), np.append(self.times, step)
+            self.columns[:, k], self.left[row] = counts, 0
+        else:
+            pivot = self.inverse[old] / way[old]
+            self.price[self.rows] += gain * pivot
+            self.inverse -= np.outer(way, pivot)
+            self.inverse[old] = pivot
+            self.columns[:, old], self.times[old] = counts, step
+        self.turns += 1
+        if self.turns % self.REFACTOR == 0:
+            self._refactor()
+        return True
+
+    def _refactor(self) -> None:
+        """The basis anew, against rounding."""
+        own = self.columns[:, : len(self.rows)]
+        self.inverse = np.linalg.inv(own[self.rows])
+        self.price = np.zeros(len(self.demand))
+        self.price[self.rows] = self.capacity * self.inverse.sum(0)
+        self.times = np.maximum(self.inverse @ self.demand[self.rows], 0)
+        self.left = np.maximum(self.demand - own @ self.times, 0)
+        self.left[self.rows] = 0
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int = MAX_COLUMNS, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how often to use them, of no length more than there is.
+
+    Each round solves a linear program until no pattern pays, less than LEAST_LEFT of the ids is left over (which bounds
+    the gain of any other pattern), or max_columns went in. Counts are rounded down, then up where demand is left; what
+    is left over then is the next round's demand.
+    """
+    left, chosen, total = demand.copy(), [], float(lengths @ demand)
+    for _ in range(rounds):
+        rows = np.flatnonzero(left > 0)
+        if not len(rows) or lengths[rows] @ left[rows] <= LEAST_LEFT * total:
+            break
+        own, some = lengths[rows], left[rows]
+        master = Master(some, capacity)
+        entered = 1
+        while entered and master.turns < max_columns and own @ master.left > LEAST_LEFT * total:
+            entered = sum(master.enter(counts) for counts in exact_fills(own, np.maximum(master.price, 0) + 1e-7 / some, capacity, 24))
+        patterns = master.columns[:, : len(master.rows)].T.astype(np.int64)
+        progress = False
+        whole = np.floor(master.times + 1e-9)
+        for up in (False, True):
+            for i in np.argsort(whole - master.times, kind="stable"):
+                has = patterns[i] > 0
+                most = int((some[has] // patterns[i][has]).min())
+                times = min(most, 1) if up else min(most, int(whole[i]))
+                if times > 0 and (not up or master.times[i] - whole[i] > 1e-6):
+                    some = some - times * patterns[i]
+                    counts = np.zeros(len(lengths), np.int64)
+                    counts[rows] = patterns[i]
+                    chosen.append((counts, times))
+                    progress = True
+        left[rows] = some
+        if not progress:
             break
-    chosen, left = [], demand.copy()
-    for counts, times in zip(basis, value, strict=True):
-        if counts is not None:
-            has = counts > 0
-            times = min(int(times + 1e-9), int((left[has] // counts[has]).min()))
-            if times > 0:
-                left -= times * counts
-                chosen.append((counts, times))
     return chosen
 
 

@@ -390,6 +390,52 @@ def test_packing(spark, none):
     assert packing.pack(none).count() == 0
 
 
+def test_linear_program_reaches_the_optimum():
+    """Against all bases of all patterns of small histograms."""
+    rng = np.random.default_rng(5)
+    for _ in range(25):
+        capacity = int(rng.integers(8, 15))
+        lengths = np.sort(rng.choice(np.arange(1, capacity), 3, replace=False)).astype(np.int64)
+        demand = rng.integers(1, 9, 3).astype(np.int64)
+        patterns = [np.array(c) for c in itertools.product(range(capacity + 1), repeat=3) if np.array(c) @ lengths == capacity]
+        columns = [*patterns, *np.eye(3, dtype=np.int64)]
+        best = 0.0
+        for base in itertools.combinations(range(len(columns)), 3):
+            matrix = np.array([columns[j] for j in base], float).T
+            if abs(np.linalg.det(matrix)) > 1e-9:
+                x = np.linalg.solve(matrix, demand)
+                if (x >= -1e-9).all():
+                    best = max(best, capacity * sum(v for v, j in zip(x, base, strict=True) if j < len(patterns)))
+        master, entered = packing.Master(demand, capacity), 1
+        while entered:
+            entered = sum(master.enter(c) for c in packing.exact_fills(lengths, np.maximum(master.price, 0) + 1e-9, capacity, 24))
+        assert abs(capacity * master.times.sum() - best) < 1e-6
+        chosen = packing.solve(lengths, demand, capacity)
+        assert all(c @ lengths == capacity for c, _ in chosen) and (sum((c * t for c, t in chosen), np.zeros(3, np.int64)) <= demand).all()
+
+
+def test_patterns_take_most_remainders():
+    rng = np.random.default_rng(6)
+    lengths, demand = np.unique(np.minimum(rng.gamma(2, 120, 6000).astype(np.int64) + 1, 511), return_counts=True)
+    chosen = packing.solve(lengths, demand, 512)
+    used = sum(c * t for c, t in chosen)
+    assert (used <= demand).all() and used @ lengths > 0.95 * (demand @ lengths)
+
+
+def test_packing_odd(spark):
+    texts = {1: "Zażółć gęślą jaźń 日本語 😀 " * 40, 2: None, 3: "x"}
+    rows = [*texts.items(), (3, "x"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("LENGTH", F.lit("clash"))
+    got = packing.pack(df, capacity=64)
+    rows = got.collect()
+    assert sum(r.doc_id == 3 for r in rows) >= 2 and any(r.doc_id is None for r in rows)
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert ends.get(r.sequence_id, 0) == r.offset
+        ends[r.sequence_id] = r.offset + r.length
+    assert all(n == 64 or n & (n - 1) == 0 for n in ends.values())
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (3, 0, "user", "hi"), (3, 1, "assistant", "hello"), (4, 0, "user", "other"), (5, 1, None, None), (None, 0, "user", "hi")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
