@@ -1,15 +1,22 @@
 """Exact top-k inner products over quantised vectors, retrieved bucket by bucket of similar length.
 
-Components become floor(scale * x). Vectors are sorted by length, longest first, into buckets of bounded size. Each
-block of queries meets the first bucket, which gives every query a threshold: its k-th best score so far. In each
-other bucket, a query with threshold t needs a cosine of t / (|q| * longest); above 1 the bucket is left out. Else,
-where that local threshold is high, candidates must also have a feasible value in the query's largest coordinate
-(coordinate pruning); where it is low, those long enough to reach t (length pruning). What is left is verified by
-integer products. Ties go to the smaller id; a row is no candidate for its own query.
-
-Vectors that are null or hold null or non-finite components take no part, neither do rows without an id or vectors of
-another size than most. Equal vectors and equal lengths need no special case, as buckets are cut by number. Scores
-must fit in 64 bits.
+Components become floor(scale * x). Vectors are sorted by length, longest first, into buckets of bounded size, and so
+are the queries into blocks. Each block first meets the bucket of the longest vectors, which gives every query a
+threshold: its k-th best score so far. A block is paired with a bucket only if some query with threshold t may reach it
+there: if t <= |q| * longest, by the lengths stored with both. In a bucket, a query needs a cosine of
+t / (|q| * longest): where that local threshold is high, candidates must also have a feasible value in the query's
+largest coordinate (coordinate pruning); where it is low, those long enough to reach t (length pruning). What is left
+is verified by integer products, and tightens the threshold for the buckets that follow.
+
+Buckets are dealt over as many slots as there are tasks, each bucket to one. A block goes to each slot once, goes
+through its buckets from long to short, and gives k rows a query for the slot: so neither what is shuffled nor what is
+given grows with the number of pairs.
+
+Ties go to the smaller id. A row is no candidate for its own query. An id that several rows have is one candidate and
+one query: the best score of its vectors counts. Vectors of different sizes meet as if the shorter one had zeros at
+its end; an empty vector's scores are 0. Vectors that are null or hold null or non-finite components take no part,
+neither do rows without an id. Equal vectors and equal lengths need no special case, as buckets are cut by number. An
+empty table gives no rows. Scores must fit in 64 bits.
 """
 
 from __future__ import annotations
@@ -22,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from finsift.llm._bytes import trim
 from finsift.llm._shared import read, written
 
 SCALE, K, QUERY_MODULUS = 64, 20, 20
-BUCKET, QUERY_BLOCK = 4096, 512
+BUCKET, QUERY_BLOCK = 4096, 1024
 #: Local cosine threshold from which coordinates prune better than lengths.
 COORDINATE_FROM = 0.6
 
@@ -39,20 +47,52 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return out.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
 
 
+def packed(rows: np.ndarray) -> bytes:
+    """Integer rows in as few bytes as their values need, after a byte that says how many."""
+    top = int(np.abs(rows).max(initial=0))
+    kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
+    return kind[2].encode() + rows.astype(kind).tobytes()
+
+
+def unpacked(stored: bytes, number: int) -> np.ndarray:
+    return np.frombuffer(stored[1:], f"<i{stored[:1].decode()}").reshape(number, -1).astype(np.int64)
+
+
 def _blocks(size: int):
-    """Rows, in order, as blocks of at most size vectors: ids and components as bytes."""
+    """Rows, in order, as blocks of at most size vectors: ids, components, and the largest length."""
+
+    def block(ids: list[np.ndarray], rows: list[list[int]], norms: list[np.ndarray]) -> pa.RecordBatch:
+        width = max(1, max(map(len, rows)))
+        out = np.zeros((len(rows), width), np.int64)
+        for i, x in enumerate(rows):
+            out[i, : len(x)] = x
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([packed(out)], pa.binary()), pa.array([float(np.concatenate(norms).max())])], ["ids", "v", "longest"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, norms = [], [], []
         for batch in batches:
-            for i in range(0, len(batch), size):
-                part = batch.slice(i, size)
-                norms = part.column(2).to_numpy()
-                flat = part.column(1).flatten().to_numpy().astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([float(norms.max())])], ["ids", "v", "longest"])
+            done = 0
+            while done < len(batch):
+                part = batch.slice(done, size - len(rows))
+                ids.append(part.column(0).to_numpy())
+                rows += [np.array(x, np.int64) for x in part.column(1).to_pylist()]
+                norms.append(part.column(2).to_numpy())
+                done += len(part)
+                if len(rows) == size:
+                    yield block(ids, rows, norms)
+                    ids, rows, norms = [], [], []
+        if rows:
+            yield block(ids, rows, norms)
 
     return cut
 
 
+def same_width(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both with zeros up to the width of the wider."""
+    width = max(q.shape[1], v.shape[1])
+    return tuple(x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, v))
+
+
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact integer products; in floating point where all partial sums are exact there."""
     size = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
@@ -65,7 +105,7 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray
     q_norms = np.sqrt((q.astype(float) ** 2).sum(1))
     longest = norms.max(initial=0)
     reach = q_norms * longest * (1 + 1e-9)
-    live = np.flatnonzero((floor <= reach) | (floor == np.iinfo(np.int64).min))
+    live = np.flatnonzero((floor <= reach) | (floor <= 0))
     if not len(live):
         return
     unit = v / np.maximum(norms, 1e-300)[:, None]
@@ -88,29 +128,84 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray
             rows = np.flatnonzero(norms * q_norms[j] * (1 + 1e-9) >= floor[j])
             s = scores[np.searchsorted(low, j)][rows]
         keep = (ids[rows] != q_ids[j]) & (s >= floor[j])
-        rows, s = rows[keep], s[keep]
-        if len(s) > k:
-            edge = np.partition(s, len(s) - k)[len(s) - k]
-            rows, s = rows[s >= edge], s[s >= edge]
-        order = np.lexsort((ids[rows], -s))[:k]
-        yield int(j), ids[rows[order]], s[order]
+        yield int(j), *firsts(ids[rows[keep]], s[keep], k)
+
+
+def firsts(ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids with their best scores, ties to the smaller id."""
+    if len(s) > 4 * k and len(np.unique(ids)) == len(ids):
+        edge = np.partition(s, len(s) - k)[len(s) - k]
+        ids, s = ids[s >= edge], s[s >= edge]
+    order = np.lexsort((ids, -s))
+    _, first = np.unique(ids[order], return_index=True)
+    order = order[np.sort(first)][:k]
+    return ids[order], s[order]
+
+
+class Best:
+    """The best candidates of a block's queries so far."""
 
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
+        self.q_ids, self.q, self.floor, self.k = q_ids, q, floor.copy(), k
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-def _searched(k: int, seed: bool):
-    kind = [("qblock", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]
+    def meet(self, ids: np.ndarray, v: np.ndarray) -> None:
+        q, v = same_width(self.q, v)
+        for j, more, s in best_of(self.q_ids, q, self.floor, ids, v, self.k):
+            if j in self.held:
+                more, s = firsts(np.concatenate([self.held[j][0], more]), np.concatenate([self.held[j][1], s]), self.k)
+            self.held[j] = more, s
+            if len(s) == self.k:
+                self.floor[j] = max(self.floor[j], s[-1])
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(self.held[j][1]) for j in self.held]
+        ids, scores = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in self.held.values())]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.q_ids[list(self.held)], n).astype(np.int64)), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+
+NONE = np.iinfo(np.int64).min
+
+
+def _seeded(first: tuple[bytes, bytes], k: int):
+    """Blocks of queries with their thresholds from the first bucket, and the length that a bucket must have for any of them."""
+    ids = np.frombuffer(first[0], "<i8")
+    v = unpacked(first[1], len(ids))
+
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            floors, least = [], []
+            for q_ids, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                q_ids = np.frombuffer(q_ids, "<i8")
+                best = Best(q_ids, unpacked(q, len(q_ids)), np.full(len(q_ids), NONE), k)
+                best.meet(ids, v)
+                norms = np.sqrt((best.q.astype(float) ** 2).sum(1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    need = np.where(best.floor > 0, np.where(norms > 0, best.floor / norms, np.inf), 0.0)
+                floors.append(best.floor.astype("<i8").tobytes())
+                least.append(float(need.min()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floors, pa.binary()), pa.array(least)], ["q_ids", "q", "floor", "least"])
+
+    return seed
+
+
+def _searched(k: int):
+    """Rows of a block and a bucket, the blocks one after the other, to the k best candidates of each query for the slot."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best = None, None
         for batch in batches:
-            for i in range(len(batch)):
-                number, q_ids, q, floor, ids, v = (batch.column(c)[i].as_py() for c in ("qblock", "q_ids", "q", "floor", "ids", "v"))
-                q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                q, v = np.frombuffer(q, "<i8").reshape(len(q_ids), -1), np.frombuffer(v, "<i8").reshape(len(ids), -1)
-                least = np.full(len(q_ids), np.iinfo(np.int64).min) if seed or floor is None else np.frombuffer(floor, "<i8")
-                found = list(best_of(q_ids, q, least, ids, v, k))
-                if found:
-                    lengths = [len(s) for _, _, s in found]
-                    rows = np.repeat(q_ids[[j for j, _, _ in found]], lengths)
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array(rows), pa.array(np.concatenate([x for _, x, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], [n for n, _ in kind])
+            for key, q_ids, q, floor, ids, v in zip(*(batch.column(c).to_pylist() for c in ("key", "q_ids", "q", "floor", "ids", "v")), strict=True):
+                if key != now:
+                    if best is not None:
+                        yield best.rows()
+                    q_ids = np.frombuffer(q_ids, "<i8")
+                    now, best = key, Best(q_ids, unpacked(q, len(q_ids)), np.frombuffer(floor, "<i8"), k)
+                ids = np.frombuffer(ids, "<i8")
+                best.meet(ids, unpacked(v, len(ids)))
+        if best is not None:
+            yield best.rows()
+        trim()
 
     return search
 
@@ -118,42 +213,27 @@ def _searched(k: int, seed: bool):
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_modulus: int = QUERY_MODULUS, k: int = K, scale: int = SCALE, bucket: int = BUCKET, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for each row whose id query_modulus divides, against all others."""
     spark = vectors.sparkSession
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = written(quantised(vectors, id_col, vector_col, scale), "quantised")
-    dims = whole.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if dims is None or dims["d"] == 0:
-        return empty
-    whole = whole.where(F.size("v") == dims["d"])
-    schema = "ids binary, v binary, longest double"
-    ordered = whole.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    buckets = written(ordered.mapInArrow(_blocks(bucket), schema).withColumn("bucket", F.monotonically_increasing_id()), "buckets")
-    asked = whole.where(F.col("vec_id") % query_modulus == 0).repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    queries = written(asked.mapInArrow(_blocks(query_block), schema).select(F.monotonically_increasing_id().alias("qblock"), F.col("ids").alias("q_ids"), F.col("v").alias("q")), "queries")
-    first = buckets.orderBy(F.desc("longest"), "bucket").limit(1)
-
-    # The first bucket: every query block, with no threshold. One row, of at most `bucket` vectors, is sent.
-    rows = "qblock long, query_id long, vec_id long, score long"
-    meet = queries.withColumn("floor", F.lit(None).cast("binary")).withColumn("one", F.lit(1)).join(F.broadcast(first.withColumn("one", F.lit(1))), "one")
-    seeded = written(meet.repartition("qblock").mapInArrow(_searched(k, True), rows), "seeded")
-    edge = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    floors = seeded.withColumn("r", F.row_number().over(edge)).where(F.col("r") == k).select("qblock", F.struct("query_id", "score").alias("f"))
-    floors = floors.groupBy("qblock").agg(F.map_from_entries(F.collect_list("f")).alias("floors"))
-
-    @F.arrow_udf("binary")
-    def floor_bytes(q_ids: pa.Array, floors: pa.Array) -> pa.Array:
-        out = []
-        for ids, held in zip(q_ids, floors.to_pylist(), strict=True):
-            held = dict(held or [])
-            out.append(np.array([held.get(i, np.iinfo(np.int64).min) for i in np.frombuffer(ids.as_py(), "<i8").tolist()], "<i8").tobytes())
-        return pa.array(out, pa.binary())
-
-    # A query block goes to each other bucket by the buckets' numbers, not as a cross join of rows.
-    others = buckets.join(first.select("bucket"), "bucket", "left_anti")
-    numbers = others.agg(F.collect_list("bucket").alias("numbers"))
-    known = queries.join(floors, "qblock", "left").withColumn("floor", floor_bytes("q_ids", "floors")).drop("floors").withColumn("one", F.lit(1))
-    pairs = known.join(F.broadcast(numbers.withColumn("one", F.lit(1))), "one").withColumn("bucket", F.explode("numbers")).drop("numbers", "one")
-    found = pairs.join(others, "bucket").repartition("qblock", "bucket").mapInArrow(_searched(k, False), rows).unionByName(seeded)
-    ranked = found.withColumn("rank", F.row_number().over(edge)).where(F.col("rank") <= k)
+
+    def cut(rows: DataFrame, size: int) -> DataFrame:
+        return rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id").mapInArrow(_blocks(size), "ids binary, v binary, longest double")
+
+    buckets = written(cut(whole, bucket).withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+    first = buckets.orderBy(F.desc("longest"), "bucket").limit(1).collect()  # one bucket
+    if not first:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asked = cut(whole.where(F.col("vec_id") % query_modulus == 0), query_block).selectExpr("ids AS q_ids", "v AS q")
+    queries = written(asked.mapInArrow(_seeded((bytes(first[0]["ids"]), bytes(first[0]["v"])), k), "q_ids binary, q binary, floor binary, least double").withColumn("qblock", F.monotonically_increasing_id()), "queries")
+
+    # A block goes to every slot once, a bucket to one; of their pairs only those that the lengths allow are made.
+    at = F.pmod(F.xxhash64("bucket"), F.lit(slots))
+    left = queries.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    right = buckets.withColumn("slot", at).repartition(slots, "slot").sortWithinPartitions("slot", F.desc("longest"), "bucket")
+    pairs = left.join(right.hint("merge"), (left["slot"] == right["slot"]) & (right["longest"] * (1 + 1e-9) >= left["least"]))
+    found = pairs.select(F.xxhash64("qblock", left["slot"]).alias("key"), "q_ids", "q", "floor", "ids", "v").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

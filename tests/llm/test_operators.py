@@ -366,6 +366,26 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_with_repeated_ids_and_sizes(spark):
+    """Repeated rows, an id with several vectors, vectors of other sizes, an empty one, clashing names."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=int(rng.integers(2, 6))).tolist()) for i in range(120)]
+    rows += [rows[20], rows[5], (20, rng.normal(size=4).tolist()), (7, (3 * rng.normal(size=4)).tolist()), (200, []), (None, [9.0, 9.0]), (40, [9.0, float("inf")])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("norm", F.lit("clash")).withColumn("RANK", F.lit(1))
+    ints = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and np.isfinite(v).all()]
+    best = {}
+    for i, q in ints:
+        for j, v in ints:
+            if i % 20 == 0 and i != j:
+                best[i, j] = max(best.get((i, j), -(10**18)), sum(a * b for a, b in zip(q, v, strict=False)))
+    want = set()
+    for i in {i for i, _ in best}:
+        top = sorted((-s, j) for (a, j), s in best.items() if a == i)[:20]
+        want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(top)}
+    for bucket, block in ((16, 2), (4096, 1024)):
+        assert {tuple(r) for r in topk.top_k(df, bucket=bucket, query_block=block).collect()} == want
+
+
 def check_pieces(df, texts, capacity):
     from tokenizers import Tokenizer
 
