@@ -15,7 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsift.llm._shared import read, written
@@ -23,6 +23,13 @@ from finsift.llm._shared import read, written
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+def harmless(x: Column) -> Column:
+    """x without marks of its own."""
+    for mark in (START, END):
+        x = F.replace(x, F.lit(mark), F.lit(mark.replace("|", "\\|", 1)))
+    return x
+
+
 def prefixes(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     """(conv_id, n_turns, hashes): the hash of each prefix, the whole conversation's last."""
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
@@ -59,7 +66,7 @@ def render(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     own = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), F.unhex(F.md5(text.cast("binary"))).alias("t"), text.alias("text")).alias("x"))
     lists = own.join(kept.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    chat = F.array_join(F.transform("x", lambda x: F.concat(F.lit(START), x["role"], F.lit("\n"), x["text"], F.lit(END + "\n"))), "")
+    chat = F.array_join(F.transform("x", lambda x: F.concat(F.lit(START), harmless(x["role"]), F.lit("\n"), harmless(x["text"]), F.lit(END + "\n"))), "")
     return lists.select("conv_id", F.size("x").cast("long").alias("n_turns"), chat.alias("chat"))
 
 
@@ -69,10 +76,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
+    safe = lambda x: f"replace(replace({x}, '<|im_start|>', '<\\|im_start|>'), '<|im_end|>', '<\\|im_end|>')"
     return f"""
     WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
     l AS (SELECT conv_id, list(role || chr(10) || md5(text) ORDER BY turn NULLS FIRST, role, md5(text)) AS h,
-                 string_agg('{START}' || role || chr(10) || text || '{END}' || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text)) AS chat FROM t GROUP BY conv_id),
+                 string_agg('{START}' || {safe('role')} || chr(10) || {safe('text')} || '{END}' || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text)) AS chat FROM t GROUP BY conv_id),
     w AS (SELECT conv_id, len(h) AS n, array_to_string(h, chr(0)) AS k, chat FROM l),
     p AS (SELECT DISTINCT array_to_string(h[1:i], chr(0)) AS k FROM (SELECT h, unnest(range(1, len(h))) AS i FROM l)),
     u AS (SELECT k, min(conv_id) AS conv_id, any_value(n) AS n, any_value(chat) AS chat FROM w GROUP BY k)
