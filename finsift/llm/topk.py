@@ -8,7 +8,7 @@ t / (|q| * longest): where that local threshold is high, candidates must also ha
 largest coordinate (coordinate pruning); where it is low, those long enough to reach t (length pruning). What is left
 is verified by integer products, and tightens the threshold for the buckets that follow.
 
-Buckets are dealt over as many slots as there are tasks, each bucket to one. A block goes to each slot once, goes
+Buckets are dealt over slots, as many as there are tasks or pairs of buckets, each bucket to one. A block goes to each slot once, goes
 through its buckets from long to short, and gives k rows a query for the slot: so neither what is shuffled nor what is
 given grows with the number of pairs.
 
@@ -213,11 +213,12 @@ def _searched(k: int):
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_modulus: int = QUERY_MODULUS, k: int = K, scale: int = SCALE, bucket: int = BUCKET, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for each row whose id query_modulus divides, against all others."""
     spark = vectors.sparkSession
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = written(quantised(vectors, id_col, vector_col, scale), "quantised")
+    # As many slots as give each two buckets, up to the number of tasks: more would only give more rows to merge.
+    slots = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole.count() // (2 * bucket))))
 
     def cut(rows: DataFrame, size: int) -> DataFrame:
-        return rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id").mapInArrow(_blocks(size), "ids binary, v binary, longest double")
+        return rows.repartitionByRange(slots, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id").mapInArrow(_blocks(size), "ids binary, v binary, longest double")
 
     buckets = written(cut(whole, bucket).withColumn("bucket", F.monotonically_increasing_id()), "buckets")
     first = buckets.orderBy(F.desc("longest"), "bucket").limit(1).collect()  # one bucket
