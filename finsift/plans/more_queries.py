@@ -18,6 +18,7 @@ from finsift.plans import reference_sql as R
 from finsift.plans.queries import ENTITIES, FILINGS, PREDICTIONS, RELATIONS, SCORED, _chunk_sql, filings, predictions, query, r6, records, scored, table
 from finsift.sources import readers, sinks
 from finsift.storage import table_path, write_bytes
+from finsift.streaming.ingest import score_stream, window_stream
 
 # Sources and sinks, by a round trip through the shared folder
 
@@ -519,3 +520,24 @@ def balanced_rate(spark, sf_dir):
     t = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") == 1, 1).otherwise(0).alias("label"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)))
     rate = lambda df, step: df.agg(F.lit(step).alias("step"), r6(F.avg("label"), "rate"), F.count("*").alias("n"))
     return rate(t, "before").unionByName(rate(ml.balanced(t, "vec_id", [f"x{i}" for i in range(4)]), "after"))
+
+
+# Streams, run until all that is there has been read
+
+
+@query(f"WITH {SCORED} SELECT doc_id, round(overall, 6) AS overall, risk_level FROM scored")
+def streamed_risk(spark, sf_dir):
+    docs, out = table_path(spark, "arrivals"), table_path(spark, "scored")
+    filings(spark, sf_dir).select("doc_id", "content").write.parquet(docs)
+    score_stream(spark, docs, out, table_path(spark, "progress"), "doc_id bigint, content string").awaitTermination()
+    return spark.read.parquet(out).select("doc_id", r6(F.col("overall"), "overall"), "risk_level")
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS key, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL")
+def streamed_windows(spark, sf_dir):
+    arrivals, out = table_path(spark, "events"), table_path(spark, "windows")
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    events.write.parquet(arrivals)
+    window_stream(spark, arrivals, out, table_path(spark, "progress"), "ts timestamp, event_type string, value double", "ts", "event_type", "value").awaitTermination()
+    done = spark.read.schema("start timestamp, end timestamp, key string, n long, total double").parquet(out)
+    return done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "key", "n", F.round("total", 4).alias("total"))
