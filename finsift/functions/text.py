@@ -163,6 +163,13 @@ def display_name(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
+def byte_size(number: Column) -> Column:
+    """A number of bytes in the unit that keeps it below 1024, B to TB, with two places."""
+    steps = F.least(F.lit(4), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.abs(number.cast("double")), F.lit(1.0))) / 10)))
+    unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), (steps + 1).cast("int"))
+    return F.concat(F.format_string("%.2f ", F.bround(number.cast("double") / F.pow(F.lit(1024.0), steps), 2)), unit)
+
+
 def term_places(low: Column, term: str) -> Column:
     """Where, from 0, each non-overlapping hit of term in lower-case text begins."""
     parts = F.split(low, r"\Q" + term + r"\E", -1)

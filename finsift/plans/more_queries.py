@@ -16,7 +16,7 @@ from finsift.operators import vectors as V
 from finsift.plans import queries as Q
 from finsift.plans import reference_sql as R
 from finsift.plans.queries import ENTITIES, FILINGS, PREDICTIONS, RELATIONS, SCORED, _chunk_sql, filings, predictions, query, r6, records, scored, table
-from finsift.sources import readers, sinks
+from finsift.sources import excel, plots, readers, sinks
 from finsift.storage import table_path, write_bytes
 from finsift.streaming.ingest import score_stream, window_stream
 
@@ -541,3 +541,31 @@ def streamed_windows(spark, sf_dir):
     window_stream(spark, arrivals, out, table_path(spark, "progress"), "ts timestamp, event_type string, value double", "ts", "event_type", "value").awaitTermination()
     done = spark.read.schema("start timestamp, end timestamp, key string, n long, total double").parquet(out)
     return done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "key", "n", F.round("total", 4).alias("total"))
+
+
+# Spreadsheets, sizes, charts
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, CASE WHEN s_suppkey % 3 > 0 THEN 'a<b & \"c\" ' || s_nationkey END AS note FROM supplier")
+def excel_round_trip(spark, sf_dir):
+    t = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit('a<b & "c" '), F.col("s_nationkey").cast("string"))).alias("note"))
+    path = excel.write_excel(t, table_path(spark, "book.xlsx"))
+    return excel.numbers(excel.excel_table(spark, path), ["id", "balance"]).withColumn("id", F.col("id").cast("long"))
+
+
+@query("SELECT event_id, CASE WHEN b < 1024 THEN printf('%.2f B', CAST(b AS DOUBLE)) WHEN b < 1048576 THEN printf('%.2f KB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.2f MB', b / 1048576.0) ELSE printf('%.2f GB', b / 1073741824.0) END AS size FROM (SELECT event_id, event_id * event_id * 257 AS b FROM events)")
+def byte_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.byte_size(F.col("event_id") * F.col("event_id") * 257).alias("size"))
+
+
+@query("SELECT * FROM (VALUES ('boxes', 4), ('classes', 3), ('histogram', 41), ('roc', 2)) AS t(chart, rects)")
+def charts(spark, sf_dir):
+    """Charts as SVG: how many rectangles each has."""
+    line = table(spark, sf_dir, "lineitem")
+    made = {
+        "histogram": plots.histogram_plot(stats.histogram(line, "l_extendedprice", 40), "price"),
+        "classes": plots.class_plot(stats.class_distribution(line.where("l_returnflag <> 'N'"), "l_returnflag"), "l_returnflag", "flags"),
+        "roc": plots.roc_plot(M.curve(Q._one(spark, sf_dir, "model_c")), "model c"),
+        "boxes": plots.box_plot(stats.boxplot(line, ["l_quantity", "l_extendedprice", "l_tax"]), "columns"),
+    }
+    return spark.createDataFrame([(k, v.count("<rect")) for k, v in made.items()], "chart string, rects int")

@@ -280,3 +280,17 @@ def test_formats_of_nothing(spark):
     assert {r.document_id: r.extracted_data.entity_summary.total_entities for r in rows}["2"] == 0 and all(r.risk_assessment.overall_score == 0 for r in rows)
     empty = formatting.formatted_documents(docs.limit(0))
     assert formatting.batch_summary(empty).first().total_documents == 0 and "Documents: 0" in sinks.summary_report(empty)
+
+
+def test_plots_and_indexed_tables(spark, tmp_path):
+    from finsift.sources import excel, plots
+
+    df = spark.createDataFrame([(0, 0, 5), (0, 1, 1), (1, 1, 4)], "label int, pred int, n long")
+    svg = plots.confusion_plot(df, "a < b")
+    assert svg.count("<rect") == 5 and "a &lt; b" in svg and ">5<" in svg
+    path = excel.write_excel(spark.createDataFrame([(1, None, "x y"), (None, 2.5, " z")], "a long, b double, c string"), str(tmp_path / "t.xlsx"))
+    assert [tuple(r) for r in excel.excel_table(spark, path).collect()] == [("1", None, "x y"), (None, "2.5", " z")]
+    sinks.write_indexed(df, "nodes_by_label", ["label"], 4, str(tmp_path / "w"))
+    joined = spark.table("nodes_by_label").join(spark.table("nodes_by_label").hint("merge"), "label")
+    assert joined.count() == 5 and "Exchange hashpartitioning" not in joined._jdf.queryExecution().sparkPlan().toString()
+    spark.sql("DROP TABLE nodes_by_label")
