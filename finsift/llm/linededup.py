@@ -9,6 +9,8 @@ largest doc_id that holds it. `LineIndex` keeps
 * frequent(key, n_docs, max_doc): the reference counts that reached min_docs;
 * filters(shard, buckets): a cuckoo filter of each shard's frequent keys, from which keys can be deleted.
 
+Of the last two, too, a change writes only the keys and shards that it touches.
+
 insert() and delete() touch only the keys of the documents given; a deleted document's lines come back in the
 others. Every new state is a set of tables in the shared folder, so a lost executor costs a re-read only.
 
@@ -230,15 +232,21 @@ class LineIndex:
         layers = self.layers + 1
         if layers >= LAYERS:
             holders, layers = written(holders, "holders"), 0
-        keys = references.select("key").distinct()
-        counted = self._counted(holders.join(keys, "key", "left_semi")).where(F.col("n_docs") >= self.min_docs)
-        frequent = written(self.frequent.join(keys, "key", "left_anti").unionByName(counted), "frequent")
-        up = frequent.join(self.frequent, "key", "left_anti").select("key", F.lit(True).alias("now"))
-        down = self.frequent.join(frequent, "key", "left_anti").select("key", F.lit(False).alias("now"))
-        changes = self._sharded(up.unionByName(down), self.shards)
-        filters = written(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_updated, "shard int, buckets binary"), "filters")
+        keys = written(references.select("key").distinct(), "changed_keys")
+        counted = written(self._counted(holders.join(keys, "key", "left_semi")).where(F.col("n_docs") >= self.min_docs), "changed")
+        # Of the frequent keys and the filters, too, only what changes is written.
+        frequent = self.frequent.join(keys, "key", "left_anti").unionByName(counted)
+        frequent = frequent if layers else written(frequent, "frequent")
+        up = counted.join(self.frequent, "key", "left_anti").select("key", F.lit(True).alias("now"))
+        down = self.frequent.join(keys, "key", "left_semi").join(counted, "key", "left_anti").select("key", F.lit(False).alias("now"))
+        changes = written(self._sharded(up.unionByName(down), self.shards), "changes")
+        touched = changes.select("shard").distinct()
+        new = self.filters.join(touched, "shard", "left_semi").groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_updated, "shard int, buckets binary")
+        new = written(new, "filters")
+        filters = self.filters.join(touched, "shard", "left_anti").unionByName(new)
+        filters = filters if layers else written(filters, "filters")
         out = replace(self, holders=holders, frequent=frequent, filters=filters, layers=layers)
-        if filters.where("buckets IS NULL").limit(1).count():
+        if new.where("buckets IS NULL").limit(1).count():
             shards = 2 * self.shards
             out = replace(out, shards=shards, filters=self._filters(frequent, shards))
         return out
