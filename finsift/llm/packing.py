@@ -37,6 +37,8 @@ from finsift.llm._shared import read, written
 
 CAPACITY = 2048
 END_ID = 1
+#: Pricings in a row without a gain of a thousandth, after which a program ends.
+PATIENCE = 3
 #: Patterns that go into one linear program, at most; share of the ids that may be left to be laid end to end; rounds.
 MAX_COLUMNS, LEAST_LEFT, ROUNDS = 800, 0.005, 12
 
@@ -209,7 +211,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, max_columns: i
     """Patterns and how often to use them, of no length more than there is.
 
     Each round solves a linear program until no pattern pays, less than LEAST_LEFT of the ids is left over (which bounds
-    the gain of any other pattern), or max_columns went in. Counts are rounded down, then up where demand is left; what
+    the gain of any other pattern), max_columns went in, or the gain stays away. Counts are rounded down, then up where demand is left; what
     is left over then is the next round's demand.
     """
     left, chosen, total = demand.copy(), [], float(lengths @ demand)
@@ -219,9 +221,11 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, max_columns: i
             break
         own, some = lengths[rows], left[rows]
         master = Master(some, capacity)
-        entered = 1
-        while entered and master.turns < max_columns and own @ master.left > LEAST_LEFT * total:
+        entered, still, value = 1, 0, 0.0
+        while entered and still < PATIENCE and master.turns < max_columns and own @ master.left > LEAST_LEFT * total:
             entered = sum(master.enter(counts) for counts in exact_fills(own, np.maximum(master.price, 0) + 1e-7 / some, capacity, 24))
+            now = capacity * master.times.sum()
+            still, value = (0, now) if now > value + 1e-3 * (own @ some) else (still + 1, value)
         patterns = master.columns[:, : len(master.rows)].T.astype(np.int64)
         progress = False
         whole = np.floor(master.times + 1e-9)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import zlib
 
 import numpy as np
@@ -241,6 +242,25 @@ def test_toxicity_odd(spark, odd):
     assert toxicity.fit(df, labels, fit_bytes=10).bias is not None
 
 
+def test_toxicity_held_out(spark):
+    """Held-out documents of the test tables; labels are learned from the other ones only."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    got = toxicity.op5_toxicity(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = got.join(labels, "doc_id").where("held_out").collect()
+    toxic = [r.predicted for r in rows if r.toxic == 1]
+    assert sum(toxic) >= 0.6 * len(toxic) and sum(r.predicted for r in rows if r.toxic == 0) <= 0.03 * len(rows)
+
+
+def test_noisy_or(spark):
+    """A document's score is one minus the chance that no sentence is toxic."""
+    model = toxicity.fit(spark.createDataFrame([(i, "bad words" if i % 2 else "good words") for i in range(60)], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    df = spark.createDataFrame([(1, "bad words"), (2, "good words"), (3, "bad words. good words."), (4, "good words. good words! good words?")], "doc_id long, text string")
+    s = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    assert s[3] == pytest.approx(1 - (1 - s[1]) * (1 - s[2]), abs=1e-9) and s[4] == pytest.approx(1 - (1 - s[2]) ** 3, abs=1e-9) and s[1] > 0.5 > s[2]
+
+
 def test_languages(spark, odd, none):
     rows = [(i, f"the house and the garden of {i} were there", "en") for i in range(60)] + [(100 + i, f"das haus und der garten von {i} waren schön", "de") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

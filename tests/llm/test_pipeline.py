@@ -1,5 +1,9 @@
 """The pipeline's stages on null and repeated ids."""
 
+import os
+
+import pytest
+
 import corpus_pipeline
 
 
@@ -47,3 +51,37 @@ def test_whole_pipeline_keeps_clean_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "")
     assert sorted(r.doc_id for r in docs.collect()) == list(range(12))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_stages_against_brute_force(spark):
+    """Each stage on what its predecessor kept of a whole table, against the plain way to do it."""
+    import duckdb
+
+    from finsift.llm import quality
+    from finsift.llm._shared import written
+    from tests.llm.test_operators import check_pieces, line_brute, sets
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+    kept = written(corpus_pipeline.language_id(spark, docs, SF), "kept")
+    own, told = texts(docs), texts(kept)
+    assert all(told[i] == own[i] for i in told) and not any(t and any(c.isalpha() for c in t) and i not in told and len(t) > 200 for i, t in own.items())
+    judged = written(corpus_pipeline.quality_rules(spark, kept, SF), "judged")
+    con = duckdb.connect()
+    con.register("documents", kept.toPandas())
+    assert set(texts(judged)) == {r[0] for r in con.execute(f"SELECT doc_id FROM ({quality.oracle()}) WHERE kept").fetchall()}
+    cleaned = written(corpus_pipeline.line_dedup(spark, judged, SF), "cleaned")
+    assert texts(cleaned) == line_brute(texts(judged), 5)
+    alone = written(corpus_pipeline.near_duplicates(spark, cleaned, SF), "alone")
+    own = {i: sets(t) for i, t in texts(cleaned).items()}
+    first = {i: i for i in own}
+    for a in sorted(own):
+        for b in sorted(own):
+            if a < b and own[a] and own[b] and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b]):
+                first = {i: min(first[a], first[b]) if c in (first[a], first[b]) else c for i, c in first.items()}
+    assert set(texts(alone)) == {i for i, c in first.items() if i == c}
+    check_pieces(corpus_pipeline.pack(spark, alone, SF), texts(alone), 2048)
