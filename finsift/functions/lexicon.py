@@ -45,7 +45,7 @@ def sql_count(text: str, term: str) -> str:
 
 
 def sql_has(text: str, term: str) -> str:
-    return f"CASE WHEN instr({text}, '{term}') > 0 THEN 1 ELSE 0 END"
+    return f"CASE WHEN contains({text}, '{term}') THEN 1 ELSE 0 END"
 
 
 def sql_distinct_terms(text: str, terms: tuple[str, ...]) -> str:
@@ -75,9 +75,9 @@ def fraud_score(hit_counts: Column, indicators: Column) -> Column:
 
 
 def hit_counts(low: Column) -> Column:
-    """Hits of each term of SEVERITY in lower-case text."""
-    terms = F.array(*map(F.lit, SEVERITY))
-    return F.transform(terms, lambda t: ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("int"))
+    """Hits of each term of SEVERITY in lower-case text; counted only where the term is there at all."""
+    count = lambda t: ((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("int")
+    return F.array(*(F.when(low.contains(t), count(t)).when(low.isNotNull(), 0) for t in SEVERITY))
 
 
 def sql_entity_score(terms: str, indicators: str, orgs: str, money: str) -> str:

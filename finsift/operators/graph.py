@@ -16,29 +16,33 @@ TRIPLE = r"([A-Z][a-z]+) (is|has|owns|manages|controls|reports|created|transferr
 
 def _first_of_each(found, key):
     """The items of an array, in order, without those whose key an earlier one has: by sorting, no shuffle."""
-    keyed = F.array_sort(F.transform(found, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("x"))))
+    keyed = F.sort_array(F.transform(found, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("x"))))
     firsts = _let(keyed, lambda s: F.filter(s, lambda y, j: (j == 0) | (y["key"] != F.get(s, F.greatest(j - 1, F.lit(0)))["key"])))
-    return F.transform(F.array_sort(F.transform(firsts, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x")))), lambda y: y["x"])
+    return F.transform(F.sort_array(F.transform(firsts, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x")))), lambda y: y["x"])
 
 
-def entity_array(text, extra=None):
+def entity_array(text, extra=None, low=None):
     """Array of (ent_type, text, start, end), each text (compared without case) of a type at its first place.
 
     Lexicon terms, money and organisations, in this order; extra: columns of array<struct<ent_type, text, start, end>>
-    from a model, e.g. a pandas UDF.
+    from a model, e.g. a pandas UDF. low: the text in lower case, as a column that is there already.
     """
-    low = F.lower(text)
     entity = lambda kind, t, at: F.struct(F.lit(kind).alias("ent_type"), t.alias("text"), at.cast("int").alias("start"), (at + F.length(t)).cast("int").alias("end"))
-    term = lambda kind, t: F.when(F.instr(low, t) > 0, entity(kind, F.lit(t), F.instr(low, t) - 1))
+    low = F.lower(text) if low is None else low
+    term = lambda kind, t: F.when(low.contains(t), entity(kind, F.lit(t), F.instr(low, t) - 1))
     terms = F.array(*(term("FINANCIAL_TERM", t) for t in sorted(L.FINANCIAL_TERMS)), *(term("FRAUD_INDICATOR", t) for t in sorted(L.FRAUD_TERMS)))
     named = lambda kind, pattern: _let(L.hits(text, pattern), lambda hits: F.zip_with(hits, match_places(text, hits), lambda x, at: entity(kind, x, at)))
     found = F.filter(F.concat(terms, named("MONEY", L.MONEY), named("ORG", L.ORGANISATION), *(extra or [])), lambda x: x.isNotNull())
     return _first_of_each(found, lambda x: F.struct(x["ent_type"], F.lower(x["text"])))
 
 
+def _lowered(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.withColumn("_low", F.lower(text_col))
+
+
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", extra=None) -> DataFrame:
     """(doc_id, ent_type, text, start, end, ord): the entities of entity_array(), a row each."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(entity_array(F.col(text_col), extra)).alias("ord", "e")).select("doc_id", "e.*", "ord")
+    return _lowered(docs, text_col).select(F.col(id_col).alias("doc_id"), F.posexplode(entity_array(F.col(text_col), extra, F.col("_low"))).alias("ord", "e")).select("doc_id", "e.*", "ord")
 
 
 def deduplicated(df: DataFrame, keys: list, order: str) -> DataFrame:
@@ -48,7 +52,7 @@ def deduplicated(df: DataFrame, keys: list, order: str) -> DataFrame:
 
 def entity_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", extra=None) -> DataFrame:
     """(doc_id, ent_type, n) of the types that a document has; counted in the document's own array."""
-    found = docs.select(F.col(id_col).alias("doc_id"), F.transform(entity_array(F.col(text_col), extra), lambda x: x["ent_type"]).alias("kinds"))
+    found = _lowered(docs, text_col).select(F.col(id_col).alias("doc_id"), F.transform(entity_array(F.col(text_col), extra, F.col("_low")), lambda x: x["ent_type"]).alias("kinds"))
     return found.select("doc_id", "kinds", F.explode(F.array_distinct("kinds")).alias("ent_type")).select("doc_id", "ent_type", F.expr("size(filter(kinds, x -> x = ent_type))").alias("n"))
 
 
@@ -64,7 +68,7 @@ def key_entity_array(found, per_type: int = 5, total: int = 10):
 
 def key_entities(docs: DataFrame, per_type: int = 5, total: int = 10, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
     """(doc_id, rank, ent_type, text)."""
-    found = docs.select(F.col(id_col).alias("doc_id"), entity_array(F.col(text_col)).alias("found"))
+    found = _lowered(docs, text_col).select(F.col(id_col).alias("doc_id"), entity_array(F.col(text_col), low=F.col("_low")).alias("found"))
     some = found.select("doc_id", F.posexplode(key_entity_array(F.col("found"), per_type, total)).alias("rank", "e"))
     return some.select("doc_id", (F.col("rank") + 1).alias("rank"), "e.ent_type", "e.text")
 
