@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from finsift.llm import chat, jaccard, langid, linededup, packing, pieces, quality, topk, toxicity, urlfilter
+from finsift.llm import chat, jaccard, langid, linededup, packing, pieces, quality, repair, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_packing": packing.op9_packing,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_conversation_repair": repair.op11_conversation_repair,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_line_dedup": linededup.oracle(),
     "op8_exact_topk": topk.oracle(),
     "op10_chat_format": chat.oracle(),
+    "op11_conversation_repair": repair.oracle(),
 }
