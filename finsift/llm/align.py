@@ -32,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsift.llm._bytes import trim
+from finsift.llm._bytes import blocks, raw, trim
 from finsift.llm._shared import read, release, written_at
 
 MARK = "▁"
-#: Parts whose ids are found in one call.
-TOGETHER = 256
+#: Parts whose ids are found in one call, bytes of texts that are aligned together.
+TOGETHER, TEXTS = 256, 1 << 20
 #: Bytes of remembered parts and numbers of remembered transitions in a worker, at most; longer parts are not remembered.
-CACHE_BYTES, MOVES, LONGEST = 160 << 20, 1 << 20, 256
+CACHE_BYTES, MOVES, LONGEST = 72 << 20, 1 << 20, 256
 #: Pairs of ids whose counts go to every task (16 bytes each), at most.
 MAP_PAIRS = 4_000_000
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -71,10 +71,7 @@ class ByteSide:
     def __init__(self, path: str, ranks: str | None = None):
         import base64
 
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
         table = byte_level()
@@ -92,6 +89,14 @@ class ByteSide:
                 order = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=order, special_tokens={})
 
+    @functools.cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
+
     def ids(self, part: str) -> list[int]:
         if self.fast is not None and PLAIN.fullmatch(part):
             return self.fast.encode_ordinary(" " + part)
@@ -278,8 +283,11 @@ class Aligner:
                 del known[p]
             else:
                 self.held += 300 + len(p) + (len(x[0]) + len(x[1]) if x else 0)
-        if self.held > CACHE_BYTES:
-            self.cache, self.held = {}, 0
+        if self.held > CACHE_BYTES:  # parts that came back lately stay
+            self.cache = {p: known[p] for p in set(itertools.chain.from_iterable(cut)).difference(new) if p in known}
+            self.held = sum(300 + len(p) + (len(x[0]) + len(x[1]) if x else 0) for p, x in self.cache.items())
+            if self.held > CACHE_BYTES // 2:
+                self.cache, self.held = {}, 0
         return out
 
 
@@ -301,16 +309,16 @@ def aligned(docs: DataFrame, tokenizer: str, model: str, ranks: str | None = Non
         own, row = aligner(tokenizer, model, ranks), TaskContext.get().partitionId() << 40
         size = own.kind.itemsize
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            told = iter(own.texts([t for t in texts if t]))
-            rows = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                one = next(told) if text else None
-                groups, links, a, b = one or (b"", b"", 0, 0)
-                said = hashlib.sha256(groups).hexdigest() if one else ""
-                rows.append((row, doc_id, a, b, len(links) // size, said, links, *[groups.decode()] * spelled))
-                row += 1
-            if rows:
+            for i, j in blocks(raw(batch.column(1))[1], TEXTS):
+                ids, texts = (batch.column(k).slice(i, j - i).to_pylist() for k in (0, 1))
+                told = iter(own.texts([t for t in texts if t]))
+                rows = []
+                for doc_id, text in zip(ids, texts, strict=True):
+                    one = next(told) if text else None
+                    groups, links, a, b = one or (b"", b"", 0, 0)
+                    said = hashlib.sha256(groups).hexdigest() if one else ""
+                    rows.append((row, doc_id, a, b, len(links) // size, said, links, *[groups.decode()] * spelled))
+                    row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         trim()
 
