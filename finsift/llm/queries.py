@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from finsift.llm import align, chat, jaccard, langid, linededup, packing, pieces, quality, repair, topk, toxicity, urlfilter
+from finsift.llm import align, chat, jaccard, langid, linededup, packing, pieces, pitmanyor, quality, repair, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_chat_format": chat.op10_chat_format,
     "op11_conversation_repair": repair.op11_conversation_repair,
+    "op12_lm_scoring": pitmanyor.op12_lm_scoring,
     "op13_token_alignment": align.op13_token_alignment,
 }
 
