@@ -42,7 +42,7 @@ from finsift.llm._bytes import SPACE, U, blocks, mix, raw, trim, word_hashes
 from finsift.llm._shared import crc_mod, read, release, written_at
 
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-PART_BYTES, FLUSH_BYTES, SAMPLE = 24 << 20, 12 << 20, 64
+PART_BYTES, FLUSH_BYTES, SAMPLE = 12 << 20, 6 << 20, 64
 EXACT = 512
 GRID = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0)
 
@@ -201,7 +201,7 @@ class Pairs:
             trained.append(wide(r[4]).astype(np.int64))
         u, w, trained = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((u, U), (w, U), (trained, np.int64)))
         key = joined(u, w)
-        order = np.argsort(key)
+        order = np.argsort(key).astype(np.uint32)
         key = key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         first = np.flatnonzero(new)
@@ -427,7 +427,9 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     rng = np.random.default_rng(settings.seed)
 
     def open_(key, table):
-        return pa.Table.from_batches(list(opened(table, hot)))
+        out = pa.Table.from_batches(list(opened(table, hot)))
+        trim()
+        return out
 
     made, made_path = written_at(sent(given, parts, hot, False).groupBy("part").applyInArrow(open_, MADE), "restaurants")
     _freed(spark)
