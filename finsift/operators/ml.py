@@ -17,7 +17,9 @@ from finsift.operators.metrics import percentile_flag, scaled_score
 from finsift.operators.vectors import nearest_batch, squared_distance
 from finsift.storage import written
 
-SUPERVISED = ("gbt", "random_forest", "decision_tree", "logistic", "linear_svm", "mlp")
+SUPERVISED = ("gbt", "random_forest", "decision_tree", "logistic", "linear_svm", "mlp", "xgboost", "lightgbm", "catboost", "lstm", "cnn", "svm")
+#: Detectors that are fitted once and saved.
+FITTED_DETECTORS = ("autoencoder", "oneclass_svm")
 
 
 def assembled(df: DataFrame, columns: list[str], to: str = "features") -> DataFrame:
@@ -33,11 +35,10 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def classifier(kind: str, n_features: int, label: str = "label", seed: int = 42):
-    """An estimator for one of: gbt, boosted_long, random_forest, decision_tree, logistic, linear_svm, mlp."""
+    """An estimator for one of: gbt, random_forest, decision_tree, logistic, linear_svm, mlp."""
     common = {"labelCol": label, "featuresCol": "features"}
     made = {
         "gbt": lambda: GBTClassifier(maxIter=100, maxDepth=5, stepSize=0.1, seed=seed, **common),
-        "boosted_long": lambda: GBTClassifier(maxIter=800, maxDepth=8, stepSize=0.05, seed=seed, validationIndicatorCol="is_validation", **common),
         "random_forest": lambda: RandomForestClassifier(numTrees=200, maxDepth=30, seed=seed, **common),
         "decision_tree": lambda: DecisionTreeClassifier(maxDepth=10, seed=seed, **common),
         "logistic": lambda: LogisticRegression(maxIter=1000, **common),
@@ -47,7 +48,16 @@ def classifier(kind: str, n_features: int, label: str = "label", seed: int = 42)
     return made[kind]()
 
 
-def trained(df: DataFrame, columns: list[str], kind: str, label: str = "label"):
+def trained(df: DataFrame, columns: list[str], kind: str, label: str = "label", **how):
+    """A fitted model of any supervised kind, with transform(). how: settings of the engine's own kinds."""
+    from finsift.operators import boosting, machines, networks
+
+    if kind in boosting.KINDS:
+        return boosting.boosted(df, columns, label, kind, **how)
+    if kind in ("lstm", "cnn"):
+        return networks.fitted_network(kind, df, columns, label, **how)
+    if kind == "svm":
+        return machines.kernel_classifier(df, columns, label, **how)
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), classifier(kind, len(columns), label)]).fit(df)
 
 
@@ -81,16 +91,24 @@ def predicted(kind: str, df: DataFrame, columns: list[str], id_col: str, model=N
     """
     from finsift.operators import anomaly as A
 
+    from finsift.operators.fitted import Fitted
+
+    if isinstance(model, Fitted) and kind in FITTED_DETECTORS:
+        return scaled_score(A.detected(model, df, id_col), "score").select(id_col, F.col("flag").alias("pred"), "prob")
+    if isinstance(model, Fitted):
+        return model.transform(df).select(id_col, F.col("prediction").cast("int").alias("pred"), "prob")
     if model is not None:
         out = model.transform(df.withColumns({c: F.col(c).cast("double") for c in columns}))
-        prob = vector_to_array("probability")[1] if "probability" in out.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
+        # A model that has seen one class only has one probability, or none for label 1.
+        second = lambda c: F.coalesce(F.try_element_at(vector_to_array(c), F.lit(2)), F.lit(0.0))
+        prob = second("probability") if "probability" in out.columns else 1 / (1 + F.exp(-second("rawPrediction")))
         return out.select(id_col, F.col("prediction").cast("int").alias("pred"), prob.alias("prob"))
     made = {
         "kmeans": lambda: kmeans_anomaly(df, columns, id_col),
         "gmm": lambda: gmm_anomaly(df, columns, id_col),
         "pca_anomaly": lambda: pca_anomaly(df, columns, id_col),
         "isolation_forest": lambda: A.isolation_forest(df, columns, id_col),
-        "dbscan": lambda: A.dbscan(df, columns, id_col),
+        "dbscan": lambda: dbscan_scored(df, columns, id_col),
         "lof": lambda: A.local_outlier_factor(df, columns, id_col, label),
         "oneclass_svm": lambda: A.one_class_machine(df, columns, id_col, label),
         "autoencoder": lambda: A.autoencoder_anomaly(df, columns, id_col),
@@ -100,6 +118,18 @@ def predicted(kind: str, df: DataFrame, columns: list[str], id_col: str, model=N
     return scaled_score(made[kind](), "score", negate=kind == "gmm").select(id_col, F.col("flag").alias("pred"), "prob")
 
 
+def dbscan_scored(df: DataFrame, columns: list[str], id_col: str, eps: float = 0.5, least: int = 5) -> DataFrame:
+    """DBSCAN's flag, and as inference has it the distance to the row's 5th nearest row, itself included, as score."""
+    from finsift.operators.anomaly import dbscan
+    from finsift.operators.vectors import kth_distance
+
+    found = dbscan(df, columns, id_col, eps, least).select(F.col(id_col).cast("long").alias("query_id"), "flag")
+    vectors = standardised(df.select(id_col, *(F.col(f"`{c}`").cast("double").alias(c) for c in columns)), columns).select(F.col(id_col).cast("long").alias("vec_id"), F.array(*(f"`{c}`" for c in columns)).alias("embedding"))
+    far = kth_distance(vectors, vectors, 5)
+    out = found.join(far, "query_id").select("query_id", F.col("distance").alias("score"), "flag")
+    return df.select(id_col).join(out, F.col(id_col).cast("long") == F.col("query_id")).select(id_col, "score", "flag")
+
+
 def stacked(df: DataFrame, columns: list[str], id_col: str, models: dict[str, object], label: str | None = None) -> DataFrame:
     """(id, model, pred, prob) of several models; a model that is None is a detector."""
     each = [predicted(kind, df, columns, id_col, model, label).withColumn("model", F.lit(kind)) for kind, model in models.items()]
@@ -113,13 +143,14 @@ def train_all(df: DataFrame, columns: list[str], id_col: str, kinds: list[str],
     saw; detectors are fitted and measured on all rows.
     """
     from finsift.operators import metrics as M
+    from finsift.operators.anomaly import fitted_detector
     from finsift.sources.sinks import write_model
 
     train, test = stratified_split(df, id_col, label)
     even = written(balanced(train, id_col, columns, label), "balanced") if any(k in SUPERVISED for k in kinds) else None
     folders = {}
     for kind in kinds:
-        model = trained(even, columns, kind, label) if kind in SUPERVISED else None
+        model = trained(even, columns, kind, label) if kind in SUPERVISED else fitted_detector(kind, df, columns, label) if kind in FITTED_DETECTORS else None
         rows = test if kind in SUPERVISED else df
         told = written(predicted(kind, rows, columns, id_col, model, label).join(rows.select(id_col, F.col(label).alias("label")), id_col), "told")
         one = M.compared({kind: told}).first().asDict()

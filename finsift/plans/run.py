@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from finsift.functions import text as T
 from finsift.operators import formatting, graph, metrics, ml, risk, vectors
+from finsift.operators.fitted import Fitted
 from finsift.sources import readers, sinks
 from finsift.storage import exists, release, written
 
@@ -86,7 +87,7 @@ def load_models(spark: SparkSession, path: str) -> tuple[dict[str, object], Data
     for r in registry.collect():  # a few models
         folder = r["path"].rsplit("/", 1)[0]
         if exists(spark, f"{folder}/model"):
-            found[r["model"]] = PipelineModel.load(f"{folder}/model")
+            found[r["model"]] = Fitted.load(spark, f"{folder}/model") or PipelineModel.load(f"{folder}/model")
     return found, registry.select("model", "auc")
 
 
