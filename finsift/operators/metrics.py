@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from finsift.operators.stats import exact_quantiles, in_ranges
 
 
+#: Models whose weights are looked up in the plan itself, at most.
+MODELS = 1000
+
+
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     return df.groupBy(label, pred).agg(F.count("*").alias("n"))
 
@@ -58,7 +62,12 @@ def ensemble(predictions: DataFrame, weights: DataFrame | None = None, id_col: s
     if weights is None:
         out = predictions.groupBy(id_col).agg(F.avg("prob").alias("probability"))
     else:
-        out = predictions.join(weights, "model", "left").withColumn("w", F.coalesce("auc", F.lit(0.5)))
+        few = weights.select("model", "auc").limit(MODELS + 1).collect()
+        if len(few) <= MODELS:  # a look-up in place of a shuffle of all predictions
+            known = F.create_map(*(F.lit(x) for r in few if r["model"] is not None and r["auc"] is not None for x in (r["model"], float(r["auc"])))) if few else F.create_map()
+            out = predictions.withColumn("w", F.coalesce(F.try_element_at(known.cast("map<string,double>"), F.col("model")), F.lit(0.5)))
+        else:
+            out = predictions.join(weights, "model", "left").withColumn("w", F.coalesce("auc", F.lit(0.5)))
         total = F.sum("w")
         out = out.groupBy(id_col).agg((F.sum(F.col("prob") * F.col("w")) / F.when(total == 0, 1.0).otherwise(total)).alias("probability"))
     return out.withColumn("pred", (F.col("probability") > 0.5).cast("int"))

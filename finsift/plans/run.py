@@ -10,10 +10,18 @@ from finsift.functions import text as T
 from finsift.operators import formatting, graph, metrics, ml, risk, vectors
 from finsift.operators.fitted import Fitted
 from finsift.sources import readers, sinks
+from finsift.sources.merge import MergeTable
 from finsift.storage import exists, release, written
 
 CHUNK_WORDS, CHUNK_OVERLAP = 512, 50
 META = ("label", "company_id", "date")
+#: The tables of a store and their keys.
+TABLES = {"chunks": ["chunk_id"], "vertices": ["label", "name"], "edges": ["src_label", "src", "dst_label", "dst", "type"], "documents": ["label", "name"], "formatted": ["document_id"]}
+
+
+def stored(spark: SparkSession, store: str, table: str) -> MergeTable:
+    """A table of a store, which rows are merged into: a second run over the same files leaves it as it was."""
+    return MergeTable(spark, f"{store}/{table}", TABLES[table])
 
 
 def run_documents(spark: SparkSession, folder: str, store: str, limit: int | None = None, embeddings: bool = True, build_graph: bool = True, scoring: bool = True, batch: str | None = None, embed=vectors.hashing_embedding) -> dict[str, int]:
@@ -26,22 +34,22 @@ def run_documents(spark: SparkSession, folder: str, store: str, limit: int | Non
     if embeddings:
         chunks = T.chunk_documents(docs, CHUNK_WORDS, CHUNK_OVERLAP, text_col="content").join(docs.select("doc_id", *META), "doc_id")
         rows = chunks.withColumn("embedding", embed(F.col("text")))
-        sinks.append_vectors(rows, f"{store}/chunks")
+        sinks.upsert_vectors(rows, f"{store}/chunks")
         out["chunks"] = readers.VectorStore(spark, f"{store}/chunks").count()
     if build_graph:
         ents = written(graph.entities(docs), "entities")
         nodes, edges = graph.graph(docs, ents, graph.relations(docs))
-        nodes.write.mode("append").parquet(f"{store}/vertices")
-        edges.write.mode("append").parquet(f"{store}/edges")
-        graph.document_vertices(docs).write.mode("append").parquet(f"{store}/documents")
-        out |= {"entities": ents.count(), "nodes": spark.read.parquet(f"{store}/vertices").distinct().count(), "edges": spark.read.parquet(f"{store}/edges").distinct().count()}
+        stored(spark, store, "vertices").merge(nodes)
+        stored(spark, store, "edges").merge(edges)
+        stored(spark, store, "documents").merge(graph.document_vertices(docs), "fill")
+        out |= {"entities": ents.count(), "nodes": stored(spark, store, "vertices").count(), "edges": stored(spark, store, "edges").count()}
     if scoring:
         source = docs
         if embeddings:
             ids = readers.VectorStore(spark, f"{store}/chunks").read().groupBy("doc_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"))
             source = docs.join(ids, "doc_id", "left")
         formatted = written(formatting.formatted_documents(source), "formatted")
-        formatted.write.mode("append").parquet(f"{store}/formatted")
+        stored(spark, store, "formatted").merge(formatted)
         out["high_risk"] = formatted.where("risk_assessment.overall_score >= 60").count()
         if batch:
             sinks.export_batch(formatted, f"{store}/exports/{batch}", batch)
@@ -50,7 +58,7 @@ def run_documents(spark: SparkSession, folder: str, store: str, limit: int | Non
 
 def status(spark: SparkSession, store: str) -> dict[str, object]:
     """Rows of each table that there is, and settings."""
-    tables = {t: spark.read.parquet(f"{store}/{t}").count() if exists(spark, f"{store}/{t}") else 0 for t in ("chunks", "vertices", "edges", "formatted")}
+    tables = {t: stored(spark, store, t).count() for t in ("chunks", "vertices", "edges", "formatted")}
     return tables | {"chunk_words": CHUNK_WORDS, "chunk_overlap": CHUNK_OVERLAP, "embedding_model": formatting.EMBEDDING_MODEL}
 
 
@@ -74,8 +82,8 @@ def rescore(spark: SparkSession, store: str, limit: int | None = None) -> DataFr
     The chunks' text was cleaned and overlaps, so that scores may differ from those of the first run.
     """
     props = F.col("props")
-    docs = graph.upsert(spark.read.parquet(f"{store}/documents").withColumn("ord", F.lit(0))).select(F.col("name").alias("doc_id"), *(F.try_element_at(props, F.lit(c)).alias(c) for c in META), F.try_element_at(props, F.lit("file_name")).alias("file_path"))
-    chunks = spark.read.parquet(f"{store}/chunks").select("doc_id", "chunk_index", "chunk_id", "text").distinct()
+    docs = stored(spark, store, "documents").read().select(F.col("name").alias("doc_id"), *(F.try_element_at(props, F.lit(c)).alias(c) for c in META), F.try_element_at(props, F.lit("file_name")).alias("file_path"))
+    chunks = stored(spark, store, "chunks").read().select("doc_id", "chunk_index", "chunk_id", "text")
     whole = graph.with_chunks(docs, chunks)
     return formatting.formatted_documents(whole.orderBy("doc_id").limit(limit) if limit else whole)
 

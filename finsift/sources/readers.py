@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from finsift.functions.numeric import cleaned
 from finsift.functions.text import file_name_metadata
+from finsift.sources.merge import MergeTable
 from finsift.storage import exists, release
 
 
@@ -89,7 +90,9 @@ class VectorStore:
         self.spark, self.path = spark, path
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        """The chunks of a table with keys, or of a plain one."""
+        rows = MergeTable(self.spark, self.path, ["chunk_id"]).read()
+        return rows if rows is not None else self.spark.read.parquet(self.path)
 
     def get(self, **where) -> DataFrame:
         """The chunks whose metadata has these values."""

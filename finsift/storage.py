@@ -82,3 +82,25 @@ def write_bytes(spark: SparkSession, path: str, content: bytes) -> str:
     finally:
         out.close()
     return path
+
+
+def create_bytes(spark: SparkSession, path: str, content: bytes) -> str:
+    """One small new file; fails if there is one at path already."""
+    at, fs = _file_system(spark, path)
+    out = fs.create(at, False)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """One small file."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder."""
+    at, fs = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)]
