@@ -42,7 +42,7 @@ from finsift.llm._bytes import SPACE, U, blocks, mix, raw, trim, word_hashes
 from finsift.llm._shared import crc_mod, read, release, written_at
 
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-PART_BYTES, FLUSH_BYTES, SAMPLE = 12 << 20, 6 << 20, 64
+PART_BYTES, FLUSH_BYTES, SAMPLE = 18 << 20, 16 << 20, 64
 EXACT = 512
 GRID = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0)
 
@@ -98,20 +98,22 @@ def place(u: np.ndarray, w: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarr
 
 
 def sent(docs: DataFrame, parts: int, hot: np.ndarray, with_texts: bool) -> DataFrame:
-    """Pairs of docs (row, doc_id, text, held) by part, in binary columns, a row for each part and some megabytes of text.
+    """Pairs of docs (doc_id, text, held) by part, in binary columns, a row for each part and some megabytes of text.
 
-    Each has the different contexts and words, and for each pair its context, word, number in training and in all; with
-    texts, which texts hold it, once for each time.
+    Each has the different contexts, how many pairs follow each, the different words, and of the pairs their word, number
+    in training and in all; with texts, which texts hold a pair, once for each time. Texts have numbers from `first` on;
+    the ids of some of them, of each text in one part alone, follow.
     """
-    names = ["part", "contexts", "words", "context", "word", "trained", "times", "text", "rows", "ids", "held"]
-    kinds = [pa.int32(), *[pa.binary()] * 10]
+    names = ["part", "contexts", "words", "pairs", "word", "trained", "times", "text", "used", "first", "owned", "ids", "held"]
+    kinds = [pa.int32(), *[pa.binary()] * 8, pa.int64(), *[pa.binary()] * 3]
 
-    def flushed(held_back: list[tuple]) -> Iterator[pa.RecordBatch]:
-        u, w, text = (np.concatenate(x) for x in zip(*(h[0] for h in held_back), strict=True))
-        row, ids, held = (np.concatenate([h[i] for h in held_back]) for i in (1, 2, 3))
+    def flushed(waiting: list[tuple], first_row: int) -> Iterator[pa.RecordBatch]:
+        u, w, text, ids, held = (np.concatenate([x[i] for x in waiting]) for i in range(5))
+        waiting.clear()
         part = place(u, w, parts, hot)
-        order = np.argsort(joined(u, w))
-        order = order[np.argsort(part[order].astype(np.uint16) if parts < 1 << 16 else part[order], kind="stable")]
+        part = part.astype(np.uint16) if parts < 1 << 16 else part
+        order = np.argsort(joined(u, w)).astype(np.uint32)
+        order = order[np.argsort(part[order], kind="stable")]
         u, w, text, part = u[order], w[order], text[order], part[order]
         first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (part[1:] != part[:-1])]))
         trained = np.add.reduceat((~held[text]).astype(np.int64), first)
@@ -120,37 +122,40 @@ def sent(docs: DataFrame, parts: int, hot: np.ndarray, with_texts: bool) -> Data
         out = []
         for p in range(parts):
             a, b = edges[p], edges[p + 1]
-            if a == b:
+            own = np.arange((p - first_row) % parts, len(ids), parts) if with_texts else np.zeros(0, np.int64)
+            if a == b and not len(own):
                 continue
             x, xi = np.unique(u[first[a:b]], return_inverse=True)
             y, yi = np.unique(w[first[a:b]], return_inverse=True)
-            texts = text[first[a] : first[b] if b < len(first) else len(u)]
-            own = [small(texts), row.tobytes(), ids, held.tobytes()] if with_texts else [None] * 4
+            by = np.argsort(xi, kind="stable")  # pairs by context
+            n = times[a:b][by]
+            more = [None] * 6
             if with_texts:
+                texts = text[np.repeat(first[a:b][by] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 used, texts = np.unique(texts, return_inverse=True)
-                own = [small(texts), row[used].tobytes(), ids[used].tobytes(), held[used].tobytes()]
-            out.append((p, x.tobytes(), y.tobytes(), small(xi), small(yi), small(trained[a:b]), small(times[a:b]), *own))
-        for i in range(0, len(out), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[i : i + 64], strict=True), kinds, strict=True)], names)
+                more = [small(texts), small(used), first_row, small(own), ids[own].tobytes(), held[own].tobytes()]
+            out.append((p, x.tobytes(), y.tobytes(), small(np.bincount(xi, minlength=len(x))), small(yi[by]), small(trained[a:b][by]), small(n), *more))
+        for i in range(0, len(out), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[i : i + 16], strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size, texts, count = [], 0, 0, TaskContext.get().partitionId() << 40
+        waiting, size, texts, start = [], 0, 0, TaskContext.get().partitionId() << 40
         for batch in batches:
             data, at = raw(batch.column(1))
             ids = pc.fill_null(batch.column(0), NO_ID).to_numpy(zero_copy_only=False)
             held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in blocks(at, 1 << 20):
                 u, w, text = pairs_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                waiting.append(((u, w, text + texts), np.arange(count, count + j - i), ids[i:j], held[i:j]))
-                texts, count, size = texts + j - i, count + j - i, size + int(at[j] - at[i])
+                waiting.append((u, w, (text + texts).astype(np.uint32), ids[i:j], held[i:j]))
+                texts, size = texts + j - i, size + int(at[j] - at[i])
                 if size > FLUSH_BYTES:
-                    yield from flushed(waiting)
-                    waiting, size, texts = [], 0, 0
+                    yield from flushed(waiting, start)
+                    start, size, texts = start + texts, 0, 0
         if waiting:
-            yield from flushed(waiting)
+            yield from flushed(waiting, start)
         trim()
 
-    schema = "part int, " + ", ".join(f"{c} binary" for c in names[1:])
+    schema = ", ".join(f"{c} {'int' if c == 'part' else 'long' if c == 'first' else 'binary'}" for c in names)
     return docs.select("doc_id", "text", "held").mapInArrow(run, schema)
 
 
@@ -195,8 +200,8 @@ class Pairs:
     @staticmethod
     def of(table: pa.Table) -> Pairs:
         u, w, trained = [], [], []
-        for r in zip(*(table.column(c).to_pylist() for c in ("contexts", "words", "context", "word", "trained")), strict=True):
-            u.append(np.frombuffer(r[0], U)[wide(r[2])])
+        for r in zip(*(table.column(c).to_pylist() for c in ("contexts", "words", "pairs", "word", "trained")), strict=True):
+            u.append(np.repeat(np.frombuffer(r[0], U), wide(r[2])))
             w.append(np.frombuffer(r[1], U)[wide(r[3])])
             trained.append(wide(r[4]).astype(np.int64))
         u, w, trained = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((u, U), (w, U), (trained, np.int64)))
@@ -361,18 +366,19 @@ def _swept(part, word, n, is_word, stored=None, told=None) -> pa.RecordBatch:
 
 
 def packed(rows):
-    """The answers to a part's words in one row."""
+    """The answers to a part's words in one row, in the order of the words."""
     order = np.argsort(rows.column("word").to_numpy().view(U))
-    cells = [rows.column("word").to_numpy()[order].tobytes(), small(rows.column("n").to_numpy()[order]), *(rows.column(f"h{i}").to_numpy()[order].astype("<f8").tobytes() for i in range(len(rows.column_names) - 3))]
+    cells = [small(rows.column("n").to_numpy()[order]), *(rows.column(f"h{i}").to_numpy()[order].astype("<f4").tobytes() for i in range(len(rows.column_names) - 3))]
     return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "answers": pa.array([cells], pa.list_(pa.binary()))})
 
 
 def part_scores(texts: pa.Table, known: pa.Table, thetas: list[float], d: float, hots: list[dict[int, tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, held, tokens, known, base, score) for each text and bundle, as far as its pairs are in this part."""
+    """(row, doc_id, held, tokens, known, base, score) of texts, as far as their pairs are here; ids of those owned here."""
     pairs = Pairs.of(texts)
     stored = {c: next((x for x in known.column(c).to_pylist() if x is not None), None) for c in ("answers", "stored")}
-    words, counts = np.frombuffer(stored["answers"][0], U), wide(stored["answers"][1]).astype(np.int64)
-    at = np.searchsorted(words, pairs.w)
+    counts = wide(stored["answers"][0]).astype(np.int64) if stored["answers"] else np.zeros(0, np.int64)
+    words, at = np.unique(pairs.w, return_inverse=True)  # those that were asked for
+    assert len(words) == len(counts)
     seen = np.flatnonzero(pairs.trained > 0)
     contexts, ui = np.unique(pairs.u[seen], return_inverse=True)
     c = pairs.trained[seen]
@@ -383,9 +389,10 @@ def part_scores(texts: pa.Table, known: pa.Table, thetas: list[float], d: float,
     total = np.zeros(len(pairs.u))
     drawn_tables = [wide(x).astype(np.int64) for x in stored["stored"]] if stored["stored"] else []
     for s, theta in enumerate(thetas):
-        h = np.frombuffer(stored["answers"][2 + s], "<f8")[at]
+        h = np.frombuffer(stored["answers"][1 + s], "<f4").astype(float)[at] if len(words) else np.zeros(0)
         t = np.ones(len(seen), np.int64)
-        t[heavy] = drawn_tables[s]
+        if len(heavy):
+            t[heavy] = drawn_tables[s]
         tables = dishes + np.bincount(ui, t - 1, len(contexts)).astype(np.int64)
         whole = customers.copy()
         for i, u in enumerate(contexts.view(np.int64).tolist()) if hots[s] else ():
@@ -398,16 +405,24 @@ def part_scores(texts: pa.Table, known: pa.Table, thetas: list[float], d: float,
         total += p
     score, base = np.log10(total / max(1, len(thetas))), np.log10(counts[at] + 1.0)
     hit, start = counts[at] > 0, 0
-    cells = (texts.column(k).to_pylist() for k in ("times", "text", "rows", "ids", "held"))
-    for times, text, rows, ids, held in zip(*cells, strict=True):
-        times, text = wide(times).astype(np.int64), wide(text).astype(np.int64)
+    cells = (texts.column(k).to_pylist() for k in ("times", "text", "used", "first", "owned", "ids", "held"))
+    for times, text, used, first, owned, ids, held in zip(*cells, strict=True):
+        times, text, used, owned = (wide(x).astype(np.int64) for x in (times, text, used, owned))
         each = np.repeat(pairs.back[start : start + len(times)], times)
         start += len(times)
-        rows, ids = np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64)
-        n = len(rows)
-        sums = [np.bincount(text, x, n) for x in (None, hit[each], base[each], score[each])]
+        n, none = len(used), len(owned)
+        sums = [np.bincount(text, x, n)[:n] for x in (None, hit[each], base[each], score[each])]
+        ids, held = np.frombuffer(ids, np.int64), np.frombuffer(held, bool)
+        apart = np.r_[np.ones(n, bool), np.zeros(none, bool)]
+        nothing = np.zeros(none)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows), pa.array(ids, mask=ids == NO_ID), pa.array(np.frombuffer(held, bool)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])],
+            [
+                pa.array(first + np.r_[used, owned]),
+                pa.array(np.r_[np.zeros(n, np.int64), ids], mask=apart | np.r_[np.zeros(n, bool), ids == NO_ID]),
+                pa.array(np.r_[np.zeros(n, bool), held], mask=apart),
+                *(pa.array(np.r_[x, nothing].astype(np.int64)) for x in sums[:2]),
+                *(pa.array(np.r_[x, nothing]) for x in sums[2:]),
+            ],
             ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
         )
     trim()
@@ -486,7 +501,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     partial = sent(given, parts, hot, True).groupBy("part").cogroup(known.groupBy("part")).applyInArrow(final, schema)
-    out = partial.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    out = partial.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), "score")
 
 
