@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 
@@ -23,35 +22,39 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 5, where: Column |
     return some.select(id_col, squared_distance(F.col(vector_col), F.array(*map(F.lit, query))).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-#: Bytes of query vectors that are sent to the executors at a time.
+#: Bytes of query vectors that are sent to the executors in one piece, at most.
 QUERY_BYTES = 32 << 20
 
 
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = False, max_queries: int | None = None, block: int = 10_000) -> DataFrame:
     """(query_id, rank, id, distance) of each query row's k nearest vectors, ties to the smaller id.
 
-    Queries go to the executors in blocks of at most `block` rows and QUERY_BYTES; each task keeps the k best rows a
-    query and gives no others. Any number of queries is searched, unless the caller sets max_queries. Vectors that are
-    null or of another size than a query are not among its neighbours.
+    Up to `block` queries of QUERY_BYTES go to the executors in one piece, and each task gives k rows a query; more are
+    joined with the vectors by lists (lists.py), both sides in Spark. Both ways give the same rows. Any number of queries is
+    searched, unless the caller sets max_queries. Vectors that are null or of another size than a query are not among its
+    neighbours.
     """
-    n = queries.count()
+    from finsift.operators.lists import nearest_by_lists
+
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    n, size = asked.agg(F.count("*"), F.sum(F.size("v"))).first()
     if max_queries is not None and n > max_queries:
         raise ValueError(f"more than {max_queries} queries")
-    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    width = asked.agg(F.max(F.size("v"))).first()[0] or 1
-    n_blocks = max(1, -(-n // block), -(-n * width * 8 // QUERY_BYTES))
     given = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    found = []
-    for i in range(n_blocks):
-        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else asked
-        rows = some.toPandas()  # one block
+    if n > block or 8 * (size or 0) > QUERY_BYTES:
+        ranked = nearest_by_lists(given, asked, k, skip_self)
+    else:
+        rows = asked.toPandas()  # one block
         sent = vectors.sparkSession.sparkContext.broadcast({d: (part["query_id"].to_numpy(np.int64), np.array(part["v"].tolist(), float).reshape(len(part), d)) for d, part in rows.groupby(rows["v"].map(len))} if len(rows) else {})
-        found.append(given.mapInPandas(_searching(sent, k, skip_self), "query_id long, id long, distance double"))
-    both = functools.reduce(DataFrame.unionByName, found)
-    ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+        ranked = best_ranked(given.mapInPandas(_searching(sent, k, skip_self), "query_id long, id long, distance double"), k)
     return ranked.select("query_id", F.col("id").alias(id_col), "distance", "rank")
 
 
+def best_ranked(found: DataFrame, k: int) -> DataFrame:
+    """found with the rank of each query's k best rows."""
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+
+
 def _searching(sent, k: int, skip_self: bool):
     def search(batches):
         best = {d: (np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)) for d, (_, q) in sent.value.items()}
@@ -60,7 +63,7 @@ def _searching(sent, k: int, skip_self: bool):
                 if d in best:
                     ids, v = part["id"].to_numpy(np.int64), np.array(part["v"].tolist(), float).reshape(len(part), d)
                     for at in range(0, len(ids), 512):
-                        _closest(*sent.value[d], ids[at : at + 512], v[at : at + 512], *best[d], skip_self)
+                        closest(*sent.value[d], ids[at : at + 512], v[at : at + 512], *best[d], skip_self)
         for d, (far, who) in best.items():
             row, place = np.nonzero(np.isfinite(far))
             yield pd.DataFrame({"query_id": sent.value[d][0][row], "id": who[row, place], "distance": far[row, place]})
@@ -68,14 +71,15 @@ def _searching(sent, k: int, skip_self: bool):
     return search
 
 
-def _closest(q_ids, q, ids, v, far, who, skip_self: bool) -> None:
-    """Merges a block of vectors into each query's best distances and ids, both in order."""
+def closest(q_ids, q, ids, v, far, who, skip_self: bool, most: np.ndarray | None = None) -> None:
+    """Merges a block of vectors into each query's best distances and ids, both in order; those beyond `most` may be left out."""
     k = far.shape[1]
     # By products first: what may be nearer than the k-th, with room for rounding; the sums of squares are then exact.
     rough = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (q @ v.T)
     room = 1e-9 * (1 + (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :])
     edge = np.partition(rough, k - 1, 1)[:, [k - 1]] if not skip_self and k <= rough.shape[1] else (np.partition(rough, k, 1)[:, [k]] if k < rough.shape[1] else np.full((len(q), 1), np.inf))
-    row, col = np.nonzero(rough - room <= np.minimum(edge + room.max(), far[:, [k - 1]]))
+    limit = np.minimum(edge + room.max(), far[:, [k - 1]])
+    row, col = np.nonzero(rough - room <= (limit if most is None else np.minimum(limit, most[:, None])))
     if skip_self:
         other = q_ids[row] != ids[col]
         row, col = row[other], col[other]
