@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,13 @@ from finsift.operators import anomaly as A
 from finsift.operators import formatting as FM
 from finsift.operators import graph as G
 from finsift.operators import metrics as M
-from finsift.operators import ml, risk, stats
+from finsift.operators import boosting, ml, risk, stats
 from finsift.operators import vectors as V
 from finsift.plans import queries as Q
 from finsift.plans import reference_sql as R
 from finsift.plans.queries import ENTITIES, FILINGS, PREDICTIONS, RELATIONS, SCORED, _chunk_sql, filings, predictions, query, r6, records, scored, table
 from finsift.sources import excel, plots, readers, sinks
+from finsift.sources.merge import MergeTable
 from finsift.storage import table_path, write_bytes
 from finsift.streaming.ingest import score_stream, window_stream
 
@@ -98,28 +101,53 @@ def document_statistics(spark, sf_dir):
     return readers.document_statistics(names)
 
 
-def _registry(spark) -> str:
+_SHARES = "m AS (SELECT l_returnflag AS f, round(count(*) FILTER (WHERE l_linestatus = 'O') * 1e0 / count(*), 4) AS accuracy, round(0.5e0 + avg(l_discount), 4) AS auc FROM lineitem GROUP BY 1)"
+
+
+def _registry(spark, sf_dir) -> str:
+    """Folders of models, one for each return flag, whose metrics are shares of its lines; those of N have no AUC."""
     path = table_path(spark, "models")
-    for name, text in (("random_forest_2025-11-30_10-14-43", "Model: x\nPerformance Metrics:\n  accuracy: 0.9000\n  auc_roc: 0.8100\n"), ("svm_2025-11-30_10-14-43", "  f1_score: 0.2500\n"), ("gmm", "  auc_roc: 0.6000\n")):
-        write_bytes(spark, f"{path}/{name}/metrics.txt", text.encode())
+    accuracy = F.round(F.count_if(F.col("l_linestatus") == "O") / F.count("*"), 4)
+    for r in table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(accuracy.alias("accuracy"), F.round(0.5 + F.avg("l_discount"), 4).alias("auc")).collect():  # three flags
+        auc = "" if r["l_returnflag"] == "N" else f"  auc_roc: {r['auc']:.4f}\n"
+        write_bytes(spark, f"{path}/random_forest_{r['l_returnflag']}_2025-11-30_10-14-43/metrics.txt", f"Model: x\nPerformance Metrics:\n  accuracy: {r['accuracy']:.4f}\n{auc}".encode())
     return path
 
 
-@query("SELECT * FROM (VALUES ('random_forest', 0.81e0, 'Random Forest'), ('svm', 0.5e0, 'Svm'), ('gmm', 0.6e0, 'Gmm')) AS t(model, auc, display_name)")
+@query(f"WITH {_SHARES} SELECT 'random_forest_' || f AS model, CASE WHEN f = 'N' THEN 0.5e0 ELSE auc END AS auc, 'Random Forest ' || f AS display_name FROM m")
 def model_registry(spark, sf_dir):
-    return readers.model_registry(spark, _registry(spark)).select("model", "auc", T.display_name(F.col("model")).alias("display_name"))
+    return readers.model_registry(spark, _registry(spark, sf_dir)).select("model", "auc", T.display_name(F.col("model")).alias("display_name"))
 
 
-@query("SELECT * FROM (VALUES ('random_forest', 'accuracy', 0.9e0), ('random_forest', 'auc_roc', 0.81e0), ('svm', 'f1_score', 0.25e0), ('gmm', 'auc_roc', 0.6e0)) AS t(model, metric, value)")
+@query(f"WITH {_SHARES} SELECT 'random_forest_' || f AS model, 'accuracy' AS metric, accuracy AS value FROM m UNION ALL SELECT 'random_forest_' || f, 'auc_roc', auc FROM m WHERE f <> 'N'")
 def metrics_files(spark, sf_dir):
-    return readers.metrics_files(spark, _registry(spark))
+    return readers.metrics_files(spark, _registry(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('LGBM', 0.97e0), ('RF', 0.91e0)) AS t(short, auc)")
+@query("SELECT s.short, count(*) AS n, round(avg(o_totalprice * s.factor), 2) AS mean FROM orders o JOIN (VALUES ('O', 'open', 0.5e0), ('F', 'filled', 0.25e0)) AS s(status, short, factor) ON o.o_orderstatus = s.status GROUP BY s.short")
 def literal_table(spark, sf_dir):
-    t = readers.literal_table(spark, "Model AUC\nlightgbm 0.97\nrandom_forest 0.91\nsvm 0.7", ("AUC",))
-    short = F.create_map(*map(F.lit, ("lightgbm", "LGBM", "random_forest", "RF", "svm", "SVM")))
-    return t.withColumn("short", short[F.col("Model")]).where(F.col("short").isin("LGBM", "RF")).orderBy(F.desc("AUC")).select("short", F.col("AUC").alias("auc"))
+    """A table written in the code, joined with orders; one of its rows is filtered out by a list."""
+    t = readers.literal_table(spark, "Status Short Factor\nO open 0.5\nF filled 0.25\nP pending 0.1", ("Factor",)).where(F.col("Short").isin("open", "filled"))
+    orders = table(spark, sf_dir, "orders").join(F.broadcast(t), F.col("o_orderstatus") == F.col("Status"))
+    return orders.groupBy(F.col("Short").alias("short")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("o_totalprice") * F.col("Factor")), 2).alias("mean"))
+
+
+@query(
+    """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS name, c_mktsegment AS segment, c_nationkey AS nation FROM customer),
+ o AS (SELECT CAST(o_custkey AS VARCHAR) AS name, arg_max(o_orderpriority, o_orderkey) AS priority, arg_max(CASE WHEN o_custkey % 3 = 0 THEN 'moved' END, o_orderkey) AS segment FROM orders GROUP BY 1)
+ SELECT name, coalesce(o.segment, c.segment) AS segment, CAST(c.nation AS VARCHAR) AS nation, o.priority FROM c FULL JOIN o USING (name)"""
+)
+def stored_upsert(spark, sf_dir):
+    """Customers merged into a stored table, and their orders merged on top, twice; of each property the last write stays."""
+    path = table_path(spark, "vertices")
+    props = lambda **c: F.map_filter(F.create_map(*(x for k, v in c.items() for x in (F.lit(k), v.cast("string")))), lambda _, v: v.isNotNull()).alias("props")
+    customers = table(spark, sf_dir, "customer").select(F.lit("Company").alias("label"), F.col("c_custkey").cast("string").alias("name"), props(segment=F.col("c_mktsegment"), nation=F.col("c_nationkey")), F.lit(0).alias("at"))
+    orders = table(spark, sf_dir, "orders").select(F.lit("Company").alias("label"), F.col("o_custkey").cast("string").alias("name"), props(priority=F.col("o_orderpriority"), segment=F.when(F.col("o_custkey") % 3 == 0, F.lit("moved"))), F.col("o_orderkey").alias("at"))
+    t = MergeTable(spark, path, ["label", "name"])
+    for rows in (customers, orders, orders):
+        t.merge(rows, "fill", "at")
+    t.vacuum()
+    return t.read().select("name", *(F.try_element_at("props", F.lit(k)).alias(k) for k in ("segment", "nation", "priority")))
 
 
 @query(f"WITH {_chunk_sql(512, 50)} SELECT c.doc_id, count(*) AS n_chunks, 64 AS dimension, d.lang AS label, 'None' AS company_id FROM chunks c JOIN documents d ON c.doc_id = d.doc_id GROUP BY ALL")
@@ -128,7 +156,9 @@ def vector_store(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     chunks = T.chunk_documents(docs.select("doc_id", "text")).join(docs.select("doc_id", F.col("lang").alias("label")), "doc_id")
     rows = chunks.select("chunk_id", "doc_id", "chunk_index", "length", "label", F.lit(None).cast("string").alias("company_id"), V.hashing_embedding(F.col("text")).alias("embedding"))
-    sinks.append_vectors(rows, path := table_path(spark, "vectors"))
+    path = table_path(spark, "vectors")
+    for _ in range(2):  # a second run leaves the store as it was
+        sinks.upsert_vectors(rows, path)
     store = readers.VectorStore(spark, path)
     return store.get(company_id="None").groupBy("doc_id", "label", "company_id").agg(F.count("*").alias("n_chunks"), F.max(F.size("embedding")).alias("dimension"))
 
@@ -436,13 +466,15 @@ def dbscan(spark, sf_dir):
     return A.dbscan(_parts(spark, sf_dir), _PART, "id", eps=0.1).select("id", "core", "flag")
 
 
-_FOUR = [f"x{i}" for i in range(4)]
-_VECTORS = "e AS (SELECT vec_id AS id, CASE WHEN label = 1 THEN 1 ELSE 0 END AS label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(4)) + " FROM embeddings), m AS (SELECT " + ", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(4)) + " FROM e WHERE label = 0), s AS (SELECT id, label, " + ", ".join(f"(x{i} - m{i}) / s{i} AS x{i}" for i in range(4)) + " FROM e, m)"
+_ALL = [f"x{i}" for i in range(64)]
 
 
 @query(
-    f"""WITH {_VECTORS}, t AS (SELECT * FROM s WHERE label = 0),
- d AS (SELECT a.id AS q, b.id, {" + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(4))} AS d FROM s a JOIN t b ON true),
+    """WITH e AS (SELECT vec_id AS id, CASE WHEN label = 1 THEN 1 ELSE 0 END AS label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) t(i)),
+ m AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM e WHERE label = 0 GROUP BY i),
+ s AS (SELECT id, any_value(label) AS label, list((x - m) / s ORDER BY i) AS v FROM e JOIN m USING (i) GROUP BY id),
+ t AS (SELECT * FROM s WHERE label = 0),
+ d AS (SELECT a.id AS q, b.id, list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) AS d FROM s a JOIN t b ON true),
  o AS (SELECT q, id, sqrt(d) AS d FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS r FROM d WHERE q <> id AND q IN (SELECT id FROM t)) WHERE r <= 20),
  k AS (SELECT q AS id, max(d) AS reach FROM o GROUP BY q),
  l AS (SELECT q AS id, 1 / (avg(greatest(reach, d)) + 1e-10) AS density FROM o JOIN k USING (id) GROUP BY q),
@@ -450,8 +482,21 @@ _VECTORS = "e AS (SELECT vec_id AS id, CASE WHEN label = 1 THEN 1 ELSE 0 END AS
  SELECT q AS id, round(avg(density) * (avg(greatest(reach, d)) + 1e-10), 5) AS score FROM n JOIN k USING (id) JOIN l USING (id) GROUP BY q"""
 )
 def local_outlier_factor(spark, sf_dir):
-    t = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") == 1, 1).otherwise(0).alias("label"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)))
-    return A.local_outlier_factor(t, _FOUR, "id", "label").select("id", F.round("score", 5).alias("score"))
+    t = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") == 1, 1).otherwise(0).alias("label"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
+    return A.local_outlier_factor(t, _ALL, "id", "label").select("id", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {_SCALED.format('')}, d AS (SELECT id, q, row_number() OVER (PARTITION BY q ORDER BY d) AS r, sqrt(d) AS d FROM (SELECT a.id AS q, b.id, (a.size - b.size) * (a.size - b.size) + (a.price - b.price) * (a.price - b.price) AS d FROM s a JOIN s b ON true)), f AS (SELECT q AS id, d FROM d WHERE r = 5) SELECT id, round((d - min(d) OVER ()) / (max(d) OVER () - min(d) OVER () + 1e-8), 6) AS prob FROM f")
+def dbscan_scores(spark, sf_dir):
+    """DBSCAN as a model of an ensemble: the distance to the 5th nearest row on the range of all rows."""
+    return ml.predicted("dbscan", _parts(spark, sf_dir), _PART, "id").select("id", r6(F.col("prob"), "prob"))
+
+
+@query("WITH v AS (SELECT vec_id AS id, embedding AS v FROM embeddings), k AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY d, id) AS r FROM (SELECT a.id AS q, b.id, list_sum(list_transform(range(1, 65), lambda i: (CAST(a.v[i] AS DOUBLE) - CAST(b.v[i] AS DOUBLE)) * (CAST(a.v[i] AS DOUBLE) - CAST(b.v[i] AS DOUBLE)))) AS d FROM v a JOIN v b ON a.id <> b.id)) SELECT q AS query_id, id AS vec_id, CAST(r AS INTEGER) AS rank FROM k WHERE r <= 5")
+def knn_join(spark, sf_dir):
+    """Every vector's five nearest others, by lists."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return V.nearest_batch(v, v, 5, skip_self=True, block=0).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query()
@@ -466,14 +511,20 @@ def one_class_machine(spark, sf_dir):
 
 @query()
 def autoencoder_anomaly(spark, sf_dir):
-    return A.autoencoder_anomaly(_parts(spark, sf_dir), _PART, "id")
+    """Fitted on all rows; a few epochs of one step a slice."""
+    return A.autoencoder_anomaly(_parts(spark, sf_dir), _PART, "id", epochs=4)
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") == 1, 1).otherwise(0).alias("label"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
 
 
 @query()
 def sequence_model(spark, sf_dir):
-    """A model of sequences, given as a function of (rows, steps, width); here the change along the steps."""
-    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), *(F.expr(f"o_totalprice * {i + 1} + o_custkey").alias(f"f{i}") for i in range(12)))
-    return A.applied(t, [f"f{i}" for i in range(12)], "id", lambda x: abs(x[:, 1:] - x[:, :-1]).mean((1, 2)), steps=10)
+    """An LSTM over ten steps and a network of convolutions, fitted on four fifths of the vectors, on the others."""
+    train, test = ml.stratified_split(_vectors(spark, sf_dir), "id", "label")
+    models = {kind: ml.trained(train, _ALL, kind, epochs=2, slices=4) for kind in ("lstm", "cnn")}
+    return ml.stacked(test, _ALL, "id", models).join(test.select("id", "label"), "id")
 
 
 @query("SELECT * FROM (VALUES ('decision_tree'), ('kmeans'), ('logistic'), ('mlp')) AS t(model)")
@@ -488,11 +539,10 @@ def trained_models(spark, sf_dir):
 
 @query()
 def kernel_machine(spark, sf_dir):
-    """A linear machine on random features, in place of one with an RBF kernel."""
-    t = _parts(spark, sf_dir)
-    lifted = A.with_random_features(t, _PART, "id", 32).select("id", *(F.col("rff")[i].alias(f"x{i}") for i in range(32))).join(t.select("id", (F.col("size") > 25).cast("int").alias("label")), "id")
-    columns = [f"x{i}" for i in range(32)]
-    return ml.predicted("linear_svm", lifted, columns, "id", ml.trained(lifted, columns, "linear_svm"))
+    """A support vector machine with an RBF kernel and calibrated probabilities."""
+    t = _parts(spark, sf_dir).withColumn("label", F.expr(_INSIDE))
+    train, test = ml.stratified_split(t, "id", "label")
+    return ml.predicted("svm", test, _PART, "id", ml.trained(train, _PART, "svm", number=128, steps=25)).join(test.select("id", "label"), "id")
 
 
 @query()
@@ -501,25 +551,48 @@ def stacked_models(spark, sf_dir):
     return ml.stacked(_parts(spark, sf_dir), _PART, "id", {"kmeans": None, "gmm": None, "isolation_forest": None, "pca_anomaly": None}, "label")
 
 
+#: A label with two classes at every scale that no single cut tells: parts of middle size, and every eleventh.
+_INSIDE = "CAST(size BETWEEN 15 AND 35 OR id % 11 = 0 AS INT)"
+
+
 @query()
 def random_forest(spark, sf_dir):
-    t = _parts(spark, sf_dir).withColumn("label", (F.col("price") > 1000).cast("int"))
+    t = _parts(spark, sf_dir).withColumn("label", F.expr(_INSIDE))
     train, test = ml.stratified_split(t, "id", "label")
     return ml.predicted("random_forest", test, _PART, "id", ml.trained(train, _PART, "random_forest")).join(test.select("id", "label"), "id")
 
 
 @query()
 def boosted_trees(spark, sf_dir):
-    t = _parts(spark, sf_dir).withColumn("label", (F.col("price") > 1000).cast("int"))
-    train, test = ml.stratified_split(t, "id", "label")
-    return ml.predicted("gbt", test, _PART, "id", ml.trained(train, _PART, "gbt")).join(test.select("id", "label"), "id")
+    """Three kinds of boosting, each on four fifths of the lines, one column a text where the kind takes one; on the others."""
+    line = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_returnflag") == "R").cast("int").alias("label"), "l_quantity", "l_extendedprice", "l_discount", F.month("l_shipdate").cast("double").alias("month"), "l_linestatus")
+    numbers = ["l_quantity", "l_extendedprice", "l_discount", "month"]
+    train, test = ml.stratified_split(line, "id", "label")
+    models = {kind: ml.trained(train, numbers + ["l_linestatus"] * (kind == "catboost"), kind, settings=replace(boosting.with_trees(kind, 4), depth=4)) for kind in boosting.KINDS}
+    return ml.stacked(test, numbers, "id", models).join(test.select("id", "label"), "id")
+
+
+_STUMP = "t AS (SELECT p_partkey AS id, p_size AS x, CASE WHEN p_size BETWEEN 15 AND 35 OR p_partkey % 11 = 0 THEN 1e0 ELSE 0e0 END AS y FROM part)"
+
+
+@query(
+    f"""WITH {_STUMP}, g AS (SELECT x, sum(0.5e0 - y) AS g, count(*) * 0.25e0 AS h FROM t GROUP BY x),
+ w AS (SELECT sum(g) AS g, sum(h) AS h FROM g), c AS (SELECT x, sum(g) OVER (ORDER BY x) AS gl, sum(h) OVER (ORDER BY x) AS hl FROM g),
+ b AS (SELECT x AS cut, gl, hl, w.g - gl AS gr, w.h - hl AS hr, gl * gl / (hl + 1) + (w.g - gl) * (w.g - gl) / (w.h - hl + 1) AS gain FROM c, w WHERE hl >= 1 AND w.h - hl >= 1 ORDER BY gain DESC, cut LIMIT 1)
+ SELECT id, round(1 / (1 + exp(0.1e0 * CASE WHEN x <= cut THEN gl / (hl + 1) ELSE gr / (hr + 1) END)), 6) AS prob FROM t, b"""
+)
+def boosted_stump(spark, sf_dir):
+    """One split by second-order gain, on all parts."""
+    t = _parts(spark, sf_dir).withColumn("label", F.expr(_INSIDE))
+    model = ml.trained(t, ["size"], "xgboost", settings=replace(boosting.with_trees("xgboost", 1), depth=1))
+    return ml.predicted("xgboost", t, ["size"], "id", model).select("id", r6(F.col("prob"), "prob"))
 
 
 @query("WITH n AS (SELECT count(*) FILTER (WHERE label <> 1) AS o, count(*) FILTER (WHERE label = 1) AS m FROM embeddings) SELECT 'before' AS step, round(1e0 * m / (m + o), 6) AS rate, m + o AS n FROM n UNION ALL SELECT 'after', round(1e0 * (m + greatest(0, CAST(floor(0.5e0 * o) AS BIGINT) - m)) / (m + o + greatest(0, CAST(floor(0.5e0 * o) AS BIGINT) - m)), 6), m + o + greatest(0, CAST(floor(0.5e0 * o) AS BIGINT) - m) FROM n")
 def balanced_rate(spark, sf_dir):
-    t = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") == 1, 1).otherwise(0).alias("label"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)))
+    t = _vectors(spark, sf_dir).withColumnRenamed("id", "vec_id")
     rate = lambda df, step: df.agg(F.lit(step).alias("step"), r6(F.avg("label"), "rate"), F.count("*").alias("n"))
-    return rate(t, "before").unionByName(rate(ml.balanced(t, "vec_id", [f"x{i}" for i in range(4)]), "after"))
+    return rate(t, "before").unionByName(rate(ml.balanced(t, "vec_id", _ALL), "after"))
 
 
 # Streams, run until all that is there has been read
