@@ -28,6 +28,7 @@ from __future__ import annotations
 import functools
 import gc
 import math
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,7 @@ from finsift.llm._bytes import SPACE, U, blocks, mix, raw, trim, word_hashes
 from finsift.llm._shared import crc_mod, read, release, written_at
 
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-PART_BYTES, FLUSH_BYTES, SAMPLE = 18 << 20, 16 << 20, 64
+PART_BYTES, FLUSH_BYTES, SAMPLE = 14 << 20, 12 << 20, 64
 EXACT = 512
 GRID = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0)
 
@@ -429,9 +430,11 @@ def part_scores(texts: pa.Table, known: pa.Table, thetas: list[float], d: float,
 
 
 def _freed(spark: SparkSession) -> None:
-    """Lets Spark delete shuffles that nothing needs any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete shuffles that nothing needs any more: it does so some time after the driver's collection."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -493,6 +496,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     tables = functools.reduce(DataFrame.unionByName, asked).groupBy("part").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "t"))), lambda x: x["t"]).alias("stored"))
     replies = uses.select("part", "word").join(words.select("word", "n", *samples), "word").groupBy("part").applyInArrow(packed, "part int, answers array<binary>")
     known = written_at(replies.join(tables, "part", "left"), "known")[0]
+    del replies, tables, asked, words, uses, made, first, seats, done, by_word, moved, more, answers
     release(spark, words_path, made_path, *old)
     _freed(spark)
 
