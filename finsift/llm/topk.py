@@ -112,7 +112,10 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray
     with np.errstate(divide="ignore", invalid="ignore"):
         local = np.where(reach > 0, floor / reach, 0)
     low = live[local[live] < COORDINATE_FROM]
-    scores = products(q[low], v) if len(low) else None
+    # Length pruning comes first: what is too short for each of these queries isn't multiplied.
+    need = (np.maximum(floor[low], 0) / np.maximum(q_norms[low], 1e-300)).min(initial=np.inf)
+    long = np.flatnonzero(norms * (1 + 1e-9) >= need)
+    scores = products(q[low], v[long]) if len(low) else None
     for at, j in enumerate(live):
         if local[j] >= COORDINATE_FROM:
             # cos >= c and a unit query component u bound the candidate's component: u*c -+ sqrt((1-u^2)(1-c^2))
@@ -125,8 +128,8 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray
             rows = np.flatnonzero((w >= lower) & (w <= upper) & (norms * q_norms[j] * (1 + 1e-9) >= floor[j]))
             s = products(q[j : j + 1], v[rows])[0]
         else:
-            rows = np.flatnonzero(norms * q_norms[j] * (1 + 1e-9) >= floor[j])
-            s = scores[np.searchsorted(low, j)][rows]
+            held = norms[long] * q_norms[j] * (1 + 1e-9) >= floor[j]
+            rows, s = long[held], scores[np.searchsorted(low, j)][held]
         keep = (ids[rows] != q_ids[j]) & (s >= floor[j])
         yield int(j), *firsts(ids[rows[keep]], s[keep], k)
 

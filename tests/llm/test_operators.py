@@ -499,3 +499,21 @@ def test_url_join_without_hosts(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("RULE", F.lit("clash"))
     one, two = ({r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(df, max_rules=n).collect()} for n in (10, 0))
     assert one == two and one[2] == ("net", "/de/1", "net/de/", "block") and len(one) == 5
+
+
+def test_top_k_multiplies_long_rows_only(spark, monkeypatch):
+    """A threshold that only the longest rows can reach keeps the others out of the products."""
+    rng = np.random.default_rng(12)
+    v = rng.integers(-50, 50, (400, 8)) * np.linspace(4, 0.1, 400)[:, None].round(1)
+    v = v.astype(np.int64)
+    v = v[np.argsort(-np.sqrt((v**2).sum(1)))]
+    q = rng.integers(-50, 50, (5, 8))
+    norms, q_norms = np.sqrt((v**2).sum(1)), np.sqrt((q**2).sum(1))
+    floor = (0.5 * q_norms * norms.max()).astype(np.int64)
+    seen, products = [], topk.products
+    monkeypatch.setattr(topk, "products", lambda a, b: seen.append(len(b)) or products(a, b))
+    got = {j: sorted(s.tolist()) for j, _, s in topk.best_of(np.arange(1000, 1005), q, floor, np.arange(400), v, 400)}
+    for j in range(5):
+        s = q[j] @ v.T
+        assert got.get(j, []) == sorted(s[s >= floor[j]].tolist())
+    assert max(seen) <= (norms * (1 + 1e-9) >= (floor / q_norms).min()).sum() < 300
