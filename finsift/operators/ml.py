@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from finsift.operators.metrics import percentile_flag, scaled_score
+from finsift.operators.stats import ranges_of
 from finsift.operators.vectors import nearest_batch, squared_distance
 from finsift.storage import written
 
@@ -230,8 +231,9 @@ def smote_total(n_majority: int, n_minority: int, ratio: float = 0.5) -> int:
     return max(0, int(n_majority * ratio - n_minority))
 
 
-def _shares(ids: DataFrame, total: int, seed: int, buckets: int = 64) -> DataFrame:
+def _shares(ids: DataFrame, total: int, seed: int, buckets: int | None = None) -> DataFrame:
     """(query_id, copies), total copies in all: ranked by hash within buckets, so that no task gets all rows."""
+    buckets = buckets or ranges_of(ids.sparkSession)
     order = F.xxhash64("query_id", F.lit(seed))
     dealt = ids.withColumn("bucket", F.pmod(order, F.lit(buckets)).cast("int"))
     counts = dict.fromkeys(range(buckets), 0) | {r["bucket"]: r["count"] for r in dealt.groupBy("bucket").count().collect()}

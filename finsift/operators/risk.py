@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from finsift.functions import lexicon as L
 from finsift.functions.numeric import outlier_share
-from finsift.operators.stats import exact_quantiles
 
 
 def features(docs: DataFrame, text_col: str = "content") -> DataFrame:
@@ -108,11 +107,25 @@ def document_routing(scored: DataFrame) -> DataFrame:
 def risk_summary(scored: DataFrame, score_col: str = "overall", level_col: str = "risk_level") -> DataFrame:
     """One row, of scores rounded to two places: totals, extremes, median and a count for each level, zeros included."""
     rounded = scored.select(F.round(score_col, 2).alias("score"), F.col(level_col).alias("level"))
-    s = F.col("score")
-    levels = [F.count_if(F.col("level") == name).alias(f"n_{name.lower()}") for name in (*(n for n, _ in L.LEVELS), "MINIMAL")]
-    one = rounded.agg(F.count("*").alias("total"), F.round(F.avg(s), 2).alias("average"), F.max(s).alias("highest"), F.min(s).alias("lowest"), F.round(F.stddev_pop(s), 2).alias("deviation"), F.count_if(s >= 60).alias("n_high_risk"), *levels)
-    median = exact_quantiles(rounded, ["score"], [0.5]).agg(F.round(F.max("value"), 2).alias("median"))
-    return one.crossJoin(F.broadcast(median))  # one row each
+    # All of it follows from how often each rounded score occurs, of which there are 10,001 at most: one pass, one row.
+    s, n = F.col("score"), F.col("n")
+    by_score = rounded.groupBy("score", "level").agg(F.count("*").alias("n"))
+    levels = [F.coalesce(F.sum(F.when(F.col("level") == name, n)), F.lit(0)).alias(f"n_{name.lower()}") for name in (*(x for x, _ in L.LEVELS), "MINIMAL")]
+    held = F.when(s.isNotNull(), n)
+    one = by_score.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.max(s).alias("highest"), F.min(s).alias("lowest"), F.coalesce(F.sum(F.when(s >= 60, n)), F.lit(0)).alias("n_high_risk"), *levels,
+        F.sum(held).alias("_rows"), F.try_divide(F.sum(s * n), F.sum(held)).alias("_mean"), F.sort_array(F.collect_list(F.when(s.isNotNull(), F.struct(s.alias("s"), n.alias("n"))))).alias("_scores"),
+    )
+    spread = F.aggregate("_scores", F.lit(0.0), lambda a, x: a + x["n"] * (x["s"] - F.col("_mean")) * (x["s"] - F.col("_mean")))
+
+    def place(p):
+        """The score at a place, counted from 0."""
+        start = F.struct(F.lit(0).cast("long").alias("to"), F.lit(None).cast("double").alias("v"))
+        return F.aggregate("_scores", start, lambda a, x: F.struct((a["to"] + x["n"]).alias("to"), F.when((a["to"] <= p) & (p < a["to"] + x["n"]), x["s"].cast("double")).otherwise(a["v"]).alias("v")), lambda a: a["v"])
+
+    middle = (F.col("_rows") - 1) / F.lit(2.0)
+    median = (place(F.floor(middle)) + place(F.ceil(middle))) / 2
+    return one.select("total", F.round("_mean", 2).alias("average"), "highest", "lowest", F.round(F.sqrt(F.try_divide(spread, F.col("_rows"))), 2).alias("deviation"), "n_high_risk", *(f"n_{x.lower()}" for x in (*(x for x, _ in L.LEVELS), "MINIMAL")), F.round(median, 2).alias("median"))
 
 
 def level_shares(scored: DataFrame, level_col: str = "risk_level") -> DataFrame:

@@ -30,11 +30,17 @@ def missing_rates(df: DataFrame, top: int | None = 10) -> DataFrame:
     return out.limit(top) if top else out
 
 
-def in_ranges(counted: DataFrame, keys: list[str], value: str, ranges: int = 64) -> DataFrame:
+def ranges_of(spark) -> int:
+    """Ranges to sort apart: four for each shuffle partition, whose number goes with the data, from 64 to 4096."""
+    return max(64, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def in_ranges(counted: DataFrame, keys: list[str], value: str, ranges: int | None = None) -> DataFrame:
     """counted with `range`, 0 and up in the order of value: about as many rows in each range of a key.
 
     The ends come from a sketch of bounded size, so that no range depends on how values are spread.
     """
+    ranges = ranges or ranges_of(counted.sparkSession)
     shares = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
     ends = counted.groupBy(*keys).agg(F.percentile_approx(value, shares, 10_000).alias("ends"))
     placed = counted.join(F.broadcast(ends), keys) if keys else counted.crossJoin(F.broadcast(ends))
