@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--disable-risk-scoring", action="store_true")
     d.add_argument("--export-output", metavar="BATCH")
     d.add_argument("--risk-summary", action="store_true")
+    d.add_argument("--fit-encoder", action="store_true", help="fit the store's sentence encoder to these files first")
     for name, text in (("status", "rows of a store's tables"), ("rescore", "score again from the stores"), ("search", "nearest chunks"), ("reset", "delete a store")):
         s = sub.add_parser(name, help=text)
         s.add_argument("--store", required=True)
@@ -55,10 +56,12 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
     a = parser().parse_args(arguments)
     spark = spark or local_session()
     if a.command == "documents":
+        if a.fit_encoder:
+            run.fit_encoder(spark, a.folder, a.store)
         counts = run.run_documents(spark, a.folder, a.store, a.limit, not a.skip_embeddings, not a.skip_graph, not a.disable_risk_scoring, a.export_output)
         print("\n".join(f"{k}: {v}" for k, v in counts.items()))
         if a.risk_summary and not a.disable_risk_scoring:
-            print(sinks.summary_report(spark.read.parquet(f"{a.store}/formatted")))
+            print(sinks.summary_report(run.stored(spark, a.store, "formatted").read()))
     elif a.command == "status":
         print("\n".join(f"{k}: {v}" for k, v in run.status(spark, a.store).items()))
     elif a.command == "reset":

@@ -38,6 +38,18 @@ PERCENTAGE = r"\d+(?:\.\d+)?%"
 DATES = r"(?i)\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b"
 ORGANISATION = r"[A-Z][a-z]+ (?:Corp|Inc|Ltd|LLC)"
 
+# Names of places that the rules know.
+PLACES = (
+    "Algeria", "Argentina", "Australia", "Austria", "Belgium", "Bermuda", "Brazil", "Canada", "Cayman Islands", "Chile", "China", "Cyprus", "Denmark", "Egypt", "Ethiopia", "Finland", "France", "Germany",
+    "Greece", "Hong Kong", "India", "Indonesia", "Iran", "Iraq", "Ireland", "Israel", "Italy", "Japan", "Jordan", "Kenya", "Luxembourg", "Malaysia", "Mexico", "Morocco", "Mozambique", "Netherlands",
+    "New Zealand", "Nigeria", "Norway", "Panama", "Peru", "Poland", "Portugal", "Romania", "Russia", "Saudi Arabia", "Singapore", "South Africa", "South Korea", "Spain", "Sweden", "Switzerland", "Taiwan",
+    "Thailand", "Turkey", "United Kingdom", "United States", "Vietnam", "Alabama", "Arizona", "California", "Colorado", "Connecticut", "Delaware", "Florida", "Georgia", "Illinois", "Massachusetts",
+    "Michigan", "Minnesota", "Nevada", "New Jersey", "New York", "Ohio", "Pennsylvania", "Texas", "Virginia", "Washington", "Chicago", "Houston", "London", "Los Angeles", "San Francisco", "Tokyo",
+)
+PLACE = r"\b(?:" + "|".join(PLACES) + r")\b"
+PERSON = r"\b(?:Mr|Mrs|Ms|Dr|Prof|Judge|President|Chairman|Director)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?"
+NAMED_DATE = DATES + r"|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{4}\b|\b\d{4}-\d{2}-\d{2}\b|\bfiscal(?: year)? \d{4}\b"
+
 
 def sql_count(text: str, term: str) -> str:
     """Non-overlapping hits of term in text (both lower-case)."""

@@ -7,13 +7,14 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finsift.functions import lexicon as L
 from finsift.functions import numeric as N
 from finsift.functions import text as T
 from finsift.operators import anomaly as A
 from finsift.operators import formatting as FM
 from finsift.operators import graph as G
 from finsift.operators import metrics as M
-from finsift.operators import boosting, ml, risk, stats
+from finsift.operators import boosting, embedding, ml, risk, stats
 from finsift.operators import vectors as V
 from finsift.plans import queries as Q
 from finsift.plans import reference_sql as R
@@ -203,6 +204,33 @@ def extra_entities(spark, sf_dir):
     return G.entity_counts(filings(spark, sf_dir), extra=[dates]).where("ent_type = 'DATE'").select("doc_id", "n")
 
 
+_LETTER = "'On ' || strftime(o_orderdate, '%Y-%m-%d') || ' Mr. Adam Berg of ' || n || ' and Dr. Chen met in fiscal year 20' || (10 + o_orderkey % 15) || ' at ' || CASE o_orderkey % 3 WHEN 0 THEN 'New York' WHEN 1 THEN 'London' ELSE 'an office' END || ', then in March 2024 in ' || n || '. Judge Marta Ruiz came on Jan 5, 2023.'"
+_COUNTRY = "array_to_string(list_transform(string_split(lower(n_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ')"
+
+
+@query(
+    f"""WITH l AS (SELECT o_orderkey AS doc_id, {_LETTER} AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN (SELECT n_nationkey, {_COUNTRY} AS n FROM nation) ON c_nationkey = n_nationkey),
+ e AS (SELECT doc_id, 'GPE' AS ent_type, unnest(regexp_extract_all(t, '{L.PLACE}')) AS x FROM l UNION ALL SELECT doc_id, 'PERSON', unnest(regexp_extract_all(t, '{L.PERSON}')) FROM l UNION ALL SELECT doc_id, 'DATE', unnest(regexp_extract_all(t, '{L.NAMED_DATE}')) FROM l)
+ SELECT doc_id, ent_type, array_to_string(list(DISTINCT lower(x) ORDER BY lower(x)), '|') AS names FROM e GROUP BY ALL"""
+)
+def named_entities(spark, sf_dir):
+    """Places, persons and dates by rules, in a letter for each order."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.initcap("n_name").alias("n"))
+    city = F.when(F.col("o_orderkey") % 3 == 0, "New York").when(F.col("o_orderkey") % 3 == 1, "London").otherwise("an office")
+    text = F.concat(F.lit("On "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" Mr. Adam Berg of "), F.col("n"), F.lit(" and Dr. Chen met in fiscal year 20"), (10 + F.col("o_orderkey") % 15).cast("string"), F.lit(" at "), city, F.lit(", then in March 2024 in "), F.col("n"), F.lit(". Judge Marta Ruiz came on Jan 5, 2023."))
+    letters = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("o_orderkey").alias("doc_id"), text.alias("content"))
+    found = G.entities(letters, extra=G.named(F.col("content"))).where(F.col("ent_type").isin("GPE", "PERSON", "DATE"))
+    return found.groupBy("doc_id", "ent_type").agg(F.array_join(F.sort_array(F.collect_set(F.lower("text"))), "|").alias("names"))
+
+
+@query()
+def fitted_encoder(spark, sf_dir):
+    """Every document embedded by an encoder that was fitted to all of them."""
+    docs = table(spark, sf_dir, "documents")
+    encoder = embedding.fitted_encoder(docs.select("text"))
+    return docs.select("doc_id", encoder.column(F.col("text")).alias("embedding"))
+
+
 # Documents: formats, batches, re-scoring
 
 _NODE_LIST = "array_to_string(list(DISTINCT ent_type || ':' || replace(text, ' ', '_') ORDER BY ent_type || ':' || replace(text, ' ', '_')), '|')"

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsift.functions import text as T
-from finsift.operators import formatting, graph, metrics, ml, risk, vectors
+from finsift.operators import embedding, formatting, graph, metrics, ml, risk, vectors
 from finsift.operators.fitted import Fitted
 from finsift.sources import readers, sinks
 from finsift.sources.merge import MergeTable
@@ -24,11 +24,13 @@ def stored(spark: SparkSession, store: str, table: str) -> MergeTable:
     return MergeTable(spark, f"{store}/{table}", TABLES[table])
 
 
-def run_documents(spark: SparkSession, folder: str, store: str, limit: int | None = None, embeddings: bool = True, build_graph: bool = True, scoring: bool = True, batch: str | None = None, embed=vectors.hashing_embedding) -> dict[str, int]:
+def run_documents(spark: SparkSession, folder: str, store: str, limit: int | None = None, embeddings: bool = True, build_graph: bool = True, scoring: bool = True, batch: str | None = None, embed=None) -> dict[str, int]:
     """Reads text files; writes chunks, vertices, edges and formatted documents below store; returns counters.
 
-    Each part can be left out by itself. A batch name also writes an export. embed: text column to vector column.
+    Each part can be left out by itself. A batch name also writes an export. embed: text column to vector column; the
+    store's own encoder (fit_encoder()) or hashed words, if none is given.
     """
+    embed = embed or store_encoder(spark, store)
     docs = written(readers.text_documents(spark, folder, limit=limit), "documents")
     out = {"documents": docs.count(), "chunks": 0, "entities": 0, "nodes": 0, "edges": 0, "high_risk": 0}
     if embeddings:
@@ -37,7 +39,7 @@ def run_documents(spark: SparkSession, folder: str, store: str, limit: int | Non
         sinks.upsert_vectors(rows, f"{store}/chunks")
         out["chunks"] = readers.VectorStore(spark, f"{store}/chunks").count()
     if build_graph:
-        ents = written(graph.entities(docs), "entities")
+        ents = written(graph.entities(docs, extra=graph.named(F.col("content"))), "entities")
         nodes, edges = graph.graph(docs, ents, graph.relations(docs))
         stored(spark, store, "vertices").merge(nodes)
         stored(spark, store, "edges").merge(edges)
@@ -56,6 +58,17 @@ def run_documents(spark: SparkSession, folder: str, store: str, limit: int | Non
     return out
 
 
+def fit_encoder(spark: SparkSession, folder: str, store: str, dims: int = embedding.DIMS) -> embedding.Encoder:
+    """An encoder fitted to the texts of a folder, saved with the store; chunks and questions are embedded by it from then on."""
+    encoder = embedding.fitted_encoder(readers.text_documents(spark, folder), "content", dims)
+    encoder.save(spark, f"{store}/encoder")
+    return encoder
+
+
+def store_encoder(spark: SparkSession, store: str):
+    return embedding.Encoder.load(spark, f"{store}/encoder") if exists(spark, f"{store}/encoder/encoder.npz") else vectors.hashing_embedding
+
+
 def status(spark: SparkSession, store: str) -> dict[str, object]:
     """Rows of each table that there is, and settings."""
     tables = {t: stored(spark, store, t).count() for t in ("chunks", "vertices", "edges", "formatted")}
@@ -69,8 +82,9 @@ def reset(spark: SparkSession, store: str, confirm: bool = False) -> bool:
     return confirm
 
 
-def search(spark: SparkSession, store: str, question: str, k: int = 5, embed=vectors.hashing_embedding, **where) -> DataFrame:
+def search(spark: SparkSession, store: str, question: str, k: int = 5, embed=None, **where) -> DataFrame:
     """(chunk_id, distance, text) of the chunks nearest to a question."""
+    embed = embed or store_encoder(spark, store)
     asked = spark.createDataFrame([(question,)], "q string").select(embed(F.col("q")).alias("v")).first()["v"]
     chunks = readers.VectorStore(spark, f"{store}/chunks").get(**where)
     return vectors.nearest(chunks, list(asked), k, id_col="chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id").orderBy("distance", "chunk_id")
