@@ -43,7 +43,7 @@ from finsift.llm._bytes import SPACE, U, blocks, mix, raw, trim, word_hashes
 from finsift.llm._shared import crc_mod, read, release, written_at
 
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-PART_BYTES, FLUSH_BYTES, SAMPLE = 14 << 20, 12 << 20, 64
+PART_BYTES, FLUSH_BYTES, SAMPLE = 12 << 20, 10 << 20, 64
 EXACT = 512
 GRID = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0)
 
@@ -374,7 +374,10 @@ def packed(rows):
 
 
 def part_scores(texts: pa.Table, known: pa.Table, thetas: list[float], d: float, hots: list[dict[int, tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, held, tokens, known, base, score) of texts, as far as their pairs are here; ids of those owned here."""
+    """What a part knows of the texts of each bundle, in binary columns: the texts, tokens, known ones, base and score.
+
+    One row a bundle, so that rows grow with bundles and not with texts times parts.
+    """
     pairs = Pairs.of(texts)
     stored = {c: next((x for x in known.column(c).to_pylist() if x is not None), None) for c in ("answers", "stored")}
     counts = wide(stored["answers"][0]).astype(np.int64) if stored["answers"] else np.zeros(0, np.int64)
@@ -411,24 +414,28 @@ def part_scores(texts: pa.Table, known: pa.Table, thetas: list[float], d: float,
         times, text, used, owned = (wide(x).astype(np.int64) for x in (times, text, used, owned))
         each = np.repeat(pairs.back[start : start + len(times)], times)
         start += len(times)
-        n, none = len(used), len(owned)
-        sums = [np.bincount(text, x, n)[:n] for x in (None, hit[each], base[each], score[each])]
-        ids, held = np.frombuffer(ids, np.int64), np.frombuffer(held, bool)
-        apart = np.r_[np.ones(n, bool), np.zeros(none, bool)]
-        nothing = np.zeros(none)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(first + np.r_[used, owned]),
-                pa.array(np.r_[np.zeros(n, np.int64), ids], mask=apart | np.r_[np.zeros(n, bool), ids == NO_ID]),
-                pa.array(np.r_[np.zeros(n, bool), held], mask=apart),
-                *(pa.array(np.r_[x, nothing].astype(np.int64)) for x in sums[:2]),
-                *(pa.array(np.r_[x, nothing]) for x in sums[2:]),
-            ],
-            ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
-        )
+        sums = [np.bincount(text, x, len(used))[: len(used)] for x in (None, hit[each], base[each], score[each])]
+        told = [small(used), *(small(x.astype(np.int64)) for x in sums[:2]), *(x.astype("<f8").tobytes() for x in sums[2:]), small(owned), ids, held]
+        yield pa.RecordBatch.from_arrays([pa.array([first]), *(pa.array([x], pa.binary()) for x in told)], ["first", *TOLD])
     trim()
 
 
+TOLD = ["used", "tokens", "known", "base", "score", "owned", "ids", "held"]
+
+
+def gathered(bundle):
+    """(doc_id, held_out, n_tokens, n_known, base, score) of a bundle's texts, from all parts that know of them."""
+    rows = [[wide(x).astype(np.int64) if i in (0, 1, 2, 5) else np.frombuffer(x, ("<f8", "<f8", None, "<i8", "?")[i - 3]) for i, x in enumerate(r)] for r in zip(*(bundle.column(c).to_pylist() for c in TOLD), strict=True)]
+    n = 1 + max((int(r[5].max()) for r in rows if len(r[5])), default=-1)
+    ids, held = np.full(n, NO_ID), np.zeros(n, bool)
+    for r in rows:
+        ids[r[5]], held[r[5]] = r[6], r[7]
+    used = np.concatenate([r[0] for r in rows])
+    tokens, known, base, score = (np.bincount(used, np.concatenate([r[i] for r in rows]), n) for i in range(1, 5))
+    cells = [pa.array(ids, mask=ids == NO_ID), pa.array(held), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+    return pa.table(cells, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+
 def _freed(spark: SparkSession) -> None:
     """Lets Spark delete shuffles that nothing needs any more: it does so some time after the driver's collection."""
     for _ in range(2):
@@ -503,9 +510,8 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     def final(key, texts, told):
         return pa.Table.from_batches(list(part_scores(texts, told, thetas, d, hots)))
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-    partial = sent(given, parts, hot, True).groupBy("part").cogroup(known.groupBy("part")).applyInArrow(final, schema)
-    out = partial.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    partial = sent(given, parts, hot, True).groupBy("part").cogroup(known.groupBy("part")).applyInArrow(final, "first long, " + ", ".join(f"{c} binary" for c in TOLD))
+    out = partial.groupBy("first").applyInArrow(gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), "score")
 
 
