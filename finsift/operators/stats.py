@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,6 +122,35 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
     return df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(F.when(F.col("high") > F.col("low"), at).otherwise(0).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def kde(df: DataFrame, column: str, points: int = 200, nodes: int = 2048) -> DataFrame:
+    """(point, x, density): a Gaussian kernel density from the least to the largest value, with Scott's bandwidth.
+
+    Values are shared linearly between the two nearest of `nodes` places, and their sums are convolved with the kernel: one
+    pass over the rows, then work of a fixed size. Nulls are left out; a constant column has no density.
+    """
+    v = F.col(f"`{column}`").cast("double")
+    values = df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    ends = values.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_samp("v").alias("s"), F.count("*").alias("n")).where("high > low")
+    at = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * (nodes - 1)
+    placed = values.crossJoin(F.broadcast(ends)).select(F.floor(at).cast("int").alias("i"), (at - F.floor(at)).alias("w"))  # one row of ends
+    sums = placed.groupBy("i").agg(F.sum(1 - F.col("w")).alias("a"), F.sum("w").alias("b"))
+    both = sums.select("i", F.col("a").alias("w")).unionByName(sums.select((F.col("i") + 1).alias("i"), F.col("b").alias("w")))
+    held = both.groupBy("i").agg(F.sum("w").alias("w")).where("w > 0").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("held"))  # at most `nodes`
+    one = ends.crossJoin(F.broadcast(held)).withColumn("h", F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    grid = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")).withColumn("x", F.col("low") + (F.col("high") - F.col("low")) * F.col("point") / F.lit(float(points - 1)))
+    step = (F.col("high") - F.col("low")) / F.lit(float(nodes - 1))
+    gap = lambda e: (F.col("x") - F.col("low") - e["i"] * step) / F.col("h")
+    total = F.aggregate("held", F.lit(0.0), lambda a, e: a + e["w"] * F.exp(-0.5 * gap(e) * gap(e)))
+    return grid.select("point", "x", (total / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * math.pi)))).alias("density"))
+
+
+def pair_sample(df: DataFrame, columns: list[str], label: str | None = None, rows: int = 1000, seed: int = 42) -> DataFrame:
+    """At most `rows` rows of a pair plot's columns, those with the smallest hashes: the same on every run."""
+    keep = [*columns, *([label] if label else [])]
+    order = F.xxhash64(*(f"`{c}`" for c in df.columns), F.lit(seed))
+    return df.select(*(f"`{c}`" for c in keep), order.alias("_order")).orderBy("_order").limit(rows).drop("_order")
+
+
 def boxplot(df: DataFrame, columns: list[str]) -> DataFrame:
     """Quartiles, 1.5 IQR fences and the number of outliers of each column."""
     quarters = _quantile_columns(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75})

@@ -659,14 +659,39 @@ def byte_sizes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.byte_size(F.col("event_id") * F.col("event_id") * 257).alias("size"))
 
 
-@query("SELECT * FROM (VALUES ('boxes', 4), ('classes', 3), ('histogram', 41), ('roc', 2)) AS t(chart, rects)")
+_BIN = "least(CAST(floor((l_extendedprice - lo) / (hi - lo) * 40) AS BIGINT), 39)"
+
+
+@query(
+    f"""WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), h AS (SELECT {_BIN} AS i, count(*) AS n FROM lineitem, e GROUP BY 1),
+ c AS (SELECT row_number() OVER (ORDER BY l_returnflag) - 1 AS i, n FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)),
+ d AS (SELECT CAST(left(ltrim(CAST(l_extendedprice AS VARCHAR), '0.'), 1) AS INT) AS d, count(*) AS n FROM lineitem WHERE l_extendedprice > 0 GROUP BY 1), t AS (SELECT sum(n) AS t FROM d)
+ SELECT 'histogram' AS chart, row_number() OVER (ORDER BY i) - 1 AS i, CAST(n AS DOUBLE) AS value FROM h UNION ALL SELECT 'classes', i, n FROM c
+ UNION ALL SELECT 'benford', 2 * (row_number() OVER (ORDER BY d) - 1), round(n / t, 4) FROM d, t UNION ALL SELECT 'benford', 2 * (row_number() OVER (ORDER BY d) - 1) + 1, round(log10(1 + 1e0 / d), 4) FROM d"""
+)
 def charts(spark, sf_dir):
-    """Charts as SVG: how many rectangles each has."""
-    line = table(spark, sf_dir, "lineitem")
+    """Charts as SVG: the numbers that their bars stand for, read from the finished charts."""
+    lines = table(spark, sf_dir, "lineitem")
+    first = lines.where("l_extendedprice > 0").select(F.substring(F.ltrim(F.col("l_extendedprice").cast("decimal(20,2)").cast("string"), F.lit("0.")), 1, 1).cast("int").alias("digit")).groupBy("digit").agg(F.count("*").alias("n"))
+    total = first.agg(F.sum("n").alias("t"))
+    digits = first.crossJoin(F.broadcast(total)).select("digit", F.round(F.col("n") / F.col("t"), 4).alias("observed"), F.round(F.log10(1 + 1 / F.col("digit")), 4).alias("expected"))  # one row of totals
     made = {
-        "histogram": plots.histogram_plot(stats.histogram(line, "l_extendedprice", 40), "price"),
-        "classes": plots.class_plot(stats.class_distribution(line.where("l_returnflag <> 'N'"), "l_returnflag"), "l_returnflag", "flags"),
-        "roc": plots.roc_plot(M.curve(Q._one(spark, sf_dir, "model_c")), "model c"),
-        "boxes": plots.box_plot(stats.boxplot(line, ["l_quantity", "l_extendedprice", "l_tax"]), "columns"),
+        "histogram": plots.density_plot(stats.histogram(lines, "l_extendedprice", 40), stats.kde(lines, "l_extendedprice"), "price"),
+        "classes": plots.class_plot(stats.class_distribution(lines, "l_returnflag"), "l_returnflag", "flags"),
+        "benford": plots.benford_plot(digits, "first digits"),
     }
-    return spark.createDataFrame([(k, v.count("<rect")) for k, v in made.items()], "chart string, rects int")
+    return spark.createDataFrame([(k, i, v) for k, svg in made.items() for i, v in enumerate(plots.values(svg))], "chart string, i long, value double")
+
+
+@query(
+    """WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, stddev_samp(l_extendedprice) AS s, count(*) AS n FROM lineitem),
+ p AS (SELECT (l_extendedprice - lo) / (hi - lo) * 2047 AS u FROM lineitem, e), w AS (SELECT i, sum(w) AS w FROM (SELECT floor(u) AS i, 1 - (u - floor(u)) AS w FROM p UNION ALL SELECT floor(u) + 1, u - floor(u) FROM p) GROUP BY i),
+ g AS (SELECT point, lo + (hi - lo) * point / 49 AS x FROM range(50) t(point), e)
+ SELECT point, round(x, 4) AS x, round(1e6 * (hi - lo) / 1e5 * sum(w * exp(-0.5 * ((x - lo - i * (hi - lo) / 2047) / (s * power(n, -0.2))) ** 2)) / (n * (s * power(n, -0.2)) * sqrt(2 * pi())), 4) AS density FROM g, w, e GROUP BY point, x, lo, hi, s, n"""
+)
+def kde_curve(spark, sf_dir):
+    """A kernel density of prices from binned counts."""
+    lines = table(spark, sf_dir, "lineitem")
+    ends = lines.agg((F.max("l_extendedprice") - F.min("l_extendedprice")).alias("span"))
+    told = stats.kde(lines, "l_extendedprice", 50).crossJoin(F.broadcast(ends))  # one row
+    return told.select(F.col("point").cast("long").alias("point"), F.round("x", 4).alias("x"), F.round(1e6 * F.col("span") / 1e5 * F.col("density"), 4).alias("density"))
