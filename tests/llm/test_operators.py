@@ -517,3 +517,15 @@ def test_top_k_multiplies_long_rows_only(spark, monkeypatch):
         s = q[j] @ v.T
         assert got.get(j, []) == sorted(s[s >= floor[j]].tolist())
     assert max(seen) <= (norms * (1 + 1e-9) >= (floor / q_norms).min()).sum() < 300
+
+
+def test_url_query_judges_by_its_contract(spark, tmp_path):
+    """The five rules of op3's contract, and its SQL, on rows of every rule and of none."""
+    duckdb = pytest.importorskip("duckdb")
+    told = [("http://x.com/en/1", "com/en/", "block"), ("http://a.example.com/en/71", "example.com/en/7", "allow"), ("http://x.net/de/", "net/de/", "allow"), ("http://b.example.net/de/81", "example.net/de/8", "block"), ("http://example.net/de/9", "net/de/", "allow"), ("http://org/es/", "org/es/", "block"), ("http://x.org/en/", None, "allow"), (None, None, "allow")]
+    spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(told)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = sorted((r.page_id, r.rule, r.verdict) for r in urlfilter.op3_url_filter(spark, str(tmp_path)).collect())
+    assert rows == [(i, rule, verdict) for i, (_, rule, verdict) in enumerate(told)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(con.execute(f"SELECT page_id, rule, verdict FROM ({urlfilter.oracle()})").fetchall()) == rows
