@@ -138,9 +138,17 @@ def level_shares(scored: DataFrame, level_col: str = "risk_level") -> DataFrame:
 
 
 def high_risk(scored: DataFrame, n: int | None = 10, score_col: str = "overall", id_col: str = "doc_id", least: float = 60) -> DataFrame:
-    """The rows with the highest scores, of those whose rounded score is at least `least`."""
-    out = scored.where(F.round(score_col, 2) >= least).orderBy(F.desc(F.round(score_col, 2)), id_col)
-    return out.limit(n) if n else out
+    """The rows with the highest scores, of those whose rounded score is at least `least`.
+
+    The bound comes after the limit, which gives the same rows: before it, Spark would move it below the scores and
+    compute them there once for every place that names them. Without a limit the scores are written first.
+    """
+    from finsift.storage import written
+
+    score = F.round(score_col, 2)
+    if n:
+        return scored.orderBy(F.desc(score), id_col).limit(n).where(score >= least)
+    return written(scored, "scored").where(score >= least).orderBy(F.desc(score), id_col)
 
 
 def with_failures(docs: DataFrame, scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
