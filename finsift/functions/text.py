@@ -23,7 +23,8 @@ def stripped(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+    # A lambda of one parameter: F.trim itself has two, so transform() would pass the index as the characters to cut off.
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def words(text: Column) -> Column:
@@ -163,10 +164,13 @@ def display_name(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
-def byte_size(number: Column) -> Column:
-    """A number of bytes in the unit that keeps it below 1024, B to TB, with two places."""
-    steps = F.least(F.lit(4), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.abs(number.cast("double")), F.lit(1.0))) / 10)))
-    unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), (steps + 1).cast("int"))
+UNITS = ("B", "KB", "MB", "GB", "TB")
+
+
+def byte_size(number: Column, units: tuple[str, ...] = UNITS) -> Column:
+    """A number of bytes in the unit that keeps it below 1024, or the last one, with two places."""
+    steps = F.least(F.lit(len(units) - 1), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.abs(number.cast("double")), F.lit(1.0))) / 10)))
+    unit = F.element_at(F.array(*map(F.lit, units)), (steps + 1).cast("int"))
     return F.concat(F.format_string("%.2f ", F.bround(number.cast("double") / F.pow(F.lit(1024.0), steps), 2)), unit)
 
 

@@ -298,3 +298,31 @@ def test_plots_and_indexed_tables(spark, tmp_path):
     joined = spark.table("nodes_by_label").join(spark.table("nodes_by_label").hint("merge"), "label")
     assert joined.count() == 5 and "Exchange hashpartitioning" not in joined._jdf.queryExecution().sparkPlan().toString()
     spark.sql("DROP TABLE nodes_by_label")
+
+
+def test_high_risk_scores_once(spark):
+    """The bound isn't moved below the scores: the plan has no filter under the sort."""
+    from finsift.operators import risk
+
+    df = spark.createDataFrame([(1, 61.0), (2, 39.0), (3, 90.0), (4, None), (5, 60.0)], "doc_id long, raw double").withColumn("overall", F.col("raw") * 1)
+    top = risk.high_risk(df, 3)
+    assert [r.doc_id for r in top.collect()] == [3, 1, 5] == [r.doc_id for r in risk.high_risk(df, None).collect()]
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Sort") and plan.count("Filter") == 1
+
+
+def test_sentences_keep_their_numbers(spark):
+    """Sentences whose ends are digits of their own place, and blanks at the ends."""
+    from finsift.functions import text as T
+
+    text = "No. 1 of us. 2 of 22. 3 men.  4. x 5"
+    got = spark.createDataFrame([(text,)], "t string").select(T.sentences(F.col("t"))).first()[0]
+    assert got == ["No.", "1 of us.", "2 of 22.", "3 men.", "4.", "x 5"]
+    assert spark.range(1).select(T.sentences(F.lit(" a.  b "))).first()[0] == ["a.", "b"]
+
+
+def test_byte_sizes_up_to_a_unit(spark):
+    from finsift.functions import text as T
+
+    one = spark.range(1).select(T.byte_size(F.lit(1 << 40)).alias("a"), T.byte_size(F.lit(1 << 40), T.UNITS[:4]).alias("b"), T.byte_size(F.lit(1536)).alias("c")).first()
+    assert tuple(one) == ("1.00 TB", "1024.00 GB", "1.50 KB")
