@@ -124,6 +124,23 @@ def edges_between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(src, ["src_label", "src"], "left_semi").join(dst, ["dst_label", "dst"], "left_semi").distinct()
 
 
+def joined_edges(left: DataFrame, right: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+    """The edges, each once, from left to right (label, name, key) where they share a key and both are nodes.
+
+    Ends are filtered and made distinct before they meet, with all keys of an end in one row. A pair that shares several
+    keys is told by the least of them alone, so that pairs, of which there may be many more than ends, aren't shuffled.
+    """
+    def ends(df: DataFrame, x: str) -> DataFrame:
+        held = df.where("key IS NOT NULL").join(nodes, ["label", "name"], "left_semi")
+        one = held.groupBy(F.col("label").alias(f"{x}_label"), F.col("name").alias(x)).agg(F.collect_set("key").alias(f"{x}_keys"))
+        # Most ends have one key; only of those with several the keys go along.
+        return one.select(f"{x}_label", x, F.when(F.size(f"{x}_keys") > 1, F.col(f"{x}_keys")).alias(f"{x}_more"), F.explode(f"{x}_keys").alias("key"))
+
+    first = F.col("src_more").isNull() | F.col("dst_more").isNull() | (F.array_min(F.array_intersect("src_more", "dst_more")) == F.col("key"))
+    pairs = ends(left, "src").join(ends(right, "dst"), "key").where(first)
+    return pairs.select("src_label", "src", "dst_label", "dst", F.lit(kind).alias("type"))
+
+
 def pattern(edges: DataFrame, nodes: DataFrame, src_label: str, kind: str, dst_label: str, src: str | None = None) -> DataFrame:
     """(src, dst) of edges of a type between nodes of these labels."""
     out = edges_between(edges.where((F.col("type") == kind) & (F.col("src_label") == src_label) & (F.col("dst_label") == dst_label)), nodes)

@@ -326,3 +326,12 @@ def test_byte_sizes_up_to_a_unit(spark):
 
     one = spark.range(1).select(T.byte_size(F.lit(1 << 40)).alias("a"), T.byte_size(F.lit(1 << 40), T.UNITS[:4]).alias("b"), T.byte_size(F.lit(1536)).alias("c")).first()
     assert tuple(one) == ("1.00 TB", "1024.00 GB", "1.50 KB")
+
+
+def test_joined_edges(spark):
+    """Pairs that share several keys come once; ends that aren't nodes, and null keys, give none."""
+    rows = lambda label, xs: spark.createDataFrame([(label, n, k) for n, k in xs], "label string, name string, key int")
+    left = rows("C", [("a", 1), ("a", 2), ("a", 2), ("b", 1), ("c", None), ("x", 1)])
+    right = rows("S", [("p", 1), ("p", 2), ("q", 2), ("r", None), ("y", 1)])
+    nodes = spark.createDataFrame([("C", "a"), ("C", "b"), ("C", "c"), ("S", "p"), ("S", "q"), ("S", "r"), ("C", "y"), ("S", "x")], "label string, name string")
+    assert sorted((r.src, r.dst) for r in graph.joined_edges(left, right, nodes, "OWNS").collect()) == [("a", "p"), ("a", "q"), ("b", "p")]
