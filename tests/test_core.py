@@ -335,3 +335,11 @@ def test_joined_edges(spark):
     right = rows("S", [("p", 1), ("p", 2), ("q", 2), ("r", None), ("y", 1)])
     nodes = spark.createDataFrame([("C", "a"), ("C", "b"), ("C", "c"), ("S", "p"), ("S", "q"), ("S", "r"), ("C", "y"), ("S", "x")], "label string, name string")
     assert sorted((r.src, r.dst) for r in graph.joined_edges(left, right, nodes, "OWNS").collect()) == [("a", "p"), ("a", "q"), ("b", "p")]
+
+
+def test_entities_are_computed_once(spark):
+    """No filter by the size of a computed array comes before it is exploded."""
+    df = spark.createDataFrame([(1, "Acme Corp concealed $5 million. Zeta owns Beta."), (2, ""), (3, None)], "doc_id long, content string")
+    for rows, pattern, n in ((graph.entities(df), "Corp|", 2), (graph.relations(df), "owns|", 2)):
+        assert rows.where("doc_id = 1").count() == n == rows.count()
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("size(") <= 1
