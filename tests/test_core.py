@@ -343,3 +343,10 @@ def test_entities_are_computed_once(spark):
     for rows, pattern, n in ((graph.entities(df), "Corp|", 2), (graph.relations(df), "owns|", 2)):
         assert rows.where("doc_id = 1").count() == n == rows.count()
         assert rows._jdf.queryExecution().optimizedPlan().toString().count("size(") <= 1
+
+
+def test_batches_tell_their_schema(spark, tmp_path):
+    """A batch is read by the schema beside it, without a pass to find it: an empty one too."""
+    docs = formatting.formatted_documents(spark.createDataFrame([], "doc_id long, content string"))
+    sinks.write_batch(docs, str(tmp_path / "b"))
+    assert sinks.read_batch(spark, str(tmp_path / "b")).columns == docs.columns
