@@ -53,6 +53,15 @@ def times(rows: int, row: np.ndarray, bucket: np.ndarray, w: np.ndarray, matrix:
     return out
 
 
+def spread(total: np.ndarray, row: np.ndarray, bucket: np.ndarray, w: np.ndarray, matrix: np.ndarray) -> None:
+    """Adds the product of the transposed sparse rows with a matrix of one row a text to total, each bucket once."""
+    if len(row):
+        order = np.argsort(bucket, kind="stable")
+        row, bucket = row[order], bucket[order]
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        total[bucket[first]] += np.add.reduceat(w[order][:, None] * matrix[row], first)
+
+
 @dataclass
 class Encoder:
     """Weights by bucket and directions; embeddings have length 1, those of texts without known words are 0."""
@@ -120,7 +129,7 @@ def fitted_encoder(docs: DataFrame, text_col: str = "text", dims: int = DIMS, bu
 
     def common(lists: pa.Array, total: np.ndarray) -> None:
         for s, r, b, w in weighted(lists, idf):
-            np.add.at(total, b, w[:, None] * times(s.stop - s.start, r, b, w, directions)[r])
+            spread(total, r, b, w, times(s.stop - s.start, r, b, w, directions))
 
     basis = np.linalg.qr(_summed(rows, (buckets, width), common))[0]
 

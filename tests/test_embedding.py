@@ -53,3 +53,17 @@ def test_empty(spark):
     enc = E.fitted_encoder(docs, dims=4, buckets=64)
     assert enc.axes.shape == (64, 4) and docs.select(enc.column(F.col("text"))).count() == 0
     assert list(E.weighted(pa.array([], pa.list_(pa.int32())), enc.idf)) == []
+
+
+def test_products_are_added_by_bucket():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    row, bucket, w, y = np.sort(rng.integers(0, 9, 200)), rng.integers(0, 30, 200), rng.random(200), rng.normal(size=(9, 5))
+    total = rng.normal(size=(32, 5))
+    wanted = total.copy()
+    np.add.at(wanted, bucket, w[:, None] * y[row])
+    E.spread(total, row, bucket, w, y)
+    assert np.allclose(total, wanted)
+    E.spread(total, row[:0], bucket[:0], w[:0], y)
+    assert np.allclose(total, wanted)
