@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from finsift.llm._bytes import SPACE, U, blocks, mix, raw, shingle_hashes, trim, word_hashes
-from finsift.llm._shared import read, release, written, written_at
+from finsift.llm._shared import read, release, small_batches, written, written_at
 from finsift.llm.components import connected
 
 WORDS, PERCENT = 5, 75
@@ -102,7 +102,8 @@ def common_shingles(docs: DataFrame, text_col: str, k: int, most: int) -> tuple[
         trim()
 
     found = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "h").limit(most).toPandas()
+    with small_batches(docs.sparkSession):  # whole texts go to the tasks
+        top = found.orderBy(F.desc("n"), "h").limit(most).toPandas()
     h = top["h"].to_numpy(np.int64).view(U)
     order = np.argsort(h)
     return h[order], top["n"].to_numpy(np.int64)[order]

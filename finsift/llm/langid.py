@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from finsift.llm._bytes import BLOCK, LETTER, U, blocks, mix, raw, trim
-from finsift.llm._shared import crc_mod, fresh, read
+from finsift.llm._bytes import LETTER, U, blocks, mix, raw, trim
+from finsift.llm._shared import crc_mod, fresh, read, small_batches
 
 GRAMS = (2, 3, 4)
 #: Bytes of masks that are sent to the executors, about.
@@ -82,11 +82,12 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in pc.unique(batch.column(1)).to_pylist():
             texts = batch.column(0).filter(pc.equal(batch.column(1), lang))
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            for i, j in blocks(np.concatenate([[0], np.cumsum(sizes)]), 4 * BLOCK):
+            for i, j in blocks(np.concatenate([[0], np.cumsum(sizes)])):
                 found = [c for c, _ in grams(*folded(texts.slice(i, j - i)))]
                 if found:
                     codes, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "code", "n"])
+    trim()
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_language: int = 2000, grams_per_language: int = 4096, slots_bits: int = 17, hashes: int = 4, min_share: float = 0.3) -> LanguageModel:
@@ -115,7 +116,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         most = rated.groupBy("code").agg(F.max("rate").alias("most"))
         own = rated.join(most, "code").where(F.col("rate") >= F.lit(min_share) * F.col("most"))
         ranked = own.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code")))
-        top = ranked.where(F.col("rank") <= grams_per_language).select("lang", "code").toPandas()
+        with small_batches(docs.sparkSession):  # whole texts go to the tasks
+            top = ranked.where(F.col("rank") <= grams_per_language).select("lang", "code").toPandas()
         lang_no = top["lang"].map({lang: i for i, lang in enumerate(languages)}).to_numpy()
         code = top["code"].to_numpy().astype(U)
         for i in range(len(languages)):

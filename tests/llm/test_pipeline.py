@@ -85,3 +85,36 @@ def test_stages_against_brute_force(spark):
                 first = {i: min(first[a], first[b]) if c in (first[a], first[b]) else c for i, c in first.items()}
     assert set(texts(alone)) == {i for i, c in first.items() if i == c}
     check_pieces(corpus_pipeline.pack(spark, alone, SF), texts(alone), 2048)
+
+
+def test_stages_send_small_batches_to_python(spark):
+    """Also where the caller writes what a stage returns; the languages are learnt from blocks of texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.createDataFrame([(i, f"a text of some words {i}", "en", "web", 9, "x") for i in range(4)], COLUMNS)
+    for key, stage in corpus_pipeline.STAGES:
+        if key != "quality_rules":
+            spark.conf.set(name, "10000")
+            stage(spark, df, "")
+            assert int(spark.conf.get(name)) <= 1000
+    spark.conf.unset(name)
+
+
+def test_language_counts_take_little_memory():
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from finsift.llm import langid
+
+    text = ["".join(chr(97 + (i * i + j * j * 7) % 26) for j in range(2000)) for i in range(700)]
+    tracemalloc.start()
+    told = list(langid.count_grams(iter([pa.RecordBatch.from_arrays([pa.array(text), pa.array(["en"] * 700)], ["t", "lang"])])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = Counter()
+    for batch in told:
+        for code, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            got[code] += n
+    whole = Counter(int.from_bytes(x[i : i + n].encode(), "big") for x in text for n in langid.GRAMS for i in range(len(x) - n + 1))
+    assert got == whole and peak < 64 << 20
