@@ -40,10 +40,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsift.llm._bytes import SPACE, U, blocks, mix, raw, trim, word_hashes
-from finsift.llm._shared import crc_mod, read, release, written_at
+from finsift.llm._shared import crc_mod, keep_batches_small, read, release, written_at
 
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-PART_BYTES, FLUSH_BYTES, SAMPLE = 12 << 20, 10 << 20, 64
+PART_BYTES, FLUSH_BYTES, SENT_BYTES, SAMPLE = 12 << 20, 10 << 20, 2 << 20, 64
 EXACT = 512
 GRID = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0)
 
@@ -64,10 +64,29 @@ def small(x: np.ndarray) -> bytes:
     return bytes((size,)) + x.astype(f"<u{size}").tobytes()
 
 
-def wide(stored: bytes) -> np.ndarray:
+def wide(stored: bytes | pa.Buffer) -> np.ndarray:
     return np.frombuffer(stored, f"<u{stored[0]}", offset=1)
 
 
+def cells(table: pa.Table, *names: str) -> Iterator[list[pa.Buffer]]:
+    """The rows of binary columns, not copied."""
+    for batch in table.select(names).to_batches():
+        for i in range(batch.num_rows):
+            yield [x[i].as_buffer() for x in batch.columns]
+
+
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and the number of each value among them, as np.unique has them in twice the memory."""
+    order = np.argsort(x).astype(np.uint32)
+    x = x[order]
+    new = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+    values = x[new]
+    del x
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return values, number
+
+
 # Texts to pairs
 
 
@@ -98,6 +117,22 @@ def place(u: np.ndarray, w: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarr
     return ((key >> U(20)) % U(parts)).astype(np.int64)
 
 
+def contexts_of(w: np.ndarray, text: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The contexts of some of the pairs whose words and texts follow each other in w and text."""
+    before = np.maximum(some, 1) - some.dtype.type(1)
+    u = w[before]
+    u[(some == 0) | (text[before] != text[some])] = START
+    return u
+
+
+def _whole(blocks: list[np.ndarray]) -> np.ndarray:
+    """The blocks as one array; they are let go."""
+    x = np.concatenate(blocks)
+    blocks.clear()
+    trim()
+    return x
+
+
 def sent(docs: DataFrame, parts: int, hot: np.ndarray, with_texts: bool) -> DataFrame:
     """Pairs of docs (doc_id, text, held) by part, in binary columns, a row for each part and some megabytes of text.
 
@@ -108,51 +143,63 @@ def sent(docs: DataFrame, parts: int, hot: np.ndarray, with_texts: bool) -> Data
     names = ["part", "contexts", "words", "pairs", "word", "trained", "times", "text", "used", "first", "owned", "ids", "held"]
     kinds = [pa.int32(), *[pa.binary()] * 8, pa.int64(), *[pa.binary()] * 3]
 
-    def flushed(waiting: list[tuple], first_row: int) -> Iterator[pa.RecordBatch]:
-        u, w, text, ids, held = (np.concatenate([x[i] for x in waiting]) for i in range(5))
-        waiting.clear()
-        part = place(u, w, parts, hot)
-        part = part.astype(np.uint16) if parts < 1 << 16 else part
-        order = np.argsort(joined(u, w)).astype(np.uint32)
-        order = order[np.argsort(part[order], kind="stable")]
-        u, w, text, part = u[order], w[order], text[order], part[order]
-        first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (part[1:] != part[:-1])]))
-        trained = np.add.reduceat((~held[text]).astype(np.int64), first)
-        times = np.diff(np.append(first, len(u)))
-        edges = np.searchsorted(part[first], np.arange(parts + 1))
-        out = []
+    def flushed(waiting: list[list[np.ndarray]], first_row: int) -> Iterator[pa.RecordBatch]:
+        w, text, part, ids, held = map(_whole, waiting)
+        ends = np.cumsum(np.bincount(part, minlength=parts))
+        order = np.argsort(part, kind="stable").astype(np.uint32)
+        del part
+        out, size = [], 0
+        # Part by part, so that but for the order nothing is made for all pairs at once.
         for p in range(parts):
-            a, b = edges[p], edges[p + 1]
+            mine = order[ends[p - 1] if p else 0 : ends[p]]
             own = np.arange((p - first_row) % parts, len(ids), parts) if with_texts else np.zeros(0, np.int64)
-            if a == b and not len(own):
+            if not len(mine) and not len(own):
                 continue
-            x, xi = np.unique(u[first[a:b]], return_inverse=True)
-            y, yi = np.unique(w[first[a:b]], return_inverse=True)
+            pu, pw, pt = contexts_of(w, text, mine), w[mine], text[mine]
+            by = np.argsort(joined(pu, pw))
+            pu, pw, pt = pu[by], pw[by], pt[by]
+            first = np.flatnonzero(np.concatenate([[True], (pu[1:] != pu[:-1]) | (pw[1:] != pw[:-1])])) if len(mine) else np.zeros(0, np.int64)
+            trained = np.add.reduceat((~held[pt]).astype(np.int64), first) if len(mine) else first
+            times = np.diff(np.append(first, len(mine)))
+            x, xi = np.unique(pu[first], return_inverse=True)
+            y, yi = np.unique(pw[first], return_inverse=True)
             by = np.argsort(xi, kind="stable")  # pairs by context
-            n = times[a:b][by]
+            n = times[by]
             more = [None] * 6
             if with_texts:
-                texts = text[np.repeat(first[a:b][by] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                used, texts = np.unique(texts, return_inverse=True)
+                used, texts = np.unique(pt[np.repeat(first[by] - (np.cumsum(n) - n), n) + np.arange(n.sum())], return_inverse=True)
                 more = [small(texts), small(used), first_row, small(own), ids[own].tobytes(), held[own].tobytes()]
-            out.append((p, x.tobytes(), y.tobytes(), small(np.bincount(xi, minlength=len(x))), small(yi[by]), small(trained[a:b][by]), small(n), *more))
-        for i in range(0, len(out), 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[i : i + 16], strict=True), kinds, strict=True)], names)
+            out.append((p, x.tobytes(), y.tobytes(), small(np.bincount(xi, minlength=len(x))), small(yi[by]), small(trained[by]), small(n), *more))
+            size += sum(len(c) for c in out[-1] if isinstance(c, bytes))
+            if len(out) == 16 or size > SENT_BYTES:
+                yield _sent(out)
+                size = 0
+        if out:
+            yield _sent(out)
+        del w, text, order
+        trim()
+
+    def _sent(out: list[tuple]) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        out.clear()
+        return batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size, texts, start = [], 0, 0, TaskContext.get().partitionId() << 40
+        waiting, size, texts, start = [[] for _ in range(5)], 0, 0, TaskContext.get().partitionId() << 40
         for batch in batches:
             data, at = raw(batch.column(1))
             ids = pc.fill_null(batch.column(0), NO_ID).to_numpy(zero_copy_only=False)
             held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in blocks(at, 1 << 20):
+            for i, j in blocks(at):
                 u, w, text = pairs_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                waiting.append((u, w, (text + texts).astype(np.uint32), ids[i:j], held[i:j]))
+                part = place(u, w, parts, hot)
+                for kept, x in zip(waiting, (w, (text + texts).astype(np.uint32), part.astype(np.uint16) if parts < 1 << 16 else part, ids[i:j], held[i:j]), strict=True):
+                    kept.append(x)
                 texts, size = texts + j - i, size + int(at[j] - at[i])
                 if size > FLUSH_BYTES:
                     yield from flushed(waiting, start)
                     start, size, texts = start + texts, 0, 0
-        if waiting:
+        if waiting[0]:
             yield from flushed(waiting, start)
         trim()
 
@@ -200,20 +247,23 @@ class Pairs:
 
     @staticmethod
     def of(table: pa.Table) -> Pairs:
-        u, w, trained = [], [], []
-        for r in zip(*(table.column(c).to_pylist() for c in ("contexts", "words", "pairs", "word", "trained")), strict=True):
-            u.append(np.repeat(np.frombuffer(r[0], U), wide(r[2])))
-            w.append(np.frombuffer(r[1], U)[wide(r[3])])
-            trained.append(wide(r[4]).astype(np.int64))
-        u, w, trained = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((u, U), (w, U), (trained, np.int64)))
-        key = joined(u, w)
+        n = [(len(x) - 1) // x[0] for (x,) in cells(table, "trained")]
+        u, w, key, trained, a = *(np.empty(sum(n), U) for _ in range(3)), np.empty(sum(n), np.uint32), 0
+        for k, r in zip(n, cells(table, "contexts", "words", "pairs", "word", "trained"), strict=True):
+            u[a : a + k] = np.repeat(np.frombuffer(r[0], U), wide(r[2]))
+            w[a : a + k] = np.frombuffer(r[1], U)[wide(r[3])]
+            key[a : a + k] = joined(u[a : a + k], w[a : a + k])
+            trained[a : a + k] = wide(r[4])
+            a += k
         order = np.argsort(key).astype(np.uint32)
         key = key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        del key
         first = np.flatnonzero(new)
-        back = np.empty(len(key), np.int64)
-        back[order] = np.cumsum(new) - 1
-        return Pairs(u[order][first], w[order][first], np.add.reduceat(trained[order], first) if len(first) else trained, back)
+        back = np.empty(len(new), np.uint32)
+        back[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        some = order[first]
+        return Pairs(u[some], w[some], np.add.reduceat(trained[order], first, dtype=np.int64) if len(first) else trained.astype(np.int64), back)
 
 
 # Seating
@@ -300,10 +350,13 @@ def discount(ones: int, twos: int) -> float:
 def opened(table: pa.Table, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Restaurants of a part: a row for each word that it holds, one with the dishes that sweeps see, those of hot contexts."""
     pairs = Pairs.of(table)
+    pairs.back = None
     seen = np.flatnonzero(pairs.trained > 0)
-    words, wi = np.unique(pairs.w, return_inverse=True)
+    words, wi = numbered(pairs.w)
+    pairs.w = None
+    contexts, ui = numbered(pairs.u[seen])
     c, wi_seen = pairs.trained[seen], wi[seen]
-    contexts, ui = np.unique(pairs.u[seen], return_inverse=True)
+    del pairs, wi, seen
     customers, dishes = np.bincount(ui, c, len(contexts)).astype(np.int64), np.bincount(ui, minlength=len(contexts))
     heavy = np.flatnonzero(c > 1)
     asked = np.unique(wi_seen[heavy])
@@ -381,45 +434,54 @@ def part_scores(texts: pa.Table, known: pa.Table, thetas: list[float], d: float,
     pairs = Pairs.of(texts)
     stored = {c: next((x for x in known.column(c).to_pylist() if x is not None), None) for c in ("answers", "stored")}
     counts = wide(stored["answers"][0]).astype(np.int64) if stored["answers"] else np.zeros(0, np.int64)
-    words, at = np.unique(pairs.w, return_inverse=True)  # those that were asked for
+    words, at = numbered(pairs.w)  # those that were asked for
     assert len(words) == len(counts)
-    seen = np.flatnonzero(pairs.trained > 0)
-    contexts, ui = np.unique(pairs.u[seen], return_inverse=True)
-    c = pairs.trained[seen]
+    u, trained, back = pairs.u, pairs.trained, pairs.back
+    del pairs, words
+    seen = np.flatnonzero(trained > 0).astype(np.uint32)
+    contexts = np.unique(u[seen])
+    own = np.minimum(np.searchsorted(contexts, u), max(0, len(contexts) - 1)).astype(np.uint32)
+    inside = contexts[own] == u if len(contexts) else np.zeros(len(at), bool)
+    del u
+    c, ui = trained[seen], own[seen]
+    del trained
+    heavy = c > 1
     customers, dishes = np.bincount(ui, c, len(contexts)).astype(np.int64), np.bincount(ui, minlength=len(contexts))
-    heavy = np.flatnonzero(c > 1)
-    own = np.minimum(np.searchsorted(contexts, pairs.u), max(0, len(contexts) - 1))
-    inside = contexts[own] == pairs.u if len(contexts) else np.zeros(len(pairs.u), bool)
-    total = np.zeros(len(pairs.u))
-    drawn_tables = [wide(x).astype(np.int64) for x in stored["stored"]] if stored["stored"] else []
+    total = np.zeros(len(at))
     for s, theta in enumerate(thetas):
-        h = np.frombuffer(stored["answers"][1 + s], "<f4").astype(float)[at] if len(words) else np.zeros(0)
-        t = np.ones(len(seen), np.int64)
-        if len(heavy):
-            t[heavy] = drawn_tables[s]
-        tables = dishes + np.bincount(ui, t - 1, len(contexts)).astype(np.int64)
+        h = np.frombuffer(stored["answers"][1 + s], "<f4").astype(float) if len(counts) else np.zeros(0)
+        t = np.ones(len(seen), np.uint32)
+        if heavy.any():
+            t[heavy] = wide(stored["stored"][s])
+        tables = dishes + np.bincount(ui, t - np.uint32(1), len(contexts)).astype(np.int64)
         whole = customers.copy()
         for i, u in enumerate(contexts.view(np.int64).tolist()) if hots[s] else ():
             if u in hots[s]:
                 whole[i], tables[i] = hots[s][u]
-        p = h.copy()
-        of = own[inside]
-        p[inside] = (theta + d * tables[of]) * h[inside] / (theta + whole[of]) if len(of) else 0
-        p[seen] += (c - d * t) / (theta + whole[ui])
-        total += p
-    score, base = np.log10(total / max(1, len(thetas))), np.log10(counts[at] + 1.0)
-    hit, start = counts[at] > 0, 0
-    cells = (texts.column(k).to_pylist() for k in ("times", "text", "used", "first", "owned", "ids", "held"))
-    for times, text, used, first, owned, ids, held in zip(*cells, strict=True):
-        times, text, used, owned = (wide(x).astype(np.int64) for x in (times, text, used, owned))
-        each = np.repeat(pairs.back[start : start + len(times)], times)
+        for i in range(0, len(at), SCORED):
+            p, within = h[at[i : i + SCORED]], inside[i : i + SCORED]
+            of = own[i : i + SCORED][within]
+            p[within] = (theta + d * tables[of]) * p[within] / (theta + whole[of]) if len(of) else 0
+            a, b = np.searchsorted(seen, np.array([i, i + SCORED], np.uint32))
+            p[seen[a:b] - np.uint32(i)] += (c[a:b] - d * t[a:b]) / (theta + whole[ui[a:b]])
+            total[i : i + SCORED] += p
+    del own, inside, seen, c, ui, heavy
+    total /= max(1, len(thetas))
+    score, base = np.log10(total, out=total), np.log10(counts + 1.0)
+    start = 0
+    for first, (times, text, used, owned, ids, held) in zip(texts.column("first").to_pylist(), cells(texts, "times", "text", "used", "owned", "ids", "held"), strict=True):
+        times, text, used, owned = (wide(x) for x in (times, text, used, owned))
+        each = np.repeat(back[start : start + len(times)], times)
         start += len(times)
-        sums = [np.bincount(text, x, len(used))[: len(used)] for x in (None, hit[each], base[each], score[each])]
-        told = [small(used), *(small(x.astype(np.int64)) for x in sums[:2]), *(x.astype("<f8").tobytes() for x in sums[2:]), small(owned), ids, held]
+        sums = [np.bincount(text, x, len(used))[: len(used)] for x in (None, counts[at[each]] > 0, base[at[each]], score[each])]
+        told = [small(used), *(small(x.astype(np.int64)) for x in sums[:2]), *(x.astype("<f8").tobytes() for x in sums[2:]), small(owned), ids.to_pybytes(), held.to_pybytes()]
         yield pa.RecordBatch.from_arrays([pa.array([first]), *(pa.array([x], pa.binary()) for x in told)], ["first", *TOLD])
+    del back, at, score, total
     trim()
 
 
+#: Pairs that are scored at once.
+SCORED = 1 << 16
 TOLD = ["used", "tokens", "known", "base", "score", "owned", "ids", "held"]
 
 
@@ -447,6 +509,7 @@ def _freed(spark: SparkSession) -> None:
 def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows where held is true don't train."""
     spark = docs.sparkSession
+    keep_batches_small(spark)  # also while the caller writes the result, which sends whole texts once more
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     parts, hot = layout(given)
     rng = np.random.default_rng(settings.seed)

@@ -4,10 +4,13 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +148,47 @@ def test_empty_and_untrained(spark):
     assert P.score(docs, F.lit(False)).count() == 0
     one = P.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(True)).first()
     assert (one.n_tokens, one.n_known, one.train_tokens, one.base_score, one.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_tasks_hold_little(monkeypatch):
+    """What a task makes beside its part, and what it sends at once, by the numbers of pairs and bytes."""
+    monkeypatch.setattr(P, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    w = np.random.default_rng(5).integers(0, 30_000, 500_000)
+    texts = pa.array([" ".join(map(str, w[i : i + 500])) for i in range(0, len(w), 500)])
+    batch = pa.record_batch([pa.array(range(len(texts))), texts, pa.array([i % 7 == 2 for i in range(len(texts))])], ["doc_id", "text", "held"])
+    task = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: list(run(iter([batch])))))
+
+    def most(f):
+        tracemalloc.start()
+        out = f()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak
+
+    none = np.zeros(0, np.uint64)
+    many, peak = most(lambda: P.sent(task, 12, none, True))
+    assert max(x.nbytes for x in many) < 3 << 20 and peak < 60 * len(w)
+    whole = pa.Table.from_batches(P.sent(task, 1, none, True))
+    pairs = sum((len(x) - 1) // x[0] for x in whole["trained"].to_pylist())
+    pair_of, peak = most(lambda: P.Pairs.of(whole))
+    assert len(pair_of.back) == pairs and peak < 85 * pairs
+    made, peak = most(lambda: list(P.opened(whole, none)))
+    assert peak < 90 * pairs
+    made = pa.Table.from_batches(made).to_pylist()
+    n = np.array([r["n"] for r in sorted((r for r in made if r["asks"] is not None), key=lambda r: r["word"] % 2**64)])
+    heavy = len(P.wide(next(r["stored"] for r in made if r["stored"])[0]))
+    known = pa.table({"answers": [[P.small(n), np.full(len(n), 1e-5, "<f4").tobytes()]], "stored": [[P.small(np.ones(heavy, np.int64))]]})
+    told, peak = most(lambda: list(P.part_scores(whole, known, [1.0], 0.5, [{}])))
+    assert sum(P.wide(x["tokens"][0].as_py()).sum() for x in told) == len(w) + len(texts) and peak < 100 * pairs
+
+
+def test_score_leaves_batches_of_whole_texts_small(spark):
+    """The caller writes the result, and with it the texts are sent once more."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "10000")
+    try:
+        P.score(spark.createDataFrame([], "doc_id long, text string"), F.lit(False))
+        assert int(spark.conf.get(rows)) <= 1000
+    finally:
+        spark.conf.set(rows, before)
