@@ -352,6 +352,18 @@ def test_batches_tell_their_schema(spark, tmp_path):
     assert sinks.read_batch(spark, str(tmp_path / "b")).columns == docs.columns
 
 
+def test_batches_are_packed(spark, tmp_path):
+    """Documents and high-risk list take a fraction of their JSON, and are read as they were written."""
+    df = spark.createDataFrame([(i, "Acme Corp concealed $5 million in a restatement, an SEC investigation and fraud. " * 5) for i in range(200)], "doc_id long, content string").coalesce(1)
+    docs = formatting.formatted_documents(df)
+    path = sinks.write_batch(docs, str(tmp_path / "b"))
+    told = sorted(r.value for r in formatting.as_json(docs).collect())
+    assert sorted(r.value for r in formatting.as_json(sinks.read_batch(spark, path)).collect()) == told
+    size = sum(f.stat().st_size for f in (tmp_path / "b" / "documents").glob("part-*"))
+    assert size < sum(map(len, told)) / 5
+    assert all(f.name.endswith(".gz") for f in (tmp_path / "b" / "high_risk").glob("part-*"))
+
+
 def test_ranges_are_found_by_bisection(spark):
     """As many ends below a value as its range says, without a pass over all ends for each value."""
     from finsift.operators import stats
